@@ -61,11 +61,8 @@ def _same(a: Column, b: Column) -> Column:
 
 def _collisions(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows whose text differs from the text that their hash group keeps; nearly always none."""
-    members = materialize(keyed.join(groups.select("h", "keep_id"), "h"), "dedup-members")
-    chosen = (
-        members.where(_same(F.col("doc_id"), F.col("keep_id"))).groupBy("h").agg(F.min("norm").alias("chosen"))
-    )
-    return materialize(
-        members.join(chosen, "h").where(F.col("norm") != F.col("chosen")).select("doc_id", "h", "norm"),
-        "dedup-collisions",
-    )
+    # Merge joins at every size: a broadcast below some size and a shuffle above it would not grow in proportion.
+    members = materialize(keyed.join(groups.select("h", "keep_id").hint("merge"), "h"), "dedup-members")
+    kept = members.where(_same(F.col("doc_id"), F.col("keep_id"))).select("h", F.col("norm").alias("chosen"))
+    differs = (members["h"] == kept["h"]) & (members["norm"] != kept["chosen"])
+    return materialize(members.join(kept.hint("merge"), differs, "left_semi").select("doc_id", "h", "norm"), "dedup-collisions")
