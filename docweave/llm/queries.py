@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import sql
 from docweave.llm.exact_dedup import exact_dedup
+from docweave.llm.jaccard_join import jaccard_components
 from docweave.llm.mixing import mix_sources
 from docweave.llm.sharding import shard_documents
 
@@ -22,6 +23,10 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -30,6 +35,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_feistel_shards": op6_feistel_shards,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_mix_sources": op10_mix_sources,
 }
 
