@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docweave.llm import sql
 from docweave.llm.exact_dedup import exact_dedup
 from docweave.llm.jaccard_join import jaccard_components
+from docweave.llm.line_dedup import near_lines
 from docweave.llm.mixing import mix_sources
+from docweave.llm.secret_scan import joined, scan_secrets
 from docweave.llm.sharding import shard_documents
 
 
@@ -15,10 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
@@ -33,10 +47,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": sql.OP3, "op10_mix_sources": sql.OP10}
+ORACLE_SQL = {
+    "op2_secret_scan": sql.OP2,
+    "op3_exact_dedup": sql.OP3,
+    "op5_line_dedup": sql.OP5,
+    "op10_mix_sources": sql.OP10,
+}

@@ -1,5 +1,89 @@
 """DuckDB twins of the operators that SQL can express."""
 
+#: Marks matches as the operator does: pieces at even places (from 1) of the split text are the matches.
+_KINDS = {
+    "assign": """((?i:password|passwd|secret|token|api_?key))["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]{16,}",
+    "id": """(?i:access_?key_?id|client_?id|account_?id|user_?name)["']?\\x20*[:=]\\x20*["']?[A-Za-z0-9_.@-]{4,}|(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}""",
+    "key": "[A-Za-z0-9+/_-]{20,}={0,2}",
+    "endpoint": "(?:https?|postgres|mysql|redis|amqp|mongodb|s3)://[A-Za-z0-9._:@-]+",
+}
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_CUTS = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS kind, {i} AS number, string_split(regexp_replace(t, {_quoted(p)}, chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM d"
+    for i, (k, p) in enumerate(_KINDS.items())
+)
+
+OP2 = rf"""
+WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+c AS ({_CUTS}),
+e AS (SELECT doc_id, kind, number, p, unnest(range(1, len(p) + 1)) AS i FROM c WHERE len(p) > 1),
+f AS (
+  SELECT doc_id, kind, number, i, p[i] AS match, length(p[i]) AS n,
+    sum(length(p[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+  FROM e
+),
+s AS (
+  SELECT doc_id, kind, number, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM f
+  WHERE i % 2 = 0 AND CASE kind
+    WHEN 'assign' THEN length(regexp_extract(match, {_quoted(_KINDS["assign"])}, 2)) >= 12
+    WHEN 'access' THEN length(match) >= 18
+    WHEN 'key' THEN regexp_matches(match, '[0-9]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[A-Z]') AND length(match) <= 88
+    ELSE true END
+),
+near AS (
+  SELECT w.doc_id, w.kind, w.number, w.start, w.stop FROM s w WHERE w.number >= 3
+    AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.number < 3 AND b.start < w.stop AND b.stop > w.start)
+    AND (w.kind = 'key' OR EXISTS (SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.kind IN ('assign', 'hex', 'key') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
+    AND (w.kind <> 'key' OR EXISTS (SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.kind IN ('access', 'id', 'endpoint') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
+    AND (w.kind <> 'endpoint' OR EXISTS (SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.kind IN ('access', 'id') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
+),
+a AS (SELECT * FROM s WHERE number < 3 UNION ALL SELECT * FROM near),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(CASE WHEN number < 3 THEN concat_ws(':', kind, start, stop) END, ',' ORDER BY start, number) AS base,
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, number) AS spans
+  FROM a GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+OP5 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)
+), m AS (
+  SELECT *, length(line) AS n FROM l WHERE trim(line, ' ') <> ''
+), u AS (
+  SELECT line, n, min({'d': doc_id, 'i': line_no}) AS first FROM m GROUP BY line, n
+), k AS (
+  SELECT first, line, n, unnest(list_distinct([
+    '0:' || (n - 1) // 2 || ':' || left(line, (n - 1) // 2), '0:' || n // 2 || ':' || left(line, n // 2),
+    '1:' || n - (n - 1) // 2 - 1 || ':' || right(line, n - (n - 1) // 2 - 1), '1:' || n - (n - 1) // 2 || ':' || right(line, n - (n - 1) // 2),
+    '1:' || n - n // 2 || ':' || right(line, n - n // 2)])) AS key
+  FROM u WHERE n >= 20
+), near AS (
+  SELECT a.line, min(b.first) AS near
+  FROM k a JOIN k b ON a.key = b.key AND b.first < a.first AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) <= 1
+  GROUP BY a.line
+), e AS (
+  SELECT m.doc_id, m.line_no, u.first, CASE WHEN near < u.first THEN near ELSE u.first END AS keep
+  FROM m JOIN u USING (line) LEFT JOIN near USING (line)
+)
+SELECT doc_id, line_no::BIGINT AS line_no, keep.d AS first_doc_id, keep.i::BIGINT AS first_line_no,
+  CASE WHEN keep = first THEN 0 ELSE 1 END AS distance
+FROM e WHERE keep < {'d': doc_id, 'i': line_no}
+"""
+
 OP3 = r"""
 WITH d AS (
   SELECT doc_id,
