@@ -11,6 +11,8 @@ from docweave.llm.store import materialize
 BLOCK = 256
 #: Lines of a document are numbered below this.
 LINES = 1 << 32
+#: Parts of a line, of which two lines within one edit differ in one.
+PARTS = 8
 #: Stands for a null id: above every long.
 NULL_ID = str(1 << 63)
 
@@ -36,14 +38,30 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.where(F.trim("line") != "").select(_position(F.col("d"), F.col("i")).alias("pos"), "line")
 
 
-def _half_keys(line: Column) -> Column:
-    """Lines within one edit share one of these: the edit leaves a leading or a trailing half as it is."""
-    size = F.length(line)
-    lead = lambda n: F.xxhash64(F.lit(0), n, F.substring(line, 1, n))
-    trail = lambda n: F.xxhash64(F.lit(1), n, F.right(line, n))
-    n = size.cast("int")
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.array_distinct(F.array(lead(low), lead(high), trail(n - low - 1), trail(n - low), trail(n - high)))
+def _half_keys(line: Column) -> list[Column]:
+    """Three keys, of which lines within one edit share one: the edit leaves a leading or a trailing half as it is."""
+    n = F.length(line)
+    lead = lambda k: F.xxhash64(F.lit(0), k, F.substring(line, F.lit(1), k))
+    trail = lambda k: F.xxhash64(F.lit(1), k, F.right(line, k))
+    low, half = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return [lead(low), F.when(n % 2 == 0, lead(half)).otherwise(trail(n - half)), trail(half)]
+
+
+def _part_keys(line: Column) -> Column:
+    """Keys of a line without one of PARTS parts, cut as for its own length and for one character more.
+
+    Lines of one length that differ in a character, and a line that lacks a character of another
+    whose cuts it takes, share the key of the part with the edit.
+    """
+    n = F.length(line)
+
+    def key(p: Column, size: Column, less: int) -> Column:
+        a, b = F.floor(size * p / PARTS).cast("int"), F.floor(size * (p + 1) / PARTS).cast("int")
+        return F.xxhash64(size, p, F.substring(line, F.lit(1), a), F.substring(line, b - less + 1, n))
+
+    parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    own, longer = F.transform(parts, lambda p: key(p, n, 0)), F.transform(parts, lambda p: key(p, n + 1, 1))
+    return F.array_distinct(F.concat(own, longer))
 
 
 def near_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,7 +72,8 @@ def near_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", tex
     such line is named. Lines are cut at line feeds and numbered from 0; blank lines stay.
 
     1. Equal lines meet on their 128-bit hash; from here on each distinct line is one row.
-    2. Lines that share no half with another are set aside: one edit always leaves a half.
+    2. Lines that share no half with another are set aside, then those that share no seven eighths:
+       one edit always leaves these.
     3. The others emit their deletion variants as hashed keys: with the place of the deletion, so
        that lines that differ in that character are equal; and without, to meet the shorter line.
        Per key the earliest line is an aggregate: no pairs are made, however many lines share a key.
@@ -65,23 +84,25 @@ def near_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", tex
     proportion to their length times BLOCK. An empty table gives an empty result.
     """
     lines = _lines(docs, id_col, text_col)
-    keyed = lines.select("pos", F.unhex(F.md5("line")).alias("h"), F.length("line").alias("n"), _half_keys(F.col("line")).alias("halves"))
-    k = [F.get("halves", i).alias(f"k{i}") for i in range(5)]
-    flat = keyed.select("pos", "h", "n", *k)
+    flat = lines.select(
+        "pos",
+        F.unhex(F.md5("line")).alias("h"),
+        F.length("line").alias("n"),
+        *[k.alias(f"k{i}") for i, k in enumerate(_half_keys(F.col("line")))],
+    )
     distinct = materialize(
         flat.groupBy("h").agg(
             F.min("pos").alias("first"), F.count(F.lit(1)).alias("times"), F.max("n").alias("n"),
-            *[F.max(f"k{i}").alias(f"k{i}") for i in range(5)],
+            *[F.max(f"k{i}").alias(f"k{i}") for i in range(3)],
         ),
         "lines-distinct",
     )
-    halves = distinct.where(F.col("n") >= min_chars).select(
-        "h", "first", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(5)]))).alias("key")
-    )
-    shared = halves.groupBy("key").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x < y").select("key")
-    shared = materialize(shared, "lines-halves")
-    needed = halves.join(shared.hint("merge"), "key", "left_semi").select("h", "first").distinct()
+    halves = distinct.where(F.col("n") >= min_chars).select("first", F.explode(F.array("k0", "k1", "k2")).alias("key"))
+    needed = _sharing(halves, "lines-halves")
     texts = materialize(_texts(docs, needed, id_col, text_col), "lines-texts")
+    parts = texts.select(F.col("pos").alias("first"), F.explode(_part_keys(F.col("line"))).alias("key"))
+    close = _sharing(parts, "lines-parts").withColumnRenamed("first", "pos")
+    texts = materialize(texts.join(close, "pos", "left_semi").repartition("pos"), "lines-close")
     near = materialize(_near(texts), "lines-near")
     earlier = distinct.where("times > 1").select("h", "first").join(near, "h", "full_outer")
     earlier = materialize(
@@ -97,18 +118,22 @@ def near_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", tex
     )
 
 
+def _sharing(keyed: DataFrame, name: str) -> DataFrame:
+    """The first of all (first, key) rows whose key another first has too."""
+    shared = keyed.groupBy("key").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x < y").select("key")
+    return keyed.join(materialize(shared, name).hint("merge"), "key", "left_semi").select("first").distinct()
+
+
 def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, pos, line) of the needed lines, each from where it stands first."""
-    wanted = needed.select(
-        _doc(F.col("first")).alias("d"), "h", F.col("first").alias("pos"), _line(F.col("first")).alias("i")
-    )
+    """(pos, line, h) of the needed lines, each from where it stands first; of rows that repeat an id, one."""
+    wanted = needed.select(_doc(F.col("first")).alias("d"), F.col("first").alias("pos"), _line(F.col("first")).alias("i"))
     named = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text"))
-    asked = wanted.groupBy("d").agg(F.collect_list(F.struct("h", "pos", "i")).alias("asked"))
+    asked = wanted.groupBy("d").agg(F.collect_list(F.struct("pos", "i")).alias("asked"))
     met = named.join(asked.hint("merge"), named["d"].eqNullSafe(asked["d"]))
     cut = met.select(F.split("text", "\n", -1).alias("all"), F.explode("asked").alias("a"))
     line = F.get("all", F.col("a.i").cast("int"))
-    out = cut.select(F.col("a.h").alias("h"), F.col("a.pos").alias("pos"), line.alias("line"))
-    return out.where(F.unhex(F.md5("line")) == F.col("h")).dropDuplicates(["h"])
+    out = cut.select(F.col("a.pos").alias("pos"), line.alias("line")).where(F.trim("line") != "")
+    return out.withColumn("h", F.unhex(F.md5("line"))).dropDuplicates(["pos"])
 
 
 def _variants(texts: DataFrame) -> DataFrame:
