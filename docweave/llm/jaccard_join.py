@@ -183,10 +183,13 @@ def jaccard_components(
     members = materialize(keyed.join(shared.hint("merge"), "key").distinct(), "jaccard-members")
     few, many = members.where(F.col("times") <= SMALL), members.where(F.col("times") > SMALL)
     a, b = few.select("key", F.col("node").alias("a"), F.col("n").alias("na")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "key").where(
-        (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    )
-    pairs = materialize(pairs.select("a", "b").distinct(), "jaccard-pairs")
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = a.join(b, "key").where(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    # Beyond the keys in both prefixes, sets have at most the rest of the one whose prefix ends first in
+    # common. Keys of many sets aren't counted in "both", but sets that share one meet in a tile as well.
+    most = F.col("both") + F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    pairs = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
     tiles = materialize(_tiles(many, percent), "jaccard-tiles")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(tiles.select("node")).distinct()
     sets = materialize(_sets(texts, sigs, needed, n), "jaccard-sets")
