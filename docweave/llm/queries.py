@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import sql
+from docweave.llm import pii, sql
+from docweave.llm.decontamination import find_leaks
 from docweave.llm.exact_dedup import exact_dedup
 from docweave.llm.jaccard_join import jaccard_components
 from docweave.llm.line_dedup import near_lines
 from docweave.llm.mixing import mix_sources
+from docweave.llm.quality import fit_quality, graded, score_quality
 from docweave.llm.secret_scan import joined, scan_secrets
 from docweave.llm.sharding import shard_documents
+from docweave.llm.warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -29,6 +36,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_lines(table(spark, sf_dir, "documents"))
 
@@ -41,23 +52,44 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    count = lambda n: F.size(F.filter("base", lambda s: s["number"] == n)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS[:4])],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, graded(table(spark, sf_dir, "labels"))))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op1_cgk_decontamination": op1_cgk_decontamination,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc_zstd": op4_warc_zstd,
     "op5_line_dedup": op5_line_dedup,
     "op6_feistel_shards": op6_feistel_shards,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_pii_bootstrap": op8_pii_bootstrap,
+    "op9_ordinal_quality": op9_ordinal_quality,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL = {
     "op2_secret_scan": sql.OP2,
     "op3_exact_dedup": sql.OP3,
+    "op4_warc_zstd": sql.OP4,
     "op5_line_dedup": sql.OP5,
     "op10_mix_sources": sql.OP10,
 }

@@ -57,6 +57,21 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN g USING (doc_id)
 """
 
+OP4 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), q AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (((('0x' || substr(hex, 1 + (5 * i) // 4, 2))::BIGINT >> (8 - (5 * i) % 4 - 5)) & 31))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
 OP5 = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line
