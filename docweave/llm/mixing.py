@@ -109,7 +109,7 @@ def mix_sources(
         "target",
         (F.col("size") * copies).alias("taken"),
         copies.alias("copies"),
-        *[F.col(f"_carry.{c}").alias(c) for c in carry],
+        *[F.col(f"_carry.{c}").alias(c) for c in carry if c not in ("doc_id", "size", "source_size", "target", "taken", "copies")],
     )
 
 

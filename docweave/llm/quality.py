@@ -153,3 +153,17 @@ def score_quality(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5)
     schema = "doc_id long, expected_grade double, p_toxic_or_better double, p_good double, kept boolean"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(score, schema)
+
+
+def keep_good(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5) -> DataFrame:
+    """The rows of docs with P(grade is the best) >= cut, with all their columns; without a model all rows."""
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [sent.value.tails(part)[:, -1] >= cut for part in chunked(batch.column("text").to_pylist())]
+            yield batch.filter(pa.array(np.concatenate(parts))) if parts else batch
+
+    return docs.mapInArrow(keep, docs.schema)
