@@ -253,8 +253,8 @@ def _sets(texts: DataFrame, sigs: DataFrame, needed: DataFrame, n: int) -> DataF
     made = texts.join(chosen.hint("merge"), "doc_id", "left_semi")
     if not nameless.isEmpty():
         made = made.union(texts.where(F.col("doc_id").isNull()))
-    made = made.select("text").mapInArrow(arrays, "node long, shingles array<long>")
-    return made.join(needed, "node", "left_semi").dropDuplicates(["node"])
+    # Rows that repeat an id may add sets that weren't asked for or twice the same: that adds no link that isn't there.
+    return made.select("text").mapInArrow(arrays, "node long, shingles array<long>")
 
 
 def _checked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
