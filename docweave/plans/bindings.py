@@ -63,6 +63,43 @@ BINDINGS = {
         event_id, ts FROM events""",
 }
 
+#: Where the two engines need different words for the same table.
+SPARK_ONLY: dict[str, str] = {}
+
+_TURN = """concat('## ', role, ' ', CAST(turn AS STRING), chr(10), chr(10), text, chr(10), CASE WHEN conv_id % 5 = 0 THEN
+  concat(chr(10), '| a | b |', chr(10), '|---|---|', chr(10), '| ', CAST(turn AS STRING), ' | ', CAST(length(text) AS STRING), ' |', chr(10)) ELSE '' END)"""
+_MD = """SELECT concat('c', CAST(conv_id AS STRING)) AS doc_id, concat('# Conversation ', CAST(conv_id AS STRING), chr(10), {turns}) AS md
+  FROM conversations GROUP BY conv_id UNION ALL SELECT concat('d', CAST(doc_id AS STRING)) AS doc_id, text AS md FROM documents"""
+BINDINGS["documents_md"] = _MD.format(turns=f"string_agg({_TURN}, '' ORDER BY turn)")
+SPARK_ONLY["documents_md"] = _MD.format(
+    turns=f"array_join(transform(array_sort(collect_list(struct(turn, {_TURN} AS md))), x -> x.md), '')"
+)
+# Page-ordered text with numbered headings and a table of contents on each source's first page.
+BINDINGS["page_lines"] = """SELECT page_id % 10 AS source_id, CAST((page_id - page_id % 10) / 10 + 1 AS INT) AS page, 1 AS line_no,
+    CASE WHEN (page_id - page_id % 10) / 10 % 3 = 0 THEN concat('Chapter ', CAST(CAST((page_id - page_id % 10) / 30 + 1 AS INT) AS STRING), ' part ', substr(url, 8, 4))
+      ELSE concat(CAST(CAST(floor((page_id - page_id % 10) / 30) + 1 AS INT) AS STRING), '.', CAST(CAST((page_id - page_id % 10) / 10 % 3 AS INT) AS STRING), ' topic ', substr(url, 8, 4)) END AS line FROM pages
+  UNION ALL SELECT source_id, 1 AS page, line_no, line FROM (
+    SELECT page_id % 10 AS source_id, CAST(100 + page_id AS INT) AS line_no,
+      concat('Chapter ', CAST(CAST((page_id - page_id % 10) / 30 + 1 AS INT) AS STRING), ' part ', substr(url, 8, 4), ' .... ', CAST(CAST((page_id - page_id % 10) / 10 + 1 + (CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END) AS INT) AS STRING)) AS line
+    FROM pages WHERE (page_id - page_id % 10) / 10 % 3 = 0 AND page_id % 4 <> 1) toc
+  UNION ALL SELECT page_id % 10 AS source_id, 1 AS page, 99 AS line_no, 'contents' AS line FROM pages WHERE page_id < 10"""
+# Two readings of a document's lines: the second drops, shifts or changes some of them.
+_BLOCKS = """SELECT doc_id * 100000 + CAST(floor(i / 40) AS BIGINT) AS page_id, CAST(i % 40 AS INT) AS block_idx, {text} AS text, CAST(0.1 AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST(0.8 AS DOUBLE) AS width, CAST(0.025 AS DOUBLE) AS height,
+    CASE WHEN (doc_id + i) % 41 = 0 THEN 'table' WHEN (doc_id + i) % 43 = 0 THEN 'footnote' ELSE 'paragraph' END AS type, CAST(i % 40 AS INT) AS reading_order
+  FROM ({lines}) l {where}"""
+_LINES = {
+    "spark": "SELECT doc_id, i, line FROM (SELECT doc_id, split(text, chr(10), -1) AS p FROM documents) d LATERAL VIEW posexplode(p) v AS i, line",
+    "duck": "SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) d",
+}
+_OTHER = {
+    "text": "CASE (doc_id * 31 + i) % 17 WHEN 3 THEN concat(line, ' 7') WHEN 5 THEN concat(line, ' +') WHEN 7 THEN replace(line, 'e', 'a') WHEN 9 THEN replace(line, ' ', '  ') ELSE line END",
+    "y": "CASE WHEN (doc_id * 31 + i) % 17 = 11 THEN (i % 40 + 0.4) * 0.025 ELSE (i % 40) * 0.025 END",
+    "where": "WHERE (doc_id * 31 + i) % 17 <> 1",
+}
+for _engine, _to in (("spark", SPARK_ONLY), ("duck", BINDINGS)):
+    _to["blocks_a"] = _BLOCKS.format(text="line", y="(i % 40) * 0.025", lines=_LINES[_engine], where="")
+    _to["blocks_b"] = _BLOCKS.format(lines=_LINES[_engine], **_OTHER)
+
 
 class Tables:
     """The given and the logical tables as attributes."""
@@ -74,12 +111,13 @@ class Tables:
         if name in BASE:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         elif name in BINDINGS:
-            text = BINDINGS[name]
+            text = SPARK_ONLY.get(name, BINDINGS[name])
             used = [x for x in dict.fromkeys(re.findall(r"\b[a-z_]+\b", text)) if x != name and (x in BINDINGS or x in BASE)]
             used = [x for x in used if re.search(rf"\b(?:FROM|JOIN) {x}\b", text)]
             for x in used:
-                text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}} AS {x}", text)
-            df = self.spark.sql(text, **{x: getattr(self, x) for x in used})
+                getattr(self, x).createOrReplaceTempView(f"docweave_{x}")
+                text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 docweave_{x} AS {x}", text)
+            df = self.spark.sql(text)
         else:
             raise AttributeError(name)
         setattr(self, name, df)
