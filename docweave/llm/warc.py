@@ -160,7 +160,7 @@ def write_warc(
     total = keyed.agg(F.sum("size")).first()[0] or 0
     archives = max(1, math.ceil(total / (archive_mb << 20)))
     refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    placed = keyed.join(groups.hint("merge"), "same", "left").select(
+    placed = keyed.join(groups, "same", "left").select(
         F.pmod(F.xxhash64("page_id", "url", "same"), F.lit(archives)).cast("int").alias("archive"),
         "page_id", "url", "html", refers.alias("refers_to"),
     )
