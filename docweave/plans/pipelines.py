@@ -55,3 +55,66 @@ def prompts(chapters: DataFrame, notes: DataFrame) -> DataFrame:
     cited = cited.groupBy("chapter_id").agg(r.ordered_list(["seq", "note_id"], "text", "\n").alias("cited"))
     head = F.concat(F.lit("Read the chapter "), "title", F.lit(".\n"))
     return chapters.join(cited, "chapter_id", "left").select("chapter_id", F.concat(head, F.coalesce("cited", F.lit(""))).alias("prompt"))
+
+
+def note_skeleton(tree: DataFrame, lines: DataFrame) -> DataFrame:
+    """(source_id, id, note): a chapter's title and the cited lines of its pages."""
+    from docweave.operators.chapters import pages_of_chapters
+
+    cited = F.concat(F.lit("- [p"), "page", F.lit(":"), "line_no", F.lit("] "), "line")
+    held = pages_of_chapters(tree).join(lines, ["source_id", "page"]).withColumn("text", cited)
+    notes = held.groupBy("source_id", "id").agg(r.ordered_list(["page", "line_no", "line"], "text", "\n").alias("body"))
+    return notes.join(tree.select("source_id", "id", "title"), ["source_id", "id"]).select("source_id", "id", F.concat(F.lit("# "), "title", F.lit("\n"), "body").alias("note"))
+
+
+def routed(runs: DataFrame) -> DataFrame:
+    """runs with the executor that answers their round."""
+    rows = [("round0", "a"), ("round1", "a"), ("round2", "b"), ("round3", "b")]
+    table = runs.sparkSession.createDataFrame(rows, "round_key string, executor string")
+    return runs.join(F.broadcast(table), "round_key")
+
+
+def answered(runs: DataFrame) -> DataFrame:
+    """runs with the answer of the deterministic executor."""
+    return runs.withColumn("answer", F.concat_ws(":", "executor", "round_key", F.length("output")))
+
+
+def chapter_reading(runs: DataFrame) -> DataFrame:
+    """(chapter_id, n_rounds, published): answers of finished rounds in order."""
+    done = answered(routed(runs.where("status = 'DONE'"))).withColumn("text", F.concat_ws(":", "round_key", F.length("output")))
+    return done.groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n_rounds"), r.ordered_list(["run_id"], "text", ";").alias("published"))
+
+
+def topic_fusion(topics: DataFrame, links: DataFrame) -> DataFrame:
+    """(topic_id, n_chapters, fingerprint, bundle): the snapshot of a topic's chapters and its rendered map."""
+    snap = r.snapshot(links, "topic_id", ["chapter_id"], ["chapter_id"])
+    lines = links.withColumn("text", F.concat(F.lit("- chapter "), "chapter_id")).groupBy("topic_id").agg(r.ordered_list(["chapter_id"], "text", "\n").alias("lines"))
+    joined = links.groupBy("topic_id").agg(r.ordered_list(["chapter_id"], "chapter_id").alias("ids")).join(snap.select("topic_id", "n"), "topic_id")
+    met = joined.join(lines, "topic_id").join(topics.select("topic_id", "title"), "topic_id")
+    return met.select("topic_id", F.col("n").alias("n_chapters"), F.sha2("ids", 256).alias("fingerprint"), F.concat(F.lit("# "), "title", F.lit("\n"), "lines").alias("bundle"))
+
+
+def topic_sections(topics: DataFrame, links: DataFrame, notes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(topic_id, title, lines, sections): how many blocks of each kind a topic's bundle has, kinds in fixed order."""
+    order = topics.sparkSession.createDataFrame([(k, i) for i, k in enumerate(kinds)], "kind string, pos int")
+    met = links.join(notes.select("chapter_id", "kind"), "chapter_id").groupBy("topic_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    met = met.join(F.broadcast(order), "kind").join(topics.select("topic_id", "title"), "topic_id").withColumn("text", F.concat_ws(":", "kind", "n"))
+    return met.groupBy("topic_id", "title").agg(F.count(F.lit(1)).alias("lines"), r.ordered_list(["pos"], "text", ";").alias("sections"))
+
+
+def incremental_sections(stream: DataFrame) -> DataFrame:
+    """(sha256): sections of streamed documents, each distinct one processed once: what the table has is skipped."""
+    from docweave.sources.documents import scratch
+    from docweave.streaming.events import run_to_end
+
+    spark = stream.sparkSession
+    path = scratch(spark, "incremental")
+    spark.createDataFrame([], "sha256 string").write.parquet(path)
+
+    def process(batch: DataFrame, _: int) -> None:
+        found = s.split_sections(batch.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.col("text").alias("md")))
+        done = spark.read.schema("sha256 string").parquet(path)
+        found.select("sha256").distinct().join(done, "sha256", "left_anti").write.mode("append").parquet(path)
+
+    run_to_end(stream, "incremental", "append", process)
+    return spark.read.schema("sha256 string").parquet(path)
