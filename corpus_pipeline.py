@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 3, 1, 2 in turn and 150% of all words: a document is repeated as often as it is taken."""
     mixed = mix_sources(docs, weights=(3, 1, 2), share=1.5, most=2.0, carry=tuple(docs.columns))
     again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("again")
-    return mixed.select(again, *[F.col(c) for c in docs.columns]).drop("again")
+    return mixed.select(again, "carried").select("carried.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def mix_sources(
     source_col: str = "source",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, then carry columns.
+    """One row per document: doc_id, size, source_size, target, taken, copies; with carry, the struct carried.
 
     Size is the number of words. Every document of a source gets the whole copies that fit into
     the source's target. For the rest, documents whose hash lies below the source's threshold get
@@ -109,7 +109,7 @@ def mix_sources(
         "target",
         (F.col("size") * copies).alias("taken"),
         copies.alias("copies"),
-        *[F.col(f"_carry.{c}").alias(c) for c in carry if c not in ("doc_id", "size", "source_size", "target", "taken", "copies")],
+        *([F.col("_carry").alias("carried")] if carry else []),
     )
 
 

@@ -54,7 +54,7 @@ def shard_documents(
     text_col: str = "text",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, then carry columns.
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard; with carry, the struct carried.
 
     Rows get the global numbers 0 .. N-1 in the order of (hash bucket, id, crc, size): counts per
     bucket give offsets, and a window inside each bucket gives the rest, so no task sees all rows.
@@ -97,5 +97,5 @@ def shard_documents(
         F.pmod("p", F.lit(n_shards)).cast("int").alias("shard"),
         F.floor(F.col("p") / n_shards).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *[F.col(f"_carry.{c}").alias(c) for c in carry],
+        *([F.col("_carry").alias("carried")] if carry else []),
     )
