@@ -60,13 +60,13 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, size of the set, its 64-bit id (node; null if empty) and its prefix keys: frequent shingles come last."""
+    """doc_id, size of the set, its 64-bit id (node; null if empty), its prefix keys, frequent shingles last, and its bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
         for batch in batches:
-            size, node, prefixes = [], [], []
+            size, node, prefixes, maps = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), n):
                 keys = s
                 if len(often) and len(s):
@@ -75,12 +75,11 @@ def _signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) ->
                 size.append(len(s))
                 node.append(set_id(s) if len(s) else None)
                 prefixes.append(keys[: prefix_length(len(s), percent)] if len(s) else s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), _lists(prefixes)],
-                ["doc_id", "n", "node", "keys"],
-            )
+                maps.append(bitmaps([s], bitmap_bits(len(s))).tobytes() if len(s) else None)
+            columns = [pa.array(size, pa.int64()), pa.array(node, pa.int64()), _lists(prefixes), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "node", "keys", "bits"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, node long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n long, node long, keys array<long>, bits binary")
 
 
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
@@ -106,6 +105,24 @@ def bitmap_bits(n: int) -> int:
     return 1 << max(8, math.ceil(math.log2(4 * max(n, 1))))
 
 
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of several sizes as rows of the smallest: halves of a larger one are joined by or."""
+    least = min(len(m) for m in maps)
+    out = []
+    for m in maps:
+        while len(m) > least:
+            m = m[: len(m) // 2] | m[len(m) // 2 :]
+        out.append(m)
+    return np.stack(out)
+
+
+def may_link(maps: np.ndarray, size: np.ndarray, one: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Which rows may link with one more set: bits that differ bound the overlap from above."""
+    total = size + n
+    bound = (total - np.bitwise_count(maps ^ one).sum(axis=-1, dtype=np.int64)) // 2
+    return (100 + percent) * np.minimum(bound, np.minimum(size, n)) >= percent * total
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact: intersection * 100 >= percent * union, of sorted arrays without repeats."""
     if len(a) > len(b):
@@ -137,11 +154,8 @@ def tile_edges(low: list[tuple[int, np.ndarray]], high: list[tuple[int, np.ndarr
         first = len(low) if high is not None else i + 1
         if first >= len(items):
             continue
-        total = size[first:] + size[i]
-        bound = (total - np.bitwise_count(maps[first:] ^ maps[i]).sum(axis=1, dtype=np.int64)) // 2
-        bound = np.minimum(bound, np.minimum(size[first:], size[i]))
-        near = np.flatnonzero((100 + percent) * bound >= percent * total)
-        for j in near[np.argsort(-bound[near], kind="stable")] + first:
+        near = np.flatnonzero(may_link(maps[first:], size[first:], maps[i], int(size[i]), percent))
+        for j in near + first:
             p, q = top(i), top(int(j))
             if p != q and linked(items[i][1], items[j][1], percent):
                 parent[q] = p
@@ -163,10 +177,11 @@ def jaccard_components(
        link share one of them.
     3. Keys of one set only go. Sets that share a key with at most SMALL-1 others form pairs within
        the size band. A key with more is cut into tiles by size band and hash; each tile, and each
-       pair of tiles in the same or the next band, is one task's work, compares by bitmap bounds
-       before exact intersections, and returns a forest of links: no pairs of a large group of near
-       copies are written.
-    4. Links go into connected components.
+       pair of tiles in the same or the next band, is a group of its own.
+    4. Bitmaps bound overlaps from above: pairs, and sets of tiles, that can't link are left out.
+       Only for the rest the shingles are made again from the texts and intersected exactly. A pair
+       of tiles returns a forest of links: no pairs of a large group of near copies are written.
+    5. Links go into connected components.
 
     Nothing is left out: prefix, band and bitmap bounds never lose a link. Null text is empty;
     rows with a null id join components but don't name them (a component of null ids has a null
@@ -191,9 +206,15 @@ def jaccard_components(
     pairs = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
     pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
     tiles = materialize(_tiles(many, percent), "jaccard-tiles")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(tiles.select("node")).distinct()
-    sets = materialize(_sets(texts, sigs, needed, n), "jaccard-sets")
-    links = _checked_pairs(pairs, sets, percent).union(_tile_links(tiles, sets, percent))
+    met = _nodes(pairs).union(tiles.select("node")).distinct()
+    maps = sigs.select("node", "n", "bits").join(met.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    maps = materialize(maps, "jaccard-maps")
+    pairs = materialize(_bounded_pairs(pairs, maps, percent), "jaccard-bounded-pairs")
+    near = materialize(_bounded_nodes(tiles, maps, percent), "jaccard-bounded-nodes")
+    tiles = tiles.join(near.hint("merge"), "node", "left_semi")
+    sets = materialize(_sets(texts, sigs, _nodes(pairs).union(near).distinct(), n), "jaccard-sets")
+    links = materialize(_checked_pairs(pairs, sets, percent), "jaccard-links")
+    links = links.union(materialize(_tile_links(tiles, sets, percent), "jaccard-tile-links"))
     found = materialize(components(links), "jaccard-components")
     rows = sigs.select("doc_id", "n", "node").join(found, "node", "left")
     rows = rows.withColumn("root", F.coalesce("root", "node"))
@@ -238,6 +259,50 @@ def _tiles(many: DataFrame, percent: int) -> DataFrame:
     return spread.select("key", "p.low", "p.high", "p.side", "node")
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def _words(bits: bytes) -> np.ndarray:
+    return np.frombuffer(bits, np.uint64)
+
+
+def _bounded_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their bitmaps don't rule out."""
+
+    def check(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            keep = []
+            for x, y, nx, ny in zip(pdf["x"], pdf["y"], pdf["nx"], pdf["ny"], strict=True):
+                p, q = folded([_words(x), _words(y)])
+                keep.append(bool(may_link(p, np.int64(nx), q, int(ny), percent)))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    side = lambda k, m: maps.select(F.col("node").alias(k), F.col("bits").alias(m), F.col("n").alias(f"n{m}"))
+    met = pairs.hint("merge").join(side("a", "x"), "a").hint("merge").join(side("b", "y"), "b")
+    return met.mapInPandas(check, "a long, b long")
+
+
+def _bounded_nodes(tiles: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The sets of tiles that may link with another of the same pair of tiles."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, size, side = folded([_words(x) for x in pdf["bits"]]), pdf["n"].to_numpy(), pdf["side"].to_numpy()
+        node = pdf["node"].to_numpy()
+        crossed = dict(pdf["low"].iloc[0]) != dict(pdf["high"].iloc[0])
+        near = np.zeros(len(pdf), bool)
+        for i in np.flatnonzero(side == 0):
+            hit = may_link(rows, size, rows[i], int(size[i]), percent) & (node != node[i])
+            if crossed:
+                hit &= side == 1
+            near |= hit
+            near[i] |= hit.any()
+        return pd.DataFrame({"node": node[near]})
+
+    met = tiles.hint("merge").join(maps, "node")
+    return met.groupBy("key", "low", "high").applyInPandas(work, "node long").distinct()
+
+
 def _sets(texts: DataFrame, sigs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """(node, shingles) of the needed nodes, made again from one text of each."""
 
@@ -263,10 +328,7 @@ def _checked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             keep = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
                 x, y = np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64)
-                total, bits = len(x) + len(y), bitmap_bits(max(len(x), len(y)))
-                p, q = bitmaps([x, y], bits)
-                bound = (total - int(np.bitwise_count(p ^ q).sum())) // 2
-                keep.append((100 + percent) * bound >= percent * total and linked(x, y, percent))
+                keep.append(linked(x, y, percent))
             yield pdf.loc[keep, ["a", "b"]]
 
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
