@@ -12,26 +12,51 @@ from pyspark.sql import functions as F
 
 from docweave.llm.textnp import chunked, mix, words
 
-#: Features: whole words, the last three bytes of words with their shape, and shapes alone, all in one space.
+#: Hashed features: words that occur, then shares of word endings, shares of word shapes, and facts of the whole text.
 SPACE = 1 << 17
+WORDS, ENDINGS, SHAPES = SPACE >> 1, SPACE >> 2, (SPACE >> 2) - 64
+#: What a share counts against one occurring word, and in how many rated documents a feature has to occur.
+SHARE, LEAST = 3.0, 5
+#: Standard deviations from chance at which a feature counts.
+DEVIATIONS = 4.0
 #: Labelled documents that the fit sees at most, in the order of a hash of their ids.
-SAMPLE = 4000
+SAMPLE = 8000
 _CLASS = np.zeros(256, np.uint64)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 1, 2, 4, 8
 _CLASS[[x for x in range(33, 127) if not chr(x).isalnum()]] = 16
+_MARKS = str.maketrans(dict.fromkeys((chr(x) for x in range(33, 127) if not chr(x).isalnum()), " "))
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers, three for each word, how many words each text has, and where each text's words begin."""
+    """(text number, feature, value) of all features of a list of texts, by text."""
     data, start, end, hashed, bounds = words(texts, lower=False)
-    if not len(start):
-        return np.zeros((3, 0), np.int64), np.diff(bounds), bounds
-    kind = np.bitwise_or.reduceat(_CLASS[data], np.stack([start, end], 1).ravel()[: 2 * len(start)])[0::2]
-    last = [data[np.maximum(end - k, start)].astype(np.uint64) for k in (1, 2, 3)]
-    shape = kind | (_CLASS[data[end - 1]] << np.uint64(5)) | (np.minimum(end - start, 15).astype(np.uint64) << np.uint64(10))
-    tail = last[0] | (last[1] << np.uint64(8)) | (last[2] << np.uint64(16)) | (kind << np.uint64(24))
-    out = [hashed, mix(tail + np.uint64(1 << 40)), mix(shape + np.uint64(1 << 50))]
-    return np.stack([(x % np.uint64(SPACE)).astype(np.int64) for x in out]), np.diff(bounds), bounds
+    count = np.diff(bounds)
+    doc = np.repeat(np.arange(len(texts)), count)
+    *_, bare, at = words([t.translate(_MARKS) for t in texts])
+    bare_doc = np.repeat(np.arange(len(texts)), np.diff(at))
+    of = number = np.zeros(0, np.int64)
+    value, distinct = np.zeros(0), np.zeros(len(texts), np.int64)
+    if len(start):
+        kind = np.bitwise_or.reduceat(_CLASS[data], np.stack([start, end], 1).ravel())[0::2]
+        last = [data[np.maximum(end - k, start)].astype(np.uint64) for k in (1, 2, 3)]
+        again = np.concatenate(([False], (hashed[1:] == hashed[:-1]) & (doc[1:] == doc[:-1]))).astype(np.uint64)
+        shape = kind | (_CLASS[data[end - 1]] << np.uint64(5)) | (np.minimum(end - start, 15).astype(np.uint64) << np.uint64(10))
+        tail = last[0] | (last[1] << np.uint64(8)) | (last[2] << np.uint64(16)) | (kind << np.uint64(24))
+        numbers = (
+            np.uint64(WORDS) + mix(tail) % np.uint64(ENDINGS),
+            np.uint64(WORDS + ENDINGS) + mix(shape | (again << np.uint64(20))) % np.uint64(SHAPES),
+        )
+        each = [bare_doc * SPACE + (bare % np.uint64(WORDS)).astype(np.int64), *[doc * SPACE + x.astype(np.int64) for x in numbers]]
+        each, times = np.unique(np.concatenate(each), return_counts=True)
+        of, number = each // SPACE, each % SPACE
+        value = np.where(number < WORDS, 1.0, SHARE * times / np.maximum(count[of], 1))
+        distinct = np.bincount(of[number < WORDS], minlength=len(texts))
+    size = np.minimum(np.log2(count + 1).astype(np.int64), 15)
+    spread = (10 * distinct / np.maximum(count, 1)).astype(np.int64) + 12 * (count >= 40)
+    of = np.concatenate((of, np.tile(np.arange(len(texts)), 2)))
+    order = np.argsort(of, kind="stable")
+    number = np.concatenate((number, SPACE - 64 + size, SPACE - 48 + spread))
+    return of[order], number[order], np.concatenate((value, np.ones(2 * len(texts))))[order]
 
 
 @dataclass
@@ -42,9 +67,8 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        numbers, count, bounds = features(texts)
-        each = np.concatenate(([0.0], np.cumsum(self.weights[numbers].sum(axis=0, dtype=np.float64))))
-        return (each[bounds[1:]] - each[bounds[:-1]]) / np.sqrt(np.maximum(count, 1))
+        of, number, value = features(texts)
+        return np.bincount(of, self.weights[number] * value, minlength=len(texts))
 
     def tails(self, texts: list[str]) -> np.ndarray:
         """A row of P(grade >= 1), P(grade >= 2), ... for each text."""
@@ -55,9 +79,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, epochs: int = 30, seed: int = 3) -> OrdinalModel:
-    """Maximum likelihood by AdaGrad on small batches; rows are (feature numbers, values)."""
+def telling(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int) -> np.ndarray:
+    """Features that some grade has far more or less often than chance: the fit has too few rows for the others."""
+    out = np.zeros(SPACE, bool)
+    total = np.bincount(np.concatenate([at for at, _ in rows]), minlength=SPACE)
+    for k in range(top + 1):
+        share = (grades == k).mean()
+        mine = [at for (at, _), g in zip(rows, grades, strict=True) if g == k]
+        count = np.bincount(np.concatenate(mine), minlength=SPACE) if mine else np.zeros(SPACE)
+        out |= np.abs(count - total * share) > DEVIATIONS * np.sqrt(total * share * (1 - share) + 0.25)
+    out[SPACE - 64 :] = True
+    return out & (total >= min(LEAST, max(1, len(rows) // 10)))
+
+
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, epochs: int = 40, rate: float = 0.3, seed: int = 3) -> OrdinalModel:
+    """Maximum likelihood by AdaGrad on small batches; rows are (feature numbers, values). Rare features stay out."""
     rng = np.random.default_rng(seed)
+    seen = telling(rows, grades, top)
+    rows = [(at[seen[at]], value[seen[at]]) for at, value in rows]
     weights, square = np.zeros(SPACE), np.full(SPACE, 1e-2)
     share = np.array([(grades >= k).mean() for k in range(1, top + 1)])
     share = np.clip(share, 1e-3, 1 - 1e-3)
@@ -85,10 +124,10 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, t
             near = np.unique(at)
             step = np.bincount(np.searchsorted(near, at), by_score[of] * value, minlength=len(near)) - 1e-6 * weights[near]
             square[near] += step**2
-            weights[near] += 0.1 * step / np.sqrt(square[near])
+            weights[near] += rate * step / np.sqrt(square[near])
             push = by_cut[:, 1:-1].sum(axis=0)
             cut_square += push**2
-            cut = np.sort(cut + 0.1 * push / np.sqrt(cut_square))
+            cut = np.sort(cut + rate * push / np.sqrt(cut_square))
     return OrdinalModel(weights.astype(np.float32), cut)
 
 
@@ -108,11 +147,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, top: int = 2, sample: int =
         for batch in batches:
             out: dict[str, list] = {"number": [], "value": []}
             for part in chunked(batch.column("text").to_pylist()):
-                numbers, n, bounds = features(part)
-                for i in range(len(part)):
-                    at, times = np.unique(numbers[:, bounds[i] : bounds[i + 1]], return_counts=True)
-                    out["number"].append(at.astype(np.int32))
-                    out["value"].append((times / np.sqrt(max(n[i], 1))).astype(np.float32))
+                of, number, value = features(part)
+                cut = np.searchsorted(of, np.arange(1, len(part)))
+                out["number"] += np.split(number.astype(np.int32), cut)
+                out["value"] += np.split(value.astype(np.float32), cut)
             number, value = pa.array(out["number"], pa.list_(pa.int32())), pa.array(out["value"], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("grade"), number, value], ["doc_id", "grade", "number", "value"]
