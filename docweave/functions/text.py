@@ -16,6 +16,7 @@ FULL_WIDTH, ASCII = "，。：；！？（）【】［］％＋－＝＜＞／",
 #: A small table of traditional and simplified characters, one for one.
 TRADITIONAL, SIMPLIFIED = "學習實體價說關問題經濟國書電會計門間開見現對數據", "学习实体价说关问题经济国书电会计门间开见现对数据"
 
+#: How numbers, operators, citations, labels, diagrams and secrets are written.
 NUMBER = r"(?U)(?:\d+(?:[.,]\d+)*%?|%\d+)"
 OPERATOR = r"(?:<=|>=|!=|==|=|<|>|\+|-|\*|/|\^)"
 CITATION = r"\[(?:src|att):[^\]\s]+\]"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import compared, escalation_reason, iou, normalize_ocr_text, text_conflict
 
+#: The least overlap of a pair, and kinds of block that make a page complex.
 LEAST_OVERLAP = 0.20
 HARD_KINDS = ("table", "formula", "image", "list")
 

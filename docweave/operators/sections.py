@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import LINE_ENDS, section_title, word_tokens
 
+#: Where long units are cut and short ones join the one before.
 LONGEST, SHORTEST = 4000, 100
 #: Separates units; it can't stand in a text that comes from JSON or Parquet strings of notes.
 CUT = "\0"
+#: What begins a line and ends it, and the form of a table.
 _AT_LINE = f"(?<![^{LINE_ENDS}])"
 _END = f"(?:\r\n|[{LINE_ENDS}])"
 TABLE = r"(?U)\n\|[^\n]+\|\n\|[\s:|-]+\|\n(?:\|[^\n]+\|\n?)+"
@@ -77,6 +79,7 @@ def split_sections(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md")
     return units.select(id_col, "seq", section_title(F.col("raw")).alias("title"), "raw", F.sha2("raw", 256).alias("sha256"), F.length("raw").alias("char_count"))
 
 
+#: Fixed value: titles that say chapter.
 CHAPTER_TITLE = r"(?iU)^(?:第.{1,12}章(?:\s|$)|chapter\s+\w+)"
 
 

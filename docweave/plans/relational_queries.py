@@ -639,10 +639,10 @@ def _(t: Tables) -> DataFrame:
 @query(
     "set_union_distinct_chapters",
     """SELECT course_id, string_agg(chapter_id::VARCHAR, ',' ORDER BY f, chapter_id) AS chapters FROM (
-      SELECT t.course_id, l.chapter_id, min(t.topic_id) AS f FROM topics t JOIN topic_chapters l USING (topic_id) WHERE t.topic_id % 50 < 2 GROUP BY t.course_id, l.chapter_id) GROUP BY course_id""",
+      SELECT t.course_id, l.chapter_id, min(t.topic_id) AS f FROM topics t JOIN topic_chapters l USING (topic_id) GROUP BY t.course_id, l.chapter_id) GROUP BY course_id""",
 )
 def _(t: Tables) -> DataFrame:
-    merged = t.topics.where("topic_id % 50 < 2").select("topic_id", "course_id").join(t.topic_chapters, "topic_id")
+    merged = t.topics.select("topic_id", "course_id").join(t.topic_chapters, "topic_id")
     first = merged.groupBy("course_id", "chapter_id").agg(F.min("topic_id").alias("f"))
     return first.groupBy("course_id").agg(r.ordered_list(["f", "chapter_id"], "chapter_id").alias("chapters"))
 

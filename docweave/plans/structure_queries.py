@@ -10,12 +10,11 @@ from docweave.operators import changes as m
 from docweave.operators import chapters as c
 from docweave.operators import pages as p
 from docweave.operators import relational as r
-from docweave.operators import sections as s
 from docweave.operators import validation as v
 from docweave.plans import pipelines as pipe
 from docweave.plans.bindings import Tables
 from docweave.plans.registry import query
-from docweave.plans.relational_queries import _READY, _REVIEWED, KINDS, reviewed
+from docweave.plans.relational_queries import _READY, KINDS, reviewed
 from docweave.plans.text_queries import _SECTIONS
 from docweave.streaming import events as st
 
@@ -210,7 +209,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("snk_note_markdown", f"WITH {_TREE}, lines AS (SELECT tree.source_id, tree.id, count(*) AS n FROM tree JOIN page_lines l ON l.source_id = tree.source_id AND l.page BETWEEN tree.page_start AND tree.page_end GROUP BY tree.source_id, tree.id) SELECT source_id, count(*) AS notes, sum(n)::BIGINT AS evidence FROM lines GROUP BY source_id")
 def _(t: Tables) -> DataFrame:
-    notes = s.F.explode(F.split("note", "\n- ")).alias("line")
+    notes = F.explode(F.split("note", "\n- ")).alias("line")
     each = pipe.note_skeleton(c.chapter_tree(t.page_lines), t.page_lines).select("source_id", "id", notes).where(~F.col("line").startswith("# "))
     return each.groupBy("source_id").agg(F.countDistinct("id").alias("notes"), F.count(F.lit(1)).alias("evidence"))
 
@@ -242,8 +241,6 @@ def _(t: Tables) -> DataFrame:
     return v.checked(t.runs, rules).select("run_id", "violations")
 
 
-_GRAPH = "concat('flowchart TD', chr(10), 'A[', content, '] --> B(', kind, CASE WHEN version % 3 = 0 THEN ']' ELSE ')' END)"
-
 
 @query("val_diagrams", "SELECT note_id, 1 AS n_edges, version % 3 <> 0 AS valid FROM note_blocks WHERE kind = 'diagram'")
 def _(t: Tables) -> DataFrame:
@@ -338,11 +335,12 @@ def _(t: Tables) -> DataFrame:
     return m.upsert(*notes_old_new(t), ["chapter_id", "kind"])
 
 
-@query("mut_append", "SELECT chapter_id, 'accepted' AS outcome FROM topic_chapters WHERE topic_id = 1 UNION ALL SELECT chapter_id, 'rejected' FROM topic_chapters WHERE topic_id = 2 AND chapter_id IN (SELECT chapter_id FROM topic_chapters WHERE topic_id = 1) UNION ALL SELECT chapter_id, 'accepted' FROM topic_chapters WHERE topic_id <> 1 AND chapter_id < 0")
+@query("mut_append", """SELECT topic_id, 'in table' AS outcome FROM topics JOIN courses USING (course_id) WHERE status = 'PUBLISHED' OR favourite
+    UNION ALL SELECT topic_id, CASE WHEN status = 'PUBLISHED' THEN 'exists' ELSE 'no parent' END FROM topics JOIN courses USING (course_id) WHERE status = 'PUBLISHED' OR NOT favourite""")
 def _(t: Tables) -> DataFrame:
-    old, new = t.topic_chapters.where("topic_id = 1"), t.topic_chapters.where("topic_id = 2").join(t.topic_chapters.where("topic_id = 1"), "chapter_id", "left_semi").select("topic_id", "chapter_id")
-    table, rejected = m.append(old, new, "chapter_id", t.chapters, "chapter_id")
-    return table.select("chapter_id", F.lit("accepted").alias("outcome")).union(rejected.select("chapter_id", F.lit("rejected")))
+    cols = ("topic_id", "course_id")
+    table, rejected = m.append(t.topics.where("status = 'PUBLISHED'").select(*cols), t.topics.select(*cols), "topic_id", t.courses.where("favourite"), "course_id")
+    return table.select("topic_id", F.lit("in table").alias("outcome")).union(rejected.select("topic_id", "reason"))
 
 
 @query("mut_patch", "SELECT topic_id, CASE WHEN topic_id % 3 = 0 THEN 'new ' || title ELSE title END AS title, CASE WHEN topic_id % 6 = 0 THEN 'READY' ELSE status END AS status FROM topics")
@@ -566,5 +564,3 @@ def _(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_topics"), F.count_if(F.col("readiness") == "READY").alias("ready"), F.sum("n_chapters").alias("links"), F.sum("n_blocking").alias("blocking")
     )
 
-
-__all__ = ["_REVIEWED", "_GRAPH", "_CARDED"]

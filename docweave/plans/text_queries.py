@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docweave.functions import text as x
 from docweave.operators import sections as s
@@ -502,5 +501,3 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     return t.artifacts.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cost_micro") == 0).alias("cached"), F.count_if(F.col("tokens_in") > 100).alias("large"))
 
-
-__all__ = ["Window"]

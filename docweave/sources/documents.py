@@ -9,7 +9,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SUPPORTED = (".md", ".markdown", ".txt", ".pdf")
 IMAGE = r"!\[[^\]]*\]\(data:image/([a-z]+);base64,([A-Za-z0-9+/=]+)\)"
@@ -87,8 +86,3 @@ def page_states(lines: DataFrame) -> DataFrame:
     state = F.from_json("value", "page long, status string, confidence long")
     rows = lines.select(state.alias("s")).select("s.*").where("page is not null and status = 'accepted'")
     return rows.select("page", F.sha2(F.to_json(F.struct("page", "status", "confidence")), 256).alias("fingerprint"))
-
-
-def newest(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
