@@ -91,5 +91,6 @@ ORACLE_SQL = {
     "op3_exact_dedup": sql.OP3,
     "op4_warc_zstd": sql.OP4,
     "op5_line_dedup": sql.OP5,
+    "op7_ngram_jaccard": sql.OP7,
     "op10_mix_sources": sql.OP10,
 }

@@ -146,3 +146,24 @@ SELECT r.doc_id, r.size, u.source_size::BIGINT AS source_size, u.target,
   (r.size * (u.copies + CASE WHEN p.upto <= u.target - u.copies * u.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM rows r JOIN u USING (key) JOIN upto p ON p.key = r.key AND p.hash = r.hash
 """
+
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS p FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(p[i : i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, p, unnest(range(1, CASE WHEN len(p) = 0 THEN 1 ELSE greatest(len(p) - 1, 2) END)) AS i FROM w)
+), z AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM met JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE 100 * k >= 90 * (zx.n + zy.n - k)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y
+)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = w.doc_id), w.doc_id)) AS component_id
+FROM w LEFT JOIN z USING (doc_id)
+"""
