@@ -166,7 +166,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, top: int = 2, sample: int =
     return fit_ordinal([rows[i] for i in order], grades[order], top)
 
 
-def score_quality(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.4) -> DataFrame:
     """One row per document: doc_id, expected_grade, p_toxic_or_better, p_good, kept (p_good >= cut).
 
     The weights, SPACE numbers at any input size, are sent to every task; whole texts are scored
@@ -193,7 +193,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5)
     return texts.mapInArrow(score, schema)
 
 
-def keep_good(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.4) -> DataFrame:
     """The rows of docs with P(grade is the best) >= cut, with all their columns; without a model all rows."""
     if model is None:
         return docs
