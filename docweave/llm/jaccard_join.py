@@ -204,7 +204,7 @@ def jaccard_components(
     # common. Keys of many sets aren't counted in "both", but sets that share one meet in a tile as well.
     most = F.col("both") + F.ceil(F.greatest("na", "nb") * percent / 100) - 1
     pairs = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
+    pairs = materialize(pairs.select("a", "b", "both"), "jaccard-pairs")
     tiles = materialize(_tiles(many, percent), "jaccard-tiles")
     met = _nodes(pairs).union(tiles.select("node")).distinct()
     maps = sigs.select("node", "n", "bits").join(met.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
@@ -213,7 +213,7 @@ def jaccard_components(
     near = materialize(_bounded_nodes(tiles, maps, percent), "jaccard-bounded-nodes")
     tiles = tiles.join(near.hint("merge"), "node", "left_semi")
     sets = materialize(_sets(texts, sigs, _nodes(pairs).union(near).distinct(), n), "jaccard-sets")
-    links = materialize(_checked_pairs(pairs, sets, percent), "jaccard-links")
+    links = _pair_links(pairs, sets, percent)
     links = links.union(materialize(_tile_links(tiles, sets, percent), "jaccard-tile-links"))
     found = materialize(components(links), "jaccard-components")
     rows = sigs.select("doc_id", "n", "node").join(found, "node", "left")
@@ -276,11 +276,11 @@ def _bounded_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame
             for x, y, nx, ny in zip(pdf["x"], pdf["y"], pdf["nx"], pdf["ny"], strict=True):
                 p, q = folded([_words(x), _words(y)])
                 keep.append(bool(may_link(p, np.int64(nx), q, int(ny), percent)))
-            yield pdf.loc[keep, ["a", "b"]]
+            yield pdf.loc[keep, ["a", "b", "both"]]
 
     side = lambda k, m: maps.select(F.col("node").alias(k), F.col("bits").alias(m), F.col("n").alias(f"n{m}"))
     met = pairs.hint("merge").join(side("a", "x"), "a").hint("merge").join(side("b", "y"), "b")
-    return met.mapInPandas(check, "a long, b long")
+    return met.mapInPandas(check, "a long, b long, both long")
 
 
 def _bounded_nodes(tiles: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -322,6 +322,25 @@ def _sets(texts: DataFrame, sigs: DataFrame, needed: DataFrame, n: int) -> DataF
     return made.select("text").mapInArrow(arrays, "node long, shingles array<long>")
 
 
+def _pair_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs that join all that the pairs' links join.
+
+    First each set with the partner that shares most prefix keys with it; then those of the other
+    pairs whose sets are still apart.
+    """
+    both_ways = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "both").union(pairs.select("b", "a", "both"))
+    best = both_ways.groupBy("node").agg(F.max_by("other", F.struct("both", -F.col("other"))).alias("other"))
+    first = materialize(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "jaccard-first")
+    links = materialize(_checked_pairs(first, sets, percent), "jaccard-first-links")
+    known = materialize(components(links), "jaccard-known")
+    root = lambda k: known.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    rest = pairs.select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti")
+    rest = rest.join(root("a").hint("merge"), "a", "left").join(root("b").hint("merge"), "b", "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = materialize(rest.where(apart).select("a", "b"), "jaccard-rest")
+    return links.union(materialize(_checked_pairs(rest, sets, percent), "jaccard-rest-links"))
+
+
 def _checked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
