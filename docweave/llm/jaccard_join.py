@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.graph import components
@@ -132,7 +132,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def tile_edges(low: list[tuple[int, np.ndarray]], high: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
+def tile_edges(
+    low: list[tuple[int, np.ndarray]], high: list[tuple[int, np.ndarray]] | None, percent: int, roots: list[int] | None = None
+) -> list[tuple[int, int]]:
     """Links that join the sets of one tile, or of a tile and another, as far as the links among them do.
 
     Bit counts of the xor bound each overlap from above; pairs below the bound and pairs that are
@@ -142,6 +144,9 @@ def tile_edges(low: list[tuple[int, np.ndarray]], high: list[tuple[int, np.ndarr
     size = np.array([len(s) for _, s in items])
     maps = bitmaps([s for _, s in items], bitmap_bits(int(size.max())))
     parent = list(range(len(items)))
+    if roots:  # sets that are joined already
+        first: dict[int, int] = {}
+        parent = [first.setdefault(r, i) for i, r in enumerate(roots)]
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -151,11 +156,11 @@ def tile_edges(low: list[tuple[int, np.ndarray]], high: list[tuple[int, np.ndarr
 
     found = []
     for i in range(len(low)):
-        first = len(low) if high is not None else i + 1
-        if first >= len(items):
+        after = len(low) if high is not None else i + 1
+        if after >= len(items):
             continue
-        near = np.flatnonzero(may_link(maps[first:], size[first:], maps[i], int(size[i]), percent))
-        for j in near + first:
+        near = np.flatnonzero(may_link(maps[after:], size[after:], maps[i], int(size[i]), percent))
+        for j in near + after:
             p, q = top(i), top(int(j))
             if p != q and linked(items[i][1], items[j][1], percent):
                 parent[q] = p
@@ -178,9 +183,11 @@ def jaccard_components(
     3. Keys of one set only go. Sets that share a key with at most SMALL-1 others form pairs within
        the size band. A key with more is cut into tiles by size band and hash; each tile, and each
        pair of tiles in the same or the next band, is a group of its own.
-    4. Bitmaps bound overlaps from above: pairs, and sets of tiles, that can't link are left out.
-       Only for the rest the shingles are made again from the texts and intersected exactly. A pair
-       of tiles returns a forest of links: no pairs of a large group of near copies are written.
+       Each set of such a key also forms a pair with the least one of its band.
+    4. Bitmaps bound overlaps from above: pairs that can't link are left out. Only for the rest the
+       shingles are made again from the texts and intersected exactly, nearest pairs first. Then
+       sets of tiles that may link with one that is still apart are compared in the same way. A
+       pair of tiles returns a forest of links: no pairs of a large group of near copies are written.
     5. Links go into connected components.
 
     Nothing is left out: prefix, band and bitmap bounds never lose a link. Null text is empty;
@@ -204,16 +211,20 @@ def jaccard_components(
     # common. Keys of many sets aren't counted in "both", but sets that share one meet in a tile as well.
     most = F.col("both") + F.ceil(F.greatest("na", "nb") * percent / 100) - 1
     pairs = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = materialize(pairs.select("a", "b", "both"), "jaccard-pairs")
+    pairs = pairs.select("a", "b", "both").union(_hub_pairs(many, percent))
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("both").alias("both")), "jaccard-pairs")
     tiles = materialize(_tiles(many, percent), "jaccard-tiles")
     met = _nodes(pairs).union(tiles.select("node")).distinct()
     maps = sigs.select("node", "n", "bits").join(met.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     maps = materialize(maps, "jaccard-maps")
     pairs = materialize(_bounded_pairs(pairs, maps, percent), "jaccard-bounded-pairs")
-    near = materialize(_bounded_nodes(tiles, maps, percent), "jaccard-bounded-nodes")
-    tiles = tiles.join(near.hint("merge"), "node", "left_semi")
-    sets = materialize(_sets(texts, sigs, _nodes(pairs).union(near).distinct(), n), "jaccard-sets")
+    sets = materialize(_sets(texts, sigs, _nodes(pairs).distinct(), n), "jaccard-sets")
     links = _pair_links(pairs, sets, percent)
+    known = materialize(components(links), "jaccard-classes")
+    rooted = maps.join(known.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = materialize(_bounded_nodes(tiles, rooted, percent), "jaccard-bounded-nodes")
+    sets = materialize(_sets(texts, sigs, near.select("node"), n), "jaccard-tile-sets")
+    tiles = tiles.join(near.hint("merge"), "node")
     links = links.union(materialize(_tile_links(tiles, sets, percent), "jaccard-tile-links"))
     found = materialize(components(links), "jaccard-components")
     rows = sigs.select("doc_id", "n", "node").join(found, "node", "left")
@@ -229,10 +240,22 @@ def jaccard_components(
     )
 
 
+def _band(percent: int) -> Column:
+    step = -math.log(percent / 100) * (1 + 1e-9)  # sizes just within the bound are never two bands apart
+    return F.floor(F.log(F.col("n").cast("double")) / step)
+
+
+def _hub_pairs(many: DataFrame, percent: int) -> DataFrame:
+    """(a, b, both): each set of a key of many with the least set of that key and band; large groups mostly join there."""
+    banded = many.withColumn("band", _band(percent))
+    hubs = materialize(banded.groupBy("key", "band").agg(F.min("node").alias("a")), "jaccard-hubs")
+    met = banded.join(hubs.hint("merge"), ["key", "band"]).where("a < node")
+    return met.groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("both")).select("a", "b", "both")
+
+
 def _tiles(many: DataFrame, percent: int) -> DataFrame:
     """(key, low, high, side, node): the sets of each pair of tiles; low and high name a tile as band and number."""
-    step = -math.log(percent / 100) * (1 + 1e-9)  # sizes just within the bound are never two bands apart
-    banded = many.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
+    banded = many.withColumn("band", _band(percent))
     count = banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     count = materialize(count, "jaccard-bands")
     near = count
@@ -284,23 +307,23 @@ def _bounded_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame
 
 
 def _bounded_nodes(tiles: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The sets of tiles that may link with another of the same pair of tiles."""
+    """(node, root): the sets of tiles that may link with one of another root in the same pair of tiles."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, size, side = folded([_words(x) for x in pdf["bits"]]), pdf["n"].to_numpy(), pdf["side"].to_numpy()
-        node = pdf["node"].to_numpy()
+        root = pdf["root"].to_numpy()
         crossed = dict(pdf["low"].iloc[0]) != dict(pdf["high"].iloc[0])
         near = np.zeros(len(pdf), bool)
         for i in np.flatnonzero(side == 0):
-            hit = may_link(rows, size, rows[i], int(size[i]), percent) & (node != node[i])
+            hit = may_link(rows, size, rows[i], int(size[i]), percent) & (root != root[i])
             if crossed:
                 hit &= side == 1
             near |= hit
             near[i] |= hit.any()
-        return pd.DataFrame({"node": node[near]})
+        return pdf.loc[near, ["node", "root"]]
 
     met = tiles.hint("merge").join(maps, "node")
-    return met.groupBy("key", "low", "high").applyInPandas(work, "node long").distinct()
+    return met.groupBy("key", "low", "high").applyInPandas(work, "node long, root long").distinct()
 
 
 def _sets(texts: DataFrame, sigs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -357,15 +380,15 @@ def _checked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def _tile_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [
-            [(int(v), np.asarray(s, np.int64).view(np.uint64)) for v, s in zip(part["node"], part["shingles"], strict=True)]
-            for part in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
-        ]
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        if dict(low) == dict(high):
-            found = tile_edges(sides[0], None, percent)
-        else:
-            found = tile_edges(*sides, percent) if all(sides) else []
+        pdf = pdf.sort_values("side", kind="stable")
+        items = [(int(v), np.asarray(s, np.int64).view(np.uint64)) for v, s in zip(pdf["node"], pdf["shingles"], strict=True)]
+        cut, roots = int((pdf["side"] == 0).sum()), pdf["root"].tolist()
+        crossed = dict(pdf["low"].iloc[0]) != dict(pdf["high"].iloc[0])
+        found = []
+        if not crossed:
+            found = tile_edges(items, None, percent, roots)
+        elif 0 < cut < len(items):
+            found = tile_edges(items[:cut], items[cut:], percent, roots)
         return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
     whole = tiles.hint("merge").join(sets, "node")
