@@ -18,7 +18,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = Path(tempfile.gettempdir(), "docweave").as_uri()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
