@@ -169,7 +169,9 @@ def write_warc(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
+        known = zstandard.ZstdCompressionDict(dictionary)
+        known.precompute_compress(level=3)  # else every frame digests the dictionary anew
+        coder = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=True)
         at, out, count, size, name, draft = None, None, 0, 0, "", ""
 
         def done() -> pa.RecordBatch:
