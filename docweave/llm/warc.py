@@ -21,6 +21,8 @@ from docweave.llm.text import filled
 #: Fixed by the formats: the skippable frame that holds a dictionary, and the start of a Zstandard frame.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 PAGE = "urn:page:"
+#: Bytes of an archive that a frame is given at once: what it leaves over is copied.
+PIECE = 8192
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -115,13 +117,17 @@ def records_of(archive: bytes) -> Iterator[bytes]:
             inside = zstandard.ZstdDecompressor().decompress(inside)
         dictionary, view = zstandard.ZstdCompressionDict(inside), view[8 + size :]
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while len(view):
-        one = decoder.decompressobj()
-        out = one.decompress(view)
-        if not one.eof:
-            raise ValueError("a frame is cut off")
-        yield out
-        view = view[len(view) - len(one.unused_data) :]
+    at = 0
+    while at < len(view):
+        one, out = decoder.decompressobj(), []
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("a frame is cut off")
+            piece = view[at : at + PIECE]
+            out.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(out)
 
 
 def train_dictionary(pages: DataFrame, samples: int, size: int) -> bytes:
