@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification."""
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, a complete piece filter, exact edit verification."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.textnp import chunked, mix, words
+from docweave.llm.textnp import chunked, mix, single_spaced, words
 
-#: Words of an anchor: windows are laid where a document has so many words in a row of some item.
+#: Words of an anchor: LSH windows are laid where a document has so many words in a row of some item.
 ANCHOR = 3
 #: Characters of benchmark items that one pass over the documents takes; a larger benchmark takes several.
 BLOCK_CHARS = 4_000_000
@@ -83,17 +83,95 @@ class CgkIndex:
         ]
 
 
-def infix_distance(item: bytes, text: bytes, most: int) -> int | None:
-    """The least edit distance of item to any part of text, if at most `most` (bit-parallel columns)."""
-    if item in text:
-        return 0
+class PieceFilter:
+    """The parts of a text that may hold an item within its number of edits. Complete: no such part is left out.
+
+    An item is cut into disjoint pieces of q bytes. An edit changes one piece at most, so a part of
+    the text within k edits has all but k of the pieces as they are, on diagonals (place in the text
+    less place in the item) at most k apart. Two neighbouring bins of k + 1 diagonals so hold that
+    many hits; where they don't, the item isn't. q is the longest size that leaves enough pieces to
+    tell a match from chance. Items that allow no edit are looked up as they are, elsewhere.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes, int]], max_edit: float):
+        self.groups = []
+        self.again = {}
+        by_q: dict[int, list[tuple[int, bytes, int]]] = defaultdict(list)
+        for at, (_, text, _) in enumerate(items):
+            m, k = len(text), int(max_edit * len(text))
+            if k:
+                enough = (q for q in range(8, 0, -1) if m // q - k >= max(1, m // 20))
+                by_q[next(enough, min(8, max(1, m // (k + 1))))].append((at, text, k))
+                cuts = [(q, m // q - k) for q in (4, 5, 3, 6, 8, 12) if m // q > k]
+                self.again[at] = [([(p, p + q, text[p : p + q]) for p in range(0, m - q + 1, q)], need) for q, need in cuts]
+        for q, group in sorted(by_q.items()):
+            length = np.array([len(t) for _, t, _ in group])
+            most = np.array([k for _, _, k in group])
+            of = np.repeat(np.arange(len(group)), length // q)
+            place = np.concatenate([np.arange(m // q) * q for m in length])
+            joined = b"".join(t[: len(t) // q * q] for _, t, _ in group)
+            bits = min(22, max(16, len(of).bit_length() + 4))
+            slot = self._slots(np.frombuffer(joined, np.uint8), q, bits)[::q]
+            order = np.argsort(slot, kind="stable")
+            count = np.bincount(slot, minlength=1 << bits)
+            index = np.array([at for at, _, _ in group])
+            self.groups.append((q, bits, count, np.cumsum(count) - count, of[order], place[order], index, length, most))
+
+    @staticmethod
+    def _slots(data: np.ndarray, q: int, bits: int) -> np.ndarray:
+        """A hash of the q bytes from each place on."""
+        raw = data.tobytes() + bytes(8)
+        grams = np.ndarray((len(data),), "<u8", raw, 0, (1,)) & np.uint64((1 << 8 * q) - 1)
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def may_hold(self, at: int, part: bytes, low: int, high: int) -> bool:
+        """Whether so many pieces of item `at`, cut in several sizes, stand on diagonals low to high of part as a match would leave."""
+        return all(
+            sum([part.find(x, max(0, low + p), max(0, high + end)) >= 0 for p, end, x in pieces]) >= need
+            for pieces, need in self.again.get(at, ())
+        )
+
+    def parts(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, low, high, start, end): parts of data that together hold every match, and the diagonals of its pieces."""
+        for q, bits, count, first, of, place, index, length, most in self.groups:
+            width, need = most + 1, length // q - most
+            longest = int((length + most).max())
+            step = max(2 * longest, (1 << 25) // max(256, len(index)))
+            view = min(len(data), step + longest)
+            bins = (view + length) // width + 2
+            base = np.cumsum(bins) - bins
+            enough = np.repeat(need, bins)
+            shift = (length[of] - place, width[of], base[of])
+            for a in range(0, len(data), step):
+                slot = self._slots(data[a : a + view], q, bits)
+                many = count[slot]
+                at = np.flatnonzero(many)
+                many = many[at]
+                hit = np.arange(int(many.sum())) + np.repeat(first[slot[at]] - (np.cumsum(many) - many), many)
+                key = (np.repeat(at, many) + shift[0][hit]) // shift[1][hit] + shift[2][hit]
+                hits = np.bincount(key, minlength=len(enough))
+                near = np.flatnonzero(hits[:-1] + hits[1:] >= enough[:-1])
+                item = np.searchsorted(base, near, "right") - 1
+                new = np.ones(len(near), bool)
+                new[1:] = (near[1:] > near[:-1] + 1) | (item[1:] != item[:-1])
+                last = np.append(new[1:], True)[: len(near)]
+                for i, low, high in zip(item[new].tolist(), near[new].tolist(), near[last].tolist(), strict=True):
+                    m, k, w = int(length[i]), int(most[i]), int(width[i])
+                    low, high = a + (low - int(base[i])) * w - m, a + (high + 2 - int(base[i])) * w - 1 - m
+                    yield int(index[i]), low, high, max(0, low - k), min(len(data), high + m + 2 * k)
+                if a + view >= len(data):
+                    break
+
+
+def _closest(item: bytes, text: bytes, anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance of item to any part of text (anchored: that begins it), and where the first such part ends."""
     n = len(item)
     where: dict[int, int] = defaultdict(int)
     for i, c in enumerate(item):
         where[c] |= 1 << i
-    mask, top = (1 << n) - 1, 1 << (n - 1)
-    plus, minus, score, best = mask, 0, n, n
-    for c in text:
+    mask, top, edge = (1 << n) - 1, 1 << (n - 1), int(anchored)
+    plus, minus, score, best, end = mask, 0, n, n, 0
+    for at, c in enumerate(text, 1):
         eq = where.get(c, 0)
         x = eq | minus
         d = ((((eq & plus) + plus) ^ plus) | x) & mask
@@ -102,12 +180,33 @@ def infix_distance(item: bytes, text: bytes, most: int) -> int | None:
             score += 1
         elif down & top:
             score -= 1
-        up, down = (up << 1) & mask, (down << 1) & mask
+        up, down = (up << 1 | edge) & mask, (down << 1) & mask
         plus, minus = down | (~(d | up) & mask), up & d
-        best = min(best, score)
+        if score < best:
+            best, end = score, at
+    return best, end
+
+
+def infix_distance(item: bytes, text: bytes, most: int) -> int | None:
+    """The least edit distance of item to any part of text, if at most `most` (bit-parallel columns)."""
+    if item in text:
+        return 0
+    best, _ = _closest(item, text)
     return best if best <= most else None
 
 
+def infix_match(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
+    """The least edit distance of item to any part of text, if at most `most`, and where such a part starts."""
+    if (at := text.find(item)) >= 0:
+        return 0, at
+    if most <= 0:
+        return None
+    best, end = _closest(item, text)
+    if best > most:
+        return None
+    return best, end - _closest(item[::-1], text[:end][::-1][: len(item) + best], anchored=True)[1]
+
+
 def _normal(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: int, b: int) -> bytes:
     """Words a to b of a chunk, one space between."""
     return b" ".join(data[s:e].tobytes() for s, e in zip(start[a:b], end[a:b], strict=True))
@@ -124,20 +223,29 @@ class Searcher:
     def __init__(self, items: list[tuple[int, str]], max_edit: float, recall: float, agreement: float):
         self.max_edit = max_edit
         data, start, end, hashed, bounds = words([t for _, t in items])
-        kept, self.places = [], defaultdict(set)
+        kept, self.places, self.whole, self.numbers = [], defaultdict(set), [], []
         for (item_id, _), a, b in zip(items, bounds[:-1], bounds[1:], strict=True):
+            if a == b:
+                continue
+            self.whole.append((item_id, _normal(data, start, end, a, b), int(b - a)))
             if b - a < ANCHOR:
                 continue
-            kept.append((item_id, _normal(data, start, end, a, b), int(b - a)))
+            self.numbers.append(len(self.whole) - 1)
+            kept.append(self.whole[-1])
             for offset, h in enumerate(_rolled(hashed[a:b])):
                 self.places[int(h)].add((offset, int(b - a)))
         self.index = CgkIndex(kept, recall, agreement)
+        self.pieces = PieceFilter(self.whole, max_edit)
+        self.unedited = [k for k, (_, text, _) in enumerate(self.whole) if not int(max_edit * len(text))]
         self.anchors = np.sort(np.array(list(self.places), np.uint64))
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.anchors & np.uint64((1 << 22) - 1)] = True
 
-    def search(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, int, int]]]:
-        """For each text its matches: (item_id, first word, words, distance), the closest for each item."""
+    def search(self, texts: list[str | None], least: bool = True) -> Iterator[list[tuple[int, int, int, int]]]:
+        """For each text its matches: (item_id, first word, words, distance), the closest for each item.
+
+        least=False: a text that has a match isn't searched for others or closer ones.
+        """
         for part in chunked(texts):
             data, start, end, hashed, bounds = words(part)
             rolled = _rolled(hashed)
@@ -163,14 +271,44 @@ class Searcher:
                         item_id, text, size = self.index.items[k]
                         known = found[d].get(item_id)
                         most = int(self.max_edit * len(text)) if known is None else known[3] - 1
-                        if most >= 0 and (distance := infix_distance(text, around, most)) is not None:
+                        if most < 0 or not self.pieces.may_hold(self.numbers[k], around, -len(text), len(around)):
+                            continue
+                        if (distance := infix_distance(text, around, most)) is not None:
                             found[d][item_id] = (item_id, a - int(bounds[d]), size, distance)
+            self._complete(data, start, end, bounds, found, least)
             for x in found:
                 yield [x[k] for k in sorted(x)]
 
+    def _complete(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.ndarray, found: list[dict], least: bool) -> None:
+        """Puts into found what the windows left: matches without an anchor, that LSH missed, or closer elsewhere."""
+        flat, first = single_spaced(data, start, end)
+        low, high = first[bounds[:-1]], first[bounds[1:]] - 1
+
+        def verify(k: int, d: int, a: int, b: int, on: tuple[int, int] = (0, 0)) -> None:
+            item_id, text, size = self.whole[k]
+            known = found[d].get(item_id)
+            most = int(self.max_edit * len(text)) if known is None else known[3] - 1
+            if most < 0 or not least and found[d]:
+                return
+            part = flat[a:b].tobytes()
+            if self.pieces.may_hold(k, part, on[0] - a, on[1] - a) and (match := infix_match(text, part, most)):
+                word = int(np.searchsorted(first, a + match[1], "right")) - 1 - int(bounds[d])
+                found[d][item_id] = (item_id, word, size, match[0])
+
+        for k, *on, a, b in self.pieces.parts(flat):
+            for d in range(max(0, int(np.searchsorted(low, a, "right")) - 1), int(np.searchsorted(low, b))):
+                if low[d] < high[d] and max(a, low[d]) < min(b, high[d]):
+                    verify(k, d, max(a, int(low[d])), min(b, int(high[d])), on)
+        if self.unedited:
+            for d in range(len(found)):
+                for k in self.unedited:
+                    verify(k, d, int(low[d]), max(int(low[d]), int(high[d])))
+
 
 def _searchers(benchmark: DataFrame, max_edit: float, recall: float, agreement: float) -> Iterator[Searcher]:
     """The items in blocks of bounded size."""
+    if not 0 <= max_edit < 1:
+        raise ValueError("max_edit is a share of an item's length under 1")
     items = benchmark.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     )
@@ -189,7 +327,7 @@ def drop_leaks(
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not found for found in sent.value.search(batch.column("text").to_pylist())]
+                clean = [not found for found in sent.value.search(batch.column("text").to_pylist(), least=False)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
@@ -203,16 +341,16 @@ def find_leaks(
 
     Texts are compared as words with single spaces, A-Z lower-cased. An item is found if some part
     of a document is within max_edit of the item's length in edits (UTF-8 bytes); distance is the
-    least such number near the window. Windows of as many words as an item are laid where the
-    document has ANCHOR words in a row of it, so that a window starts where the item would; LSH on
-    the CGK embedding then names the items that a window may be, and edit distance decides. The
-    chance to miss an item that has an anchor is 1 - recall at a sampled bit's agreement, and
-    almost none for closer ones.
+    least such number in the document. Windows of as many words as an item are laid where the
+    document has ANCHOR words in a row of it, and LSH on the CGK embedding names the items that a
+    window may be (recall at a sampled bit's agreement). That finds close matches early and decides
+    nothing alone: PieceFilter then names every other part that can be within the bound, whether it
+    has an anchor or not, and edit distance decides. first_word is the word in which the match
+    begins, or the first of the window that found it.
 
     The items are a query set, sent to the tasks in blocks of BLOCK_CHARS characters; documents are
     scanned whole, where they are, once for each block, and nothing is shuffled. Null texts and
-    items of fewer than ANCHOR words have no matches; a null item id can't name a match and is
-    left out. Null and repeated doc ids have rows of their own. Empty tables give an empty result.
+    items without a word have no matches; a null item id can't name a match and is left out. Null and repeated doc ids have rows of their own. Empty tables give an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, n_words long, distance long"

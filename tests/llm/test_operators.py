@@ -126,6 +126,45 @@ def test_leaks_against_edit_distance(spark):
     assert kept == set(range(60)) - {d for d, _ in found}
 
 
+def test_leaks_up_to_the_bound_without_anchors():
+    """Every passage within the bound, at 5, 10 and 15%, in short and long items, with every third word changed and in any place."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 2, 2, 3, 4, 6, 9, 14, 20, 30, 45, 60))]
+    items += [(50, "ab"), (51, " "), (52, "a b c d"), (53, "ünïcödé ñandú ciónñas größer")]
+    texts = []
+    for _, item in items * 2:
+        for share in (0.05, 0.1, 0.15):
+            chars = list(item)
+            n = int(share * len(item.encode()))
+            for k in range(n):
+                at = (2 * k + 1) * len(chars) // (2 * n)
+                chars[at : at + 1] = rng.choice(([], ["z"], ["z", chars[at]]))
+            around = [" ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(2)]
+            texts.append(f"{around[0]}\t{''.join(chars).upper()} \n{around[1]}")
+    texts += ["", None, "z", " ".join(word() for _ in range(300))]
+    normal = [" ".join((t or "").translate(LOWER).split()).encode() for t in texts]
+    for max_edit in (0.05, 0.15, 0.3):
+        searcher = decontamination.Searcher(items, max_edit, 0.99, 0.85)
+        got = [{m[0]: m[3] for m in x} for x in searcher.search(texts)]
+        expected = []
+        for t in normal:
+            distances = {i: infix(" ".join(x.translate(LOWER).split()).encode(), t) for i, x in items if x.strip()}
+            expected.append({i: d for i, d in distances.items() if d <= int(max_edit * len(dict(items)[i].translate(LOWER).encode()))})
+        assert got == expected
+        assert [bool(x) for x in searcher.search(texts, least=False)] == [bool(x) for x in expected]
+    assert sum(map(len, expected)) > 90
+
+
+def test_pieces_across_slices():
+    rng = random.Random(9)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(4000)).encode()
+    found = decontamination.PieceFilter([(1, item, 1)], 0.15)
+    for before in (0, 100_000, 131_000, 135_000, 270_000):
+        text = b"x" * before + item + b"y" * 140_000
+        assert any(a <= before and b >= before + len(item) for *_, a, b in found.parts(np.frombuffer(text, np.uint8)))
+
+
 def test_infix_distance_is_exact():
     rng = random.Random(4)
     for _ in range(200):
