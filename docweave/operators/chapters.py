@@ -13,7 +13,6 @@ from docweave.operators.relational import page_ends, subtree_ends, tree_parents
 _NUMBER = r"(?:第\s*[一二三四五六七八九十百千万零〇两\d]+\s*章|chapter\s+[A-Za-z0-9.-]+|\d+(?:\.\d+)*)"
 HEADING = rf"(?iU)^({_NUMBER})\s*(.+?)\s*$"
 CONTENTS = rf"(?iU)^({_NUMBER})\s+(.+?)\s*(?:\.{{2,}}|…+|\s{{2,}})\s*(\d{{1,4}})\s*$"
-DEEPEST = 4
 ORDER = ("place", "sort_key", "id")
 
 
@@ -61,7 +60,8 @@ def chapter_tree(lines: DataFrame) -> DataFrame:
     """(source_id, id, parent_id, number, title, level, toc_page, page_start, page_end, confidence, needs_confirmation).
 
     Entries stand in the order of page, number and id; one ends before the next starts, a parent
-    with its last descendant. Doubt about an entry, or any warning of its source, asks for confirmation.
+    with its last descendant. Levels nest to any depth: those that occur are looked up first. Doubt
+    about an entry, or any warning of its source, asks for confirmation.
     """
     toc, body = contents_entries(lines), headings(lines)
     entries = merged_entries(toc, body)
@@ -76,7 +76,9 @@ def chapter_tree(lines: DataFrame) -> DataFrame:
     source = Window.partitionBy("source_id")
     warned = F.max(F.col("repeated")).over(source) | F.col("warned") | (F.count("toc_page").over(source) == 0)
     bounded = bounded.withColumn("needs_confirmation", F.col("doubtful") | F.col("repeated") | warned)
-    nested = subtree_ends(tree_parents(bounded, "source_id", ORDER, DEEPEST), "source_id", ORDER, DEEPEST)
+    keys = toc.select("key").union(body.select("key"))
+    levels = sorted(r[0] for r in keys.select(chapter_level(F.col("key"))).distinct().collect())
+    nested = subtree_ends(tree_parents(bounded, "source_id", ORDER, levels), "source_id", ORDER, levels)
     return nested.withColumn("page_end", F.when(F.col("page_start").isNotNull(), F.col("subtree_end"))).select(
         "source_id", "id", "parent_id", "key", "number", "title", "level", "toc_page", "page_start", "page_end", "confidence", "needs_confirmation"
     )

@@ -163,31 +163,33 @@ def page_ends(entries: DataFrame, key: str, start: str, order: Sequence[str], la
     return out.withColumn("page_end", end).withColumn("warned", F.max("clash").over(running)).drop("_next")
 
 
-def tree_parents(entries: DataFrame, key: str, order: Sequence[str], deepest: int) -> DataFrame:
-    """parent_id: the nearest earlier entry of a smaller level, one window for each level."""
+def _backwards(order: Sequence[str]) -> list[Column]:
+    return [F.desc(c) for c in order]
+
+
+def tree_parents(entries: DataFrame, key: str, order: Sequence[str], levels: Sequence[int]) -> DataFrame:
+    """parent_id: the nearest earlier entry of a smaller level, one running column for each of the levels that occur."""
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = entries
-    for k in range(2, deepest + 1):
-        out = out.withColumn(f"_p{k}", F.last(F.when(F.col("level") < k, F.col("id")), ignorenulls=True).over(before))
-    parent = F.coalesce(*[F.when(F.col("level") == k, F.col(f"_p{k}")) for k in range(2, deepest + 1)])
-    return out.withColumn("parent_id", parent).drop(*[f"_p{k}" for k in range(2, deepest + 1)])
+    nearest = {f"_p{k}": F.last(F.when(F.col("level") < k, F.col("id")), ignorenulls=True).over(before) for k in levels}
+    parent = F.coalesce(F.lit(None).cast(entries.schema["id"].dataType), *[F.when(F.col("level") == k, F.col(f"_p{k}")) for k in levels])
+    return entries.withColumns(nearest).withColumn("parent_id", parent).drop(*nearest)
 
 
-def subtree_ends(entries: DataFrame, key: str, order: Sequence[str], deepest: int) -> DataFrame:
+def subtree_ends(entries: DataFrame, key: str, order: Sequence[str], levels: Sequence[int]) -> DataFrame:
     """subtree_end: the largest page_end among the descendants of an entry, else its own.
 
-    A descendant stands between an entry and the next one of the same or a smaller level.
+    A descendant stands between an entry and the next one of the same or a smaller level; levels are
+    all that occur.
     """
-    after = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(*_backwards(order)).rowsBetween(Window.unboundedPreceding, -1)
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    out = entries.withColumn("_n", n)
-    for k in range(1, deepest + 1):
-        out = out.withColumn(f"_s{k}", F.first(F.when(F.col("level") <= k, F.col("_n")), ignorenulls=True).over(after))
-    out = out.withColumn("_stop", F.coalesce(*[F.when(F.col("level") == k, F.col(f"_s{k}")) for k in range(1, deepest + 1)], F.lit(1 << 30)))
+    nearest = {f"_s{k}": F.last(F.when(F.col("level") <= k, F.col("_n")), ignorenulls=True).over(after) for k in levels}
+    out = entries.withColumn("_n", n).withColumns(nearest)
+    out = out.withColumn("_stop", F.coalesce(*[F.when(F.col("level") == k, F.col(f"_s{k}")) for k in levels], F.lit(1 << 30)))
     inner = out.select(F.col(key).alias("_k"), F.col("_n").alias("_m"), F.col("page_end").alias("_e"))
     hit = (F.col(key) == F.col("_k")) & (F.col("_m") > F.col("_n")) & (F.col("_m") < F.col("_stop"))
     ends = out.join(inner, hit).groupBy(key, "id").agg(F.max("_e").alias("_below"))
-    drop = ["_n", "_stop", "_below", *[f"_s{k}" for k in range(1, deepest + 1)]]
+    drop = ["_n", "_stop", "_below", *nearest]
     return out.join(ends, [key, "id"], "left").withColumn("subtree_end", F.coalesce("_below", "page_end")).drop(*drop)
 
 

@@ -91,6 +91,38 @@ def test_chapter_tree_in_any_order(spark, turn):
     assert (found["方法"].page_start, found["方法"].page_end) == (5, 6)
 
 
+def nest(entries):
+    """The plain stack: entries (id, level, page_end) in order to {id: (parent, page_end of the subtree)}."""
+    stack, parent, below = [], {}, {}
+    for i, level, end in entries:
+        while stack and stack[-1][1] >= level:
+            stack.pop()
+        parent[i] = stack[-1][0] if stack else None
+        for above, _ in stack:
+            below[above] = max(below.get(above, end), end)
+        stack.append((i, level))
+    return {i: (parent[i], below.get(i, end)) for i, _, end in entries}
+
+
+def test_chapters_nest_to_any_depth(spark):
+    deep = ".".join(["1"] * 34)
+    numbers = ["1", "1.1", "1.1.1", "1.1.1.1", "1.1.1.1.1", "1.1.1.1.1.1", "1.1.1.1.2", deep, "1.2", "2", "2.1.1.1.1.1.1", "2.1.1.1.2", "3"]
+    place = lambda n: [int(x) for x in n.split(".")]
+    rows = [(1, p, 1, f"{n} Title {p}") for p, n in enumerate(sorted(numbers, key=place), 1)] + [(1, len(numbers) + 3, 1, "last")]
+    tree = chapters.chapter_tree(spark.createDataFrame(rows, "source_id int, page int, line_no int, line string")).collect()
+    number = {r.id: r.number for r in tree}
+    ordered = sorted(tree, key=lambda r: r.page_start)
+    own = [b.page_start - 1 for b in ordered[1:]] + [len(numbers) + 3]
+    expected = nest([(r.number, r.level, end) for r, end in zip(ordered, own, strict=True)])
+    assert {r.number: (number.get(r.parent_id), r.page_end) for r in tree} == expected
+    assert max(r.level for r in tree) == 34 and expected["1.1.1.1.1.1"][0] == "1.1.1.1.1"
+
+
+def test_chapter_tree_of_nothing(spark):
+    none = spark.createDataFrame([], "source_id int, page int, line_no int, line string")
+    assert chapters.chapter_tree(none).count() == 0
+
+
 def test_tree_without_contents_needs_confirmation(spark):
     rows = [(1, 1, 1, "1 Alpha"), (1, 2, 1, "2 Beta")]
     tree = chapters.chapter_tree(spark.createDataFrame(rows, "source_id int, page int, line_no int, line string"))
