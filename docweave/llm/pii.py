@@ -18,6 +18,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_RUN = re.compile(r"\S+")
+_JOINED = re.compile(r"[A-Za-z0-9]+(?:[-_./:][A-Za-z0-9]+)*")
 #: Characters around a mention in which its neighbouring words are looked for.
 NEAR = 80
 
@@ -94,20 +96,20 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 def unseen(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Words like identifiers, of 5 to 64 characters with two digits at least, that no base span touches."""
-    done = 0
-    for m in re.finditer(r"[0-9]+", text):
-        if m.start() < done:
+    """Words like identifiers, of 5 to 64 characters with two digits at least, that no base span touches.
+
+    Words are runs without white space, as in contexts(), less the punctuation around them; a longer
+    run, as in text without spaces, is taken apart where identifiers aren't joined.
+    """
+    for m in _RUN.finditer(text):
+        token = m[0]
+        if not _DIGITS.search(token):
             continue
-        left = max(text.rfind(" ", max(0, m.start() - NEAR), m.start()), text.rfind("\n", max(0, m.start() - NEAR), m.start()))
-        a = max(left + 1, m.start() - NEAR if left < 0 else 0)
-        b = min((x for x in (text.find(" ", m.end(), m.end() + NEAR), text.find("\n", m.end(), m.end() + NEAR)) if x >= 0), default=min(len(text), m.end() + NEAR))
-        done = b
-        token = text[a:b]
-        a += len(token) - len(token.lstrip(string.punctuation))
-        b -= len(token) - len(token.rstrip(string.punctuation))
-        if 5 <= b - a <= 64 and sum(c.isdigit() for c in text[a:b]) >= 2 and not any(s < b and a < e for s, _, e in taken):
-            yield a, b
+        a = m.start() + len(token) - len(token.lstrip(string.punctuation))
+        b = m.end() - len(token) + len(token.rstrip(string.punctuation))
+        for a, b in [(a, b)] if b - a <= 64 else [x.span() for x in _JOINED.finditer(text, a, b)]:
+            if 5 <= b - a <= 64 and sum(c.isdigit() for c in text[a:b]) >= 2 and not any(s < b and a < e for s, _, e in taken):
+                yield a, b
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

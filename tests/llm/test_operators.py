@@ -456,6 +456,25 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(not got[200 + i][1] for i in range(5))
 
 
+def test_unseen_identifiers_by_any_white_space():
+    names = lambda text: [text[a:b] for a, b in pii.unseen(text, [])]
+    assert names("ID\tAB-1234\tSmith") == ["AB-1234"]
+    assert names("badge AB-1234\r\nbadge AB-1234 in\u00a0CD-5678\x0bend") == ["AB-1234", "AB-1234", "CD-5678"]
+    assert names("(AB-1234), x1 " + "w" * 200 + " 'EF-9012'") == ["AB-1234", "EF-9012"]
+    assert names("\t".join(f"field\tAB-{k}" for k in range(1000, 1100))) == [f"AB-{k}" for k in range(1000, 1100)]
+    assert names(",".join(["name", "AB-1234", "Smith"] * 20)) == ["AB-1234"] * 20
+    assert names("编号AB-1234，姓名" * 20) == ["AB-1234"] * 20
+    assert list(pii.unseen("to ab12@example.com", [(3, 0, 19)])) == []
+
+
+def test_identifiers_in_tables_are_found(spark):
+    rows = [(i, f"note\tbadge owner\tuser{i}@mail.example.com\tsigned in\r\n") for i in range(40)]
+    rows += [(100 + i, f"note\tbadge owner\tAB-{1000 + i}\tsigned in\r\n") for i in range(5)]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: dict(rows)[r.doc_id][s["start"] : s["end"]] for r in found for s in r.spans if pii.KINDS[s["number"]] == "id"}
+    assert got == {100 + i: f"AB-{1000 + i}" for i in range(5)}
+
+
 def test_pii_of_odd_rows(odd, none):
     got = pii.find_pii(odd).collect()
     assert len(got) == len(ODD) and sum(len(r.base) for r in got) == 4
