@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.store import materialize
+from docweave.llm.store import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -25,16 +25,24 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(e)
     while before[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
-        least = least.select("a", F.least("a", "m").alias("m"))
+        starred = materialize(both.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
+        least = starred.select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where("a <> b").distinct(), "cc-large")
         root = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-root")
         small = large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.union(root.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        old, e = e, materialize(small.union(root.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        discard(old, starred, large, root)
         after = _state(e)
         if after == before:
             break
         before = after
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select("b", "b").distinct())
+
+
+def composed(classes: DataFrame, over: DataFrame) -> DataFrame:
+    """(node, root) of two steps: classes, and the components of edges between roots of these or nodes without a class."""
+    above = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = classes.join(above.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.union(over.join(classes.select("node").hint("merge"), "node", "left_anti").select("node", "root"))

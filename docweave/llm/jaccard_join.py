@@ -7,13 +7,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.graph import components
-from docweave.llm.store import materialize
+from docweave.llm.graph import components, composed
+from docweave.llm.store import discard, materialize
 from docweave.llm.textnp import shingle_sets
 
 #: Sets that share a key in pairs up to this many; more are cut into tiles of TILE sets.
@@ -55,12 +54,13 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
         "jaccard-counts",
     )
     total = counted.agg(F.sum("times")).first()[0] or 0
-    many = counted.where(F.col("times") >= max(32, total // FREQUENT + 1)).select("token").toPandas()
-    return np.sort(many["token"].to_numpy(np.int64).view(np.uint64))
+    many = counted.where(F.col("times") >= max(32, total // FREQUENT + 1)).select("token").toArrow()
+    discard(counted)
+    return np.sort(many.column("token").to_numpy().view(np.uint64))
 
 
 def _signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, size of the set, its 64-bit id (node; null if empty), its prefix keys, frequent shingles last, and its bitmap."""
+    """doc_id, mark, size of the set, its 64-bit id (node; null if empty), its prefix keys, frequent shingles last, and its bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +77,9 @@ def _signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) ->
                 prefixes.append(keys[: prefix_length(len(s), percent)] if len(s) else s)
                 maps.append(bitmaps([s], bitmap_bits(len(s))).tobytes() if len(s) else None)
             columns = [pa.array(size, pa.int64()), pa.array(node, pa.int64()), _lists(prefixes), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "node", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *columns], ["doc_id", "mark", "n", "node", "keys", "bits"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, node long, keys array<long>, bits binary")
+    return docs.mapInArrow(sign, "doc_id long, mark binary, n long, node long, keys array<long>, bits binary")
 
 
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
@@ -123,6 +123,15 @@ def may_link(maps: np.ndarray, size: np.ndarray, one: np.ndarray, n: int, percen
     return (100 + percent) * np.minimum(bound, np.minimum(size, n)) >= percent * total
 
 
+def near_rows(maps: np.ndarray, size: np.ndarray, one: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Numbers of the rows that may link with one more set. Part of the bits rules most unlike sets out already."""
+    part = -(-maps.shape[1] * 3 * (100 - percent) // (100 + percent))
+    if 4 <= part < maps.shape[1]:
+        first = np.flatnonzero(may_link(maps[:, :part], size, one[:part], n, percent))
+        return first[may_link(maps[first], size[first], one, n, percent)]
+    return np.flatnonzero(may_link(maps, size, one, n, percent))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact: intersection * 100 >= percent * union, of sorted arrays without repeats."""
     if len(a) > len(b):
@@ -159,7 +168,7 @@ def tile_edges(
         after = len(low) if high is not None else i + 1
         if after >= len(items):
             continue
-        near = np.flatnonzero(may_link(maps[after:], size[after:], maps[i], int(size[i]), percent))
+        near = near_rows(maps[after:], size[after:], maps[i], int(size[i]), percent)
         for j in near + after:
             p, q = top(i), top(int(j))
             if p != q and linked(items[i][1], items[j][1], percent):
@@ -181,13 +190,13 @@ def jaccard_components(
     2. Every set gets a 64-bit id, under which equal sets meet, and its prefix keys: two sets that
        link share one of them.
     3. Keys of one set only go. Sets that share a key with at most SMALL-1 others form pairs within
-       the size band. A key with more is cut into tiles by size band and hash; each tile, and each
-       pair of tiles in the same or the next band, is a group of its own.
-       Each set of such a key also forms a pair with the least one of its band.
-    4. Bitmaps bound overlaps from above: pairs that can't link are left out. Only for the rest the
-       shingles are made again from the texts and intersected exactly, nearest pairs first. Then
-       sets of tiles that may link with one that is still apart are compared in the same way. A
-       pair of tiles returns a forest of links: no pairs of a large group of near copies are written.
+       the size band. In a key with more, each set of a band first meets its hub, the one whose
+       keys most sets have; bitmaps and the exact intersection decide, and links join classes.
+    4. Keys that still have sets of several classes are cut into tiles by size band and hash: each
+       set of a tile meets the sets outside the key's largest class, which visit the tiles of their
+       band and of the next ones. Bitmaps bound overlaps from above; only for sets that may link
+       with one of another class are the shingles intersected exactly. A group of tiles returns a
+       forest of links: no pairs of a large group of near copies are written.
     5. Links go into connected components.
 
     Nothing is left out: prefix, band and bitmap bounds never lose a link. Null text is empty;
@@ -195,7 +204,45 @@ def jaccard_components(
     component_id); rows that repeat an id are documents of their own. Other columns are ignored; an
     empty table gives an empty result. Shingles and sets are compared by 64-bit hashes.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = _classes(docs, n, percent, id_col, text_col, F.lit(None).cast("binary"))
+    names = rows.where(F.col("root").isNotNull()).groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")
+    )
+    names = materialize(names.where("rows > 1").drop("rows"), "jaccard-names")
+    return rows.join(names, "root", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component of jaccard_components() one row.
+
+    The row with the smallest id stays; null ids come last, and among rows that repeat an id the
+    text with the smallest MD5 stays. Of rows that repeat both, one stays. Rows without words are in
+    no component and all stay. Columns may have any names; an empty table gives an empty result.
+    """
+    rows = _classes(docs, n, percent, id_col, text_col, F.unhex(F.md5(F.col(text_col).cast("string"))))
+    rows = rows.where(F.col("root").isNotNull()).select("root", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark").alias("row"))
+    first = rows.groupBy("root").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = materialize(first.where("rows > 1").drop("rows"), "jaccard-kept")
+    met = rows.join(first.hint("merge"), "root").groupBy("row").agg(F.bool_or(F.col("row") == F.col("first")).alias("kept"), F.count(F.lit(1)).alias("rows"))
+    odd = materialize(met.where("not kept or rows > 1").select("row.doc_id", "row.mark", "kept"), "jaccard-odd")
+    mark = F.unhex(F.md5(F.col(text_col).cast("string")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"))
+    side = lambda kept: odd.where(F.col("kept") == kept).select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).hint("merge")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("mark").eqNullSafe(F.col("m"))
+    out = whole.join(odd.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).hint("merge"), same, "left_anti").select("whole.*")
+    if odd.where("kept").isEmpty():
+        return out
+    again = whole.join(side(True), same, "left_semi").groupBy("doc_id", "mark").agg(F.any_value("whole").alias("whole"))
+    return out.union(again.select("whole.*"))
+
+
+def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, mark: Column) -> DataFrame:
+    """doc_id, mark, n, node and root of every row; equal sets are one node, and linked nodes have one root."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark"))
     sigs = materialize(_signatures(texts, n, percent, _frequent(texts, n)), "jaccard-signatures")
     keyed = sigs.select("node", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(
@@ -203,41 +250,28 @@ def jaccard_components(
     )
     shared = materialize(shared.where("x < y").select("key", "times"), "jaccard-keys")
     members = materialize(keyed.join(shared.hint("merge"), "key").distinct(), "jaccard-members")
-    few, many = members.where(F.col("times") <= SMALL), members.where(F.col("times") > SMALL)
-    a, b = few.select("key", F.col("node").alias("a"), F.col("n").alias("na")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = a.join(b, "key").where(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    # Beyond the keys in both prefixes, sets have at most the rest of the one whose prefix ends first in
-    # common. Keys of many sets aren't counted in "both", but sets that share one meet in a tile as well.
-    most = F.col("both") + F.ceil(F.greatest("na", "nb") * percent / 100) - 1
-    pairs = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = pairs.select("a", "b", "both").union(_hub_pairs(many, percent))
+    discard(shared)
+    few = members.where(F.col("times") <= SMALL)
+    many = materialize(members.where(F.col("times") > SMALL).withColumn("band", _band(percent)), "jaccard-many")
+    pairs = _few_pairs(few, percent).union(_hub_pairs(many, percent))
     pairs = materialize(pairs.groupBy("a", "b").agg(F.max("both").alias("both")), "jaccard-pairs")
-    tiles = materialize(_tiles(many, percent), "jaccard-tiles")
-    met = _nodes(pairs).union(tiles.select("node")).distinct()
+    met = _nodes(pairs).union(many.select("node")).distinct()
     maps = sigs.select("node", "n", "bits").join(met.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     maps = materialize(maps, "jaccard-maps")
-    pairs = materialize(_bounded_pairs(pairs, maps, percent), "jaccard-bounded-pairs")
-    sets = materialize(_sets(texts, sigs, _nodes(pairs).distinct(), n), "jaccard-sets")
-    links = _pair_links(pairs, sets, percent)
-    known = materialize(components(links), "jaccard-classes")
-    rooted = maps.join(known.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    near = materialize(_bounded_nodes(tiles, rooted, percent), "jaccard-bounded-nodes")
-    sets = materialize(_sets(texts, sigs, near.select("node"), n), "jaccard-tile-sets")
-    tiles = tiles.join(near.hint("merge"), "node")
-    links = links.union(materialize(_tile_links(tiles, sets, percent), "jaccard-tile-links"))
-    found = materialize(components(links), "jaccard-components")
-    rows = sigs.select("doc_id", "n", "node").join(found, "node", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "node"))
-    names = rows.where(F.col("root").isNotNull()).groupBy("root").agg(
-        F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")
-    )
-    names = materialize(names.where("rows > 1").drop("rows"), "jaccard-names")
-    return rows.join(names, "root", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
+    bounded = materialize(_bounded_pairs(pairs, maps, percent), "jaccard-bounded-pairs")
+    discard(members, pairs)
+    sets = materialize(_sets(texts, sigs, _nodes(bounded).distinct(), n), "jaccard-sets")
+    known = _pair_classes(bounded, sets, percent)
+    discard(sets)
+    tiles = materialize(_tiles(many, known), "jaccard-tiles")
+    near = materialize(_bounded_nodes(tiles, maps, percent), "jaccard-bounded-nodes")
+    sets = materialize(_sets(texts, sigs, near.select("node").distinct(), n), "jaccard-tile-sets")
+    links = materialize(_tile_links(near, sets, percent), "jaccard-tile-links")
+    discard(many, maps, bounded, tiles, near, sets)
+    found = materialize(composed(known, components(links)), "jaccard-components")
+    discard(known, links)
+    rows = sigs.select("doc_id", "mark", "n", "node").join(found, "node", "left")
+    return rows.withColumn("root", F.coalesce("root", "node"))
 
 
 def _band(percent: int) -> Column:
@@ -245,85 +279,155 @@ def _band(percent: int) -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / step)
 
 
+def _few_pairs(few: DataFrame, percent: int) -> DataFrame:
+    """(a, b, both): the sets of keys of few in pairs, with the number of such keys that they share."""
+    side = lambda k: few.select("key", F.col("node").alias(k), F.col("n").alias(f"n{k}"))
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = side("a").join(side("b"), "key").where(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    # Beyond the keys in both prefixes, sets have at most the rest of the one whose prefix ends first in
+    # common. Keys of many sets aren't counted in "both", but sets that share one meet in a tile as well.
+    most = F.col("both") + F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b", "both")
+
+
 def _hub_pairs(many: DataFrame, percent: int) -> DataFrame:
-    """(a, b, both): each set of a key of many with the least set of that key and band; large groups mostly join there."""
-    banded = many.withColumn("band", _band(percent))
-    hubs = materialize(banded.groupBy("key", "band").agg(F.min("node").alias("a")), "jaccard-hubs")
-    met = banded.join(hubs.hint("merge"), ["key", "band"]).where("a < node")
-    return met.groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("both")).select("a", "b", "both")
-
-
-def _tiles(many: DataFrame, percent: int) -> DataFrame:
-    """(key, low, high, side, node): the sets of each pair of tiles; low and high name a tile as band and number."""
-    banded = many.withColumn("band", _band(percent))
-    count = banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    count = materialize(count, "jaccard-bands")
-    near = count
-    for name, off in (("below", 1), ("above", -1)):
-        near = near.join(
-            count.select("key", (F.col("band") + off).alias("band"), F.col("tiles").alias(name)), ["key", "band"], "left"
-        )
-    placed = banded.join(near, ["key", "band"]).withColumn(
-        "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    )
-    name = lambda band, tile: F.struct(band.alias("band"), tile.alias("tile"))
-    own = name(F.col("band"), F.col("tile"))
-    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    pair = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
-    same = F.transform(
-        upto("tiles"),
-        lambda t: F.when(t < F.col("tile"), pair(name(F.col("band"), t), own, 1)).otherwise(
-            pair(own, name(F.col("band"), t), 0)
-        ),
-    )
-    below = F.transform(upto("below"), lambda t: pair(name(F.col("band") - 1, t), own, 1))
-    above = F.transform(upto("above"), lambda t: pair(own, name(F.col("band") + 1, t), 0))
-    spread = placed.select("key", "node", F.explode(F.concat(same, below, above)).alias("p"))
-    return spread.select("key", "p.low", "p.high", "p.side", "node")
+    """(a, b, both): each set of a key of many with the hub of that key and band; large groups mostly join there.
+
+    The hub is the set whose prefix keys are the most shared: the text that the others were copied from.
+    """
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    fame = many.groupBy("node", "n").agg((F.sum("times") / F.max(length)).alias("fame")).select("node", "fame")
+    famous = many.join(fame.hint("merge"), "node")
+    hubs = materialize(famous.groupBy("key", "band").agg(F.max_by("node", F.struct("fame", "node")).alias("hub")), "jaccard-hubs")
+    met = many.join(hubs.hint("merge"), ["key", "band"]).where("hub <> node")
+    pairs = met.groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    return pairs.agg(F.count(F.lit(1)).alias("both")).select("a", "b", "both")
+
+
+def _tiles(many: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, band, tile, guest, side, major, node, root): the sets of a tile (side 0) and a tile of guests (side 1).
+
+    Keys whose sets are all of one class need no tiles. The sets of a key outside its largest class
+    are the guests of the tiles of their band and of the next ones: every two sets of different
+    classes are a guest and another.
+    """
+    rooted = many.select("key", "node", "band").join(known.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "jaccard-rooted")
+    classes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times"))
+    mixed = classes.groupBy("key").agg(F.max_by("root", F.struct("times", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"))
+    mixed = materialize(mixed.where("classes > 1").select("key", "largest"), "jaccard-mixed")
+    rooted = rooted.join(mixed.hint("merge"), "key").withColumn("major", F.col("root") == F.col("largest")).drop("largest")
+    bands = rooted.groupBy("key", "band").agg(F.count(F.lit(1)).alias("sets"), F.count_if(~F.col("major")).alias("guests"))
+    bands = bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("sets", "guests")))).alias("bands"))
+    near = F.array(*[F.col("band") + k for k in (-1, 0, 1)])
+    of = lambda b, what: F.coalesce(F.try_element_at("bands", b)[what], F.lit(0))
+    cut = lambda c: F.ceil(c / TILE).cast("int")
+    tiles = lambda b: cut(of(b, "sets"))
+    guests = lambda b: cut(of(b - 1, "guests") + of(b, "guests") + of(b + 1, "guests"))
+    upto = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
+    own = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+    group = lambda band, tile, guest, side: F.struct(band.alias("band"), tile.alias("tile"), guest.alias("guest"), F.lit(side).alias("side"))
+    band = F.col("band")
+    home = F.transform(upto(guests(band)), lambda g: group(band, own(tiles(band)), g, 0))
+    away = F.flatten(F.transform(near, lambda o: F.transform(upto(tiles(o)), lambda t: group(o, t, own(guests(o)), 1))))
+    groups = F.when(F.col("major"), home).otherwise(F.concat(home, away))
+    placed = rooted.join(bands.hint("merge"), "key")
+    return placed.select("key", F.explode(groups).alias("g"), "major", "node", "root").select("key", "g.*", "major", "node", "root")
+
+
+#: The columns that name a group of tiles.
+GROUP = ["key", "band", "tile", "guest"]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """Batches that are sorted by GROUP, cut anew so that none ends inside a group, and where each group starts and ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = _edges(batch)
+        last = [batch.column(c)[0].as_py() for c in GROUP]
+        if held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in GROUP] != last:
+            yield _joined(held)
+            held = []
+        if len(edge):
+            held.append(batch.slice(0, int(edge[-1])))
+            yield _joined(held)
+            held = [batch.slice(int(edge[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield _joined(held)
+
+
+def _edges(batch: pa.RecordBatch) -> np.ndarray:
+    change = np.zeros(max(0, batch.num_rows - 1), bool)
+    for c in GROUP:
+        v = batch.column(c).to_numpy()
+        change |= v[1:] != v[:-1]
+    return np.flatnonzero(change) + 1
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[tuple[int, int]]]:
+    batch = held[0] if len(held) == 1 else pa.concat_batches(held)
+    edge = [0, *_edges(batch).tolist(), batch.num_rows]
+    return batch, list(zip(edge, edge[1:], strict=False))
+
+
+def _dealt(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "node")
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def _words(bits: bytes) -> np.ndarray:
+def _words(bits: bytes | pa.Buffer) -> np.ndarray:
     return np.frombuffer(bits, np.uint64)
 
 
 def _bounded_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The pairs that their bitmaps don't rule out."""
 
-    def check(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            keep = []
-            for x, y, nx, ny in zip(pdf["x"], pdf["y"], pdf["nx"], pdf["ny"], strict=True):
-                p, q = folded([_words(x), _words(y)])
-                keep.append(bool(may_link(p, np.int64(nx), q, int(ny), percent)))
-            yield pdf.loc[keep, ["a", "b", "both"]]
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nx, ny, keep = batch.column("nx").to_numpy(), batch.column("ny").to_numpy(), []
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                p, q = folded([_words(x.as_buffer()), _words(y.as_buffer())])
+                keep.append(bool(may_link(p, nx[i], q, int(ny[i]), percent)))
+            yield batch.select(["a", "b", "both"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda k, m: maps.select(F.col("node").alias(k), F.col("bits").alias(m), F.col("n").alias(f"n{m}"))
     met = pairs.hint("merge").join(side("a", "x"), "a").hint("merge").join(side("b", "y"), "b")
-    return met.mapInPandas(check, "a long, b long, both long")
+    return met.mapInArrow(check, "a long, b long, both long")
 
 
-def _bounded_nodes(tiles: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """(node, root): the sets of tiles that may link with one of another root in the same pair of tiles."""
+def _bounded_nodes(tiles: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The rows of tiles whose set may link with one of another class on the other side of its group."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, size, side = folded([_words(x) for x in pdf["bits"]]), pdf["n"].to_numpy(), pdf["side"].to_numpy()
-        root = pdf["root"].to_numpy()
-        crossed = dict(pdf["low"].iloc[0]) != dict(pdf["high"].iloc[0])
-        near = np.zeros(len(pdf), bool)
-        for i in np.flatnonzero(side == 0):
-            hit = may_link(rows, size, rows[i], int(size[i]), percent) & (root != root[i])
-            if crossed:
-                hit &= side == 1
-            near |= hit
-            near[i] |= hit.any()
-        return pdf.loc[near, ["node", "root"]]
+    def near(maps: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, major: np.ndarray, home: int) -> np.ndarray:
+        out = np.zeros(len(size), bool)
+        for i in range(home, len(size)):
+            hit = near_rows(maps[:home], size[:home], maps[i], int(size[i]), percent)
+            # Two guests meet twice, once in the tile of each: one time is enough.
+            hit = hit[(root[hit] != root[i]) & (major[hit] | (node[hit] < node[i]))]
+            out[hit] = True
+            out[i] = len(hit) > 0
+        return out
 
-    met = tiles.hint("merge").join(maps, "node")
-    return met.groupBy("key", "low", "high").applyInPandas(work, "node long, root long").distinct()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, groups in _whole_groups(batches):
+            size, node, root, side, major = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "node", "root", "side", "major"))
+            bits, keep = batch.column("bits"), np.zeros(batch.num_rows, bool)
+            for a, b in groups:
+                home = a + int(np.searchsorted(side[a:b], 1))
+                if a < home < b:
+                    maps = folded([_words(x.as_buffer()) for x in bits.slice(a, b - a)])
+                    keep[a:b] = near(maps, size[a:b], node[a:b], root[a:b], major[a:b], home - a)
+            yield batch.select([*GROUP, "side", "node", "root"]).filter(pa.array(keep))
+
+    met = tiles.hint("merge").join(signed, "node").select(*GROUP, "side", "node", "root", "major", "n", "bits")
+    return _dealt(met).mapInArrow(work, "key long, band long, tile int, guest int, side int, node long, root long")
 
 
 def _sets(texts: DataFrame, sigs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -345,8 +449,8 @@ def _sets(texts: DataFrame, sigs: DataFrame, needed: DataFrame, n: int) -> DataF
     return made.select("text").mapInArrow(arrays, "node long, shingles array<long>")
 
 
-def _pair_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the pairs that join all that the pairs' links join.
+def _pair_classes(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the classes that links among the pairs make.
 
     First each set with the partner that shares most prefix keys with it; then those of the other
     pairs whose sets are still apart.
@@ -361,35 +465,39 @@ def _pair_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rest = rest.join(root("a").hint("merge"), "a", "left").join(root("b").hint("merge"), "b", "left")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     rest = materialize(rest.where(apart).select("a", "b"), "jaccard-rest")
-    return links.union(materialize(_checked_pairs(rest, sets, percent), "jaccard-rest-links"))
+    more = materialize(_checked_pairs(rest, sets, percent), "jaccard-rest-links")
+    joined = more.join(root("a").hint("merge"), "a", "left").join(root("b").hint("merge"), "b", "left")
+    joined = joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    out = materialize(composed(known, components(joined)), "jaccard-classes")
+    discard(first, links, known, rest, more)
+    return out
 
 
 def _checked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def check(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64)
-                keep.append(linked(x, y, percent))
-            yield pdf.loc[keep, ["a", "b"]]
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("x"), batch.column("y"), strict=True)
+            keep = [linked(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), percent) for x, y in both]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").mapInPandas(check, "a long, b long")
-
-
-def _tile_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("side", kind="stable")
-        items = [(int(v), np.asarray(s, np.int64).view(np.uint64)) for v, s in zip(pdf["node"], pdf["shingles"], strict=True)]
-        cut, roots = int((pdf["side"] == 0).sum()), pdf["root"].tolist()
-        crossed = dict(pdf["low"].iloc[0]) != dict(pdf["high"].iloc[0])
-        found = []
-        if not crossed:
-            found = tile_edges(items, None, percent, roots)
-        elif 0 < cut < len(items):
-            found = tile_edges(items[:cut], items[cut:], percent, roots)
-        return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
-
-    whole = tiles.hint("merge").join(sets, "node")
-    return whole.groupBy("key", "low", "high").applyInPandas(work, "a long, b long")
+    return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").mapInArrow(check, "a long, b long")
+
+
+def _tile_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that a link between sets of a group joins."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, groups in _whole_groups(batches):
+            root, side = batch.column("root").to_pylist(), batch.column("side").to_numpy()
+            shingles, links = batch.column("shingles"), []
+            for a, b in groups:
+                home = a + int(np.searchsorted(side[a:b], 1))
+                if a < home < b:
+                    items = [(i, shingles[i].values.to_numpy().view(np.uint64)) for i in range(a, b)]
+                    links += tile_edges(items[: home - a], items[home - a :], percent, root[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([root[x[k]] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    whole = near.hint("merge").join(sets, "node").select(*GROUP, "side", "node", "root", "shingles")
+    return _dealt(whole).mapInArrow(work, "a long, b long")

@@ -390,6 +390,20 @@ def test_jaccard_of_odd_rows(odd, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_near_copies_go_by_row(spark, odd, none):
+    long = " ".join(f"w{i}" for i in range(60))
+    near, other = long.replace("w30", "x"), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long, "a"), (5, long, "b"), (5, other, "c"), (1, long, "d"), (None, near, "e"), (None, None, "f"), (7, None, "g"), (7, None, "h"), (9, "", "i"), (None, other, "j"), (8, f"{other} more", "k"), (8, f"{other} more", "k")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, tag string, mark string").repartition(3)
+    out = jaccard_join.drop_near_copies(docs)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == docs.columns
+    assert got == sorted([(1, long), (5, other), (None, None), (7, None), (7, None), (9, "")], key=str)
+    assert jaccard_join.drop_near_copies(none).count() == 0 and jaccard_join.drop_near_copies(odd).columns == odd.columns
+    nameless = spark.createDataFrame([(None, long), (None, near), (None, long)], "doc_id long, text string")
+    assert jaccard_join.drop_near_copies(nameless).count() == 1
+
+
 def test_shingles_and_tiles():
     rows = [(i, t or "") for i, (_, t, *_) in enumerate(ODD)]
     assert [len(s) for s in shingle_sets([t for _, t in rows], 3)] == [len(s) for _, s in sets_of(rows, 3)]
@@ -582,3 +596,25 @@ def test_every_stage_on_its_own_input(spark):
     expected = {r.doc_id: r.copies for r in mixing.mix_sources(clean).collect() if r.copies}
     assert counts == expected
     assert placed.count() == mixed.count() and placed.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """Repeated, null and equal ids, null and empty texts and clashing names pass every stage; an empty table stays empty."""
+    import corpus_pipeline as pipeline
+
+    big = "/root/testdata/sf0.01"
+    good = [r.text for r in spark.read.parquet(f"{big}/documents.parquet").join(spark.read.parquet(f"{big}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").limit(4).collect()]
+    rows = [(1, good[0]), (5, good[0]), (5, good[1]), (1, good[0]), (None, good[1]), (None, None), (7, None), (7, good[2]), (9, ""), (None, good[3]), (None, good[3])]
+    docs = frame(spark, [(d, t, "en", "s1" if t else None) for d, t in rows])
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, big)
+        empty = stage(spark, none, big)
+        assert empty.count() == 0 and empty.columns == out.columns
+        assert set(docs.columns) - {"size"} <= set(out.columns), name
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        if name == "n-gram Jaccard join":
+            assert got == sorted([(1, good[0]), (5, good[1]), (None, None), (7, None), (7, good[2]), (9, ""), (None, good[3])], key=str)
+        elif name in ("benchmark decontamination", "sharding"):
+            assert got == sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        else:
+            assert set(got) <= set(rows)
