@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _word(token: str) -> str:
-    return re.sub(r"[0-9]", "0", token.lower()).strip(string.punctuation)[:32]
+    return re.sub(r"[0-9]", "0", token.lower()).strip(string.punctuation)
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
@@ -138,11 +138,12 @@ def find_pii(docs: DataFrame, rounds: int = 3, sure: float = 0.8, support: int =
     `rounds` rounds of joins: a pattern's score is the mean of its instances' scores (seeds 1),
     shrunk by half an instance, if at least `support` of them are seeds; an unseen instance's score
     is one less the product of its patterns' doubts. Instances that patterns of `sure` or more
-    bring to `sure` are reported where such a pattern surrounds them.
+    bring to `sure` are seeds of the next round, so that their other contexts become patterns. Those
+    of the last round are reported where a pattern of `sure` or more surrounds them.
 
     Scans whole texts once; the graph is joined by key on the executors and written out each round.
-    Null text counts as empty; null and repeated ids have rows of their own; an empty table gives
-    an empty result.
+    Null text counts as empty; null and repeated ids have rows of their own; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = (
@@ -153,14 +154,15 @@ def find_pii(docs: DataFrame, rounds: int = 3, sure: float = 0.8, support: int =
     each = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     edges = each.select("name", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "name").agg(F.max("seed").alias("seed"))
     edges = materialize(edges, "pii-edges")
-    scores = _pattern_scores(edges.withColumn("score", F.col("seed").cast("double")), support)
-    for _ in range(rounds - 1):
-        instances = _instance_scores(edges, scores)
-        known = edges.join(instances.hint("merge"), "name", "left")
-        known = known.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+    known = edges.withColumn("known", F.col("seed")).withColumn("score", F.col("seed").cast("double"))
+    good = names = None
+    for _ in range(rounds):
         scores = _pattern_scores(known, support)
-    good = materialize(scores.where(F.col("score") >= sure), "pii-good")
-    names = _instance_scores(edges, good).where(F.col("score") >= sure).select("name")
+        good = scores.where(F.col("score") >= sure)
+        names = materialize(_instance_scores(edges, good).where(F.col("score") >= sure).select("name"), "pii-names")
+        instances = _instance_scores(edges, scores).join(names.withColumn("promoted", F.lit(True)).hint("merge"), "name", "left")
+        known = edges.join(instances.hint("merge"), "name", "left").withColumn("known", F.col("seed") | F.coalesce("promoted", F.lit(False)))
+        known = known.withColumn("score", F.when(F.col("known"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
     new = each.where("not seed").select("row", "start", "end", "name", F.explode("patterns").alias("pattern"))
     new = new.join(good.select("pattern").hint("merge"), "pattern", "left_semi").join(names.hint("merge"), "name", "left_semi")
     added = new.select("row", F.struct("start", F.lit(KINDS.index("id")).alias("number"), "end").alias("s"))
@@ -170,7 +172,7 @@ def find_pii(docs: DataFrame, rounds: int = 3, sure: float = 0.8, support: int =
 
 
 def _pattern_scores(edges: DataFrame, support: int) -> DataFrame:
-    sums = edges.groupBy("pattern").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
+    sums = edges.groupBy("pattern").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if("known").alias("seeds"))
     scores = sums.where(F.col("seeds") >= support).select("pattern", (F.col("s") / (F.col("n") + 0.5)).alias("score"))
     return materialize(scores, "pii-patterns")
 

@@ -489,6 +489,53 @@ def test_identifiers_in_tables_are_found(spark):
     assert got == {100 + i: f"AB-{1000 + i}" for i in range(5)}
 
 
+def plain_pii(rows, rounds=3, sure=0.8, support=3):
+    """The same rule in plain loops over one dictionary of patterns."""
+    mentions = []
+    for d, text in rows:
+        base = pii.base_spans(text)
+        mentions += [(d, a, b, text[a:b].lower(), True, pii.contexts(text, a, b)) for a, _, b in base]
+        mentions += [(d, a, b, text[a:b].lower(), False, pii.contexts(text, a, b)) for a, b in pii.unseen(text, base)]
+    edge = collections.defaultdict(dict)
+    for _, _, _, name, seed, patterns in mentions:
+        for p in patterns:
+            edge[p][name] = edge[p].get(name, False) or seed
+    at = collections.defaultdict(list)
+    for p, of in edge.items():
+        for name, seed in of.items():
+            if not seed:
+                at[name].append(p)
+    points, promoted = {}, set()
+    for _ in range(rounds):
+        scores = {}
+        for p, of in edge.items():
+            if sum(seed or name in promoted for name, seed in of.items()) >= support:
+                scores[p] = sum(1 if seed or name in promoted else points.get(name, 0) for name, seed in of.items()) / (len(of) + 0.5)
+        good = {p for p, x in scores.items() if x >= sure}
+        doubt = lambda ps: 1 - float(np.prod([1 - min(scores[p], 0.999) for p in ps]))
+        points = {name: doubt([p for p in ps if p in scores]) for name, ps in at.items() if any(p in scores for p in ps)}
+        promoted = {name for name, ps in at.items() if any(p in good for p in ps) and doubt([p for p in ps if p in good]) >= sure}
+    return {(d, a, b) for d, a, b, name, seed, ps in mentions if not seed and name in promoted and good & set(ps)}
+
+
+def test_found_identifiers_induce_patterns(spark):
+    """First hop: names beside addresses; second hop: names that stand only where the first ones stand too."""
+    rows = [(i, f"word{i} please write to user{i}@mail.example.com for details") for i in range(60)]
+    rows += [(100 + i, f"w{i} please write to acc-{1000 + i} for details") for i in range(8)]
+    rows += [(200 + i, f"the locker of acc-{1000 + i} stays locked") for i in range(8)]
+    rows += [(300, "the locker of acc-7777 stays locked"), (301, "room 12345 is free today"), (302, "room 12346 is free today"), (303, "room 12347 is free today")]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {(r.doc_id, s["start"], s["end"]) for r in found for s in r.spans if s["number"] == pii.KINDS.index("id")}
+    assert got == plain_pii(rows)
+    assert {d for d, _, _ in got} == {*range(100, 108), *range(200, 208), 300}
+
+
+def test_pii_against_plain_loops(docs):
+    found = pii.find_pii(docs).collect()
+    got = {(r.doc_id, s["start"], s["end"]) for r in found for s in r.spans if s["number"] == pii.KINDS.index("id")}
+    assert got == plain_pii(texts_of(docs))
+
+
 def test_pii_of_odd_rows(odd, none):
     got = pii.find_pii(odd).collect()
     assert len(got) == len(ODD) and sum(len(r.base) for r in got) == 4
