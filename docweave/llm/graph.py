@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from docweave.llm.store import discard, materialize
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+def _starred(edges: DataFrame) -> bool:
+    """Whether every node is either the centre of a star or has one edge to such a centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return seen.where("out > 1 or out = 1 and into = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,8 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "cc-edges")
-    before = _state(e)
-    while before[0]:
+    while not _starred(e):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         starred = materialize(both.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
         least = starred.select("a", F.least("a", "m").alias("m"))
@@ -33,10 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, e = e, materialize(small.union(root.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
         discard(old, starred, large, root)
-        after = _state(e)
-        if after == before:
-            break
-        before = after
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select("b", "b").distinct())
 

@@ -261,15 +261,15 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     bounded = materialize(_bounded_pairs(pairs, maps, percent), "jaccard-bounded-pairs")
     discard(members, pairs)
     sets = materialize(_sets(texts, sigs, _nodes(bounded).distinct(), n), "jaccard-sets")
-    known = _pair_classes(bounded, sets, percent)
+    known, pair_links = _pair_classes(bounded, sets, percent)
     discard(sets)
     tiles = materialize(_tiles(many, known), "jaccard-tiles")
     near = materialize(_bounded_nodes(tiles, maps, percent), "jaccard-bounded-nodes")
     sets = materialize(_sets(texts, sigs, near.select("node").distinct(), n), "jaccard-tile-sets")
     links = materialize(_tile_links(near, sets, percent), "jaccard-tile-links")
     discard(many, maps, bounded, tiles, near, sets)
-    found = materialize(composed(known, components(links)), "jaccard-components")
-    discard(known, links)
+    found = materialize(composed(known, components(links.union(pair_links))), "jaccard-components")
+    discard(known, links, pair_links)
     rows = sigs.select("doc_id", "mark", "n", "node").join(found, "node", "left")
     return rows.withColumn("root", F.coalesce("root", "node"))
 
@@ -449,11 +449,11 @@ def _sets(texts: DataFrame, sigs: DataFrame, needed: DataFrame, n: int) -> DataF
     return made.select("text").mapInArrow(arrays, "node long, shingles array<long>")
 
 
-def _pair_classes(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the classes that links among the pairs make.
+def _pair_classes(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the classes that each set's nearest pair makes, and (a, b): classes that other pairs link.
 
-    First each set with the partner that shares most prefix keys with it; then those of the other
-    pairs whose sets are still apart.
+    The nearest pair is that with the partner that shares most prefix keys; of the other pairs only
+    those are compared whose sets are still apart.
     """
     both_ways = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "both").union(pairs.select("b", "a", "both"))
     best = both_ways.groupBy("node").agg(F.max_by("other", F.struct("both", -F.col("other"))).alias("other"))
@@ -468,9 +468,9 @@ def _pair_classes(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     more = materialize(_checked_pairs(rest, sets, percent), "jaccard-rest-links")
     joined = more.join(root("a").hint("merge"), "a", "left").join(root("b").hint("merge"), "b", "left")
     joined = joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    out = materialize(composed(known, components(joined)), "jaccard-classes")
-    discard(first, links, known, rest, more)
-    return out
+    joined = materialize(joined, "jaccard-pair-links")
+    discard(first, links, rest, more)
+    return known, joined
 
 
 def _checked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

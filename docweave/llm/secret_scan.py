@@ -25,6 +25,8 @@ NEEDS = {
     "key": (("access", "id", "endpoint"),),
     "endpoint": (("access", "id"), ("assign", "hex", "key")),
 }
+#: Weak kinds that give way to others where they overlap: what lies inside an endpoint or an identifier is no part of its own.
+YIELDS = {"id": ("endpoint",), "key": ("endpoint", "id")}
 #: A mark that no pattern matches; marks in the text itself become MARK2, which none matches either.
 MARK, MARK2 = "\x01", "\x02"
 
@@ -37,7 +39,7 @@ def pieces(text: Column, pattern: str) -> Column:
 
 def _good(kind: Column, match: Column) -> Column:
     """Whether a match holds beyond its pattern; failing matches are dropped without another try."""
-    strong = match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]") & (F.length(match) <= 88)
+    strong = match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
     return (
         F.when(kind == "assign", F.length(F.regexp_extract(match, ASSIGN, 2)) >= 12)
         .when(kind == "access", F.length(match) >= 18)
@@ -53,7 +55,9 @@ def scan_secrets(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text
     Assignments, access identifiers and hex strings of the base kinds are reported as such. Weak
     candidates (other identifiers, mixed tokens that may be keys, endpoints) are reported only if
     complementary parts co-occur: for each set of kinds in NEEDS, a part of such a kind has to
-    start or end within `scope` characters; weak candidates that overlap a base span are left out.
+    start or end within `scope` characters. A part can't complete itself: weak candidates that
+    overlap a base span are left out, as are keys inside endpoints or identifiers, and keys right
+    after a full stop, which go on with a host, a file name or another token.
 
     All spans of a document meet on one row id; the interval join is the distance to the nearest
     part before and after, from running windows in text order, so no pairs are made. Only spans
@@ -78,9 +82,12 @@ def scan_secrets(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text
         "at",
         F.length("piece").cast("long").alias("length"),
         F.coalesce(_good(F.col("kind"), match), F.lit(False)).alias("good"),
+        F.coalesce(F.right("piece", F.lit(1)) == ".", F.lit(False)).alias("stop"),
     ).repartition("row")
-    end = F.sum("length").over(Window.partitionBy("row", "kind").orderBy("at"))
-    spans = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("length"))
+    inside = Window.partitionBy("row", "kind").orderBy("at")
+    spans = rows.withColumn("end", F.sum("length").over(inside)).withColumn("start", F.col("end") - F.col("length"))
+    glued = (F.col("kind") == "key") & F.coalesce(F.lag("stop").over(inside), F.lit(False))
+    spans = spans.withColumn("good", F.col("good") & ~glued).drop("stop")
     linked = _linked(spans, scope)
     span = F.struct("start", "number", "end", "kind")
     count = lambda k: F.count_if(F.col("good") & (F.col("kind") == k)).alias(f"n_{k}")
@@ -98,26 +105,36 @@ def _linked(spans: DataFrame, scope: int) -> DataFrame:
     good, kind = F.col("good"), F.col("kind")
     ahead = Window.partitionBy("row").orderBy("start", "number").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("number")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = {BASE, *(g for sets in NEEDS.values() for g in sets)}
-    out, near = spans, {}
-    for i, group in enumerate(sorted(groups)):
-        of = good & kind.isin(*group)
-        out = out.withColumn(f"before{i}", F.max(F.when(of, F.col("end"))).over(ahead))
-        out = out.withColumn(f"after{i}", F.min(F.when(of, F.col("start"))).over(back))
-        near[group] = F.coalesce(F.col("start") - F.col(f"before{i}") <= scope, F.lit(False)) | F.coalesce(
-            F.col(f"after{i}") - F.col("end") <= scope, F.lit(False)
-        )
-        if group == BASE:
-            apart = F.coalesce(F.col(f"before{i}") <= F.col("start"), F.lit(True)) & F.coalesce(
-                F.col(f"after{i}") >= F.col("end"), F.lit(True)
-            )
+
+    def nearest(df: DataFrame, name: str, of: Column) -> DataFrame:
+        """The greatest end of such spans before each span, and the least start after it."""
+        df = df.withColumn(f"before_{name}", F.max(F.when(of, F.col("end"))).over(ahead))
+        return df.withColumn(f"after_{name}", F.min(F.when(of, F.col("start"))).over(back))
+
+    def apart(name: str) -> Column:
+        left, right = F.col(f"before_{name}") <= F.col("start"), F.col(f"after_{name}") >= F.col("end")
+        return F.coalesce(left, F.lit(True)) & F.coalesce(right, F.lit(True))
+
+    def near(name: str) -> Column:
+        left, right = F.col("start") - F.col(f"before_{name}") <= scope, F.col(f"after_{name}") - F.col("end") <= scope
+        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+
+    out = nearest(spans, "base", good & kind.isin(*BASE))
+    stands = kind.isin(*BASE) | apart("base")
+    for weak, others in YIELDS.items():
+        out = nearest(out, f"over_{weak}", good & kind.isin(*others))
+        stands = stands & ((kind != weak) | apart(f"over_{weak}"))
+    out = out.withColumn("part", good & stands)
+    names = {group: "_".join(group) for sets in NEEDS.values() for group in sets}
+    for group, name in names.items():
+        out = nearest(out, name, F.col("part") & kind.isin(*group))
     complete = F.lit(False)
     for weak, sets in NEEDS.items():
         whole = kind == weak
         for group in sets:
-            whole = whole & near[group]
+            whole = whole & near(names[group])
         complete = complete | whole
-    return out.withColumn("linked", F.coalesce(good & ~kind.isin(*BASE) & apart & complete, F.lit(False)))
+    return out.withColumn("linked", F.coalesce(F.col("part") & complete, F.lit(False)))
 
 
 def joined(spans: Column) -> Column:

@@ -25,7 +25,7 @@ WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM
 c AS ({_CUTS}),
 e AS (SELECT doc_id, kind, number, p, unnest(range(1, len(p) + 1)) AS i FROM c WHERE len(p) > 1),
 f AS (
-  SELECT doc_id, kind, number, i, p[i] AS match, length(p[i]) AS n,
+  SELECT doc_id, kind, number, i, p[i] AS match, length(p[i]) AS n, i > 1 AND right(p[i - 1], 1) = '.' AS glued,
     sum(length(p[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
   FROM e
 ),
@@ -34,15 +34,20 @@ s AS (
   WHERE i % 2 = 0 AND CASE kind
     WHEN 'assign' THEN length(regexp_extract(match, {_quoted(_KINDS["assign"])}, 2)) >= 12
     WHEN 'access' THEN length(match) >= 18
-    WHEN 'key' THEN regexp_matches(match, '[0-9]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[A-Z]') AND length(match) <= 88
+    WHEN 'key' THEN regexp_matches(match, '[0-9]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[A-Z]') AND NOT glued
     ELSE true END
 ),
+weak AS (
+  SELECT * FROM s w WHERE w.number >= 3 AND NOT EXISTS (
+    SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.start < w.stop AND b.stop > w.start
+      AND (b.number < 3 OR w.kind <> 'endpoint' AND b.kind = 'endpoint' OR w.kind = 'key' AND b.kind = 'id'))
+),
+part AS (SELECT * FROM s WHERE number < 3 UNION ALL SELECT * FROM weak),
 near AS (
-  SELECT w.doc_id, w.kind, w.number, w.start, w.stop FROM s w WHERE w.number >= 3
-    AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.number < 3 AND b.start < w.stop AND b.stop > w.start)
-    AND (w.kind = 'key' OR EXISTS (SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.kind IN ('assign', 'hex', 'key') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
-    AND (w.kind <> 'key' OR EXISTS (SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.kind IN ('access', 'id', 'endpoint') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
-    AND (w.kind <> 'endpoint' OR EXISTS (SELECT 1 FROM s b WHERE b.doc_id = w.doc_id AND b.kind IN ('access', 'id') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
+  SELECT w.doc_id, w.kind, w.number, w.start, w.stop FROM weak w WHERE true
+    AND (w.kind = 'key' OR EXISTS (SELECT 1 FROM part b WHERE b.doc_id = w.doc_id AND b.kind IN ('assign', 'hex', 'key') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
+    AND (w.kind <> 'key' OR EXISTS (SELECT 1 FROM part b WHERE b.doc_id = w.doc_id AND b.kind IN ('access', 'id', 'endpoint') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
+    AND (w.kind <> 'endpoint' OR EXISTS (SELECT 1 FROM part b WHERE b.doc_id = w.doc_id AND b.kind IN ('access', 'id') AND b.start - w.stop <= 200 AND w.start - b.stop <= 200))
 ),
 a AS (SELECT * FROM s WHERE number < 3 UNION ALL SELECT * FROM near),
 g AS (

@@ -199,6 +199,20 @@ def test_weak_parts_need_complements(spark):
     assert spans == {1: ["id", "key"], 2: [], 3: [], 4: ["key"]}
 
 
+def test_no_part_completes_itself(spark):
+    long = "aB3" * 40
+    rows = [
+        (1, "client_id=Abcdef0123456789ABCDEFghij"),
+        (2, "https://www.example.com/articles/2024/NewResultsOnX and https://localhost/articles/2024/NewResultsOnX"),
+        (3, "https://api.example.com/v1/NewResults2024OnXandY.html/some/Other9PathThatIsLong"),
+        (4, f"https://api.example.com and {long}"),
+        (5, f"client_id = acme99, endpoint https://api.example.com, key {long}"),
+    ]
+    got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r.doc_id: [s.kind for s in r.spans] for r in got.collect()}
+    assert spans == {1: [], 2: [], 3: [], 4: ["key"], 5: ["id", "endpoint", "key"]}
+
+
 # 3 ---------------------------------------------------------------------------------------------------
 
 
