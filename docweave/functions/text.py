@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,14 +161,15 @@ def chapter_level(key: Column) -> Column:
     return F.greatest(F.regexp_count(key, F.lit("[0-9]+")), F.lit(1))
 
 
-@F.pandas_udf(T.StringType())
-def normalized_title(titles: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def normalized_title(titles: pa.Array) -> pa.Array:
     """NFKC, case folded, white space squeezed: Spark has no Unicode normal forms."""
-    return titles.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+    plain = lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split())
+    return pa.array([plain(x) for x in titles.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def safe_name(names: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def safe_name(names: pa.Array) -> pa.Array:
     """A file name of at most 180 bytes without control characters, slashes and outer dots; longer ones end in a hash."""
 
     def one(name: str | None) -> str | None:
@@ -180,7 +181,7 @@ def safe_name(names: pd.Series) -> pd.Series:
             text = text.encode()[:160].decode(errors="ignore") + "-" + hashlib.sha256(text.encode()).hexdigest()[:12]
         return text
 
-    return names.map(one)
+    return pa.array([one(x) for x in names.to_pylist()], pa.string())
 
 
 def html_to_markdown(html: Column) -> Column:

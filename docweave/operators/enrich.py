@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +29,13 @@ def enrich_once(sections: DataFrame, client: Client, attempts: int = 3) -> DataF
                 last = error
         return f"(failed: {type(last).__name__})"
 
-    def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            yield pd.DataFrame({"sha256": pdf["sha256"], "ai_md": [ask(s, r) for s, r in zip(pdf["seq"], pdf["raw"], strict=True)]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = zip(batch.column("seq").to_pylist(), batch.column("raw").to_pylist(), strict=True)
+            answers = pa.array([ask(s, r) for s, r in asked], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("sha256"), answers], ["sha256", "ai_md"])
 
-    return first.mapInPandas(work, "sha256 string, ai_md string")
+    return first.mapInArrow(work, "sha256 string, ai_md string")
 
 
 def display_titles(rows: DataFrame, group: str, key: str) -> DataFrame:
@@ -42,10 +44,11 @@ def display_titles(rows: DataFrame, group: str, key: str) -> DataFrame:
     def plain(title: str) -> str:
         return " ".join(unicodedata.normalize("NFKC", title).casefold().split())
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        taken, seen, count, out = {plain(t) for t in pdf["title"]}, set(), {}, []
-        for title in pdf["title"]:
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by(key)
+        titles = table.column("title").to_pylist()
+        taken, seen, count, out = {plain(t) for t in titles}, set(), {}, []
+        for title in titles:
             name = title
             if plain(title) in seen:
                 n = count.get(plain(title), 1) + 1
@@ -55,8 +58,8 @@ def display_titles(rows: DataFrame, group: str, key: str) -> DataFrame:
                 taken.add(plain(name))
             seen.add(plain(title))
             out.append(name)
-        return pdf.assign(display=out)
+        return table.append_column("display", pa.array(out, pa.string()))
 
     kinds = dict(rows.dtypes)
     schema = f"{group} {kinds[group]}, {key} {kinds[key]}, title string, display string"
-    return rows.select(group, key, "title").groupBy(group).applyInPandas(work, schema)
+    return rows.select(group, key, "title").groupBy(group).applyInArrow(work, schema)

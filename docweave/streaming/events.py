@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docweave.sources.documents import scratch
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def event_stream(spark: SparkSession, path: str, schema: object, files: int = 1) -> DataFrame:
     """Parquet files that a glob names, as a stream of at most `files` files a micro-batch."""
@@ -41,6 +44,8 @@ def numbered(stream: DataFrame) -> DataFrame:
     """(event_id, batch_id, seq): events of a batch numbered from 0 in order of time, going on across micro-batches."""
 
     def number(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
         start = state.get[0] if state.exists else 0
         state.update((start + len(rows),))
@@ -60,6 +65,8 @@ def bounded(stream: DataFrame, keep: int) -> DataFrame:
     """(batch_id, event_ids): the newest `keep` events of each batch, as its state after each micro-batch; the last counts."""
 
     def hold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         old = [int(x) for x in state.get[0].split(",")] if state.exists else []
         new = sorted(old + [int(x) for pdf in pdfs for x in pdf["event_id"]])[-keep:]
         state.update((",".join(map(str, new)),))
@@ -72,7 +79,7 @@ def bounded(stream: DataFrame, keep: int) -> DataFrame:
 def finished(stream: DataFrame, totals: DataFrame) -> DataFrame:
     """(batch_id, done, total): batches whose completed events have reached their total."""
     done = stream.where("payload = 'COMPLETED'").groupBy("batch_id").agg(F.count(F.lit(1)).alias("done"))
-    return done.join(F.broadcast(totals), "batch_id").where("done >= total")
+    return done.join(totals, "batch_id").where("done >= total")
 
 
 def expired(events: DataFrame, now: object, seconds: int) -> DataFrame:
@@ -85,6 +92,8 @@ def expired_stream(stream: DataFrame, seconds: int) -> DataFrame:
     """(batch_id, n): what a batch held when no event had come for so long, by event time."""
 
     def forget(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         if state.hasTimedOut:
             n = state.get[0]
             state.remove()
