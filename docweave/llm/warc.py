@@ -23,6 +23,8 @@ DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 PAGE = "urn:page:"
 #: Bytes of an archive that a frame is given at once: what it leaves over is copied.
 PIECE = 8192
+#: Tasks that write archives at most: up to so many archives each task writes one.
+TASKS = 16384
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -130,10 +132,17 @@ def records_of(archive: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def train_dictionary(pages: DataFrame, samples: int, size: int) -> bytes:
-    """A dictionary from at most `samples` pages, 16 KB of each: a bounded sample, chosen by hash."""
-    cut = pages.select(F.encode(F.substring("html", 1, 16384), "utf-8").alias("x"), F.xxhash64("page_id", "html").alias("o"))
-    rows = [bytes(r.x) for r in cut.where(F.length("x") > 0).orderBy("o").limit(samples).collect()]
+def train_dictionary(pages: DataFrame, samples: int, size: int, total: int) -> bytes:
+    """A dictionary from at most `samples` of `total` pages, 16 KB of each: a bounded sample, chosen by hash.
+
+    Only pages whose hash lies below a threshold are looked at, about `samples` at any input size.
+    """
+    share = min(1.0, (samples + 4 * math.sqrt(samples)) / max(1, total))
+    order = F.xxhash64("page_id", "html")
+    most = min(int(share * (1 << 64)), (1 << 64) - 1) - (1 << 63)
+    few = pages.where((F.octet_length("html") > 0) & (order <= F.lit(most)))
+    cut = few.groupBy(order.alias("o")).agg(F.any_value(F.encode(F.substring("html", 1, 16384), "utf-8")).alias("x"))
+    rows = [bytes(r.x) for r in cut.orderBy("o").limit(samples).collect()]
     try:
         return zstandard.train_dictionary(size, rows).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples
@@ -157,20 +166,22 @@ def write_warc(
     to a name of its own and then moves it into place, so that a repeated task leaves one whole file.
 
     Null html is an empty payload. Pages with a null id are responses unless another page has
-    their payload; rows that repeat the smallest id are all responses. No pages, no archives.
+    their payload; rows that repeat the smallest id are all responses. Very long payloads are one
+    record each, held in memory once. Other columns are ignored, whatever their names. No pages, no
+    archives.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), filled(F.col("html")).alias("html"))
     keyed = rows.withColumn("size", F.octet_length("html")).withColumn("same", F.unhex(F.sha2("html", 256)))
     groups = keyed.where(F.col("size") >= min_bytes).groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
     groups = materialize(groups.where("n > 1 and first is not null").select("same", "first"), "warc-groups")
-    total = keyed.agg(F.sum("size")).first()[0] or 0
+    total, count = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     archives = max(1, math.ceil(total / (archive_mb << 20)))
     refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     placed = keyed.join(groups, "same", "left").select(
         F.pmod(F.xxhash64("page_id", "url", "same"), F.lit(archives)).cast("int").alias("archive"),
         "page_id", "url", "html", refers.alias("refers_to"),
     )
-    dictionary = train_dictionary(rows, samples, dictionary_size)
+    dictionary = train_dictionary(rows, samples, dictionary_size, count)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
@@ -202,7 +213,8 @@ def write_warc(
         if out:
             yield done()
 
-    dealt = placed.repartition(min(archives, 4096), "archive").sortWithinPartitions("archive", "page_id", "url")
+    tasks = min(archives, TASKS)
+    dealt = placed.repartitionById(tasks, F.pmod("archive", F.lit(tasks)).cast("int")).sortWithinPartitions("archive", "page_id", "url")
     return dealt.mapInArrow(work, "archive string, records long, bytes long")
 
 

@@ -257,6 +257,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_odd_rows(spark):
+    """Repeated ids, clashing names and a very long page; the archives are one for each task."""
+    long = "<p>" + "é😀 long " * 300_000
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (1, "v", "<p>b</p>"), (2, "u", "<p>a</p>"), (3, None, long), (4, "w", long), (5, "x", None), (6, "y", "")]
+    pages = spark.createDataFrame([(*r, "c", "c", "c") for r in rows], "page_id long, url string, html string, archive string, same string, size string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
+    n = len(long.encode())
+    assert got == sorted([(1, 8, "response", None)] * 3 + [(2, 8, "revisit", 1), (3, n, "response", None), (4, n, "revisit", 3), (5, 0, "response", None), (6, 0, "revisit", 5)], key=str)
+
+
+def test_dictionary_samples_are_bounded(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "repeat(cast(id AS string), 100) AS html")
+    assert 0 < len(warc.train_dictionary(pages, 64, 4096, 3000)) <= 4096
+    assert warc.train_dictionary(pages.limit(0), 64, 4096, 0) == b""
+
+
 def test_warc_refuses_bad_records():
     good = warc.record_bytes(1, "http://x", b"body", None, "2024-01-01T00:00:00Z")
     assert warc.parse_record(good)["payload"] == b"body"
