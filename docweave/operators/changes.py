@@ -94,14 +94,85 @@ def cascade_delete(parents: DataFrame, children: Mapping[str, tuple[DataFrame, s
     return out
 
 
-def propagate_stale(topics: DataFrame, links: DataFrame, changed: DataFrame, published: DataFrame) -> DataFrame:
-    """(topic_id, status, reasons): published topics of changed chapters become STALE, running ones stay, others are recomputed."""
+def propagate_stale(topics: DataFrame, links: DataFrame, changed: DataFrame, published: DataFrame, ready: DataFrame) -> DataFrame:
+    """(topic_id, status, reasons) of the topics of changed chapters.
+
+    Running topics stay so and published ones become STALE; both add new reasons to those in
+    topics.stale_reason. Others take their readiness (ready: topic_id, readiness) and have no reason.
+    """
     hit = links.join(changed.select("chapter_id"), "chapter_id", "left_semi").groupBy("topic_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_set("chapter_id")), lambda x: F.concat(F.lit("chapter "), x)), "\n").alias("reasons")
+        F.transform(F.array_sort(F.collect_set("chapter_id")), lambda x: F.concat(F.lit("chapter "), x)).alias("_new")
+    )
+    state = topics.join(hit, "topic_id").join(published.select("topic_id", "published"), "topic_id", "left").join(ready.select("topic_id", "readiness"), "topic_id")
+    kept = (F.col("status") == "RUNNING") | F.coalesce("published", F.lit(False))
+    before = F.filter(F.split(F.coalesce("stale_reason", F.lit("")), "\n"), lambda x: x != "")
+    status = F.when(F.col("status") == "RUNNING", "RUNNING").when(kept, "STALE").otherwise(F.col("readiness"))
+    reasons = F.when(kept, F.array_join(F.array_union(before, "_new"), "\n")).otherwise("")
+    return state.select("topic_id", status.alias("status"), reasons.alias("reasons"))
+
+
+def merge_topics(topics: DataFrame, links: DataFrame, published: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(topics, links, decisions): the topics that wanted (topic_id, merged_id) names for one merged_id become that new topic.
+
+    A merge needs two topics at least, all of one course, none running or published, and a chapter.
+    The new topic is an unconfirmed DRAFT with the chapters of all; refused merges change nothing.
+    decisions: merged_id, accepted. topics: topic_id, course_id, status, confirmed.
+    """
+    has = links.select("topic_id").distinct().withColumn("_has", F.lit(True))
+    met = wanted.distinct().join(topics, "topic_id", "left").join(published.select("topic_id", "published"), "topic_id", "left").join(has, "topic_id", "left")
+    fair = (
+        (F.count(F.lit(1)) >= 2) & (F.min("course_id") == F.max("course_id")) & F.bool_and(F.col("course_id").isNotNull())
+        & ~F.bool_or(F.col("status") == "RUNNING") & ~F.bool_or(F.coalesce("published", F.lit(False))) & F.bool_or(F.coalesce("_has", F.lit(False)))
+    )
+    decisions = met.groupBy("merged_id").agg(F.coalesce(fair, F.lit(False)).alias("accepted"), F.min("course_id").alias("course_id"))
+    done = decisions.where("accepted").select("merged_id", "course_id")
+    gone = wanted.distinct().join(done.select("merged_id"), "merged_id")
+    new = done.select(F.col("merged_id").alias("topic_id"), "course_id", F.lit("DRAFT").alias("status"), F.lit(False).alias("confirmed"))
+    left = topics.select(new.columns).join(gone, "topic_id", "left_anti")
+    moved = links.join(gone, "topic_id").select(F.col("merged_id").alias("topic_id"), "chapter_id").distinct()
+    stay = links.select("topic_id", "chapter_id").join(gone, "topic_id", "left_anti")
+    return left.union(new), stay.union(moved), decisions.select("merged_id", "accepted")
+
+
+def split_topics(topics: DataFrame, links: DataFrame, published: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(topics, links, decisions): the chapters that wanted (topic_id, chapter_id, new_id) names leave their topic for the new one.
+
+    Running topics are protected, and the chapters have to be a proper subset of the topic's. The
+    topic that is left becomes STALE if it is published, else an unconfirmed DRAFT; so is the new
+    one. decisions: topic_id, new_id, accepted. topics: topic_id, course_id, status, confirmed.
+    """
+    asked = wanted.distinct()
+    own = links.select("topic_id", "chapter_id").distinct()
+    met = asked.join(own.withColumn("_own", F.lit(True)), ["topic_id", "chapter_id"], "left").groupBy("topic_id", "new_id").agg(
+        F.bool_and(F.coalesce("_own", F.lit(False))).alias("_all"), F.count(F.lit(1)).alias("_n")
+    )
+    size = own.groupBy("topic_id").agg(F.count(F.lit(1)).alias("_size"))
+    state = met.join(topics.select("topic_id", "course_id", "status"), "topic_id").join(size, "topic_id").join(published.select("topic_id", "published"), "topic_id", "left")
+    fair = F.col("_all") & (F.col("_n") < F.col("_size")) & (F.col("status") != "RUNNING")
+    decisions = state.select("topic_id", "new_id", "course_id", F.coalesce("published", F.lit(False)).alias("published"), fair.alias("accepted"))
+    done = decisions.where("accepted")
+    new = done.select(F.col("new_id").alias("topic_id"), "course_id", F.lit("DRAFT").alias("status"), F.lit(False).alias("confirmed"))
+    old = topics.select(new.columns).join(done.select("topic_id", "published", F.lit(True).alias("_cut")), "topic_id", "left")
+    cut = F.col("_cut").isNotNull()
+    old = old.select(
+        "topic_id", "course_id", F.when(cut & F.col("published"), "STALE").when(cut, "DRAFT").otherwise(F.col("status")).alias("status"),
+        (F.col("confirmed") & (~cut | F.col("published"))).alias("confirmed"),
     )
-    state = topics.join(hit, "topic_id").join(published.select("topic_id", "published"), "topic_id", "left")
-    status = F.when(F.col("status") == "RUNNING", "RUNNING").when(F.coalesce("published", F.lit(False)), "STALE").otherwise("NOT_READY")
-    return state.select("topic_id", status.alias("status"), "reasons")
+    moved = asked.join(done.select("topic_id", "new_id"), ["topic_id", "new_id"])
+    stay = own.join(moved.select("topic_id", "chapter_id"), ["topic_id", "chapter_id"], "left_anti")
+    return old.union(new), stay.union(moved.select("new_id", "chapter_id")), decisions.select("topic_id", "new_id", "accepted")
+
+
+def confirm_drafts(chapters: DataFrame, snapshots: DataFrame, expected: DataFrame, parent: str) -> DataFrame:
+    """chapters with new status and confirmed_snapshot: all of a parent are confirmed together, with its snapshot frozen.
+
+    That needs the fingerprint that was expected (parent, expected) and no chapter that isn't a
+    DRAFT; else nothing changes. snapshots: parent, snapshot, fingerprint.
+    """
+    drafts = chapters.groupBy(parent).agg(F.bool_and(F.col("status") == "DRAFT").alias("_drafts"))
+    fit = snapshots.join(expected, parent).where("fingerprint = expected").join(drafts.where("_drafts"), parent)
+    met = chapters.join(fit.select(parent, F.col("snapshot").alias("confirmed_snapshot")), parent, "left")
+    return met.withColumn("status", F.when(F.col("confirmed_snapshot").isNotNull(), "CONFIRMED").otherwise(F.col("status")))
 
 
 def expire_runs(runs: DataFrame, published: DataFrame, now: int, ttl: int) -> DataFrame:

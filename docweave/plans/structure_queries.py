@@ -403,21 +403,51 @@ def _(t: Tables) -> DataFrame:
     return m.replace_group(t.chapters.select("source_id", "title", "seq"), drafts, "source_id")
 
 
-@query("mut_confirm_drafts", _PRINT)
+@query("mut_confirm_drafts", """WITH p AS (SELECT source_id, string_agg(concat_ws('~', seq::VARCHAR, title), ';' ORDER BY seq) AS frozen, bool_and(status = 'DRAFT') AS drafts FROM chapters GROUP BY source_id)
+    SELECT chapter_id, CASE WHEN ok THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN ok THEN frozen END AS confirmed_snapshot
+    FROM (SELECT c.chapter_id, c.status, p.frozen, p.drafts AND c.source_id % 3 <> 0 AS ok FROM chapters c JOIN p USING (source_id))""")
 def _(t: Tables) -> DataFrame:
-    return chapter_print(t)
+    now = r.snapshot(t.chapters, "source_id", ["seq"], ["seq", "title"])
+    expected = now.select("source_id", F.when(F.col("source_id") % 3 != 0, F.col("fingerprint")).otherwise("outdated").alias("expected"))
+    return m.confirm_drafts(t.chapters, now, expected, "source_id").select("chapter_id", "status", "confirmed_snapshot")
 
 
-@query("mut_merge_topics", "SELECT DISTINCT topic_id - topic_id % 2 AS topic_id, chapter_id FROM topic_chapters")
-def _(t: Tables) -> DataFrame:
-    target = t.topic_chapters.select((F.col("topic_id") - F.col("topic_id") % 2).alias("topic_id"), "chapter_id")
-    return target.distinct()
+_TARGET = "10000000 + CASE WHEN topic_id // 50 % 4 = 3 THEN topic_id - topic_id % 2 ELSE topic_id - topic_id % 50 + topic_id % 25 END"
+
+
+def topic_sizes(topics: DataFrame, links: DataFrame) -> DataFrame:
+    size = links.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_chapters"))
+    return topics.join(size, "topic_id", "left").select("topic_id", "course_id", "status", "confirmed", F.coalesce("n_chapters", F.lit(0)).cast("long").alias("n_chapters"))
 
 
-@query("mut_split_topic", "SELECT topic_id, chapter_id FROM topic_chapters WHERE chapter_id % 4 <> 0 UNION ALL SELECT topic_id + 1000000, chapter_id FROM topic_chapters WHERE chapter_id % 4 = 0")
+@query("mut_merge_topics", f"""WITH g AS (SELECT *, {_TARGET} AS merged_id FROM topics),
+    d AS (SELECT merged_id, min(course_id) AS course_id FROM g GROUP BY merged_id HAVING count(*) >= 2 AND count(DISTINCT course_id) = 1
+      AND NOT bool_or(status = 'RUNNING') AND NOT bool_or(topic_id IN (SELECT topic_id FROM topic_notes)) AND bool_or(topic_id IN (SELECT topic_id FROM topic_chapters)))
+    SELECT topic_id, course_id, status, confirmed, (SELECT count(*) FROM topic_chapters l WHERE l.topic_id = g.topic_id) AS n_chapters FROM g WHERE merged_id NOT IN (SELECT merged_id FROM d)
+    UNION ALL SELECT merged_id, course_id, 'DRAFT', false, (SELECT count(DISTINCT chapter_id) FROM topic_chapters l JOIN g USING (topic_id) WHERE g.merged_id = d.merged_id) FROM d""")
 def _(t: Tables) -> DataFrame:
-    moved = t.topic_chapters.where("chapter_id % 4 = 0")
-    return t.topic_chapters.exceptAll(moved).unionAll(moved.select((F.col("topic_id") + 1000000).alias("topic_id"), "chapter_id"))
+    k = F.col("topic_id")
+    target = F.when(F.floor(k / 50) % 4 == 3, k - k % 2).otherwise(k - k % 50 + k % 25) + 10000000
+    published = r.published(t.topics.select("topic_id"), t.topic_notes)
+    topics, links, _ = m.merge_topics(t.topics, t.topic_chapters, published, t.topics.select("topic_id", target.alias("merged_id")))
+    return topic_sizes(topics, links)
+
+
+@query("mut_split_topic", """WITH w AS (SELECT topic_id, chapter_id FROM topic_chapters WHERE chapter_id % 4 = 0 UNION ALL SELECT topic_id, -1 FROM topics WHERE topic_id % 7 = 0),
+    d AS (SELECT t.topic_id, t.course_id, t.topic_id IN (SELECT topic_id FROM topic_notes) AS published FROM topics t WHERE t.status <> 'RUNNING'
+      AND EXISTS (SELECT 1 FROM w WHERE w.topic_id = t.topic_id) AND NOT EXISTS (SELECT 1 FROM w WHERE w.topic_id = t.topic_id AND w.chapter_id = -1)
+      AND EXISTS (SELECT 1 FROM topic_chapters l WHERE l.topic_id = t.topic_id AND l.chapter_id % 4 <> 0)),
+    s AS (SELECT topic_id, count(*) AS n, count(*) FILTER (chapter_id % 4 = 0) AS cut FROM topic_chapters GROUP BY topic_id)
+    SELECT t.topic_id, t.course_id, CASE WHEN d.published THEN 'STALE' WHEN d.topic_id IS NOT NULL THEN 'DRAFT' ELSE t.status END AS status,
+      t.confirmed AND (d.topic_id IS NULL OR d.published) AS confirmed, CASE WHEN d.topic_id IS NULL THEN coalesce(n, 0) ELSE n - cut END AS n_chapters
+    FROM topics t LEFT JOIN d USING (topic_id) LEFT JOIN s USING (topic_id)
+    UNION ALL SELECT topic_id + 10000000, course_id, 'DRAFT', false, cut FROM d JOIN s USING (topic_id)""")
+def _(t: Tables) -> DataFrame:
+    foreign = t.topics.where("topic_id % 7 = 0").select("topic_id", F.lit(-1).cast("long").alias("chapter_id"))
+    wanted = t.topic_chapters.where("chapter_id % 4 = 0").select("topic_id", "chapter_id").union(foreign).withColumn("new_id", F.col("topic_id") + 10000000)
+    published = r.published(t.topics.select("topic_id"), t.topic_notes)
+    topics, links, _ = m.split_topics(t.topics, t.topic_chapters, published, wanted)
+    return topic_sizes(topics, links)
 
 
 @query("mut_reorder", "SELECT source_id, chapter_id, CASE WHEN source_id % 2 = 0 THEN count(*) OVER (PARTITION BY source_id) - 1 - seq ELSE seq END AS seq, source_id % 2 = 0 OR count(*) OVER (PARTITION BY source_id) = 1 AS accepted FROM chapters")
@@ -434,10 +464,14 @@ def _(t: Tables) -> DataFrame:
     return left["parents"].select(F.lit("chapters").alias("kind"), F.col("chapter_id").alias("id")).union(left["notes"].select(F.lit("notes"), "note_id"))
 
 
-@query("mut_propagate_stale", "SELECT t.topic_id, CASE WHEN t.status = 'RUNNING' THEN 'RUNNING' WHEN t.topic_id % 4 = 0 THEN 'STALE' ELSE 'NOT_READY' END AS status, string_agg('chapter ' || l.chapter_id, chr(10) ORDER BY l.chapter_id) AS reasons FROM topics t JOIN topic_chapters l USING (topic_id) WHERE l.chapter_id % 11 = 0 GROUP BY t.topic_id, t.status")
+@query("mut_propagate_stale", f"""WITH h AS (SELECT topic_id, string_agg('chapter ' || chapter_id, chr(10) ORDER BY chapter_id) AS hit FROM topic_chapters WHERE chapter_id IN (SELECT chapter_id FROM reviews WHERE stale) GROUP BY topic_id)
+    SELECT topic_id, CASE WHEN status = 'RUNNING' THEN 'RUNNING' WHEN published THEN 'STALE' ELSE readiness END AS status,
+      CASE WHEN status = 'RUNNING' OR published THEN concat_ws(chr(10), CASE WHEN topic_id % 5 = 0 THEN 'earlier' END, hit) ELSE '' END AS reasons
+    FROM (SELECT *, topic_id IN (SELECT topic_id FROM topic_notes) AS published FROM ({_READY})) JOIN h USING (topic_id)""")
 def _(t: Tables) -> DataFrame:
     published = r.published(t.topics.select("topic_id"), t.topic_notes)
-    return m.propagate_stale(t.topics, t.topic_chapters, t.reviews.where("stale"), published)
+    topics = t.topics.withColumn("stale_reason", F.when(F.col("topic_id") % 5 == 0, "earlier"))
+    return m.propagate_stale(topics, t.topic_chapters, t.reviews.where("stale"), published, r.readiness(t.topics, reviewed(t)))
 
 
 @query("mut_refresh_status", f"SELECT topic_id, CASE WHEN status IN ('DRAFT', 'NOT_READY', 'READY') THEN readiness ELSE status END AS status FROM ({_READY})")
