@@ -403,13 +403,16 @@ def _(t: Tables) -> DataFrame:
     return m.replace_group(t.chapters.select("source_id", "title", "seq"), drafts, "source_id")
 
 
-@query("mut_confirm_drafts", """WITH p AS (SELECT source_id, string_agg(concat_ws('~', seq::VARCHAR, title), ';' ORDER BY seq) AS frozen, bool_and(status = 'DRAFT') AS drafts FROM chapters GROUP BY source_id)
+@query("mut_confirm_drafts", """WITH c AS (SELECT chapter_id, source_id, seq, title, CASE WHEN source_id % 2 = 0 THEN 'DRAFT' ELSE status END AS status FROM chapters),
+    p AS (SELECT source_id, string_agg(concat_ws('~', seq::VARCHAR, title), ';' ORDER BY seq) AS frozen, bool_and(status = 'DRAFT') AS drafts FROM c GROUP BY source_id)
     SELECT chapter_id, CASE WHEN ok THEN 'CONFIRMED' ELSE status END AS status, CASE WHEN ok THEN frozen END AS confirmed_snapshot
-    FROM (SELECT c.chapter_id, c.status, p.frozen, p.drafts AND c.source_id % 3 <> 0 AS ok FROM chapters c JOIN p USING (source_id))""")
+    FROM (SELECT c.chapter_id, c.status, p.frozen, p.drafts AND c.source_id % 3 <> 0 AS ok FROM c JOIN p USING (source_id))""")
 def _(t: Tables) -> DataFrame:
-    now = r.snapshot(t.chapters, "source_id", ["seq"], ["seq", "title"])
+    redrafted = F.when(F.col("source_id") % 2 == 0, "DRAFT").otherwise(F.col("status"))
+    chapters = t.chapters.withColumn("status", redrafted)
+    now = r.snapshot(chapters, "source_id", ["seq"], ["seq", "title"])
     expected = now.select("source_id", F.when(F.col("source_id") % 3 != 0, F.col("fingerprint")).otherwise("outdated").alias("expected"))
-    return m.confirm_drafts(t.chapters, now, expected, "source_id").select("chapter_id", "status", "confirmed_snapshot")
+    return m.confirm_drafts(chapters, now, expected, "source_id").select("chapter_id", "status", "confirmed_snapshot")
 
 
 _TARGET = "10000000 + CASE WHEN topic_id // 50 % 4 = 3 THEN topic_id - topic_id % 2 ELSE topic_id - topic_id % 50 + topic_id % 25 END"

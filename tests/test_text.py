@@ -165,3 +165,11 @@ def test_balanced_and_images(spark):
     assert values(spark, balanced, ("A[b(c)]",), ("A[b(c])",), ("]",), ("",)) == [True, False, False, True]
     md = "a ![x](data:image/png;base64,QUJD) b ![](data:image/gif;base64,QQ==)"
     assert values(spark, without_images, (md,)) == ["a ![](img_000.png) b ![](img_001.gif)"]
+
+
+def test_documents_with_separators_come_back_whole(spark):
+    from docweave.sources.documents import text_documents
+
+    rows = [("a", "one\x1etwo\x1fthree\n\nfour"), ("b", ""), ("c", "tab\tquote\" back\\slash \u2028 é😀")]
+    got = text_documents(spark.createDataFrame(rows, "name string, text string"))
+    assert sorted((r.name, r.text) for r in got.collect()) == rows
