@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.operators.rendering import TOPIC_SECTIONS
+
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"
 )
@@ -100,6 +102,17 @@ for _engine, _to in (("spark", SPARK_ONLY), ("duck", BINDINGS)):
     _to["blocks_a"] = _BLOCKS.format(text="line", y="(i % 40) * 0.025", lines=_LINES[_engine], where="")
     _to["blocks_b"] = _BLOCKS.format(lines=_LINES[_engine], **_OTHER)
 
+# Topic blocks and cards: a part's first fourteen lines, in the fixed order of kinds, and its returned lines.
+BINDINGS["chapter_labels"] = """SELECT chapters.chapter_id, chapters.source_id, chapters.seq, chapters.title,
+    concat('[《', sources.title, ' ', CAST(chapters.source_id AS STRING), '》·第 ', CAST(chapters.seq + 1 AS STRING), ' 章]') AS label
+    FROM chapters JOIN sources ON sources.source_id = chapters.source_id"""
+_KIND = " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(TOPIC_SECTIONS, 1))
+BINDINGS["topic_blocks"] = f"""SELECT topic_id, CASE seq {_KIND} END AS kind, CASE WHEN seq > 12 THEN concat('graph TD', chr(10), 'A --> B', CAST(l_orderkey AS STRING)) ELSE concat('text of ', CAST(l_orderkey AS STRING)) END AS content FROM (
+    SELECT l_partkey AS topic_id, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, line_id) AS seq FROM line_rows) numbered WHERE seq <= 14"""
+BINDINGS["topic_card_rows"] = """SELECT card_id, topic_id, 'concept' AS card_type, returned.title, content, coalesce(label, '[《none》·第 1 章]') AS ref FROM (
+    SELECT l_orderkey * 1000 + line_id AS card_id, l_partkey AS topic_id, concat('card ', CAST(l_suppkey AS STRING)) AS title, concat('content of ', CAST(l_orderkey AS STRING)) AS content,
+      CASE WHEN l_suppkey % 53 = 7 THEN -1 ELSE l_orderkey END AS chapter_ref FROM line_rows WHERE l_returnflag = 'R') returned LEFT JOIN chapter_labels ON chapter_labels.chapter_id = chapter_ref"""
+
 
 class Tables:
     """The given and the logical tables as attributes."""

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import word_tokens
+from docweave.operators import changes as m
 from docweave.operators import relational as r
+from docweave.operators import rounds as q
 from docweave.operators import sections as s
+from docweave.operators.rendering import topic_bundle
 
 
 def section_report(docs: DataFrame) -> DataFrame:
@@ -79,27 +82,60 @@ def answered(runs: DataFrame) -> DataFrame:
     return runs.withColumn("answer", F.concat_ws(":", "executor", "round_key", F.length("output")))
 
 
-def chapter_reading(runs: DataFrame) -> DataFrame:
-    """(chapter_id, n_rounds, published): answers of finished rounds in order."""
-    done = answered(routed(runs.where("status = 'DONE'"))).withColumn("text", F.concat_ws(":", "round_key", F.length("output")))
-    return done.groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n_rounds"), r.ordered_list(["run_id"], "text", ";").alias("published"))
+def chapter_reading(chapters: DataFrame, notes: DataFrame, current: DataFrame, executor: q.Executor) -> DataFrame:
+    """(chapter_id, failed, n_blocks, note): each chapter's note after its rounds.
 
-
-def topic_fusion(topics: DataFrame, links: DataFrame) -> DataFrame:
-    """(topic_id, n_chapters, fingerprint, bundle): the snapshot of a topic's chapters and its rendered map."""
-    snap = r.snapshot(links, "topic_id", ["chapter_id"], ["chapter_id"])
-    lines = links.withColumn("text", F.concat(F.lit("- chapter "), "chapter_id")).groupBy("topic_id").agg(r.ordered_list(["chapter_id"], "text", "\n").alias("lines"))
-    joined = links.groupBy("topic_id").agg(r.ordered_list(["chapter_id"], "chapter_id").alias("ids")).join(snap.select("topic_id", "n"), "topic_id")
-    met = joined.join(lines, "topic_id").join(topics.select("topic_id", "title"), "topic_id")
-    return met.select("topic_id", F.col("n").alias("n_chapters"), F.sha2("ids", 256).alias("fingerprint"), F.concat(F.lit("# "), "title", F.lit("\n"), "lines").alias("bundle"))
-
-
-def topic_sections(topics: DataFrame, links: DataFrame, notes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(topic_id, title, lines, sections): how many blocks of each kind a topic's bundle has, kinds in fixed order."""
-    order = topics.sparkSession.createDataFrame([(k, i) for i, k in enumerate(kinds)], "kind string, pos int")
-    met = links.join(notes.select("chapter_id", "kind"), "chapter_id").groupBy("topic_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    met = met.join(F.broadcast(order), "kind").join(topics.select("topic_id", "title"), "topic_id").withColumn("text", F.concat_ws(":", "kind", "n"))
-    return met.groupBy("topic_id", "title").agg(F.count(F.lit(1)).alias("lines"), r.ordered_list(["pos"], "text", ";").alias("sections"))
+    The prompt cites the chapter's notes; seven rounds are asked and checked one after the other; where all pass and
+    the fingerprint of the prompt is still the one in current (chapter_id, fingerprint), the fixed blocks replace
+    what was there. Other chapters keep their notes, with the first round that failed. Chapters without notes aren't asked.
+    """
+    cited = notes.groupBy("chapter_id").agg(F.collect_set(F.concat(F.lit("[src:"), "note_id", F.lit("]"))).alias("allowed"), F.min("note_id").alias("first"))
+    work = prompts(chapters, notes).join(chapters.select("chapter_id", "title"), "chapter_id").join(cited, "chapter_id", "left")
+    work = work.join(current.select("chapter_id", F.col("fingerprint").alias("now")), "chapter_id", "left")
+    rules = q.chapter_rules(F.col("allowed"), F.sha2("prompt", 256) == F.col("now"))
+    state = q.run_rounds(work, q.CHAPTER_ROUNDS, executor, rules, {"notes": F.size("allowed") > 0})
+    old = notes.select("chapter_id", "kind", F.col("kind").alias("title"), F.col("content").alias("body"), "seq")
+    after = m.replace_group(old, q.chapter_published(state), "chapter_id").withColumn("text", F.concat(F.lit("## "), "title", F.lit("\n\n"), "body"))
+    after = after.groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n"), r.ordered_list(["seq", "kind", "body"], "text", "\n\n").alias("note"))
+    return state.join(after, "chapter_id", "left").select("chapter_id", "failed", F.coalesce("n", F.lit(0)).alias("n_blocks"), F.coalesce("note", F.lit("")).alias("note"))
+
+
+def topic_fusion(topics: DataFrame, labels: DataFrame, executor: q.Executor) -> DataFrame:
+    """(topic_id, failed, fingerprint, note, card_file): snapshot, seven rounds, checks, publication and files of each topic.
+
+    labels are (topic_id, source_id, seq, title, label). Topics start if they are confirmed, not running, and have
+    sources with labels that differ; those whose rounds all pass are rendered, others have the first round that failed.
+    """
+    snap = labels.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "seq", "label")))["label"].alias("labels"))
+    head = F.concat(F.lit("Topic "), "title", F.lit("\n"), F.array_join("labels", "\n"))
+    work = topics.select("topic_id", "title", "status", "confirmed").join(snap, "topic_id", "left")
+    work = work.withColumn("prompt", head).withColumn("fingerprint", F.sha2(F.array_join("labels", ","), 256))
+    start = {"sources": F.size(F.array_distinct("labels")) == F.size("labels"), "confirmed": F.col("confirmed"), "running": F.col("status") != "RUNNING"}
+    state = q.run_rounds(work, q.TOPIC_ROUNDS, executor, q.topic_rules(F.col("labels")), start)
+    blocks, cards = q.topic_published(state)
+    passed = state.where("failed = ''").select("topic_id", "title", F.lit("PUBLISHED").alias("status"), "confirmed")
+    files = topic_bundle(passed, labels, blocks, cards).select("topic_id", "note", "card_file")
+    return state.select("topic_id", "failed", "fingerprint").join(files, "topic_id", "left")
+
+
+def topic_outline(parents: DataFrame, chapters: DataFrame, reviews: DataFrame, drafts: DataFrame, executor: q.Executor, most: int = 1000) -> DataFrame:
+    """(source_id, failed, n_topics, outline): each parent's draft topics after an outline was asked for.
+
+    Parents start if they have chapters, at most `most` (no prompt holds more; they are counted before any list is made),
+    and every review is done and not stale. A valid answer replaces the parent's drafts (source_id, title, chapter_ids).
+    """
+    met = chapters.select("source_id", "chapter_id", "title").join(reviews.select("chapter_id", "status", "stale"), "chapter_id", "left")
+    blocks = ~F.coalesce((F.col("status") == "DONE") & ~F.col("stale"), F.lit(False))
+    counts = met.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(blocks).alias("blocking"))
+    few = met.join(counts.where((F.col("n") <= most) & (F.col("blocking") == 0)), "source_id", "left_semi")
+    lists = few.groupBy("source_id").agg(F.array_sort(F.collect_list("chapter_id")).alias("ids"), r.ordered_list(["chapter_id"], "title", "\n").alias("prompt"))
+    work = parents.select("source_id").join(counts, "source_id", "left").join(lists, "source_id", "left")
+    start = {"chapters": F.col("n") > 0, "blocking": F.coalesce("blocking", F.lit(0)) == 0, "size": F.coalesce("n", F.lit(0)) <= most}
+    state = q.run_rounds(work, ["topic_outline"], executor, q.outline_rules(F.col("ids")), start)
+    made = state.where("failed = ''").select("source_id", F.inline(q.outline_answer()["topics"])).select("source_id", "title", "chapter_ids")
+    after = m.replace_group(drafts, made, "source_id").withColumn("text", F.concat_ws(":", "title", F.array_join("chapter_ids", ",")))
+    after = after.groupBy("source_id").agg(F.count(F.lit(1)).alias("k"), r.ordered_list(["title", "text"], "text", ";").alias("outline"))
+    return state.join(after, "source_id", "left").select("source_id", "failed", F.coalesce("k", F.lit(0)).alias("n_topics"), F.coalesce("outline", F.lit("")).alias("outline"))
 
 
 def incremental_sections(stream: DataFrame) -> DataFrame:

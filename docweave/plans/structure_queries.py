@@ -14,7 +14,7 @@ from docweave.operators import validation as v
 from docweave.plans import pipelines as pipe
 from docweave.plans.bindings import Tables
 from docweave.plans.registry import query
-from docweave.plans.relational_queries import _READY, KINDS, reviewed
+from docweave.plans.relational_queries import _READY, reviewed
 from docweave.plans.text_queries import _SECTIONS
 from docweave.streaming import events as st
 
@@ -207,13 +207,6 @@ def _(t: Tables) -> DataFrame:
     return pipe.note_skeleton(c.chapter_tree(t.page_lines), t.page_lines)
 
 
-@query("snk_note_markdown", f"WITH {_TREE}, lines AS (SELECT tree.source_id, tree.id, count(*) AS n FROM tree JOIN page_lines l ON l.source_id = tree.source_id AND l.page BETWEEN tree.page_start AND tree.page_end GROUP BY tree.source_id, tree.id) SELECT source_id, count(*) AS notes, sum(n)::BIGINT AS evidence FROM lines GROUP BY source_id")
-def _(t: Tables) -> DataFrame:
-    notes = F.explode(F.split("note", "\n- ")).alias("line")
-    each = pipe.note_skeleton(c.chapter_tree(t.page_lines), t.page_lines).select("source_id", "id", notes).where(~F.col("line").startswith("# "))
-    return each.groupBy("source_id").agg(F.countDistinct("id").alias("notes"), F.count(F.lit(1)).alias("evidence"))
-
-
 # Validation ----------------------------------------------------------------------------------------
 
 
@@ -573,27 +566,6 @@ def _(t: Tables) -> DataFrame:
     return pipe.answered(pipe.routed(t.runs)).select("run_id", "answer")
 
 
-@query("pipe_chapter_reading", "SELECT chapter_id, count(*) AS n_rounds, string_agg(round_key || ':' || length(output), ';' ORDER BY run_id) AS published FROM runs WHERE status = 'DONE' GROUP BY chapter_id")
-def _(t: Tables) -> DataFrame:
-    return pipe.chapter_reading(t.runs)
-
-
-@query("pipe_topic_outline", "SELECT course_id, count(*) AS n_topics, string_agg(topic_id::VARCHAR, ',' ORDER BY seq, topic_id) AS outline FROM topics WHERE length(title) <= 10 GROUP BY course_id")
-def _(t: Tables) -> DataFrame:
-    good = v.accepted(v.checked(t.topics, {"title": F.length("title") <= 10}))
-    return good.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_topics"), r.ordered_list(["seq", "topic_id"], "topic_id").alias("outline"))
-
-
-@query("pipe_topic_fusion", "SELECT topic_id, count(*) AS n_chapters, sha256(string_agg(chapter_id::VARCHAR, ',' ORDER BY chapter_id)) AS fingerprint, '# ' || any_value(t.title) || chr(10) || string_agg('- chapter ' || chapter_id, chr(10) ORDER BY chapter_id) AS bundle FROM topic_chapters JOIN topics t USING (topic_id) GROUP BY topic_id")
-def _(t: Tables) -> DataFrame:
-    return pipe.topic_fusion(t.topics, t.topic_chapters)
-
-
-@query("snk_topic_bundle", "SELECT topic_id, title, count(*) AS lines, string_agg(kind || ':' || n, ';' ORDER BY pos) AS sections FROM (SELECT l.topic_id, t.title, n.kind, list_position(['summary', 'concepts', 'diagram', 'examples', 'questions', 'risks', 'cards'], n.kind) AS pos, count(*) AS n FROM topic_chapters l JOIN topics t USING (topic_id) JOIN note_blocks n USING (chapter_id) GROUP BY ALL) GROUP BY topic_id, title")
-def _(t: Tables) -> DataFrame:
-    return pipe.topic_sections(t.topics, t.topic_chapters, t.note_blocks, KINDS)
-
-
 @query("pipe_course_dashboard", f"WITH d AS ({_READY}) SELECT t.course_id, count(*) AS n_topics, count(*) FILTER (d.readiness = 'READY') AS ready, sum(d.n_chapters)::BIGINT AS links, sum(d.n_blocking)::BIGINT AS blocking FROM topics t JOIN d USING (topic_id) GROUP BY t.course_id")
 def _(t: Tables) -> DataFrame:
     now = r.readiness(t.topics, reviewed(t))

@@ -495,9 +495,3 @@ def _(t: Tables) -> DataFrame:
     from docweave.operators.enrich import display_titles
 
     return display_titles(t.sources.select("course_id", "source_id", "title"), "course_id", "source_id")
-
-
-@query("agg_reconcile_report", "SELECT model_name, count(*) AS n, count(*) FILTER (cost_micro = 0) AS cached, count(*) FILTER (tokens_in > 100) AS large FROM artifacts GROUP BY model_name")
-def _(t: Tables) -> DataFrame:
-    return t.artifacts.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cost_micro") == 0).alias("cached"), F.count_if(F.col("tokens_in") > 100).alias("large"))
-
