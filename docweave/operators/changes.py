@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docweave.operators.validation import violations
+
 
 def last_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
@@ -188,3 +190,33 @@ def conform(df: DataFrame, columns: Mapping[str, tuple[str, object]], version: i
     if version > known:
         raise ValueError(f"version {version} is newer than {known}")
     return df.select(*[(F.col(c) if c in df.columns else F.lit(default)).cast(kind).alias(c) for c, (kind, default) in columns.items()])
+
+
+def publish(parents: DataFrame, asked: DataFrame, current: DataFrame, leases: DataFrame, key: str, now: int, running: bool = True) -> DataFrame:
+    """(key, status, stale_reason, violations) of all parents (key, status, stale_reason) after publication of those asked for.
+
+    asked is (key, owner_id, expected, baseline), one row for each key. A parent is published, is COMPLETED and has no
+    stale reason any more, if it is RUNNING (unless running is False), its input still has the expected fingerprint
+    (current: key, fingerprint), its stale reason is the one it started with, and its owner's lease hasn't expired
+    (leases: key, owner_id, expires_at). Others stay as they are; what wasn't asked for has no violations either.
+    """
+    lease = leases.select(key, "owner_id", F.col("expires_at").alias("_until"))
+    want = asked.select(key, "owner_id", "expected", "baseline", F.lit(True).alias("_asked")).join(lease, [key, "owner_id"], "left")
+    met = parents.select(key, "status", "stale_reason").join(want, key, "left").join(current.select(key, F.col("fingerprint").alias("_now")), key, "left")
+    rules = {
+        "status": (F.col("status") == "RUNNING") | F.lit(not running),
+        "fingerprint": F.col("_now") == F.col("expected"),
+        "baseline": F.col("baseline").eqNullSafe(F.col("stale_reason")),
+        "lease": F.col("_until") > now,
+    }
+    out = met.withColumn("violations", F.when(F.col("_asked"), violations(rules)))
+    done = F.col("violations") == ""
+    status, reason = F.when(done, "COMPLETED").otherwise(F.col("status")), F.when(done, "").otherwise(F.col("stale_reason"))
+    return out.select(key, status.alias("status"), reason.alias("stale_reason"), "violations")
+
+
+def bind_publication(parents: DataFrame, evidence: DataFrame, key: str, model: str, ruleset: str, prompt: Column) -> DataFrame:
+    """parents bound to what they were made from: evidence (key, n, evidence), model, ruleset and prompt, and one fingerprint of all."""
+    met = parents.withColumn("prompt_fingerprint", F.sha2(prompt, 256)).join(evidence, key, "left")
+    met = met.withColumn("model", F.lit(model)).withColumn("ruleset", F.lit(ruleset))
+    return met.withColumn("publication", F.sha2(F.concat_ws("|", "evidence", "model", "ruleset", "prompt_fingerprint"), 256))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as x
 from docweave.operators import relational as r
 from docweave.operators.chapters import pages_of_chapters
+from docweave.operators.rounds import graph_lines
 from docweave.operators.validation import checked
 
 #: Kinds of a topic's blocks with their headings, in order.
@@ -134,3 +135,42 @@ def _one():
     from pyspark.sql.window import Window
 
     return Window.partitionBy(F.lit(1))
+
+
+#: Fixed value: markup that no note may hold.
+UNSAFE = r"(?is)<|javascript\s*:|\bon[a-z]+\s*=|%%\{"
+_HEADINGS = (*NOTE_SECTIONS, "知识结构图", "应用流程图")
+
+
+def _headings(note: Column) -> Column:
+    return F.regexp_extract_all(note, F.lit(r"(?m)^## (.+)$"), F.lit(1))
+
+
+def note_rules(note: Column, cited: Column) -> dict[str, Column]:
+    """Rules of a note's text: all citations there, four fences, two diagrams, the sections in order, no unsafe markup."""
+    fences = (F.length(note) - F.length(F.replace(note, F.lit("```"), F.lit("")))) / 3
+    return {
+        "citations": (F.size(cited) > 0) & (F.size(F.array_except(cited, x.citations(note))) == 0),
+        "fences": fences == 4,
+        "diagrams": (F.size(x.diagrams(note)) == 2) & F.forall(x.diagrams(note), graph_lines),
+        "sections": _headings(note) == F.array(*[F.lit(h) for h in _HEADINGS]),
+        "markup": ~note.rlike(UNSAFE),
+    }
+
+
+def generated_rules(base: Column, note: Column) -> dict[str, Column]:
+    """Rules of a generated note against the one it was made from.
+
+    The head with its fingerprints and the evidence stay as they are, sections keep their order, every section but the
+    diagrams cites evidence of the base and nothing else, and none waits for its text any more.
+    """
+    parts = lambda text: F.split(text, r"(?m)^## .+$")
+    part = lambda text, i: F.try_element_at(parts(text), F.lit(i))
+    sections = F.slice(parts(note), 2, len(NOTE_SECTIONS))
+    return {
+        "head": part(base, 1) == part(note, 1),
+        "sections": _headings(note) == _headings(base),
+        "evidence": part(base, 2) == part(note, 2),
+        "refs": (F.size(F.array_except(x.citations(note), x.citations(base))) == 0) & F.forall(sections, lambda z: F.size(x.citations(z)) > 0),
+        "texts": ~note.contains(NOTE_WAITS),
+    }

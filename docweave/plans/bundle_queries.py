@@ -12,6 +12,7 @@ from docweave.operators import pages as p
 from docweave.operators import relational as r
 from docweave.operators import rendering as render
 from docweave.operators import rounds as q
+from docweave.operators import validation as v
 from docweave.plans import pipelines as pipe
 from docweave.plans.bindings import Tables
 from docweave.plans.registry import query
@@ -43,7 +44,7 @@ _EDGES = (
 )
 
 
-@query("snk_note_markdown", f"""WITH {_TREE},
+_NOTES = f"""WITH {_TREE},
 inputs AS (SELECT source_id, sum(('0x' || substr(md5(concat_ws(':', page, line_no, line)), 1, 8))::UBIGINT)::VARCHAR AS input FROM page_lines GROUP BY source_id),
 held AS (SELECT tree.source_id, tree.id, l.page, l.line_no, {_SAFE.format('l.line')} AS safe FROM tree JOIN page_lines l ON l.source_id = tree.source_id AND l.page BETWEEN tree.page_start AND tree.page_end),
 cited AS (SELECT *, '- [src:' || source_id || ':p' || page || ':' || line_no || ']（PDF 第 ' || page || ' 页）：' || safe AS t FROM held WHERE safe <> ''),
@@ -53,11 +54,38 @@ heads AS (SELECT tree.source_id, tree.id, {_SAFE.format('tree.number')} AS numbe
 SELECT source_id, id, '# ' || number || ' ' || title || {_NL2} || '> 来源：PDF 第 ' || page_start || '–' || page_end || ' 页' || {_NL}
   || '> 输入指纹：`' || input || '`' || {_NL} || '> 章节指纹：`' || mark || '`' || {_NL} || '> OCR 证据指纹：`' || sha256(body) || '`' || {_NL}
   || '> 精读规则版本：`v1`' || {_NL2} || '## {render.NOTE_SECTIONS[0]}' || {_NL2} || body || {_NL2} || '{render.NOTE_RULE}' || {_NL2} || {_WAITING}
-  || '## 知识结构图' || {_NL2} || {_EDGES[0]} || {_NL2} || '## 应用流程图' || {_NL2} || {_EDGES[1]} || {_NL} AS note FROM heads""")
+  || '## 知识结构图' || {_NL2} || {_EDGES[0]} || {_NL2} || '## 应用流程图' || {_NL2} || {_EDGES[1]} || {_NL} AS note FROM heads"""
+
+
+@query("snk_note_markdown", _NOTES)
 def _(t: Tables) -> DataFrame:
     return render.note_markdown(c.chapter_tree(t.page_lines), t.page_lines, "v1")
 
 
+# What corrupts a note in the two queries below follows from the last character of its id.
+_LAST = "ascii(right(id, 1)) % 5"
+
+
+@query("val_note", f"SELECT source_id, id, CASE {_LAST} WHEN 0 THEN 'markup' WHEN 1 THEN 'sections' WHEN 2 THEN 'fences' WHEN 3 THEN 'citations' ELSE '' END AS violations FROM ({_NOTES})")
+def _(t: Tables) -> DataFrame:
+    notes = render.note_markdown(c.chapter_tree(t.page_lines), t.page_lines, "v1").withColumn("last", F.expr(_LAST))
+    swap = lambda a, b: F.replace("note", F.lit(a), F.lit(b))
+    bad = F.when(F.col("last") == 0, F.concat("note", F.lit("<b>"))).when(F.col("last") == 1, swap("## 核心概念", "## 核心"))
+    bad = bad.when(F.col("last") == 2, F.concat("note", F.lit("```"))).when(F.col("last") == 3, swap("[src:", "[sic:")).otherwise(F.col("note"))
+    return v.checked(notes, render.note_rules(bad, x.citations(F.col("note")))).select("source_id", "id", "violations")
+
+
+@query("val_generated_note", f"SELECT source_id, id, CASE {_LAST} WHEN 0 THEN 'head' WHEN 1 THEN 'sections' WHEN 2 THEN 'evidence' WHEN 3 THEN 'refs' ELSE '' END AS violations FROM ({_NOTES})")
+def _(t: Tables) -> DataFrame:
+    notes = render.note_markdown(c.chapter_tree(t.page_lines), t.page_lines, "v1").withColumn("last", F.expr(_LAST))
+    cite = F.when(F.col("last") == 3, "[src:0]").otherwise(F.element_at(x.citations("note"), 1))
+    notes = notes.withColumn("made", F.replace("note", F.lit(render.NOTE_WAITS), F.concat(F.lit("text "), cite)))
+    swap = lambda a, b: F.replace("made", F.lit(a), F.lit(b))
+    bad = F.when(F.col("last") == 0, swap("> 输入指纹：`", "> 输入指纹：`0")).when(F.col("last") == 1, swap("## 教材案例解读", "## 实际应用"))
+    bad = bad.when(F.col("last") == 2, swap(" 页）：", " 页）：!")).otherwise(F.col("made"))
+    return v.checked(notes, render.generated_rules(F.col("note"), bad)).select("source_id", "id", "violations")
+
+
 # Topics ----------------------------------------------------------------------------------------------
 
 
@@ -138,6 +166,52 @@ def _(t: Tables) -> DataFrame:
     return pipe.topic_fusion(t.topics, topic_labels(t), topic_stub)
 
 
+def topic_answers(t: Tables) -> DataFrame:
+    """Topics with their labels and the stub's answer of every round, checked or not."""
+    labels = topic_labels(t).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "seq", "label")))["label"].alias("labels"))
+    state = t.topics.select("topic_id", "title").join(labels, "topic_id").withColumn("asked", F.lit(""))
+    for key in q.TOPIC_ROUNDS:
+        state = topic_stub(key, state).withColumnRenamed("answer", key)
+    return state
+
+
+_LABELLED = "SELECT topic_id, count(DISTINCT label) AS n_labels, 6 + topic_id % 8 AS n FROM topic_chapters JOIN chapter_labels USING (chapter_id) GROUP BY topic_id"
+
+
+@query("val_topic_round", f"""SELECT topic_id, round_key, CASE WHEN round_key = 'comparison' AND topic_id % 13 = 0 THEN 'labels' WHEN round_key = 'cards' AND n NOT BETWEEN 8 AND 12 THEN 'number'
+  WHEN round_key = 'review' AND topic_id % 11 = 0 THEN 'passed' ELSE '' END AS violations FROM ({_LABELLED}), (SELECT unnest([{', '.join(f"'{k}'" for k in q.TOPIC_ROUNDS)}]) AS round_key)""")
+def _(t: Tables) -> DataFrame:
+    rules = q.topic_rules(F.col("labels"))
+    each = [F.struct(F.lit(k).alias("round_key"), v.violations(rules[k]).alias("violations")) for k in q.TOPIC_ROUNDS]
+    return topic_answers(t).select("topic_id", F.inline(F.array(*each)))
+
+
+@query("val_topic_local", f"SELECT topic_id, CASE WHEN topic_id % 3 = 0 AND n < n_labels THEN 'sources' ELSE '' END AS violations FROM ({_LABELLED})")
+def _(t: Tables) -> DataFrame:
+    cut = F.when(F.col("topic_id") % 3 == 0, F.replace("alignment", F.array_join("labels", "、"), F.lit("none"))).otherwise(F.col("alignment"))
+    local = q.topic_rules(F.col("labels"))["review"]
+    return v.checked(topic_answers(t).withColumn("alignment", cut), {k: local[k] for k in ("sources", "size")}).select("topic_id", "violations")
+
+
+@query("mut_publish_topic", """WITH s AS (SELECT topic_id, sha256(string_agg(chapter_id::VARCHAR, ',' ORDER BY chapter_id)) AS fingerprint FROM topic_chapters GROUP BY topic_id),
+f AS (SELECT t.topic_id, t.status, CASE WHEN t.topic_id % 5 = 0 THEN 'earlier' ELSE '' END AS stale_reason, CASE WHEN t.topic_id % 4 <> 3 THEN concat_ws(',', CASE WHEN t.status <> 'RUNNING' THEN 'status' END,
+  CASE WHEN s.fingerprint IS NULL OR t.topic_id % 7 = 0 THEN 'fingerprint' END, CASE WHEN t.topic_id % 10 = 5 THEN 'baseline' END, CASE WHEN t.topic_id % 11 = 0 OR t.updated_at + 600 <= 800 THEN 'lease' END) END AS violations
+  FROM topics t LEFT JOIN s USING (topic_id))
+SELECT f.topic_id, CASE WHEN violations = '' THEN 'COMPLETED' ELSE status END AS status, CASE WHEN violations = '' THEN '' ELSE stale_reason END AS stale_reason, violations,
+  CASE WHEN violations = '' THEN 14 ELSE (SELECT count(*) FROM topic_blocks b WHERE b.topic_id = f.topic_id) END AS n_blocks FROM f""")
+def _(t: Tables) -> DataFrame:
+    topic, now = F.col("topic_id"), t.topic_chapters.groupBy("topic_id").agg(F.sha2(r.ordered_list(["chapter_id"], "chapter_id"), 256).alias("fingerprint"))
+    parents = t.topics.select("topic_id", "status", F.when(topic % 5 == 0, "earlier").otherwise("").alias("stale_reason"))
+    expected = F.when(topic % 7 == 0, "old").otherwise(F.col("fingerprint"))
+    asked = now.where("topic_id % 4 <> 3").select("topic_id", F.lit("worker").alias("owner_id"), expected.alias("expected"), F.when(topic % 10 == 0, "earlier").otherwise("").alias("baseline"))
+    asked = asked.unionByName(t.topics.where("topic_id % 4 <> 3").join(now, "topic_id", "left_anti").select("topic_id", F.lit("worker").alias("owner_id"), F.lit(None).cast("string").alias("expected"), F.when(topic % 10 == 0, "earlier").otherwise("").alias("baseline")))
+    leases = t.topics.select("topic_id", F.when(topic % 11 == 0, "other").otherwise("worker").alias("owner_id"), (F.col("updated_at") + 600).alias("expires_at"))
+    out = m.publish(parents, asked, now, leases, "topic_id", 800)
+    made = out.where("violations = ''").select("topic_id", F.explode(F.array(*[F.lit(k) for k in render.TOPIC_SECTIONS])).alias("kind"))
+    blocks = m.replace_group(t.topic_blocks.select("topic_id", "kind"), made, "topic_id").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return out.join(blocks, "topic_id", "left").fillna(0, ["n_blocks"])
+
+
 # Chapters and outlines ---------------------------------------------------------------------------------
 
 
@@ -189,3 +263,26 @@ SELECT source_id, failed, CASE WHEN failed = '' THEN len(made) ELSE n END AS n_t
 def _(t: Tables) -> DataFrame:
     drafts = t.chapters.where("status = 'DRAFT'").select("source_id", "title", F.array("chapter_id").alias("chapter_ids"))
     return pipe.topic_outline(t.sources, t.chapters.where("status = 'CONFIRMED'"), t.reviews, drafts, outline_stub)
+
+
+@query("mut_publish_chapter", """WITH l AS (SELECT chapter_id, max(heartbeat_at) + 600 AS expires FROM runs GROUP BY chapter_id), n AS (SELECT chapter_id, count(*) AS n FROM note_blocks GROUP BY chapter_id),
+f AS (SELECT c.chapter_id, c.status, concat_ws(',', CASE WHEN c.chapter_id % 19 = 0 THEN 'fingerprint' END, CASE WHEN expires IS NULL OR expires <= 2400 THEN 'lease' END) AS violations, coalesce(n, 0) AS n FROM chapters c LEFT JOIN l USING (chapter_id) LEFT JOIN n USING (chapter_id))
+SELECT chapter_id, CASE WHEN violations = '' THEN 'COMPLETED' ELSE status END AS status, '' AS stale_reason, violations, CASE WHEN violations = '' THEN 7 ELSE n END AS n_blocks FROM f""")
+def _(t: Tables) -> DataFrame:
+    asked = pipe.prompts(t.chapters, t.note_blocks).select("chapter_id", F.sha2("prompt", 256).alias("expected"), F.lit("worker").alias("owner_id"), F.lit("").alias("baseline"))
+    now = asked.select("chapter_id", F.when(F.col("chapter_id") % 19 == 0, "changed").otherwise(F.col("expected")).alias("fingerprint"))
+    leases = t.runs.groupBy("chapter_id").agg((F.max("heartbeat_at") + 600).alias("expires_at")).withColumn("owner_id", F.lit("worker"))
+    parents = t.chapters.select("chapter_id", "status", F.lit("").alias("stale_reason"))
+    out = m.publish(parents, asked, now, leases, "chapter_id", 2400, running=False)
+    made = out.where("violations = ''").select("chapter_id", F.explode(F.array(*[F.lit(k) for k in q.CHAPTER_BLOCKS])).alias("kind"))
+    blocks = m.replace_group(t.note_blocks.select("chapter_id", "kind"), made, "chapter_id").groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return out.join(blocks, "chapter_id", "left").fillna(0, ["n_blocks"])
+
+
+@query("mut_bind_publication", """SELECT *, sha256(concat_ws('|', evidence, model, ruleset, prompt_fingerprint)) AS publication FROM (
+SELECT b.batch_id, sha256('read ' || b.batch_id) AS prompt_fingerprint, count(t.task_id) AS n_tasks, sha256(coalesce(string_agg(t.file_hash, ',' ORDER BY t.task_id), '')) AS evidence, 'stub' AS model, 'v1' AS ruleset
+FROM batches b LEFT JOIN tasks t USING (batch_id) GROUP BY b.batch_id)""")
+def _(t: Tables) -> DataFrame:
+    nested = r.nest(t.batches.select("batch_id"), t.tasks, "batch_id", ["task_id"], "file_hash")
+    evidence = nested.select("batch_id", F.col("n_children").alias("n_tasks"), F.sha2("children", 256).alias("evidence"))
+    return m.bind_publication(t.batches.select("batch_id"), evidence, "batch_id", "stub", "v1", F.concat(F.lit("read "), "batch_id"))
