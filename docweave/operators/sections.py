@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,29 @@ from docweave.functions.text import LINE_ENDS, section_title, word_tokens
 
 #: Where long units are cut and short ones join the one before.
 LONGEST, SHORTEST = 4000, 100
-#: Separates units; it can't stand in a text that comes from JSON or Parquet strings of notes.
+#: Separates units. A text that holds it itself is read with the first of the noncharacters that it doesn't hold instead.
 CUT = "\0"
+STAND_INS = ("\ufdd0", "\ufdd1", "\ufdd2")
 #: What begins a line and ends it, and the form of a table.
 _AT_LINE = f"(?<![^{LINE_ENDS}])"
 _END = f"(?:\r\n|[{LINE_ENDS}])"
 TABLE = r"(?U)\n\|[^\n]+\|\n\|[\s:|-]+\|\n(?:\|[^\n]+\|\n?)+"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without_cut(md: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """The text without CUT, as long as it was, and how parts of it get it back."""
+    free = F.lit(STAND_INS[-1])
+    for mark in reversed(STAND_INS[:-1]):
+        free = F.when(~md.contains(mark), mark).otherwise(free)
+    held = md.contains(CUT)
+    return F.when(held, F.replace(md, F.lit(CUT), free)).otherwise(md), lambda part: F.when(held, F.replace(part, free, F.lit(CUT))).otherwise(part)
+
+
 def structural_units(md: Column) -> Column:
     """Units that begin at second and third level headings; first level heading lines go."""
     body = F.regexp_replace(md, rf"(?U){_AT_LINE}#(?:(?=\s)[^{LINE_ENDS}]+(?:{_END}|\z)|{_END})", "")
@@ -55,13 +72,17 @@ def split_long(unit: Column) -> Column:
 def merge_short(units: Column) -> Column:
     """A unit below SHORTEST characters that is neither table nor heading is appended to the one before."""
 
-    def step(acc: Column, u: Column) -> Column:
+    def short(u: Column) -> Column:
         head = F.regexp_replace(u, r"(?U)^\s+", "").rlike(r"(?U)^#{1,6}\s+")
-        short = (F.length(u) < SHORTEST) & ~is_table(u) & ~head & (F.size(acc) > 0)
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), u)))
-        return F.when(short, joined).otherwise(F.concat(acc, F.array(u)))
+        return (F.length(u) < SHORTEST) & ~is_table(u) & ~head
+
+    def merged(all_units: Column) -> Column:
+        begins = F.filter(F.transform(all_units, lambda u, i: F.when((i == 0) | ~short(u), i + 1)), lambda i: i.isNotNull())
+        upto = F.size(all_units) + 1
+        part = lambda at, i, a: F.array_join(F.slice(all_units, at, F.coalesce(F.get(a, i + 1), upto) - at), "")
+        return bound(begins, lambda a: F.transform(a, lambda at, i: part(at, i, a)))
 
-    return F.aggregate(units, F.array().cast("array<string>"), step)
+    return bound(units, merged)
 
 
 def filled_units(units: Column) -> Column:
@@ -69,8 +90,9 @@ def filled_units(units: Column) -> Column:
 
 
 def section_units(md: Column) -> Column:
-    units = filled_units(F.flatten(F.transform(structural_units(md), split_tables)))
-    return merge_short(F.flatten(F.transform(units, split_long)))
+    text, back = without_cut(md)
+    units = filled_units(F.flatten(F.transform(structural_units(text), split_tables)))
+    return F.transform(merge_short(F.flatten(F.transform(units, split_long))), back)
 
 
 def split_sections(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
@@ -90,8 +112,9 @@ def detect_chapters(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md")
     several first level ones, else second level ones, else the whole text as one chapter.
     """
     md = F.col(md_col)
-    marked = F.regexp_replace(md, r"(?m)^(#{1,2}(?U:\s)+[^\n]+)$", f"{CUT}$1")
-    cut = docs.select(F.col(id_col), F.length(md).alias("chars"), F.split(marked, CUT).alias("p"))
+    text, back = without_cut(md)
+    marked = F.regexp_replace(text, r"(?m)^(#{1,2}(?U:\s)+[^\n]+)$", f"{CUT}$1")
+    cut = docs.select(F.col(id_col), F.length(md).alias("chars"), F.transform(F.split(marked, CUT), back).alias("p"))
     starts = F.aggregate(
         F.col("p"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out")),

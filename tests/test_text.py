@@ -173,3 +173,19 @@ def test_documents_with_separators_come_back_whole(spark):
     rows = [("a", "one\x1etwo\x1fthree\n\nfour"), ("b", ""), ("c", "tab\tquote\" back\\slash \u2028 é😀")]
     got = text_documents(spark.createDataFrame(rows, "name string, text string"))
     assert sorted((r.name, r.text) for r in got.collect()) == rows
+
+
+def test_texts_with_the_cutting_character_stay_whole(spark):
+    long = "word " * 30
+    texts = [f"## a\n{long}\0{long}\n## b\n{long}", f"## a\0\ufdd0\n{long}", f"# t\n## one\0\n{long}\n## two\n{long}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, md string")
+    rows = sections.split_sections(docs).orderBy("doc_id", "seq").collect()
+    assert [(r.doc_id, r.raw) for r in rows][:3] == [(0, f"## a\n{long}\0{long}\n"), (0, f"## b\n{long}"), (1, texts[1])]
+    found = [(r.title, r.start) for r in sections.detect_chapters(docs).where("doc_id = 2").orderBy("seq").collect()]
+    assert found == [("one\0", 4), ("two", texts[2].index("## two"))]
+
+
+def test_short_units_join_the_one_before(spark):
+    long = "x" * 120
+    cases = [([],), (["a"],), (["a", "b", long, "c", "d"],), ([long, "# h", "e", long],)]
+    assert values(spark, sections.merge_short, *cases) == [[], ["a"], ["ab", f"{long}cd"], [long, "# he", long]]
