@@ -266,14 +266,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("mut_publish_chapter", """WITH l AS (SELECT chapter_id, max(heartbeat_at) + 600 AS expires FROM runs GROUP BY chapter_id), n AS (SELECT chapter_id, count(*) AS n FROM note_blocks GROUP BY chapter_id),
-f AS (SELECT c.chapter_id, c.status, concat_ws(',', CASE WHEN c.chapter_id % 19 = 0 THEN 'fingerprint' END, CASE WHEN expires IS NULL OR expires <= 2400 THEN 'lease' END) AS violations, coalesce(n, 0) AS n FROM chapters c LEFT JOIN l USING (chapter_id) LEFT JOIN n USING (chapter_id))
+f AS (SELECT c.chapter_id, c.status, concat_ws(',', CASE WHEN c.chapter_id % 19 = 0 THEN 'fingerprint' END, CASE WHEN expires IS NULL OR expires <= 1900 THEN 'lease' END) AS violations, coalesce(n, 0) AS n FROM chapters c LEFT JOIN l USING (chapter_id) LEFT JOIN n USING (chapter_id))
 SELECT chapter_id, CASE WHEN violations = '' THEN 'COMPLETED' ELSE status END AS status, '' AS stale_reason, violations, CASE WHEN violations = '' THEN 7 ELSE n END AS n_blocks FROM f""")
 def _(t: Tables) -> DataFrame:
     asked = pipe.prompts(t.chapters, t.note_blocks).select("chapter_id", F.sha2("prompt", 256).alias("expected"), F.lit("worker").alias("owner_id"), F.lit("").alias("baseline"))
     now = asked.select("chapter_id", F.when(F.col("chapter_id") % 19 == 0, "changed").otherwise(F.col("expected")).alias("fingerprint"))
     leases = t.runs.groupBy("chapter_id").agg((F.max("heartbeat_at") + 600).alias("expires_at")).withColumn("owner_id", F.lit("worker"))
     parents = t.chapters.select("chapter_id", "status", F.lit("").alias("stale_reason"))
-    out = m.publish(parents, asked, now, leases, "chapter_id", 2400, running=False)
+    out = m.publish(parents, asked, now, leases, "chapter_id", 1900, running=False)
     made = out.where("violations = ''").select("chapter_id", F.explode(F.array(*[F.lit(k) for k in q.CHAPTER_BLOCKS])).alias("kind"))
     blocks = m.replace_group(t.note_blocks.select("chapter_id", "kind"), made, "chapter_id").groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n_blocks"))
     return out.join(blocks, "chapter_id", "left").fillna(0, ["n_blocks"])
