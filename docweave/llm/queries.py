@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import pii, sql
+from docweave.llm.byte_bpe import decode_tokens, encode_documents
 from docweave.llm.decontamination import find_leaks
 from docweave.llm.exact_dedup import exact_dedup
+from docweave.llm.fill_middle import fill_in_middle, restored
+from docweave.llm.filter_audit import audit_stream, document_stream, filter_orders
 from docweave.llm.jaccard_join import jaccard_components
 from docweave.llm.line_dedup import near_lines
 from docweave.llm.mixing import mix_sources
@@ -73,6 +76,38 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = encode_documents(table(spark, sf_dir, "documents"), *own, offsets=False)
+    return decode_tokens(encoded, *own).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_split",
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, percent=100, spm_percent=50)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_stream(spark, f"{sf_dir}/documents.parquet")
+    return filter_orders(audit_stream(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_cgk_decontamination": op1_cgk_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -84,6 +119,9 @@ QUERIES = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_mix_sources": op10_mix_sources,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -93,4 +131,6 @@ ORACLE_SQL = {
     "op5_line_dedup": sql.OP5,
     "op7_ngram_jaccard": sql.OP7,
     "op10_mix_sources": sql.OP10,
+    "op12_fill_in_middle": sql.OP12,
+    "op13_filter_audit": sql.OP13,
 }
