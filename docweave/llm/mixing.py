@@ -84,7 +84,7 @@ def mix_sources(
     gives an empty result; a source without words has target 0.
     """
     text = filled(F.col(text_col))
-    extra = [F.struct(*carry).alias("_carry")] if carry else []
+    extra = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry")] if carry else []
     source = F.col(source_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),

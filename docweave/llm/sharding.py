@@ -68,7 +68,7 @@ def shard_documents(
     others. An empty table gives an empty result.
     """
     text = filled(F.col(text_col))
-    extra = [F.struct(*carry).alias("_carry")] if carry else []
+    extra = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry")] if carry else []
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
