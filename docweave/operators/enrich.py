@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators.ledger import Ledger
+
 Client = Callable[[int, str], str]
 
 
@@ -17,25 +19,35 @@ def stub_client(seq: int, raw: str) -> str:
     return f"### stub\n- section {seq}, about {len(raw.split())} tokens\n"
 
 
-def enrich_once(sections: DataFrame, client: Client, attempts: int = 3) -> DataFrame:
-    """(sha256, ai_md): the client is asked once for each distinct section, as it stands first, and again if it fails."""
-    first = sections.groupBy("sha256").agg(F.min(F.struct("doc_id", "seq", "raw")).alias("x")).select("sha256", "x.seq", "x.raw")
+def enrich_once(sections: DataFrame, client: Client, attempts: int = 3, ledger: Ledger | None = None) -> DataFrame:
+    """(sha256, ai_md): the client is asked once for each distinct section, as it stands first, and again if it fails.
 
-    def ask(seq: int, raw: str) -> str | None:
-        for _ in range(attempts):
-            try:
-                return client(seq, raw)
-            except Exception as error:  # the next attempt may do; the last error is reported in the result
-                last = error
-        return f"(failed: {type(last).__name__})"
+    Answers are kept in the ledger before they are read; one on a lasting folder serves later runs too. A section that
+    fails as often as the ledger allows gets the name of its last error.
+    """
+    kept = ledger or Ledger(sections.sparkSession, attempts=attempts)
+    first = sections.groupBy("sha256").agg(F.min(F.struct("doc_id", "seq", "raw")).alias("x")).select("sha256", "x.seq", F.col("x.raw").alias("asked"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = zip(batch.column("seq").to_pylist(), batch.column("raw").to_pylist(), strict=True)
-            answers = pa.array([ask(s, r) for s, r in asked], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("sha256"), answers], ["sha256", "ai_md"])
-
-    return first.mapInArrow(work, "sha256 string, ai_md string")
+            answers, errors = [], []
+            for seq, raw in zip(batch.column("seq").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                try:
+                    answers.append(client(seq, raw))
+                    errors.append(None)
+                except Exception as error:  # asked again in the next wave; the last error is reported in the result
+                    answers.append(None)
+                    errors.append(type(error).__name__)
+            more = [pa.array(answers, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("_digest"), batch.column("attempts"), *more], ["_digest", "attempts", "answer", "error"])
+
+    def executor(_: str, rows: DataFrame) -> DataFrame:
+        return rows.select("_digest", "attempts", "seq", "asked").mapInArrow(work, "_digest string, attempts int, answer string, error string")
+
+    kept.wrap(executor, ("seq",))("enrich", first)
+    failed = F.concat(F.lit("(failed: "), "error", F.lit(")"))
+    answers = kept.known("enrich").select(F.col("digest").alias("sha256"), F.coalesce("answer", failed).alias("ai_md"))
+    return first.select("sha256").join(answers, "sha256")
 
 
 def display_titles(rows: DataFrame, group: str, key: str) -> DataFrame:

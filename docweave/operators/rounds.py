@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as x
+from docweave.operators.ledger import Executor
 from docweave.operators.validation import violations
 from docweave.sources.documents import scratch
 
-#: Takes the name of a round and rows with the column `asked`; returns the rows with the column `answer`.
-Executor = Callable[[str, DataFrame], DataFrame]
 Rules = Mapping[str, Mapping[str, Column]]
 
 #: The texts that the first four rounds of a topic give.
@@ -49,7 +48,8 @@ def run_rounds(work: DataFrame, rounds: Sequence[str], executor: Executor, rules
 
     A round is asked with the prompt and the answers before it. `failed` is '' or the first round whose answer breaks
     rules, with their names; from there on nothing is asked of that key and its answers are null. An executor that
-    returns null breaks the rules. The rows are written, so that each question is asked once however often they are read.
+    returns null breaks the rules. The rows are written, so that each question is asked once however often they are read;
+    behind a ledger a question that failed is asked again, and one that any row has asked before isn't.
     """
     broken = lambda key, named: F.concat(F.lit(f"{key}:"), violations(named))
     state = work.withColumn("failed", F.when(violations(start) == "", "").otherwise(broken("start", start)))

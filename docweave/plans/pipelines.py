@@ -77,11 +77,6 @@ def routed(runs: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(table), "round_key")
 
 
-def answered(runs: DataFrame) -> DataFrame:
-    """runs with the answer of the deterministic executor."""
-    return runs.withColumn("answer", F.concat_ws(":", "executor", "round_key", F.length("output")))
-
-
 def chapter_reading(chapters: DataFrame, notes: DataFrame, current: DataFrame, executor: q.Executor) -> DataFrame:
     """(chapter_id, failed, n_blocks, note): each chapter's note after its rounds.
 
