@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import compared, escalation_reason, iou, normalize_ocr_text, text_conflict
+from docweave.operators.tables import TABLE, table_conflict
+from docweave.sources.documents import scratch
 
 #: The least overlap of a pair, and kinds of block that make a page complex.
 LEAST_OVERLAP = 0.20
@@ -16,16 +18,26 @@ def _box() -> Column:
     return F.struct("x", "y", "width", "height")
 
 
+#: Height of the bands in which blocks look for others; a page is one high.
+BAND = 0.1
+
+
+def _banded(blocks: DataFrame, side: str) -> DataFrame:
+    """Each block in every band that it reaches into, with its first one."""
+    first = F.floor(F.col("y") / BAND)
+    reach = F.sequence(first, F.greatest(first, F.floor((F.col("y") + F.col("height")) / BAND)))
+    return blocks.select("page_id", F.col("block_idx").alias(f"{side}_idx"), _box().alias(side), first.alias(f"{side}_first"), F.explode(reach).alias("band"))
+
+
 def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(page_id, left_idx, right_idx): each left block in order takes the free right block that overlaps most.
 
-    Candidates of a page, sorted by left block, overlap and right block, are folded: a pair counts
-    if neither side is taken, which is what choosing one by one gives. A page has some hundred
-    blocks at most.
+    Blocks that overlap share a band of the page, and count once, in the first band that they share. Candidates of a page,
+    sorted by left block, overlap and right block, are folded: a pair counts if neither side is taken, which is what
+    choosing one by one gives.
     """
-    a = left.select("page_id", F.col("block_idx").alias("left_idx"), _box().alias("a"))
-    b = right.select("page_id", F.col("block_idx").alias("right_idx"), _box().alias("b"))
-    near = a.join(b, "page_id").withColumn("score", iou(F.col("a"), F.col("b"))).where(F.col("score") >= LEAST_OVERLAP)
+    met = _banded(left, "left").join(_banded(right, "right"), ["page_id", "band"]).where("band = greatest(left_first, right_first)")
+    near = met.withColumn("score", iou(F.col("left"), F.col("right"))).where(F.col("score") >= LEAST_OVERLAP)
     lists = near.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("left_idx", (-F.col("score")).alias("rank"), "right_idx"))).alias("c")
     )
@@ -49,9 +61,13 @@ def unmatched(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def matched(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    cols = ("text", "type", "reading_order", "y")
-    a = left.select("page_id", F.col("block_idx").alias("left_idx"), *[F.col(c).alias(f"left_{c}") for c in cols])
-    b = right.select("page_id", F.col("block_idx").alias("right_idx"), *[F.col(c).alias(f"right_{c}") for c in cols])
+    """pairs with text, type, order, height on the page and table of both sides; blocks without tables have none."""
+    cols = ("text", "type", "reading_order", "y", "table")
+    tabled = [b if "table" in b.columns else b.withColumn("table", F.lit(None).cast(TABLE)) for b in (left, right)]
+    a, b = (
+        blocks.select("page_id", F.col("block_idx").alias(f"{side}_idx"), *[F.col(c).alias(f"{side}_{c}") for c in cols])
+        for side, blocks in zip(("left", "right"), tabled, strict=True)
+    )
     return pairs.join(a, ["page_id", "left_idx"]).join(b, ["page_id", "right_idx"])
 
 
@@ -62,6 +78,7 @@ def pair_conflicts() -> Column:
     found = F.array(
         text_conflict(F.col("left_text"), F.col("right_text")),
         F.when(both("formula") & (compared(F.col("left_text")) != compared(F.col("right_text"))), "formula_conflict"),
+        F.when(both("table"), table_conflict(F.col("left_table"), F.col("right_table"))),
         F.when(both("page_number") & differ, "page_number_conflict"),
         F.when(both("footnote") & differ, "footnote_conflict"),
     )
@@ -97,7 +114,10 @@ def classes(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:
 
 def reconcile(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
     """(page_id, status, n_conflicts, reason): every page's class and why, if at all, it goes to another engine."""
-    found = conflicts(left, right, block_pairs(left, right))
+    pairs = block_pairs(left, right)
+    path = scratch(left.sparkSession, "pairs")
+    pairs.write.parquet(path)
+    found = conflicts(left, right, left.sparkSession.read.schema(pairs.schema).parquet(path))
     out = classes(left, right, found)
     reason = escalation_reason(F.col("status"), F.sha2(F.col("page_id").cast("string"), 256), F.col("page_id"), rate)
     return out.withColumn("reason", reason)

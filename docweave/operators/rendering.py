@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as x
 from docweave.operators import relational as r
 from docweave.operators.chapters import pages_of_chapters
-from docweave.operators.rounds import graph_lines
+from docweave.operators.diagrams import note_diagram
 from docweave.operators.validation import checked
 
 #: Kinds of a topic's blocks with their headings, in order.
@@ -152,7 +152,7 @@ def note_rules(note: Column, cited: Column) -> dict[str, Column]:
     return {
         "citations": (F.size(cited) > 0) & (F.size(F.array_except(cited, x.citations(note))) == 0),
         "fences": fences == 4,
-        "diagrams": (F.size(x.diagrams(note)) == 2) & F.forall(x.diagrams(note), graph_lines),
+        "diagrams": (F.size(x.diagrams(note)) == 2) & F.forall(x.diagrams(note), note_diagram),
         "sections": _headings(note) == F.array(*[F.lit(h) for h in _HEADINGS]),
         "markup": ~note.rlike(UNSAFE),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as x
+from docweave.operators.diagrams import topic_diagram
 from docweave.operators.ledger import Executor
 from docweave.operators.validation import violations
 from docweave.sources.documents import scratch
@@ -34,12 +35,6 @@ CHAPTER_BLOCKS = {
     "reflection": "复盘反思",
 }
 CARD_WORD = "选题卡"
-#: Lines that a diagram may have.
-GRAPH_HEAD = r"^(?:graph|flowchart)\s+(?:TB|TD|BT|RL|LR)$"
-NODE = r"[A-Za-z_][A-Za-z0-9_-]*(?:\[[^\[\]<>]*\]|\([^()<>]*\)|\{[^{}<>]*\})?"
-EDGE = rf"^{NODE}(?:\s*(?:-->|---|-\.->|==>)(?:\|[^|<>]+\|)?\s*{NODE})?$"
-GROUPING = r"^(?:subgraph\s+[^<>{}()]+|end|(?:classDef|class|style|linkStyle)\s+[A-Za-z0-9_#.,:%; -]+)$"
-
 _CARD = "card_type string, title string, content string, source_refs array<string>"
 
 
@@ -64,14 +59,6 @@ def run_rounds(work: DataFrame, rounds: Sequence[str], executor: Executor, rules
     return work.sparkSession.read.schema(state.schema).parquet(path)
 
 
-def graph_lines(text: Column) -> Column:
-    """Whether a diagram has a head and, after it, only lines of the allowed forms."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda z: F.trim(z)), lambda z: z != "")
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
-    fair = F.forall(rest, lambda z: z.rlike(EDGE) | z.rlike(GROUPING))
-    return F.coalesce(F.try_element_at(lines, F.lit(1)).rlike(GRAPH_HEAD) & (F.size(rest) > 0) & fair, F.lit(False))
-
-
 def _only(answer: Column, names: Sequence[str]) -> Column:
     return F.array_sort(F.json_object_keys(answer)) == F.array(*[F.lit(n) for n in sorted(names)])
 
@@ -113,7 +100,7 @@ def topic_rules(labels: Column) -> dict[str, dict[str, Column]]:
         }
     out["alignment"]["sources"] = _within(labels, x.source_labels(got["alignment"]["linked_sources"]))
     pair = [got["mermaid"][f"{n}_diagram"] for n in ("knowledge", "application")]
-    out["mermaid"] = {"shape": _only(F.col("mermaid"), ["knowledge_diagram", "application_diagram"]), "lines": _every([graph_lines(c) & _long(c, 20_000) for c in pair])}
+    out["mermaid"] = {"shape": _only(F.col("mermaid"), ["knowledge_diagram", "application_diagram"]), "lines": _every([topic_diagram(c)["valid"] & _long(c, 20_000) for c in pair])}
     cards = got["cards"]["cards"]
     good = lambda c: _long(c["card_type"], 40) & _long(c["title"], 100) & _long(c["content"], 2_000) & F.size(c["source_refs"]).between(1, 20)
     out["cards"] = {

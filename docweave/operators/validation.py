@@ -31,13 +31,18 @@ def box_rules() -> dict[str, Column]:
     return {"box": (at >= 0) & (F.least("width", "height") > 0) & (to <= 1.0 + 1e-9)}
 
 
-def balanced(line: Column) -> Column:
-    """Whether the brackets of a line close in order: a fold over its characters that keeps what is open."""
+def closes(brackets: Column) -> Column:
+    """Whether a text of brackets only closes them in order: a fold over its characters that keeps what is open."""
     pairs = F.create_map(F.lit("]"), F.lit("["), F.lit(")"), F.lit("("), F.lit("}"), F.lit("{"))
 
     def step(acc: Column, c: Column) -> Column:
         opened = F.when(acc.isNull(), acc).when(c.isin("[", "(", "{"), F.concat(acc, c))
-        closes = F.when(F.right(acc, F.lit(1)) == pairs[c], F.substring(acc, F.lit(1), F.length(acc) - 1))
-        return opened.when(c.isin("]", ")", "}"), closes).otherwise(acc)
+        closed = F.when(F.right(acc, F.lit(1)) == pairs[c], F.substring(acc, F.lit(1), F.length(acc) - 1))
+        return opened.when(c.isin("]", ")", "}"), closed).otherwise(acc)
+
+    return F.coalesce(F.aggregate(F.split(brackets, ""), F.lit(""), step) == "", F.lit(False))
 
-    return F.coalesce(F.aggregate(F.split(line, ""), F.lit(""), step) == "", F.lit(False))
+
+def balanced(line: Column) -> Column:
+    """Whether the brackets of a line close in order."""
+    return closes(F.regexp_replace(line, r"[^\[\](){}]", ""))

@@ -87,7 +87,7 @@ BINDINGS["page_lines"] = """SELECT page_id % 10 AS source_id, CAST((page_id - pa
   UNION ALL SELECT page_id % 10 AS source_id, 1 AS page, 99 AS line_no, 'contents' AS line FROM pages WHERE page_id < 10"""
 # Two readings of a document's lines: the second drops, shifts or changes some of them.
 _BLOCKS = """SELECT doc_id * 100000 + CAST(floor(i / 40) AS BIGINT) AS page_id, CAST(i % 40 AS INT) AS block_idx, {text} AS text, CAST(0.1 AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST(0.8 AS DOUBLE) AS width, CAST(0.025 AS DOUBLE) AS height,
-    CASE WHEN (doc_id + i) % 41 = 0 THEN 'table' WHEN (doc_id + i) % 43 = 0 THEN 'footnote' ELSE 'paragraph' END AS type, CAST(i % 40 AS INT) AS reading_order
+    CASE WHEN (doc_id + i) % 41 = 0 THEN 'table' WHEN (doc_id + i) % 43 = 0 THEN 'footnote' ELSE 'paragraph' END AS type, CAST(i % 40 AS INT) AS reading_order, CASE WHEN (doc_id + i) % 41 = 0 THEN {table} END AS {name}
   FROM ({lines}) l {where}"""
 _LINES = {
     "spark": "SELECT doc_id, i, line FROM (SELECT doc_id, split(text, chr(10), -1) AS p FROM documents) d LATERAL VIEW posexplode(p) v AS i, line",
@@ -98,9 +98,32 @@ _OTHER = {
     "y": "CASE WHEN (doc_id * 31 + i) % 17 = 11 THEN (i % 40 + 0.4) * 0.025 ELSE (i % 40) * 0.025 END",
     "where": "WHERE (doc_id * 31 + i) % 17 <> 1",
 }
+# Tables of three columns: words of the line, and its length in a merged cell. The other reading loses a column or changes a
+# cell. One table in three is given as cells with a span, the others as rows; the twin has all as rows.
+_ROWS = {
+    "spark": "array(slice(concat(split(line, ' '), array('', '', '')), 1, 3), array('n', {0}, {0}))",
+    "duck": "[list_slice(list_concat(string_split(line, ' '), ['', '', '']), 1, 3), ['n', {0}, {0}]]",
+}
+_N, _CHANGED = "CAST(length(line) AS STRING)", "CAST(length(line) + CASE WHEN (doc_id + i) % 5 = 1 THEN 1 ELSE 0 END AS STRING)"
+_CELLS = """transform(slice(concat(split(line, ' '), array('', '', '')), 1, 3), (w, k) -> named_struct('row', 0, 'col', k, 'row_span', 1, 'col_span', 1, 'text', w))"""
+_CELLS = f"""concat({_CELLS}, array(named_struct('row', 1, 'col', 0, 'row_span', 1, 'col_span', 1, 'text', 'n'), named_struct('row', 1, 'col', 1, 'row_span', 1, 'col_span', 2, 'text', {_N})))"""
+_NARROW = "(doc_id + i) % 5 = 2"
+_SPARK_TABLE = "named_struct('headers', CAST(NULL AS array<string>), 'matrix', {0}, 'cells', {1})"
+_NONE = "CAST(NULL AS array<struct<row: int, col: int, row_span: int, col_span: int, text: string>>)"
+_TABLES = {
+    "spark": (
+        f"CASE WHEN doc_id % 3 = 0 THEN {_SPARK_TABLE.format('CAST(NULL AS array<array<string>>)', _CELLS)} ELSE {_SPARK_TABLE.format(_ROWS['spark'].format(_N), _NONE)} END",
+        _SPARK_TABLE.format(f"transform({_ROWS['spark'].format(_CHANGED)}, w -> slice(w, 1, CASE WHEN {_NARROW} THEN 2 ELSE 3 END))", _NONE),
+    ),
+    "duck": (
+        _ROWS["duck"].format(_N),
+        f"list_transform({_ROWS['duck'].format(_CHANGED)}, lambda w: list_slice(w, 1, CASE WHEN {_NARROW} THEN 2 ELSE 3 END))",
+    ),
+}
+_NAMES = {"spark": "`table`", "duck": '"table"'}
 for _engine, _to in (("spark", SPARK_ONLY), ("duck", BINDINGS)):
-    _to["blocks_a"] = _BLOCKS.format(text="line", y="(i % 40) * 0.025", lines=_LINES[_engine], where="")
-    _to["blocks_b"] = _BLOCKS.format(lines=_LINES[_engine], **_OTHER)
+    _to["blocks_a"] = _BLOCKS.format(text="line", y="(i % 40) * 0.025", lines=_LINES[_engine], where="", table=_TABLES[_engine][0], name=_NAMES[_engine])
+    _to["blocks_b"] = _BLOCKS.format(lines=_LINES[_engine], table=_TABLES[_engine][1], name=_NAMES[_engine], **_OTHER)
 
 # Topic blocks and cards: a part's first fourteen lines, in the fixed order of kinds, and its returned lines.
 BINDINGS["chapter_labels"] = """SELECT chapters.chapter_id, chapters.source_id, chapters.seq, chapters.title,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.operators import relational as r
+from docweave.operators.tables import row_shape
 from docweave.plans.bindings import Tables
 from docweave.plans.registry import query
 
@@ -446,8 +447,7 @@ def _(t: Tables) -> DataFrame:
     """SELECT conv_id, count(*) AS n_rows, max(w) AS n_cols FROM (SELECT conv_id, turn, len(string_split(text, ' ')) AS w FROM conversations) GROUP BY conv_id""",
 )
 def _(t: Tables) -> DataFrame:
-    matrix = t.conversations.groupBy("conv_id").agg(F.collect_list(F.split("text", " ")).alias("matrix"))
-    return matrix.select("conv_id", F.size("matrix").cast("long").alias("n_rows"), F.array_max(F.transform("matrix", F.size)).alias("n_cols"))
+    return row_shape(t.conversations, ["conv_id"], F.split("text", " "))
 
 
 @query(

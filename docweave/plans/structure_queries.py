@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from docweave.functions import text as x
 from docweave.operators import changes as m
 from docweave.operators import chapters as c
+from docweave.operators import diagrams as d
 from docweave.operators import pages as p
 from docweave.operators import relational as r
+from docweave.operators import tables as tb
 from docweave.operators import validation as v
 from docweave.operators.ledger import Executor, Ledger, by_round
 from docweave.operators.rounds import run_rounds
@@ -26,9 +28,11 @@ from docweave.streaming import events as st
 
 _N = r"regexp_extract_all({0}, '(?:\d+(?:[.,]\d+)*%?|%\d+)')"
 _O = r"regexp_extract_all({0}, '(?:<=|>=|!=|==|=|<|>|\+|-|\*|/|\^)')"
-_PAIRS = rf"""j AS (SELECT a.page_id, a.block_idx, a.type, trim(regexp_replace(a.text, '\s+', ' ', 'g'), ' ') AS lt, trim(regexp_replace(b.text, '\s+', ' ', 'g'), ' ') AS rt FROM blocks_a a JOIN blocks_b b USING (page_id, block_idx)),
+_SHAPE = "len({0}) || 'x' || list_max(list_transform({0}, lambda w: len(w)))"
+_PAIRS = rf"""j AS (SELECT a.page_id, a.block_idx, a.type, a."table" AS ta, b."table" AS tb, trim(regexp_replace(a.text, '\s+', ' ', 'g'), ' ') AS lt, trim(regexp_replace(b.text, '\s+', ' ', 'g'), ' ') AS rt FROM blocks_a a JOIN blocks_b b USING (page_id, block_idx)),
 k AS (SELECT *, replace(lt, ' ', '') AS l, replace(rt, ' ', '') AS q FROM j),
 conflicts_of AS (SELECT page_id, CASE WHEN {_N.format("l")} <> {_N.format("q")} THEN 'numeric_conflict' WHEN {_O.format("l")} <> {_O.format("q")} THEN 'formula_operator_conflict' ELSE 'text_conflict' END AS reason, block_idx AS left_idx, block_idx AS right_idx FROM k WHERE l <> q
+  UNION ALL SELECT page_id, CASE WHEN {_SHAPE.format("ta")} <> {_SHAPE.format("tb")} THEN 'table_shape_conflict' ELSE 'table_content_conflict' END, block_idx, block_idx FROM k WHERE type = 'table' AND ta <> tb
   UNION ALL SELECT page_id, 'footnote_conflict', block_idx, block_idx FROM k WHERE type = 'footnote' AND lt <> rt
   UNION ALL SELECT page_id, 'missing_block', block_idx, NULL FROM blocks_a a WHERE NOT EXISTS (SELECT 1 FROM blocks_b b WHERE b.page_id = a.page_id AND b.block_idx = a.block_idx)),
 classes_of AS (SELECT page_id, CASE WHEN h THEN 'complex' WHEN n > 0 THEN 'conflict' ELSE 'consistent' END AS status, n AS n_conflicts FROM (
@@ -104,11 +108,13 @@ def _(t: Tables) -> DataFrame:
     return t.blocks_a.select("page_id", "block_idx", F.md5(x.compared(F.col("text"))).alias("digest"))
 
 
-@query("fn_table_value", """SELECT conv_id, '{"matrix":[' || string_agg('["' || turn || '","' || length(text) || '"]', ',' ORDER BY turn) || ']}' AS value FROM conversations GROUP BY conv_id""")
+_GRID = """array_to_string(list_transform("table", lambda w, i: array_to_string(list_transform(w, lambda z, j: (i - 1) || chr(31) || (j - 1) || chr(31) || z), chr(30))), chr(30))"""
+
+
+@query("fn_table_value", f"""SELECT page_id, block_idx, 'left' AS side, md5({_GRID}) AS digest FROM blocks_a WHERE type = 'table' UNION ALL SELECT page_id, block_idx, 'right', md5({_GRID}) FROM blocks_b WHERE type = 'table'""")
 def _(t: Tables) -> DataFrame:
-    row = F.struct("turn", F.array(F.col("turn").cast("string"), F.length("text").cast("string")).alias("cells"))
-    matrix = F.transform(F.array_sort(F.collect_list(row)), lambda z: z["cells"])
-    return t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(matrix.alias("matrix"))).alias("value"))
+    value = lambda blocks, side: blocks.where("type = 'table'").select("page_id", "block_idx", F.lit(side).alias("side"), F.md5(tb.content(F.col("table"))).alias("digest"))
+    return value(t.blocks_a, "left").union(value(t.blocks_b, "right"))
 
 
 @query("flt_eligible_pages", "SELECT task_id, status = 'COMPLETED' AND task_id % 7 <> 0 AS accepted FROM tasks")
@@ -239,15 +245,22 @@ def _(t: Tables) -> DataFrame:
 
 
 
-@query("val_diagrams", "SELECT note_id, 1 AS n_edges, version % 3 <> 0 AS valid FROM note_blocks WHERE kind = 'diagram'")
+# A chapter's notes in order give the lines of its diagram: subgraphs, ends, edges, nodes, comments and a few bad ones.
+_GRAPH_LINE = """CASE WHEN note_id % 53 = 5 THEN '???' WHEN version % 7 < 2 THEN 'subgraph S' || seq WHEN version % 7 < 4 THEN 'end'
+  WHEN version % 7 = 4 THEN 'A[' || content || '] --> B' WHEN version % 7 = 5 THEN 'B -->|next| C' ELSE '%% ' || content END"""
+
+
+@query("val_diagrams", f"""WITH l AS (SELECT *, {_GRAPH_LINE} AS line FROM note_blocks),
+    d AS (SELECT *, sum(CASE WHEN starts_with(line, 'subgraph') THEN 1 WHEN line = 'end' THEN -1 ELSE 0 END) OVER (PARTITION BY chapter_id ORDER BY seq, note_id) AS depth,
+      row_number() OVER (PARTITION BY chapter_id ORDER BY seq DESC, note_id DESC) = 1 AS final FROM l)
+    SELECT chapter_id, count(*) FILTER (contains(line, '-->'))::INT AS n_edges, greatest(max(depth), 0)::INT AS depth,
+      min(depth) >= 0 AND max(depth) FILTER (final) = 0 AND bool_or(contains(line, '-->')) AND NOT bool_or(line = '???') AS valid,
+      bool_and(contains(line, '] -->')) AS note_valid FROM d GROUP BY chapter_id""")
 def _(t: Tables) -> DataFrame:
-    end = F.when(F.col("version") % 3 == 0, "]").otherwise(")")
-    graph = F.concat(F.lit("flowchart TD\nA["), "content", F.lit("] --> B("), "kind", end)
-    lines = t.note_blocks.where("kind = 'diagram'").select("note_id", F.posexplode(F.split(graph, "\n")).alias("i", "line"))
-    head = F.col("line").rlike(r"^(?:flowchart|graph) (?:TD|LR|TB)$")
-    edge = F.col("line").rlike(r"^\w+[\[\(].*[\]\)] --> \w+[\[\(].*[\]\)]$")
-    fair = v.balanced(F.col("line")) & ~F.col("line").rlike(r"https?://|<") & F.when(F.col("i") == 0, head).otherwise(edge)
-    return lines.groupBy("note_id").agg(F.count_if((F.col("i") > 0) & F.col("line").contains("-->")).cast("int").alias("n_edges"), F.bool_and(fair).alias("valid"))
+    lines = t.note_blocks.withColumn("line", F.expr(_GRAPH_LINE))
+    text = F.concat(F.lit("graph TD\n"), r.ordered_list(["seq", "note_id"], "line", "\n"))
+    graphs = lines.groupBy("chapter_id").agg(text.alias("text")).select("chapter_id", d.topic_diagram(F.col("text")).alias("g"), d.note_diagram(F.col("text")).alias("note_valid"))
+    return graphs.select("chapter_id", F.col("g.edges").alias("n_edges"), "g.depth", "g.valid", "note_valid")
 
 
 _NOTE = "SELECT chapter_id, count(*) AS n_blocks, count(DISTINCT kind) AS n_kinds, count(*) FILTER (kind = 'diagram') AS n_diagrams FROM note_blocks GROUP BY chapter_id"

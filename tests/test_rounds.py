@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from docweave.operators import changes, rendering, rounds
+from docweave.operators import changes, diagrams, rendering, rounds
 from docweave.operators.validation import violations
 from docweave.plans import pipelines
 
@@ -14,19 +14,82 @@ def broken(spark, rules, columns, rows):
     return [r[0] for r in df.select(violations(rules)).collect()]
 
 
-def test_graph_lines(spark):
+def judged(spark, rule, cases):
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)] + [(99, None)], "i int, text string")
+    return [r[0] for r in df.orderBy("i").select(rule(F.col("text"))).collect()]
+
+
+def test_topic_diagrams(spark):
+    styled = """flowchart LR
+%% a comment
+subgraph S[战略分析]
+  A[识别问题] --> B(比较方案)
+  B -->|形成选择| C{执行?}
+end
+classDef focus fill:#fff,stroke:#333
+class A,B focus
+style C fill:#eee
+linkStyle 0 stroke:#333
+"""
     cases = {
         "graph TD\nA --> B": True,
-        "flowchart LR\n A[x y] -->|why| B(z)\nsubgraph one\nC\nend\nclassDef big fill:#fff": True,
+        styled: True,
+        "graph TD\nsubgraph A[外层]\nsubgraph B[内层]\n  X[开始] --> Y[结束]\nend\nend\n": True,
+        "graph TD\nA-->B": True,
+        "graph TD\nA -- why not --> B\nA --- C\nA -.-> D\nA ==> E": True,
+        "graph TD\nsubgraph free words\nA --> B\nend": True,
+        "graph TD\nA[a 'quoted ( bracket'] --> B": True,
+        "graph TD\nA[an open ( bracket] --> B": False,
+        "graph TD\nA['x'] --> B": True,
+        "graph TD\nA['x] --> B": False,
         "graph TD": False,
         "graph XX\nA --> B": False,
+        "\ngraph TD\nA --> B": False,
         "graph TD\nA --> B<b>": False,
         "graph TD\nsay --> ": False,
+        "graph TD\nA --> B --> C": False,
+        "graph TD\n  A --> B\n  ???": False,
+        "flowchart LR\n  A[未闭合 --> B": False,
+        "graph TD\n  A[只有节点]": False,
+        "graph TD\n  A --> B\n  click A https://evil.example": False,
+        "graph TD\n  A --> B\n  这是任意自然语言": False,
+        "graph TD\n  end\n  A --> B": False,
+        "graph TD\n  subgraph S[一]\n  A --> B\n  end\n  end": False,
+        "graph TD\n  subgraph S[一]\n  A --> B": False,
+        "```mermaid\ngraph TD\nA --> B\n```": False,
+        "graph TD\n  A[<script>alert(1)</script>] --> B": False,
+        "graph TD\n\3 --> B": False,
         "": False,
     }
-    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)] + [(99, None)], "i int, text string")
-    got = [r[0] for r in df.orderBy("i").select(rounds.graph_lines(F.col("text"))).collect()]
-    assert got == [*cases.values(), False]
+    assert judged(spark, lambda c: diagrams.topic_diagram(c)["valid"], cases) == [*cases.values(), False]
+
+
+def test_note_diagrams(spark):
+    cases = {
+        'flowchart TD\n  A["开始"] --> B["结束"]': True,
+        'graph LR\n  A["概念"] --- B["应用"]': True,
+        "mindmap\n  root((主题))\n    概念": True,
+        "graph LR\r\n  A --> B : why\r\n": True,
+        "sequenceDiagram\n  A->>B: hi": False,
+        'flowchart TD\n  A["<script>alert(1)</script>"]': False,
+        "flowchart TD\n  A --> B\n```": False,
+        "flowchart XX\n  A --> B": False,
+        "flowchart TD\n  A-->B": False,
+        "flowchart TD\n  subgraph S\n  A --> B\n  end": False,
+        'flowchart TD\n  A["x] --> B': False,
+        "mindmap\n  概念": False,
+        "mindmap\n  root\nx": False,
+        "mindmap": False,
+        "graph TD\n  A --> B : onclick = x": False,
+        "": False,
+    }
+    assert judged(spark, diagrams.note_diagram, cases) == [*cases.values(), False]
+
+
+def test_long_diagrams(spark):
+    text = "graph TD\n" + "subgraph S\n" * 3000 + "A --> B\n" * 3000 + "end\n" * 3000
+    row = spark.createDataFrame([(text,)], "t string").select(diagrams.topic_diagram(F.col("t")).alias("g")).first().g
+    assert tuple(row) == (True, 3000, 3000)
 
 
 def test_rounds_stop_at_the_first_broken_rule(spark):
