@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,9 @@ SPACE = "\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space and what follows it up to the next. A split never runs from another character into white space.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Characters searched for chunks at once, and chunks from which on a process forgets those that it kept.
-REACH, KEEP = 1 << 20, 1 << 19
+REACH, KEEP = 1 << 19, 1 << 18
 #: Ids decoded at once.
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def byte_characters() -> list[str]:
@@ -63,33 +64,56 @@ class Table:
         return self.ids[at], counts
 
 
-class ByteBpe:
-    """The tokenizer of a rank file (lines of base64 token and id) with a splitting pattern.
+class Vocabulary:
+    """The tokens of a rank file (lines of base64 bytes and id), written in byte characters; decoding turns these back."""
+
+    def __init__(self, path: str):
+        lines = (line.split() for line in Path(path).read_bytes().splitlines() if line.strip())
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+        self.to_characters = dict(enumerate(byte_characters()))
+        self.written = {rank: self.characters(token) for token, rank in self.ranks.items()}
+        to_byte = {c: b for b, c in self.to_characters.items()}
+        tokens = [b""] * (max(self.written, default=-1) + 1)
+        for rank, text in self.written.items():
+            tokens[rank] = bytes(to_byte[c] for c in text)
+        self.known = np.zeros(len(tokens), bool)
+        self.known[list(self.ranks.values())] = True
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def characters(self, raw: bytes) -> str:
+        """Bytes as their printable characters, as the tokenizer sees them."""
+        return raw.decode("latin-1").translate(self.to_characters)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens in a row."""
+        out = []
+        for i in range(0, len(ids), STEP):
+            part = ids[i : i + STEP].astype(np.int64)
+            if len(part) and (part.min() < 0 or part.max() >= len(self.known) or not self.known[part].all()):
+                raise ValueError("an id is not in the vocabulary")
+            size = self.size[part]
+            total = np.cumsum(size)
+            pick = np.repeat(self.start[part] - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+            out.append(self.bytes[pick].tobytes())
+        return b"".join(out)
+
+
+class ByteBpe(Vocabulary):
+    """Also encodes, each match of a splitting pattern by itself.
 
     Ranks say which neighbours may merge: any two whose bytes together are a token, lowest rank
     first. So every way to cut a token into two tokens becomes a merge with its rank.
     """
 
     def __init__(self, path: str, pattern: str):
-        lines = (line.split() for line in Path(path).read_bytes().splitlines() if line.strip())
-        ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        shown = byte_characters()
-        written = {token: "".join(shown[b] for b in token) for token in ranks}
-        by_rank = sorted(ranks, key=ranks.__getitem__)
-        cuts = ((t[:i], t[i:]) for t in by_rank for i in range(1, len(t)))
-        merges = [(written[a], written[b]) for a, b in cuts if a in ranks and b in ranks]
+        super().__init__(path)
+        shown = {token: self.written[rank] for token, rank in self.ranks.items()}
+        cuts = ((t[:i], t[i:]) for t in sorted(shown, key=self.ranks.__getitem__) for i in range(1, len(t)))
+        merges = [(shown[a], shown[b]) for a, b in cuts if a in shown and b in shown]
+        self.tokenizer = Tokenizer(models.BPE({text: rank for rank, text in self.written.items()}, merges, ignore_merges=True))
         self.split = regex.compile(pattern).findall
-        self.to_characters = dict(enumerate(shown))
-        self.tokenizer = Tokenizer(models.BPE({written[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
-        back = {c: b for b, c in enumerate(shown)}
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for text, rank in self.tokenizer.get_vocab().items():
-            tokens[rank] = bytes(back[c] for c in text)
-        self.known = np.zeros(len(tokens), bool)
-        self.known[list(ranks.values())] = True
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.size = np.array([len(t) for t in tokens], np.int64)
-        self.start = np.cumsum(self.size) - self.size
         self.forget()
 
     def forget(self) -> None:
@@ -102,8 +126,7 @@ class ByteBpe:
         matches = list(itertools.chain.from_iterable(found))
         new = list(dict.fromkeys(m for m in matches if m not in self.matches.codes))
         if new:
-            shown = [m.encode().decode("latin-1").translate(self.to_characters) for m in new]
-            encoding = self.tokenizer.encode(shown, is_pretokenized=True, add_special_tokens=False)
+            encoding = self.tokenizer.encode([self.characters(m.encode()) for m in new], is_pretokenized=True, add_special_tokens=False)
             counts = np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(new))
             self.matches.add(new, np.array(encoding.ids, np.int32), counts)
         ids, counts = self.matches.ids_of(self.matches.find(matches))
@@ -177,19 +200,6 @@ class ByteBpe:
         none = (np.zeros(0, np.int32),) * 3
         return [tuple(np.concatenate(x) for x in zip(*p, strict=True)) if p else none for p in done]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the tokens in a row."""
-        out = []
-        for i in range(0, len(ids), STEP):
-            part = ids[i : i + STEP].astype(np.int64)
-            if len(part) and (part.min() < 0 or part.max() >= len(self.known) or not self.known[part].all()):
-                raise ValueError("an id is not in the vocabulary")
-            size = self.size[part]
-            total = np.cumsum(size)
-            pick = np.repeat(self.start[part] - (total - size), size) + np.arange(total[-1] if len(total) else 0)
-            out.append(self.bytes[pick].tobytes())
-        return b"".join(out)
-
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> ByteBpe:
@@ -198,6 +208,22 @@ def tokenizer(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def _slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of rows whose sizes add up to little more than most; one larger row stands alone."""
+    total = np.cumsum(np.nan_to_num(sizes.to_numpy(zero_copy_only=False)).astype(np.int64))
+    at = 0
+    while at < len(total):
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
     values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
@@ -221,7 +247,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, offsets: bool = T
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, pc.binary_length(whole.column(1)), REACH)):
             found = bpe.encode(t.as_py() for t in batch.column(1))
             ids, starts, ends = ([f[i] for f in found] for i in range(3))
             split = pa.array([int(np.count_nonzero(a[1:] < b[:-1])) for a, b in zip(starts, ends, strict=True)], pa.int64())
@@ -247,7 +273,7 @@ def whole_characters(data: bytes) -> bytes:
     return data[a:]
 
 
-def decode_tokens(rows: DataFrame, path: str, pattern: str, whole: bool = False, ids_col: str = "ids") -> DataFrame:
+def decode_tokens(rows: DataFrame, path: str, whole: bool = False, ids_col: str = "ids") -> DataFrame:
     """The rows with a column decoded: the bytes of the tokens in ids_col.
 
     The byte table turns each token's characters back into bytes, and bytes of neighbours are joined
@@ -259,10 +285,10 @@ def decode_tokens(rows: DataFrame, path: str, pattern: str, whole: bool = False,
     at = kept.index(ids_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path, pattern)
-        for batch in batches:
+        known = vocabulary(path)
+        for batch in (part for one in batches for part in _slices(one, pc.list_value_length(one.column(at)), STEP)):
             lists = batch.column(at)
-            texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists]
+            texts = [known.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists]
             texts = [whole_characters(t) if whole and t is not None else t for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*kept, "decoded"])
 

@@ -81,7 +81,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = encode_documents(table(spark, sf_dir, "documents"), *own, offsets=False)
-    return decode_tokens(encoded, *own).select(
+    return decode_tokens(encoded, own[0]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

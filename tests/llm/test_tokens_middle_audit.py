@@ -69,7 +69,7 @@ def test_split_characters_and_unknown_ids(spark):
     (ids, starts, ends), = bpe.encode(["ab 😀漢 c"])
     assert any(a < b for a, b in zip(starts[1:], ends[:-1], strict=True))
     rows = spark.createDataFrame([(1, [int(i) for i in ids]), (2, []), (3, None)], "k int, ids array<int>").withColumn("decoded", F.lit("old"))
-    assert {r.k: r.decoded and bytes(r.decoded) for r in byte_bpe.decode_tokens(rows, *RANKS).collect()} == {1: "ab 😀漢 c".encode(), 2: b"", 3: None}
+    assert {r.k: r.decoded and bytes(r.decoded) for r in byte_bpe.decode_tokens(rows, RANKS[0]).collect()} == {1: "ab 😀漢 c".encode(), 2: b"", 3: None}
     for a, b in itertools.combinations(range(len(ids) + 1), 2):
         part = bpe.decode(ids[a:b])
         whole = byte_bpe.whole_characters(part)
@@ -218,3 +218,27 @@ def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     assert QUERIES[name](spark, f"file://{tmp_path}").collect() == []
+
+
+# Earlier operators -----------------------------------------------------------------------------------
+
+
+def test_carried_columns_with_odd_names(spark):
+    import corpus_pipeline
+
+    extra = "`m.k` string, size string, _carry string, carried string"
+    rows = [(i, f"text number {i}", "en", "s", 5, f"k{i}", "a", "b", "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    mixed = corpus_pipeline.mixing(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows)
+    placed = corpus_pipeline.sharding(spark, docs, SF)
+    assert sorted((r["doc_id"], r["m.k"], r["_carry"], r["carried"]) for r in placed.collect()) == sorted((r[0], r[5], r[7], r[8]) for r in rows)
+
+
+def test_many_null_ids_with_one_text(spark):
+    from docweave.llm.exact_dedup import exact_dedup
+
+    docs = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    got = exact_dedup(docs).groupBy("kept", "group_size", "keep_id").count().collect()
+    assert [tuple(r) for r in got] == [(True, 40_000, None, 40_000)]
