@@ -11,6 +11,7 @@ from docweave.functions import text as x
 from docweave.operators import changes as m
 from docweave.operators import chapters as c
 from docweave.operators import diagrams as d
+from docweave.operators import evidence as ev
 from docweave.operators import pages as p
 from docweave.operators import relational as r
 from docweave.operators import tables as tb
@@ -96,11 +97,33 @@ def _(t: Tables) -> DataFrame:
     return p.reconcile(t.blocks_a, t.blocks_b, 0.05)
 
 
-@query("val_evidence_chain", f"WITH {_PAIRS} SELECT page_id, n_conflicts + page_id % 2 = n_conflicts AS valid FROM classes_of")
+def _reading(blocks: str, text: str = "text") -> str:
+    return f"SELECT page_id, sha256(string_agg(concat_ws(chr(31), block_idx, type, {text}), chr(30) ORDER BY block_idx)) AS digest FROM {blocks} GROUP BY page_id"
+
+
+# Stored evidence of some pages: of an earlier reading, with another status, with another answer, or none.
+_EVIDENCE = f"""WITH {_PAIRS}, l AS ({_reading("blocks_a")}), r AS ({_reading("blocks_b")}), w AS ({_reading("blocks_a", "CASE WHEN page_id % 11 = 1 AND block_idx = 0 THEN text || '*' ELSE text END")}),
+c AS (SELECT page_id, string_agg(line, ',' ORDER BY line) AS found FROM (SELECT page_id, reason || ':' || coalesce(left_idx::VARCHAR, '') || ':' || coalesce(right_idx::VARCHAR, '') AS line FROM conflicts_of) GROUP BY page_id),
+n AS (SELECT page_id, status, coalesce({_REASON}, '') AS reason, coalesce(found, '') AS found, sha256(concat_ws('|', page_id, l.digest, coalesce(r.digest, ''))) AS observations, sha256(concat_ws('|', page_id, w.digest, coalesce(r.digest, ''))) AS earlier
+  FROM classes_of JOIN l USING (page_id) JOIN w USING (page_id) LEFT JOIN r USING (page_id) LEFT JOIN c USING (page_id)),
+e AS (SELECT *, sha256(concat_ws('|', observations, status, reason, found)) AS alignment, sha256(concat_ws('|', observations, CASE WHEN page_id % 11 = 2 THEN 'consistent' ELSE status END, reason, found)) AS forged FROM n),
+f AS (SELECT *, 'accept ' || substr(sha256('decision' || alignment), 1, 8) AS answer FROM e)
+SELECT page_id, CASE WHEN page_id % 11 = 4 THEN 'missing' WHEN observations <> earlier THEN 'observations' WHEN alignment <> forged THEN 'alignment' WHEN page_id % 11 = 3 THEN 'decision' ELSE '' END AS broken,
+  answer, sha256(concat_ws('|', alignment, answer)) AS decision FROM f"""
+
+
+def adjudicator(key: str, rows: DataFrame) -> DataFrame:
+    """The deterministic stand-in for a model that decides a page."""
+    return rows.withColumn("answer", F.concat(F.lit("accept "), F.substring(F.sha2(F.concat(F.lit(key), "alignment"), 256), 1, 8)))
+
+
+@query("val_evidence_chain", _EVIDENCE)
 def _(t: Tables) -> DataFrame:
-    again = p.reconcile(t.blocks_a, t.blocks_b, 0.05)
-    stored = again.select("page_id", (F.col("n_conflicts") + F.col("page_id") % 2).alias("stored"))
-    return again.join(stored, "page_id").select("page_id", F.col("n_conflicts").eqNullSafe(F.col("stored")).alias("valid"))
+    page = F.col("page_id") % 11
+    before = t.blocks_a.withColumn("text", F.when((page == 1) & (F.col("block_idx") == 0), F.concat("text", F.lit("*"))).otherwise(F.col("text")))
+    stored = ev.decided(ev.aligned(before, t.blocks_b, 0.05), adjudicator).where(page != 4)
+    forged = stored.withColumn("status", F.when(page == 2, "consistent").otherwise(F.col("status"))).withColumn("answer", F.when(page == 3, "accept").otherwise(F.col("answer")))
+    return ev.resumed(forged, t.blocks_a, t.blocks_b, 0.05, adjudicator).select("page_id", "broken", "answer", "decision")
 
 
 @query("fn_formula_value", r"SELECT page_id, block_idx, md5(replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ', '')) AS digest FROM blocks_a")

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docweave.operators import pages, tables
+from docweave.operators import evidence, pages, tables
 
 BLOCK = f"page_id long, block_idx int, text string, type string, reading_order int, x double, y double, width double, height double, `table` {tables.TABLE}"
 
@@ -67,3 +67,34 @@ def test_pairs_are_those_of_choosing_one_by_one(spark):
                 taken.add(min(free)[1])
                 expected.add((p, a[1], min(free)[1]))
     assert {tuple(r) for r in got} == expected and expected
+
+
+def test_every_broken_link_is_named_and_only_its_page_decided_again(spark):
+    body = [(i, 0, f"line {i}", "paragraph", 0, 0.1, 0.1, 0.5, 0.1, None) for i in range(8)]
+    other = [(*r[:2], r[2].replace("3", "4"), *r[3:]) for r in body if r[0] != 7]
+    left, right = spark.createDataFrame(body, BLOCK), spark.createDataFrame(other, BLOCK)
+    asked = []
+
+    def executor(key, rows):
+        asked.append(sorted(r.page_id for r in rows.select("page_id").collect()))
+        return rows.withColumn("answer", F.concat(F.lit("ok "), "page_id"))
+
+    stored = evidence.decided(evidence.aligned(left, right, 0.0), executor)
+    rows = {r.page_id: r.asDict() for r in stored.collect()}
+    assert rows[3]["found"] == "numeric_conflict:0:0" and rows[7]["found"] == "missing_block:0:"
+    page = F.col("page_id")
+    swap = lambda c, n, by: F.when(page == n, F.lit(by)).otherwise(F.col(c)).alias(c)
+    forged = stored.where("page_id <> 0").select(
+        "page_id", swap("observations", 1, "x"), swap("status", 2, "forged"), swap("reason", 4, "FORGED"), swap("found", 5, "forged:0:0"),
+        F.when(page == 6, "x").otherwise(F.col("alignment")).alias("alignment"), swap("answer", 3, "other"), F.when(page == 7, None).otherwise(F.col("decision")).alias("decision"),
+    ).unionByName(stored.where("page_id = 1").withColumn("page_id", F.lit(99).cast("long")))
+    got = {r.page_id: r for r in evidence.resumed(forged, left, right, 0.0, executor).collect()}
+    assert {k: r.broken for k, r in got.items()} == {
+        0: "missing", 1: "observations", 2: "alignment", 3: "decision", 4: "alignment", 5: "alignment", 6: "alignment", 7: "decision"
+    }
+    assert all({k: r[k] for k in rows[i]} == rows[i] for i, r in got.items())
+    asked.clear()
+    changed = left.withColumn("text", F.when(page == 5, "changed").otherwise(F.col("text")))
+    again = evidence.resumed(stored, changed, right, 0.0, executor)
+    assert {r.page_id: r.broken for r in again.collect()} == {i: "observations" if i == 5 else "" for i in range(8)}
+    assert asked[-1] == [5]
