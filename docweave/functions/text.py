@@ -184,26 +184,6 @@ def safe_name(names: pa.Array) -> pa.Array:
     return pa.array([one(x) for x in names.to_pylist()], pa.string())
 
 
-def html_to_markdown(html: Column) -> Column:
-    """Text of a page as Markdown: headings, paragraphs, breaks and list items stay, other tags go."""
-    steps = [
-        (r"(?is)<!--.*?-->|<(script|style|nav|footer|head)\b[^>]*>.*?</\1>", ""),
-        (r"(?i)<br\s*/?>|</p>|</div>|</li>|</ul>|</h[1-6]>", "\n"),
-        *[(rf"(?i)<h{k}\b[^>]*>", "\n" + "#" * k + " ") for k in range(1, 7)],
-        (r"(?i)<li\b[^>]*>", "\n- "),
-        (r"(?i)<p\b[^>]*>", "\n"),
-        (r"<[^>]*>", ""),
-        (r"[ \t]+\n", "\n"),
-        (r"\n{3,}", "\n\n"),
-    ]
-    out = html
-    for pattern, by in steps:
-        out = F.regexp_replace(out, pattern, by)
-    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(c))
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
-
-
 def iou(a: Column, b: Column) -> Column:
     """Overlap of two boxes by their union; 0 without area."""
     side = lambda at, size: F.greatest(

@@ -10,6 +10,7 @@ from docweave.operators import sections as s
 from docweave.plans.bindings import Tables
 from docweave.plans.registry import query
 from docweave.sources import documents as d
+from docweave.sources.html import html_to_markdown
 
 # Scalar functions ----------------------------------------------------------------------------------
 
@@ -380,10 +381,21 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", d.content_hash(F.col("text")).alias("sha256"), F.octet_length("text").alias("bytes"))
 
 
-@query("src_html_to_markdown")
+# The tags that the pages have, by patterns: what goes, breaks, borders of blocks, headings, other tags; then entities.
+_GONE = "|".join([*(rf"<{n}\b[^>]*>.*?</{n}>" for n in ("head", "nav", "footer", "script", "style")), "<!--.*?-->", "<![^>]*>"])
+_STEPS = [(f"(?s){_GONE}", ""), (r"\s+", " "), (r"<br\s*/?>", "\v"), (r"<h1[^>]*>", "\f# "), (r"</?(?:p|div|article|body|html|ul|li|h1)\b[^>]*>", "\f"), ("<[^>]*>", "")]
+_BARE = "html"
+for _pattern, _by in _STEPS:
+    _BARE = f"regexp_replace({_BARE}, '{_pattern}', '{_by}', 'g')"
+for _name, _c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    _BARE = f"replace({_BARE}, '&{_name};', '{_c}')"
+_BLOCK = "trim(regexp_replace(z, ' *\v *', chr(10), 'g'), ' ' || chr(10))"
+
+
+@query("src_html_to_markdown", f"""SELECT page_id, md, length(md) AS chars FROM (
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split({_BARE}, '\f'), lambda z: {_BLOCK}), lambda z: z <> ''), chr(10) || chr(10)) AS md FROM pages)""")
 def _(t: Tables) -> DataFrame:
-    md = x.html_to_markdown(F.col("html"))
-    return t.pages.select("page_id", md.alias("md"), F.length(md).alias("chars"))
+    return html_to_markdown(t.pages, "page_id", "html").select("page_id", "md", F.length("md").alias("chars"))
 
 
 @query("src_filter_extension", "SELECT task_id, path, lower(regexp_extract(path, '\\.[^.]+$')) IN ('.md', '.markdown', '.txt', '.pdf') AS accepted FROM tasks")

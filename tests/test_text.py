@@ -37,10 +37,8 @@ def test_normalized_titles_and_names(spark):
     assert name[0] == "-ab" and len(name[1].encode()) <= 180 and name[2] == "untitled"
 
 
-def test_word_tokens_and_html(spark):
+def test_word_tokens(spark):
     assert values(spark, x.word_tokens, ("a　b  c",), ("  ",), ("",)) == [3, 0, 0]
-    html = "<html><head><title>t</title></head><body><script>x</script><h2>A &amp; B</h2><p>one<br>two</p><ul><li>i</li></ul></body></html>"
-    assert values(spark, x.html_to_markdown, (html,)) == ["## A & B\n\none\ntwo\n\n- i"]
 
 
 @pytest.mark.parametrize(
