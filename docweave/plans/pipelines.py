@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import word_tokens
+from docweave.functions.text import diagrams, redact, safe_name, word_tokens
 from docweave.operators import changes as m
 from docweave.operators import relational as r
 from docweave.operators import rounds as q
 from docweave.operators import sections as s
 from docweave.operators.rendering import topic_bundle
+from docweave.sources.files import sync_states
 
 
 def section_report(docs: DataFrame) -> DataFrame:
@@ -41,15 +42,61 @@ def resume(sections: DataFrame, artifacts: DataFrame) -> DataFrame:
     return found.withColumn("text", text).groupBy("task_id").agg(r.ordered_list(["seq"], "text", ";").alias("merged"))
 
 
-def chapter_bundle(chapters: DataFrame, notes: DataFrame, cards: DataFrame) -> DataFrame:
-    """(source_id, path, note, cards): what a chapter's folder holds."""
-    note = notes.withColumn("text", F.concat(F.lit("## "), "kind", F.lit("\n"), "content"))
-    note = note.groupBy("chapter_id").agg(r.ordered_list(["seq", "note_id"], "text", "\n").alias("note"))
-    card = cards.withColumn("text", F.concat(F.lit("- "), "title", F.lit(": "), "content"))
-    card = card.groupBy(F.col("origin_id").alias("chapter_id")).agg(r.ordered_list(["card_id"], "text", "\n").alias("cards"))
-    path = F.concat(F.lpad((F.col("seq") + 1).cast("string"), 2, "0"), F.lit("-"), "title")
-    joined = chapters.join(note, "chapter_id", "left").join(card, "chapter_id", "left")
-    return joined.select("source_id", path.alias("path"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("cards", F.lit("")).alias("cards"))
+def chapter_bundle(chapters: DataFrame, notes: DataFrame, cards: DataFrame, runs: DataFrame) -> DataFrame:
+    """(path, content): source.md, intensive-note.md, cards.md and runs/<round>.md of every chapter, below <source>/<number>-<title>.
+
+    chapters have the text of their source, cards and runs what they show; of several runs of a round the last one counts.
+    What a run put out is redacted. Chapters without notes or cards have the heads of these files, without runs no runs.
+    """
+    folder = F.concat(F.col("source_id").cast("string"), F.lit("/"), F.lpad((F.col("seq") + 1).cast("string"), 2, "0"), F.lit("-"), safe_name(F.col("title")))
+    places = chapters.select("chapter_id", "title", "source", folder.alias("folder"))
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    drawn = F.when(F.col("kind").endswith("_mermaid"), line("```mermaid\n", F.coalesce(F.get(diagrams(F.col("content")), F.lit(0)), F.trim("content")), "\n```")).otherwise(F.col("content"))
+    note = notes.select("chapter_id", "seq", "note_id", line("\n## ", F.col("kind"), "\n\n", drawn, "\n").alias("text"))
+    note = note.groupBy("chapter_id").agg(r.ordered_list(["seq", "note_id"], "text", "").alias("notes"))
+    starred = F.when(F.col("favourite"), "是").otherwise("否")
+    card = cards.select(F.col("origin_id").alias("chapter_id"), "card_id", line("\n## ", F.col("title"), "\n\n类型：", F.col("tags"), "\n收藏：", starred, "\n\n", F.col("content"), "\n").alias("text"))
+    card = card.groupBy("chapter_id").agg(r.ordered_list(["card_id"], "text", "").alias("cards"))
+    met = places.join(note, "chapter_id", "left").join(card, "chapter_id", "left")
+    files = {
+        "source.md": F.coalesce("source", F.lit("")),
+        "intensive-note.md": line("<!-- chapter-id: ", F.col("chapter_id"), " -->\n# ", F.col("title"), "\n", F.coalesce("notes", F.lit(""))),
+        "cards.md": line("# ", F.col("title"), " 写作卡片\n", F.coalesce("cards", F.lit(""))),
+    }
+    own = met.select("folder", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in files.items()])))
+    last = m.last_per_key(runs, ["chapter_id", "round_key"], ["created_at", "run_id"])
+    stale = F.when(F.col("stale"), "是").otherwise("否")
+    shown = line("# ", F.col("round_key"), "\n\n状态：", F.col("status"), "\n过期：", stale, "\n执行器：", F.col("executor"), "\n\n## 输出\n\n", redact(F.col("output")), "\n")
+    told = places.select("chapter_id", "folder").join(last, "chapter_id").select("folder", line("runs/", safe_name(F.col("round_key")), ".md").alias("name"), shown.alias("content"))
+    return own.union(told).select(F.concat_ws("/", "folder", "name").alias("path"), "content")
+
+
+def topic_files(topics: DataFrame, labels: DataFrame, blocks: DataFrame, cards: DataFrame) -> DataFrame:
+    """(topic_id, path, content): the three files of every topic that is whole, below topics/<id>."""
+    made = topic_bundle(topics, labels, blocks, cards).where("violations = ''")
+    names = {"topic-map.md": "topic_map", "topic-note.md": "note", "cards.md": "card_file"}
+    rows = made.select("topic_id", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("content")) for n, c in names.items()])))
+    return rows.select("topic_id", F.concat_ws("/", F.lit("topics"), "topic_id", "name").alias("path"), "content")
+
+
+def course_dashboard(readiness: DataFrame, chapters: DataFrame, reviews: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """(course_id, n_topics, ready, links, blocking, n_chapters, reviewed, synced, outdated, unsynced): a course at a glance.
+
+    readiness is that of its topics; a chapter is reviewed if its review is done and not stale. A topic's files (topic_id,
+    path, content) as they are now are compared with the folder's manifest: it is synced if all are there and the same,
+    outdated if it was written and any differs or is missing, and unsynced if none was written. Topics without files count as unsynced.
+    """
+    states = files.select("topic_id", "path").join(sync_states(files.select("path", "content"), folder), "path")
+    state = states.groupBy("topic_id").agg(F.bool_and(F.col("state") == "same").alias("same"), F.bool_and(F.col("state") == "new").alias("new"))
+    met = readiness.join(state, "topic_id", "left")
+    new = F.coalesce("new", F.lit(True))
+    per_topic = met.groupBy("course_id").agg(
+        F.count(F.lit(1)).alias("n_topics"), F.count_if(F.col("readiness") == "READY").alias("ready"), F.sum("n_chapters").alias("links"), F.sum("n_blocking").alias("blocking"),
+        F.count_if(~new & F.col("same")).alias("synced"), F.count_if(~new & ~F.col("same")).alias("outdated"), F.count_if(new).alias("unsynced"),
+    )
+    done = chapters.select("chapter_id", "course_id").join(reviews.select("chapter_id", "status", "stale"), "chapter_id", "left")
+    per_chapter = done.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_chapters"), F.count_if((F.col("status") == "DONE") & ~F.col("stale")).alias("reviewed"))
+    return per_topic.join(per_chapter, "course_id", "left").fillna(0, ["n_chapters", "reviewed"])
 
 
 def prompts(chapters: DataFrame, notes: DataFrame) -> DataFrame:

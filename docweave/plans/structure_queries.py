@@ -583,12 +583,3 @@ def _(t: Tables) -> DataFrame:
     asked = ledger.known("outline").select("digest", "attempts")
     met = state.withColumn("digest", F.sha2(F.concat_ws("\n", F.lit("outline"), "prompt"), 256)).join(asked, "digest")
     return met.select("run_id", "failed", "outline", "detail", "attempts")
-
-
-@query("pipe_course_dashboard", f"WITH d AS ({_READY}) SELECT t.course_id, count(*) AS n_topics, count(*) FILTER (d.readiness = 'READY') AS ready, sum(d.n_chapters)::BIGINT AS links, sum(d.n_blocking)::BIGINT AS blocking FROM topics t JOIN d USING (topic_id) GROUP BY t.course_id")
-def _(t: Tables) -> DataFrame:
-    now = r.readiness(t.topics, reviewed(t))
-    return now.groupBy("course_id").agg(
-        F.count(F.lit(1)).alias("n_topics"), F.count_if(F.col("readiness") == "READY").alias("ready"), F.sum("n_chapters").alias("links"), F.sum("n_blocking").alias("blocking")
-    )
-

@@ -10,6 +10,7 @@ from docweave.operators import sections as s
 from docweave.plans.bindings import Tables
 from docweave.plans.registry import query
 from docweave.sources import documents as d
+from docweave.sources.files import attachments, manifest, read_documents, write_files
 from docweave.sources.html import html_to_markdown
 
 # Scalar functions ----------------------------------------------------------------------------------
@@ -370,10 +371,18 @@ def _(t: Tables) -> DataFrame:
 # Sources -----------------------------------------------------------------------------------------------
 
 
-@query("src_text_documents", "SELECT 'd' || doc_id || '.md' AS name, length(text) AS chars, sha256(text) AS sha256 FROM documents")
+# A folder of files: most are Markdown; some have a mark in front, end in a byte that is no UTF-8, or are of another kind.
+@query("src_text_documents", """SELECT 'd' || doc_id % 100 || '/' || doc_id || CASE doc_id % 10 WHEN 3 THEN '.TXT' WHEN 5 THEN '.png' WHEN 8 THEN '.pdf' ELSE '.md' END AS name,
+    strlen(text) + CASE doc_id % 10 WHEN 7 THEN 1 WHEN 9 THEN 3 ELSE 0 END AS bytes, CASE WHEN doc_id % 10 NOT IN (5, 7, 8) THEN length(text) END AS chars, CASE WHEN doc_id % 10 NOT IN (5, 7, 8) THEN sha256(text) END AS sha256,
+    CASE doc_id % 10 WHEN 5 THEN 'extension' WHEN 8 THEN 'parser' WHEN 7 THEN 'encoding' ELSE '' END AS reason FROM documents WHERE strlen(text) > 0 OR doc_id % 10 IN (7, 9)""")
 def _(t: Tables) -> DataFrame:
-    some = t.documents.select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("name"), "text")
-    return d.text_documents(some).select("name", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
+    digit, raw = F.col("doc_id") % 10, F.col("text").cast("binary")
+    ending = F.when(digit == 3, ".TXT").when(digit == 5, ".png").when(digit == 8, ".pdf").otherwise(".md")
+    content = F.when(digit == 7, F.concat(raw, F.unhex(F.lit("FF")))).when(digit == 9, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(raw)
+    files = t.documents.select(F.concat(F.lit("d"), F.col("doc_id") % 100, F.lit("/"), "doc_id", ending).alias("path"), content.alias("content"))
+    folder = d.scratch(t.spark, "folder")
+    write_files(files, folder)
+    return read_documents(t.spark, folder).select("name", "bytes", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"), "reason")
 
 
 @query("src_content_hash", "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents")
@@ -448,15 +457,30 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "src_attachments",
-    """SELECT doc_id, substr(sha256(text), 1, 12) AS namespace, doc_id % 20 = ascii(lang) % 20 AS owned FROM documents""",
+    """WITH a AS (SELECT doc_id AS attachment_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS chapter_id, coalesce(CASE WHEN doc_id % 3 <> 2 THEN c.source_id END, doc_id % 150 + 1) AS source_id, replace(text, '. ', chr(12)) AS text
+        FROM documents LEFT JOIN chapters c ON c.chapter_id = doc_id),
+    b AS (SELECT a.*, s.course_id + CASE WHEN attachment_id % 7 = 0 THEN 1 ELSE 0 END AS course_id, s.course_id AS own FROM a LEFT JOIN sources s USING (source_id)),
+    v AS (SELECT b.*, substr(sha256(text), 1, 12) AS namespace, concat_ws(',', CASE WHEN own = b.course_id THEN NULL ELSE 'source' END,
+        CASE WHEN b.chapter_id IS NULL OR (c.source_id = b.source_id AND c.course_id = b.course_id) THEN NULL ELSE 'chapter' END) AS violations FROM b LEFT JOIN chapters c ON c.chapter_id = b.chapter_id),
+    p AS (SELECT attachment_id, namespace, unnest(range(len(q))) + 1 AS page, unnest(q) AS body FROM (SELECT attachment_id, namespace, string_split(text, chr(12)) AS q FROM v WHERE violations = '')),
+    g AS (SELECT attachment_id, namespace, page, unnest(range(len(r))) + 1 AS para, unnest(r) AS body FROM (
+        SELECT *, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda z: trim(z, ' ')), lambda z: z <> '') AS r FROM p)),
+    k AS (SELECT attachment_id, count(*)::INT AS n, sha256(string_agg('att:' || namespace || ':p' || page || ':para' || para || '=' || sha256(body), ',' ORDER BY page, para)) AS digest FROM g GROUP BY attachment_id)
+    SELECT attachment_id, violations, namespace, CASE WHEN violations = '' THEN coalesce(n, 0) END AS n_anchors, CASE WHEN violations = '' THEN coalesce(digest, sha256('')) END AS anchors_sha256 FROM v LEFT JOIN k USING (attachment_id)""",
 )
 def _(t: Tables) -> DataFrame:
-    from docweave.operators.relational import violations_of_ownership
-
-    att = t.documents.select("doc_id", "lang", F.substring(d.content_hash(F.col("text")), 1, 12).alias("namespace"), (F.col("doc_id") % 20).alias("course_id"))
-    owners = t.documents.select("lang", (F.ascii("lang") % 20).alias("course_id")).distinct()
-    bad = violations_of_ownership(att, owners, "lang").select("doc_id", F.lit(False).alias("ok"))
-    return att.join(bad, "doc_id", "left").select("doc_id", "namespace", F.coalesce("ok", F.lit(True)).alias("owned"))
+    doc = F.col("doc_id")
+    own = t.chapters.select(F.col("chapter_id").alias("doc_id"), F.col("source_id").alias("_own"))
+    source = F.coalesce(F.when(doc % 3 != 2, F.col("_own")), doc % 150 + 1)
+    specs = t.documents.join(own, "doc_id", "left").select(
+        doc.alias("attachment_id"), F.when(doc % 3 != 0, doc).alias("chapter_id"), source.alias("source_id"), F.replace("text", F.lit(". "), F.lit("\f")).alias("text")
+    )
+    shifted = F.col("course_id") + F.when(F.col("attachment_id") % 7 == 0, 1).otherwise(0)
+    specs = specs.join(t.sources.select("source_id", "course_id"), "source_id", "left").withColumn("course_id", shifted)
+    found = attachments(specs, t.sources, t.chapters)
+    told = F.array_join(F.transform("anchors", lambda z: F.concat(z["anchor"], F.lit("="), z["sha256"])), ",")
+    n = F.when(F.col("anchors").isNotNull(), F.size("anchors"))
+    return found.select("attachment_id", "violations", "namespace", n.alias("n_anchors"), F.sha2(told, 256).alias("anchors_sha256"))
 
 
 @query(
@@ -476,16 +500,30 @@ def _(t: Tables) -> DataFrame:
     return d.page_states(t.documents.select(body.alias("value")))
 
 
-_BUNDLE = """SELECT c.source_id, lpad((c.seq + 1)::VARCHAR, 2, '0') || '-' || c.title AS path, coalesce(n.notes, '') AS note, coalesce(k.cards, '') AS cards FROM chapters c
-LEFT JOIN (SELECT chapter_id, string_agg('## ' || kind || chr(10) || content, chr(10) ORDER BY seq, note_id) AS notes FROM note_blocks GROUP BY chapter_id) n USING (chapter_id)
-LEFT JOIN (SELECT origin_id AS chapter_id, string_agg('- ' || title || ': ' || content, chr(10) ORDER BY card_id) AS cards FROM chapter_cards GROUP BY origin_id) k USING (chapter_id)"""
+# Every chapter's files as they lie in the folder after a second write, which finds them all the same.
+_LAST_RUNS = "SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY chapter_id, round_key ORDER BY created_at DESC, run_id DESC) = 1"
+_BUNDLE = f"""WITH p AS (SELECT chapter_id, title, source_id || '/' || lpad((seq + 1)::VARCHAR, 2, '0') || '-' || title AS folder FROM chapters),
+n AS (SELECT chapter_id, string_agg(chr(10) || '## ' || kind || chr(10) || chr(10) || content || chr(10), '' ORDER BY seq, note_id) AS notes FROM note_blocks GROUP BY chapter_id),
+k AS (SELECT origin_id AS chapter_id, string_agg(chr(10) || '## ' || title || chr(10) || chr(10) || '类型：' || tags || chr(10) || '收藏：' || CASE WHEN favourite THEN '是' ELSE '否' END || chr(10) || chr(10) || content || chr(10), '' ORDER BY card_id) AS cards FROM chapter_cards GROUP BY origin_id),
+f AS (SELECT folder || '/source.md' AS path, 'text of ' || title AS content FROM p
+  UNION ALL SELECT folder || '/intensive-note.md', '<!-- chapter-id: ' || chapter_id || ' -->' || chr(10) || '# ' || title || chr(10) || coalesce(notes, '') FROM p LEFT JOIN n USING (chapter_id)
+  UNION ALL SELECT folder || '/cards.md', '# ' || title || ' 写作卡片' || chr(10) || coalesce(cards, '') FROM p LEFT JOIN k USING (chapter_id)
+  UNION ALL SELECT folder || '/runs/' || round_key || '.md', '# ' || round_key || chr(10) || chr(10) || '状态：' || status || chr(10) || '过期：' || CASE WHEN heartbeat_at % 11 = 0 THEN '是' ELSE '否' END || chr(10) || '执行器：stub' || chr(10) || chr(10) || '## 输出' || chr(10) || chr(10)
+    || output || CASE WHEN run_id % 5 = 0 THEN ' token=[REDACTED]' ELSE '' END || chr(10) FROM p JOIN ({_LAST_RUNS}) USING (chapter_id))
+SELECT path, strlen(content) AS bytes, sha256(content) AS sha256, 'same' AS state FROM f"""
 
 
 @query("snk_chapter_bundle", _BUNDLE)
 def _(t: Tables) -> DataFrame:
     from docweave.plans.pipelines import chapter_bundle
 
-    return chapter_bundle(t.chapters, t.note_blocks, t.chapter_cards)
+    said = F.concat("output", F.when(F.col("run_id") % 5 == 0, " token=abc").otherwise(""))
+    runs = t.runs.withColumn("output", said).withColumn("stale", F.col("heartbeat_at") % 11 == 0).withColumn("executor", F.lit("stub"))
+    chapters = t.chapters.withColumn("source", F.concat(F.lit("text of "), "title"))
+    files, folder = chapter_bundle(chapters, t.note_blocks, t.chapter_cards, runs), d.scratch(t.spark, "chapters")
+    write_files(files, folder)
+    again = write_files(files, folder)
+    return manifest(t.spark, folder).join(again, "path").select("path", "bytes", "sha256", "state")
 
 
 @query("fn_build_prompt", "SELECT chapter_id, 'Read the chapter ' || title || '.' || chr(10) || coalesce(string_agg('[src:' || note_id || '] ' || content, chr(10) ORDER BY n.seq, note_id), '') AS prompt FROM chapters LEFT JOIN note_blocks n USING (chapter_id) GROUP BY chapter_id, title")
