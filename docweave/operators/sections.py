@@ -101,6 +101,27 @@ def split_sections(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md")
     return units.select(id_col, "seq", section_title(F.col("raw")).alias("title"), "raw", F.sha2("raw", 256).alias("sha256"), F.length("raw").alias("char_count"))
 
 
+#: Numbers that are added one by one below a running sum.
+_BLOCK = 256
+
+
+def running(sizes: Column) -> Column:
+    """The sum of the sizes before each: sums of blocks, sums before each block, and the rest inside of it.
+
+    A fold that appends to an array would copy it at every step; this adds some _BLOCK / 2 numbers for each place.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+
+    def summed(all_sizes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), block(F.size(all_sizes))), lambda k: total(F.slice(all_sizes, k * _BLOCK + 1, F.lit(_BLOCK))))
+        before = bound(blocks, lambda sums: F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k))))
+        inside = lambda i: total(F.slice(all_sizes, block(i) * _BLOCK + 1, i % _BLOCK))
+        return bound(before, lambda base: F.transform(all_sizes, lambda _, i: F.get(base, block(i)) + inside(i)))
+
+    return bound(sizes, summed)
+
+
 #: Fixed value: titles that say chapter.
 CHAPTER_TITLE = r"(?iU)^(?:第.{1,12}章(?:\s|$)|chapter\s+\w+)"
 
@@ -115,35 +136,26 @@ def detect_chapters(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md")
     text, back = without_cut(md)
     marked = F.regexp_replace(text, r"(?m)^(#{1,2}(?U:\s)+[^\n]+)$", f"{CUT}$1")
     cut = docs.select(F.col(id_col), F.length(md).alias("chars"), F.transform(F.split(marked, CUT), back).alias("p"))
-    starts = F.aggregate(
-        F.col("p"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.split(x, "\n")[0].alias("line")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    cut = cut.select(id_col, "chars", F.transform("p", lambda x: F.split(x, "\n", 2)[0]).alias("lines"), running(F.transform("p", F.length)).alias("starts"))
     mark = r"(?U)^(#{1,2})\s+(.+?)\s*$"
-    heads = F.filter(
-        F.transform(starts, lambda s: F.struct(s["start"].alias("start"), F.length(F.regexp_extract(s["line"], mark, 1)).alias("level"), F.trim(F.regexp_extract(s["line"], mark, 2)).alias("title"))),
-        lambda h: h["level"] > 0,
-    )
-    of = lambda k: F.filter("heads", lambda h: h["level"] == k)
-    named = F.filter("heads", lambda h: h["title"].rlike(CHAPTER_TITLE))
-    titled = F.exists(of(1), lambda h: ~h["title"].rlike(CHAPTER_TITLE))
-    chosen = (
-        F.when(titled & (F.size(of(2)) > 1), of(2)).when(F.size(named) > 1, named).when(F.size(of(1)) > 1, of(1)).otherwise(of(2))
-    )
+    head = lambda line, start: F.struct(start.alias("start"), F.length(F.regexp_extract(line, mark, 1)).alias("level"), F.trim(F.regexp_extract(line, mark, 2)).alias("title"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("level"), F.lit("全文").alias("title")))
-    picked = cut.select(id_col, "chars", heads.alias("heads")).select(id_col, "chars", chosen.alias("c"))
-    picked = picked.select(id_col, "chars", F.when(F.size("c") > 0, F.col("c")).otherwise(whole).alias("c"))
-    rows = picked.select(id_col, "chars", "c", F.posexplode("c").alias("seq", "h"))
-    following = F.get("c", F.col("seq") + 1)["start"]
-    return rows.select(
-        id_col, "seq", F.col("h.title").alias("title"), F.col("h.start").alias("start"),
-        F.coalesce(following, F.col("chars")).alias("end"), F.col("c")[0]["start"].alias("preamble_chars"),
-    )
+
+    def chosen(heads: Column) -> Column:
+        of = lambda k: F.filter(heads, lambda h: h["level"] == k)
+        named = F.filter(heads, lambda h: h["title"].rlike(CHAPTER_TITLE))
+        titled = F.exists(heads, lambda h: (h["level"] == 1) & ~h["title"].rlike(CHAPTER_TITLE))
+        pick = lambda one, two, say: F.when(titled & (F.size(two) > 1), two).when(F.size(say) > 1, say).when(F.size(one) > 1, one).otherwise(two)
+        return bound(of(1), lambda one: bound(of(2), lambda two: bound(named, lambda say: pick(one, two, say))))
+
+    def ended(c: Column) -> Column:
+        until = lambda i: F.coalesce(F.get(c, i + 1)["start"], F.col("chars"))
+        return F.transform(c, lambda h, i: F.struct(h["title"].alias("title"), h["start"].alias("start"), until(i).alias("end"), c[0]["start"].alias("preamble_chars")))
+
+    heads = F.filter(F.zip_with("lines", "starts", head), lambda h: h["level"] > 0)
+    some = bound(bound(heads, chosen), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
+    rows = cut.select(id_col, F.posexplode(bound(some, ended)).alias("seq", "h"))
+    return rows.select(id_col, "seq", "h.title", "h.start", "h.end", "h.preamble_chars")
 
 
 def stub_enrichment(seq: Column, raw: Column) -> Column:

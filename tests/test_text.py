@@ -187,3 +187,25 @@ def test_short_units_join_the_one_before(spark):
     long = "x" * 120
     cases = [([],), (["a"],), (["a", "b", long, "c", "d"],), ([long, "# h", "e", long],)]
     assert values(spark, sections.merge_short, *cases) == [[], ["a"], ["ab", f"{long}cd"], [long, "# he", long]]
+
+
+def test_long_texts_take_seconds(spark):
+    """20,000 headings, blank-line pieces and short lines in one text each."""
+    import time
+
+    n = 20_000
+    docs = [("heads", "".join(f"## h{i}\n" for i in range(n))), ("blank", "a\n\n" * n), ("mixed", "".join(f"# Chapter {i}\n\nx\n" for i in range(n)))]
+    df = spark.createDataFrame(docs, "doc_id string, md string")
+    start = time.time()
+    got = {r.doc_id: (r.n, r.last, r.gap) for r in sections.detect_chapters(df).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("gap")).collect()}
+    size = {k: len(t) for k, t in docs}
+    assert got == {"heads": (n, size["heads"], size["heads"]), "blank": (1, size["blank"], size["blank"]), "mixed": (n, size["mixed"], size["mixed"])}
+    pieces = df.where("doc_id = 'blank'").select(F.size(sections.split_long(F.col("md"))).alias("n"), F.array_join(sections.split_long(F.col("md")), "").alias("md")).first()
+    assert pieces.md == docs[1][1] and pieces.n == 15
+    assert time.time() - start < 60
+
+
+def test_running_sums(spark):
+    rows = [([],), ([5],), (list(range(1000)),), ([1] * 256,), ([2] * 257,)]
+    got = spark.createDataFrame(rows, "a array<int>").select("a", sections.running(F.col("a")).alias("s")).collect()
+    assert all(r.s == [sum(r.a[:i]) for i in range(len(r.a))] for r in got)
