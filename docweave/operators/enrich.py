@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.text import normalized_title
 from docweave.operators.ledger import Ledger
+from docweave.operators.ordering import places
 
 Client = Callable[[int, str], str]
 
@@ -51,27 +52,20 @@ def enrich_once(sections: DataFrame, client: Client, attempts: int = 3, ledger:
 
 
 def display_titles(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, key, title, display): equal titles of a group get （2）, （3） ... in order of key, past taken names."""
-
-    def plain(title: str) -> str:
-        return " ".join(unicodedata.normalize("NFKC", title).casefold().split())
-
-    def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by(key)
-        titles = table.column("title").to_pylist()
-        taken, seen, count, out = {plain(t) for t in titles}, set(), {}, []
-        for title in titles:
-            name = title
-            if plain(title) in seen:
-                n = count.get(plain(title), 1) + 1
-                while plain(f"{title}（{n}）") in taken:
-                    n += 1
-                count[plain(title)], name = n, f"{title}（{n}）"
-                taken.add(plain(name))
-            seen.add(plain(title))
-            out.append(name)
-        return table.append_column("display", pa.array(out, pa.string()))
-
-    kinds = dict(rows.dtypes)
-    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, title string, display string"
-    return rows.select(group, key, "title").groupBy(group).applyInArrow(work, schema)
+    """(group, key, title, display): equal titles of a group get （2）, （3） ... in order of key, past taken names.
+
+    Titles are equal by their normal form. The first keeps its name; the others take, in order, the numbers from 2 on whose
+    name isn't a title of the group. Titles that end in such a number are set against their stem: a number t that has i
+    smaller ones before it is passed over by all from the place t - i on. So the number of a row is found from its place among
+    equal titles and taken numbers, which places() counts without a task that holds all of them. Null titles stay null.
+    """
+    named = rows.select(group, key, "title", normalized_title(F.col("title")).alias("stem"))
+    ranked = places(named, [group, "stem"], [key], "rank")
+    taken = named.select(group, "stem").distinct()
+    number = F.regexp_extract("stem", r"(?s)^(.*)\(([1-9]\d{0,8})\)$", 2).try_cast("int")
+    taken = taken.select(group, F.regexp_extract("stem", r"(?s)^(.*)\(([1-9]\d{0,8})\)$", 1).alias("stem"), number.alias("n")).where("n >= 2")
+    again = ranked.where("rank > 1 and stem is not null")
+    gaps = places(taken, [group, "stem"], ["n"], "i").select(group, "stem", (F.col("n") - F.col("i") + 1).alias("at"), F.lit(0).alias("own"), F.lit(None).cast(ranked.schema[key].dataType).alias(key), F.lit(None).cast("string").alias("title"))
+    met = places(gaps.union(again.select(group, "stem", F.col("rank").alias("at"), F.lit(1).alias("own"), key, "title")), [group, "stem"], ["at", "own"])
+    later = met.where("own = 1").select(group, key, "title", F.concat("title", F.lit("（"), F.col("place") + 1, F.lit("）")).alias("display"))
+    return ranked.where("rank = 1 or stem is null").select(group, key, "title", F.col("title").alias("display")).union(later)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.operators import relational as r
+from docweave.operators.ordering import places
 from docweave.operators.tables import row_shape
 from docweave.plans.bindings import Tables
 from docweave.plans.registry import query
@@ -578,7 +579,7 @@ def _(t: Tables) -> DataFrame:
     s = t.sources.select("source_id", F.col("title").alias("source_title"))
     n = t.note_blocks.select("chapter_id", "note_id", F.col("seq").alias("note_seq"), "kind")
     rows = t.chapters.join(s, "source_id").join(n, "chapter_id")
-    return ranked(rows, "course_id", "source_title", "source_id", "seq", "chapter_id", "note_seq", "kind", "note_id").select("course_id", "chapter_id", "note_id", "place")
+    return places(rows, ["course_id"], ["source_title", "source_id", "seq", "chapter_id", "note_seq", "kind", "note_id"]).select("course_id", "chapter_id", "note_id", "place")
 
 
 @query(
@@ -587,7 +588,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     first = F.when(F.col("origin_type") == "chapter", 0).otherwise(1)
-    return ranked(all_cards(t), "favourite", first, "origin_id", "card_id").select("card_id", "origin_type", "place")
+    return places(all_cards(t), ["favourite"], [first, "origin_id", "card_id"]).select("card_id", "origin_type", "place")
 
 
 @query("srt_favourites_first", "SELECT card_id, favourite, updated_at FROM topic_cards ORDER BY favourite DESC, updated_at DESC, card_id")
@@ -597,7 +598,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("srt_children", "SELECT course_id, source_id, row_number() OVER (PARTITION BY course_id ORDER BY created_at, source_id) AS place FROM sources")
 def _(t: Tables) -> DataFrame:
-    return ranked(t.sources, "course_id", "created_at", "source_id").select("course_id", "source_id", "place")
+    return places(t.sources, ["course_id"], ["created_at", "source_id"]).select("course_id", "source_id", "place")
 
 
 @query(
@@ -638,13 +639,13 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "set_union_distinct_chapters",
-    """SELECT course_id, string_agg(chapter_id::VARCHAR, ',' ORDER BY f, chapter_id) AS chapters FROM (
-      SELECT t.course_id, l.chapter_id, min(t.topic_id) AS f FROM topics t JOIN topic_chapters l USING (topic_id) GROUP BY t.course_id, l.chapter_id) GROUP BY course_id""",
+    """SELECT course_id, chapter_id, row_number() OVER (PARTITION BY course_id ORDER BY f, chapter_id) AS place FROM (
+      SELECT t.course_id, l.chapter_id, min(t.topic_id) AS f FROM topics t JOIN topic_chapters l USING (topic_id) GROUP BY t.course_id, l.chapter_id)""",
 )
 def _(t: Tables) -> DataFrame:
     merged = t.topics.select("topic_id", "course_id").join(t.topic_chapters, "topic_id")
     first = merged.groupBy("course_id", "chapter_id").agg(F.min("topic_id").alias("f"))
-    return first.groupBy("course_id").agg(r.ordered_list(["f", "chapter_id"], "chapter_id").alias("chapters"))
+    return places(first, ["course_id"], ["f", "chapter_id"]).select("course_id", "chapter_id", "place")
 
 
 @query(

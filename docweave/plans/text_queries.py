@@ -540,8 +540,16 @@ def _(t: Tables) -> DataFrame:
     return joined.select("chapter_id", F.to_json(F.struct(F.col("title").alias("chapter"), "notes")).alias("prompt"))
 
 
-@query("win_display_titles")
+# Some sources have a title that looks like a number given to an equal one.
+_TITLED = "CASE source_id % 10 WHEN 3 THEN title || '（2）' WHEN 7 THEN title || '（3）' WHEN 9 THEN title || '（5）' WHEN 1 THEN lower(title) ELSE title END"
+
+
+@query("win_display_titles", f"""WITH n AS (SELECT course_id, source_id, {_TITLED} AS title FROM sources), p AS (SELECT *, replace(replace(lower(title), '（', '('), '）', ')') AS stem FROM n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY course_id, stem ORDER BY source_id) AS rank FROM p),
+    x AS (SELECT course_id, regexp_extract(stem, '^(.*)\\((\\d+)\\)$', 1) AS stem, list_sort(list(DISTINCT regexp_extract(stem, '^(.*)\\((\\d+)\\)$', 2)::INT)) AS taken FROM p WHERE regexp_matches(stem, '\\(\\d+\\)$') GROUP BY ALL)
+    SELECT course_id, source_id, title, CASE WHEN rank = 1 THEN title ELSE title || '（' || (rank + len(list_filter(list_transform(coalesce(taken, []), lambda v, i: v - i + 1), lambda v: v <= rank))) || '）' END AS display
+    FROM k LEFT JOIN x USING (course_id, stem)""")
 def _(t: Tables) -> DataFrame:
     from docweave.operators.enrich import display_titles
 
-    return display_titles(t.sources.select("course_id", "source_id", "title"), "course_id", "source_id")
+    return display_titles(t.sources.select("course_id", "source_id", F.expr(_TITLED).alias("title")), "course_id", "source_id")

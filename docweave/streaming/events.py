@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from docweave.operators.ordering import chunked
 from docweave.sources.documents import scratch
 
 if TYPE_CHECKING:
@@ -54,13 +55,6 @@ def to_table(stream: DataFrame, name: str, mode: str = "append", state: str | No
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def chunked(rows: DataFrame, key: str, order: list[str], chunks: int | None = None) -> DataFrame:
-    """rows with `chunk`: ranges of (key, order) of about equal size, in order, so that a hot key has many of them."""
-    by = [key, *order]
-    dealt = rows.repartitionByRange(chunks, *by) if chunks else rows.repartitionByRange(*by)
-    return dealt.withColumn("chunk", F.spark_partition_id())
-
-
 def numbered(stream: DataFrame, chunks: int | None = None) -> DataFrame:
     """(event_id, batch_id, seq): events of a batch numbered from 0 in order of time, going on across micro-batches.
 
@@ -80,7 +74,7 @@ def numbered(stream: DataFrame, chunks: int | None = None) -> DataFrame:
             rows.write.mode("overwrite").parquet(f"{folder}/{kind}/{n}")
             return spark.read.schema(rows.schema).parquet(f"{folder}/{kind}/{n}")
 
-        rows = kept("chunks", chunked(batch.select("batch_id", "ts", "event_id"), "batch_id", ["ts", "event_id"], chunks))
+        rows = kept("chunks", chunked(batch.select("batch_id", "ts", "event_id"), ["batch_id", "ts", "event_id"], chunks))
         earlier = Window.partitionBy("batch_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         counts = rows.groupBy("batch_id", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         paths = [f"{folder}/next/{i}" for i in sorted(done) if i < n]

@@ -35,7 +35,7 @@ def test_a_hot_batch_is_numbered_in_chunks(spark, tmp_path):
         rows_of = spark.createDataFrame(rows[part * 1000 : part * 1000 + 1000], "batch_id long, event_id long, ts timestamp")
         rows_of.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
     whole = spark.read.parquet(f"file://{tmp_path}/log")
-    sizes = st.chunked(whole, "batch_id", ["ts", "event_id"], 12).groupBy("batch_id", "chunk").count()
+    sizes = st.chunked(whole, ["batch_id", "ts", "event_id"], 12).groupBy("batch_id", "chunk").count()
     assert sizes.agg(F.max("count")).first()[0] <= 3000 / 12 * 2
     got = st.numbered(st.event_stream(spark, f"file://{tmp_path}/log", whole.schema), chunks=12).collect()
     expected, n = {}, {}
