@@ -77,8 +77,27 @@ def escalation_reason(status: Column, page_hash: Column, page: Column, rate: flo
     )
 
 
-def redact(text: Column) -> Column:
-    for pattern, by in SECRET_RULES:
+#: What is taken out of files that are written to a folder, of titles, and of what another engine answers.
+FOLDER_RULES = (
+    (r"file://[^\s<>()]+", "[REDACTED]"),
+    (r"(?<![\p{L}\p{N}_:/.])/(?:[^\s/<>()\[\]{}'\"`]+/)*[^\s/<>()\[\]{}'\"`]+", "[REDACTED]"),
+    (r"[A-Za-z]:\\[^\s<>()]+", "[REDACTED]"),
+    (r"\bsk-[A-Za-z0-9_-]{12,}\b", "[REDACTED]"),
+    (r"(?i)\b(?:api[_-]?key|access[_-]?token|secret)\s*[:=]\s*[^\s]+", "[REDACTED]"),
+)
+TITLE_RULES = (
+    (r"/Users/[^\s]+|/private/[^\s]+|[A-Za-z]:\\[^\s]+", "[REDACTED]"),
+    (r"(?i)\b(?:sk|key|token)-[A-Za-z0-9_-]{8,}\b", "[REDACTED]"),
+)
+ANSWER_RULES = (
+    (r"(?i)(\"?(?:key|token|access_token|api_key)\"?\s*:\s*\")[^\"]*(\")", "$1[REDACTED]$2"),
+    (r"(?i)sk-[A-Za-z0-9_-]+|Bearer\s+[^\s,}]+|/Users/[^\s,}]+|/var/[^\s,}]+|\b(?:key|token|access_token|api_key)\s*[:=]\s*[\"']?[^\s,}\"']+", "[REDACTED]"),
+)
+
+
+def redact(text: Column, rules: tuple[tuple[str, str], ...] = SECRET_RULES) -> Column:
+    """The text with what the rules find replaced, rule by rule."""
+    for pattern, by in rules:
         text = F.regexp_replace(text, pattern, by)
     return text
 
@@ -168,6 +187,13 @@ def normalized_title(titles: pa.Array) -> pa.Array:
     return pa.array([plain(x) for x in titles.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def normalized_titles(lists: pa.Array) -> pa.Array:
+    """normalized_title of each title of a list."""
+    plain = lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split())
+    return pa.array([None if x is None else [plain(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+
 @F.arrow_udf(T.StringType())
 def safe_name(names: pa.Array) -> pa.Array:
     """A file name of at most 180 bytes without control characters, slashes and outer dots; longer ones end in a hash."""

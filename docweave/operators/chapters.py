@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docweave.functions.text import chapter_level, chapter_number, redact, stable_id
+from docweave.functions.text import TITLE_RULES, chapter_level, chapter_number, redact, stable_id
 from docweave.operators.relational import page_ends, subtree_ends, tree_parents
 
 #: How the number of a heading is written.
@@ -21,7 +21,7 @@ def _part(pattern: str, group: int) -> Column:
 
 
 def _titled(df: DataFrame, pattern: str) -> DataFrame:
-    title = redact(F.regexp_replace(F.trim(F.regexp_replace(_part(pattern, 2), r"(?U)\s+", " ")), r"^[ .…]+|[ .…]+$", ""))
+    title = redact(F.regexp_replace(F.trim(F.regexp_replace(_part(pattern, 2), r"(?U)\s+", " ")), r"^[ .…]+|[ .…]+$", ""), TITLE_RULES)
     return df.withColumn("number", _part(pattern, 1)).withColumn("title", title).withColumn("key", chapter_number(F.col("number")))
 
 

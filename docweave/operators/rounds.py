@@ -165,7 +165,7 @@ def chapter_published(state: DataFrame) -> DataFrame:
 def outline_rules(allowed: Column) -> dict[str, dict[str, Column]]:
     """Rules of an outline: titles apart, chapters of this input only, each mapped or unmapped, none both."""
     got = outline_answer()
-    titles = F.transform(got["topics"], lambda z: F.lower(z["title"]))
+    titles = x.normalized_titles(got["topics"]["title"])
     mapped, rest = F.flatten(got["topics"]["chapter_ids"]), got["unmapped_chapter_ids"]
     apart = lambda a: F.size(F.array_distinct(a)) == F.size(a)
     return {

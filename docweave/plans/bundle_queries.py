@@ -182,11 +182,17 @@ _TOLD = f"array_to_string(list_transform(range(0, n), lambda i: '{{0}} card ' ||
 @query("pipe_topic_fusion", f"""WITH lab AS (SELECT l.topic_id, list(c.label ORDER BY c.source_id, c.seq) AS labels FROM topic_chapters l JOIN chapter_labels c USING (chapter_id) GROUP BY l.topic_id),
 s AS (SELECT t.topic_id, t.title, labels, 6 + t.topic_id % 8 AS n, concat_ws(',', CASE WHEN labels IS NULL THEN 'sources' END, CASE WHEN NOT t.confirmed THEN 'confirmed' END, CASE WHEN t.status = 'RUNNING' THEN 'running' END) AS unfit
   FROM topics t LEFT JOIN lab USING (topic_id)),
-f AS (SELECT *, CASE WHEN unfit <> '' THEN 'start:' || unfit WHEN topic_id % 13 = 0 THEN 'comparison:labels' WHEN n NOT BETWEEN 8 AND 12 THEN 'cards:number' WHEN topic_id % 11 = 0 THEN 'review:passed' ELSE '' END AS failed FROM s)
+f AS (SELECT *, CASE WHEN unfit <> '' THEN 'start:' || unfit WHEN topic_id % 13 = 0 THEN 'comparison:labels' WHEN n NOT BETWEEN 8 AND 12 THEN 'cards:number' WHEN topic_id % 11 = 0 THEN 'review:passed' WHEN guard <> '' THEN 'publish:' || guard ELSE '' END AS failed FROM (
+  SELECT *, concat_ws(',', CASE WHEN topic_id % 17 = 3 THEN 'fingerprint' END, CASE WHEN topic_id % 19 = 5 THEN 'baseline' END, CASE WHEN topic_id % 23 = 4 OR topic_id % 7 = 6 THEN 'lease' END) AS guard FROM s))
 SELECT topic_id, failed, sha256(array_to_string(labels, ',')) AS fingerprint, CASE WHEN failed = '' THEN {_note_sql(_SAID, _TOLD.format('###'))} END AS note,
   CASE WHEN failed = '' THEN '# ' || title || ' 写作卡片' || {_NL2} || {_TOLD.format('##')} END AS card_file FROM f""")
 def _(t: Tables) -> DataFrame:
-    return pipe.topic_fusion(t.topics, topic_labels(t), topic_stub)
+    topic, labels = F.col("topic_id"), topic_labels(t)
+    topics = t.topics.withColumn("stale_reason", F.when(topic % 5 == 0, "earlier").otherwise("")).withColumn("owner_id", F.lit("worker"))
+    after = topics.withColumn("stale_reason", F.when(topic % 19 == 5, "meanwhile").otherwise(F.col("stale_reason")))
+    leases = t.topics.select("topic_id", F.when(topic % 7 == 6, "other").otherwise("worker").alias("owner_id"), F.when(topic % 23 == 4, 800).otherwise(801).alias("expires_at"))
+    renamed = labels.withColumn("label", F.when(topic % 17 == 3, F.concat("label", F.lit("*"))).otherwise(F.col("label")))
+    return pipe.topic_fusion(topics, labels, topic_stub, renamed, after, leases, 800)
 
 
 def topic_answers(t: Tables) -> DataFrame:
@@ -274,18 +280,22 @@ def outline_stub(key: str, rows: DataFrame) -> DataFrame:
     """The deterministic stand-in for a model: a topic for each chapter, some left unmapped, or all unmapped as well."""
     topic = lambda i: F.struct(F.concat(F.lit("Topic "), i).alias("title"), F.lit("").alias("description"), F.lit("").alias("reason"), F.array(i).alias("chapter_ids"))
     mapped = F.transform(F.filter("ids", lambda i: i % 5 != 0), topic)
-    rest = F.when(F.col("source_id") % 7 == 0, F.col("ids")).otherwise(F.filter("ids", lambda i: i % 5 == 0))
+    rest = F.when(F.col("course_id") % 7 == 0, F.col("ids")).otherwise(F.filter("ids", lambda i: i % 5 == 0))
     return rows.withColumn("answer", F.when(F.col("asked").isNotNull(), F.to_json(F.struct(mapped.alias("topics"), rest.alias("unmapped_chapter_ids")))))
 
 
-@query("pipe_topic_outline", """WITH k AS (SELECT c.source_id, list(c.chapter_id ORDER BY c.chapter_id) AS ids, count(*) FILTER (w.status <> 'DONE' OR w.stale) AS blocking FROM chapters c JOIN reviews w USING (chapter_id) WHERE c.status = 'CONFIRMED' GROUP BY c.source_id),
-d AS (SELECT source_id, count(*) AS n, string_agg(title || ':' || chapter_id, ';' ORDER BY title, chapter_id) AS outline FROM chapters WHERE status = 'DRAFT' GROUP BY source_id),
-a AS (SELECT s.source_id, coalesce(d.n, 0) AS n, coalesce(d.outline, '') AS outline, k.ids, list_sort(list_transform(list_filter(k.ids, lambda i: i % 5 <> 0), lambda i: 'Topic ' || i || ':' || i)) AS made, coalesce(k.blocking, 0) > 0 AS blocked FROM sources s LEFT JOIN k USING (source_id) LEFT JOIN d USING (source_id)),
-f AS (SELECT *, CASE WHEN ids IS NULL THEN 'start:chapters' WHEN blocked THEN 'start:blocking' WHEN len(made) = 0 THEN 'topic_outline:shape' WHEN source_id % 7 = 0 THEN 'topic_outline:overlap' ELSE '' END AS failed FROM a)
-SELECT source_id, failed, CASE WHEN failed = '' THEN len(made) ELSE n END AS n_topics, CASE WHEN failed = '' THEN array_to_string(made, ';') ELSE outline END AS outline FROM f""")
+# Chapters whose review isn't done are left out, but for a few courses, which they block.
+@query("pipe_topic_outline", """WITH k AS (SELECT c.course_id, list(c.chapter_id ORDER BY c.chapter_id) AS ids, count(*) FILTER (w.status <> 'DONE' OR w.stale) AS blocking FROM chapters c JOIN reviews w USING (chapter_id)
+  WHERE c.status = 'CONFIRMED' AND (w.status = 'DONE' AND NOT w.stale OR c.course_id % 5 = 2) AND c.course_id % 6 <> 4 GROUP BY c.course_id),
+d AS (SELECT course_id, count(*) AS n, string_agg(title || ':' || chapter_id, ';' ORDER BY title, chapter_id) AS outline FROM chapters WHERE status = 'DRAFT' GROUP BY course_id),
+a AS (SELECT s.course_id, coalesce(d.n, 0) AS n, coalesce(d.outline, '') AS outline, k.ids, list_transform(list_sort(list_transform(list_filter(k.ids, lambda i: i % 5 <> 0), lambda i: 'Topic ' || i)), lambda z: z || ':' || substr(z, 7)) AS made, coalesce(k.blocking, 0) > 0 AS blocked FROM courses s LEFT JOIN k USING (course_id) LEFT JOIN d USING (course_id)),
+f AS (SELECT *, CASE WHEN ids IS NULL THEN 'start:chapters' WHEN blocked THEN 'start:blocking' WHEN len(made) = 0 THEN 'topic_outline:shape' WHEN course_id % 7 = 0 THEN 'topic_outline:overlap' ELSE '' END AS failed FROM a)
+SELECT course_id, failed, CASE WHEN failed = '' THEN len(made) ELSE n END AS n_topics, CASE WHEN failed = '' THEN array_to_string(made, ';') ELSE outline END AS outline FROM f""")
 def _(t: Tables) -> DataFrame:
-    drafts = t.chapters.where("status = 'DRAFT'").select("source_id", "title", F.array("chapter_id").alias("chapter_ids"))
-    return pipe.topic_outline(t.sources, t.chapters.where("status = 'CONFIRMED'"), t.reviews, drafts, outline_stub)
+    drafts = t.chapters.where("status = 'DRAFT'").select("course_id", "title", F.array("chapter_id").alias("chapter_ids"))
+    done = t.reviews.where("status = 'DONE' and not stale").select("chapter_id", F.lit(True).alias("_done"))
+    wanted = t.chapters.where("status = 'CONFIRMED' and course_id % 6 <> 4").join(done, "chapter_id", "left").where("_done or course_id % 5 = 2").drop("_done")
+    return pipe.topic_outline(t.courses, wanted, t.reviews, drafts, outline_stub, most=1 << 40)
 
 
 @query("mut_publish_chapter", """WITH l AS (SELECT chapter_id, max(heartbeat_at) + 600 AS expires FROM runs GROUP BY chapter_id), n AS (SELECT chapter_id, count(*) AS n FROM note_blocks GROUP BY chapter_id),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import diagrams, redact, safe_name, word_tokens
+from docweave.functions.text import FOLDER_RULES, diagrams, redact, safe_name, word_tokens
 from docweave.operators import changes as m
 from docweave.operators import relational as r
 from docweave.operators import rounds as q
 from docweave.operators import sections as s
 from docweave.operators.rendering import topic_bundle
+from docweave.sources.documents import scratch
 from docweave.sources.files import sync_states
 
 
@@ -66,7 +67,7 @@ def chapter_bundle(chapters: DataFrame, notes: DataFrame, cards: DataFrame, runs
     own = met.select("folder", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in files.items()])))
     last = m.last_per_key(runs, ["chapter_id", "round_key"], ["created_at", "run_id"])
     stale = F.when(F.col("stale"), "是").otherwise("否")
-    shown = line("# ", F.col("round_key"), "\n\n状态：", F.col("status"), "\n过期：", stale, "\n执行器：", F.col("executor"), "\n\n## 输出\n\n", redact(F.col("output")), "\n")
+    shown = line("# ", F.col("round_key"), "\n\n状态：", F.col("status"), "\n过期：", stale, "\n执行器：", F.col("executor"), "\n\n## 输出\n\n", redact(F.col("output"), FOLDER_RULES), "\n")
     told = places.select("chapter_id", "folder").join(last, "chapter_id").select("folder", line("runs/", safe_name(F.col("round_key")), ".md").alias("name"), shown.alias("content"))
     return own.union(told).select(F.concat_ws("/", "folder", "name").alias("path"), "content")
 
@@ -142,47 +143,58 @@ def chapter_reading(chapters: DataFrame, notes: DataFrame, current: DataFrame, e
     return state.join(after, "chapter_id", "left").select("chapter_id", "failed", F.coalesce("n", F.lit(0)).alias("n_blocks"), F.coalesce("note", F.lit("")).alias("note"))
 
 
-def topic_fusion(topics: DataFrame, labels: DataFrame, executor: q.Executor) -> DataFrame:
+def topic_fusion(topics: DataFrame, labels: DataFrame, executor: q.Executor, labels_after: DataFrame, topics_after: DataFrame, leases: DataFrame, now: int) -> DataFrame:
     """(topic_id, failed, fingerprint, note, card_file): snapshot, seven rounds, checks, publication and files of each topic.
 
     labels are (topic_id, source_id, seq, title, label). Topics start if they are confirmed, not running, and have
-    sources with labels that differ; those whose rounds all pass are rendered, others have the first round that failed.
+    sources with labels that differ. Those whose rounds all pass ask for publication, which the guards of publish() allow
+    if nothing else changed meanwhile: the labels after the rounds give the same fingerprint, the stale reason is still
+    the one of the start (topics_after), and the lease of the topic's owner (leases: topic_id, owner_id, expires_at;
+    topics: owner_id) is alive. Published ones are rendered; others have what failed: start, a round or `publish`, with the rules.
     """
-    snap = labels.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "seq", "label")))["label"].alias("labels"))
+    listed = lambda rows: rows.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "seq", "label")))["label"].alias("labels"))
+    print_of = F.sha2(F.array_join("labels", ","), 256).alias("fingerprint")
     head = F.concat(F.lit("Topic "), "title", F.lit("\n"), F.array_join("labels", "\n"))
-    work = topics.select("topic_id", "title", "status", "confirmed").join(snap, "topic_id", "left")
-    work = work.withColumn("prompt", head).withColumn("fingerprint", F.sha2(F.array_join("labels", ","), 256))
+    work = topics.select("topic_id", "title", "status", "confirmed", "stale_reason", "owner_id").join(listed(labels), "topic_id", "left")
+    work = work.select("*", head.alias("prompt"), print_of)
     start = {"sources": F.size(F.array_distinct("labels")) == F.size("labels"), "confirmed": F.col("confirmed"), "running": F.col("status") != "RUNNING"}
     state = q.run_rounds(work, q.TOPIC_ROUNDS, executor, q.topic_rules(F.col("labels")), start)
+    asked = state.where("failed = ''").select("topic_id", "owner_id", F.col("fingerprint").alias("expected"), F.col("stale_reason").alias("baseline"))
+    held = topics_after.select("topic_id", F.lit("RUNNING").alias("status"), "stale_reason")
+    out = m.publish(held, asked, listed(labels_after).select("topic_id", print_of), leases, "topic_id", now)
+    broken = out.where("violations <> ''").select("topic_id", F.concat(F.lit("publish:"), "violations").alias("_broken"))
+    path = scratch(topics.sparkSession, "published")
+    state.join(broken, "topic_id", "left").withColumn("failed", F.coalesce("_broken", "failed")).drop("_broken").write.parquet(path)
+    state = topics.sparkSession.read.schema(state.schema).parquet(path)
     blocks, cards = q.topic_published(state)
     passed = state.where("failed = ''").select("topic_id", "title", F.lit("PUBLISHED").alias("status"), "confirmed")
     files = topic_bundle(passed, labels, blocks, cards).select("topic_id", "note", "card_file")
     return state.select("topic_id", "failed", "fingerprint").join(files, "topic_id", "left")
 
 
-def topic_outline(parents: DataFrame, chapters: DataFrame, reviews: DataFrame, drafts: DataFrame, executor: q.Executor, most: int = 1000) -> DataFrame:
-    """(source_id, failed, n_topics, outline): each parent's draft topics after an outline was asked for.
+def topic_outline(parents: DataFrame, chapters: DataFrame, reviews: DataFrame, drafts: DataFrame, executor: q.Executor, key: str = "course_id", most: int = 300_000) -> DataFrame:
+    """(key, failed, n_topics, outline): each parent's draft topics after an outline was asked for.
 
-    Parents start if they have chapters, at most `most` (no prompt holds more; they are counted before any list is made),
-    and every review is done and not stale. A valid answer replaces the parent's drafts (source_id, title, chapter_ids).
+    Parents start if they have chapters, at most `most` characters of their titles (no prompt holds more; they are counted
+    before any list is made), and every review is done and not stale. A valid answer replaces the parent's drafts (key,
+    title, chapter_ids).
     """
-    met = chapters.select("source_id", "chapter_id", "title").join(reviews.select("chapter_id", "status", "stale"), "chapter_id", "left")
+    met = chapters.select(key, "chapter_id", "title").join(reviews.select("chapter_id", "status", "stale"), "chapter_id", "left")
     blocks = ~F.coalesce((F.col("status") == "DONE") & ~F.col("stale"), F.lit(False))
-    counts = met.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(blocks).alias("blocking"))
-    few = met.join(counts.where((F.col("n") <= most) & (F.col("blocking") == 0)), "source_id", "left_semi")
-    lists = few.groupBy("source_id").agg(F.array_sort(F.collect_list("chapter_id")).alias("ids"), r.ordered_list(["chapter_id"], "title", "\n").alias("prompt"))
-    work = parents.select("source_id").join(counts, "source_id", "left").join(lists, "source_id", "left")
-    start = {"chapters": F.col("n") > 0, "blocking": F.coalesce("blocking", F.lit(0)) == 0, "size": F.coalesce("n", F.lit(0)) <= most}
+    counts = met.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("title") + 1).alias("chars"), F.count_if(blocks).alias("blocking"))
+    few = met.join(counts.where((F.col("chars") <= most) & (F.col("blocking") == 0)), key, "left_semi")
+    lists = few.groupBy(key).agg(F.array_sort(F.collect_list("chapter_id")).alias("ids"), r.ordered_list(["chapter_id"], "title", "\n").alias("prompt"))
+    work = parents.select(key).join(counts, key, "left").join(lists, key, "left")
+    start = {"chapters": F.col("n") > 0, "blocking": F.coalesce("blocking", F.lit(0)) == 0, "size": F.coalesce("chars", F.lit(0)) <= most}
     state = q.run_rounds(work, ["topic_outline"], executor, q.outline_rules(F.col("ids")), start)
-    made = state.where("failed = ''").select("source_id", F.inline(q.outline_answer()["topics"])).select("source_id", "title", "chapter_ids")
-    after = m.replace_group(drafts, made, "source_id").withColumn("text", F.concat_ws(":", "title", F.array_join("chapter_ids", ",")))
-    after = after.groupBy("source_id").agg(F.count(F.lit(1)).alias("k"), r.ordered_list(["title", "text"], "text", ";").alias("outline"))
-    return state.join(after, "source_id", "left").select("source_id", "failed", F.coalesce("k", F.lit(0)).alias("n_topics"), F.coalesce("outline", F.lit("")).alias("outline"))
+    made = state.where("failed = ''").select(key, F.inline(q.outline_answer()["topics"])).select(key, "title", "chapter_ids")
+    after = m.replace_group(drafts, made, key).withColumn("text", F.concat_ws(":", "title", F.array_join("chapter_ids", ",")))
+    after = after.groupBy(key).agg(F.count(F.lit(1)).alias("k"), r.ordered_list(["title", "text"], "text", ";").alias("outline"))
+    return state.join(after, key, "left").select(key, "failed", F.coalesce("k", F.lit(0)).alias("n_topics"), F.coalesce("outline", F.lit("")).alias("outline"))
 
 
 def incremental_sections(stream: DataFrame) -> DataFrame:
     """(sha256): sections of streamed documents, each distinct one processed once: what the table has is skipped."""
-    from docweave.sources.documents import scratch
     from docweave.streaming.events import run_to_end
 
     spark = stream.sparkSession

@@ -80,15 +80,31 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", x.text_conflict(a, b).alias("reason"))
 
 
-@query(
-    "fn_redact",
-    r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, 'file://[^\s)]+', '[REDACTED]', 'g'), '(?:/Users/|/home/|/private/)[^\s)]+|[A-Za-z]:\\[^\s)]+', '[REDACTED]', 'g'),
-    '\bsk-[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g'), '(?i)\b(api_?key|token|secret|password)(\s*[:=]\s*)[^\s,;]+', '\1\2[REDACTED]', 'g')) AS digest
-    FROM (SELECT page_id, url || ' file:///a/b /home/u/x sk-abcdefgh12 token = q' || page_id || ' ' || html AS t FROM pages)""",
-)
+_TOLD = "url || ' file:///a/b /home/u/x sk-abcdefgh1234 token = q' || page_id || ' {\"api_key\": \"v\"} Bearer ' || page_id || ' token-abcdefgh C:\\d\\e /Users/u ' || html"
+
+
+def _redacted(text: str, rules: tuple[tuple[str, str], ...]) -> str:
+    """The rules in SQL, where a look behind becomes a group that is put back."""
+    for pattern, by in rules:
+        kept = pattern.replace(r"(?<![\p{L}\p{N}_:/.])", r"(^|[^\p{L}\p{N}_:/.])")
+        by = by.replace("$", "\\") if kept == pattern else "\\1" + by
+        text = f"regexp_replace({text}, {_quoted(kept)}, '{by}', 'g')"
+    return text
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_RULES = {"logs": x.SECRET_RULES, "files": x.FOLDER_RULES, "titles": x.TITLE_RULES, "answers": x.ANSWER_RULES}
+
+
+@query("fn_redact", f"SELECT page_id, {', '.join(f'md5({_redacted(chr(116), rules)}) AS {name}' for name, rules in _RULES.items())} FROM (SELECT page_id, {_TOLD} AS t FROM pages)")
 def _(t: Tables) -> DataFrame:
-    text = F.concat("url", F.lit(" file:///a/b /home/u/x sk-abcdefgh12 token = q"), "page_id", F.lit(" "), "html")
-    return t.pages.select("page_id", F.md5(x.redact(text)).alias("digest"))
+    text = F.concat(
+        "url", F.lit(" file:///a/b /home/u/x sk-abcdefgh1234 token = q"), "page_id", F.lit(' {"api_key": "v"} Bearer '), "page_id", F.lit(" token-abcdefgh C:\\d\\e /Users/u "), "html"
+    )
+    return t.pages.select("page_id", *[F.md5(x.redact(text, rules)).alias(name) for name, rules in _RULES.items()])
 
 
 @query(
@@ -509,7 +525,7 @@ f AS (SELECT folder || '/source.md' AS path, 'text of ' || title AS content FROM
   UNION ALL SELECT folder || '/intensive-note.md', '<!-- chapter-id: ' || chapter_id || ' -->' || chr(10) || '# ' || title || chr(10) || coalesce(notes, '') FROM p LEFT JOIN n USING (chapter_id)
   UNION ALL SELECT folder || '/cards.md', '# ' || title || ' 写作卡片' || chr(10) || coalesce(cards, '') FROM p LEFT JOIN k USING (chapter_id)
   UNION ALL SELECT folder || '/runs/' || round_key || '.md', '# ' || round_key || chr(10) || chr(10) || '状态：' || status || chr(10) || '过期：' || CASE WHEN heartbeat_at % 11 = 0 THEN '是' ELSE '否' END || chr(10) || '执行器：stub' || chr(10) || chr(10) || '## 输出' || chr(10) || chr(10)
-    || output || CASE WHEN run_id % 5 = 0 THEN ' token=[REDACTED]' ELSE '' END || chr(10) FROM p JOIN ({_LAST_RUNS}) USING (chapter_id))
+    || output || CASE WHEN run_id % 5 = 0 THEN ' [REDACTED] at [REDACTED]' ELSE '' END || chr(10) FROM p JOIN ({_LAST_RUNS}) USING (chapter_id))
 SELECT path, strlen(content) AS bytes, sha256(content) AS sha256, 'same' AS state FROM f"""
 
 
@@ -517,7 +533,7 @@ SELECT path, strlen(content) AS bytes, sha256(content) AS sha256, 'same' AS stat
 def _(t: Tables) -> DataFrame:
     from docweave.plans.pipelines import chapter_bundle
 
-    said = F.concat("output", F.when(F.col("run_id") % 5 == 0, " token=abc").otherwise(""))
+    said = F.concat("output", F.when(F.col("run_id") % 5 == 0, " secret=abc at /x/y").otherwise(""))
     runs = t.runs.withColumn("output", said).withColumn("stale", F.col("heartbeat_at") % 11 == 0).withColumn("executor", F.lit("stub"))
     chapters = t.chapters.withColumn("source", F.concat(F.lit("text of "), "title"))
     files, folder = chapter_bundle(chapters, t.note_blocks, t.chapter_cards, runs), d.scratch(t.spark, "chapters")

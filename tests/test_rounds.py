@@ -151,6 +151,7 @@ def test_outline_rules(spark):
     cases = [
         ([topic("a", 1), topic("b", 2)], [3], ""),
         ([topic("a", 1), topic("A", 2)], [3], "titles"),
+        ([topic("Ａ  教材", 1), topic("a 教材", 2)], [3], "titles"),
         ([topic("a", 1, 1), topic("b", 2)], [3], "repeats"),
         ([topic("a", 1), topic("b", 9)], [2, 3], "foreign"),
         ([topic("a", 1), topic("b", 2)], [2, 3], "overlap"),
@@ -172,9 +173,9 @@ def test_outline_replaces_drafts_only_where_valid(spark):
         made = F.struct(F.transform("ids", lambda i: F.struct(F.lit("T").alias("title"), F.array(i).alias("chapter_ids"))).alias("topics"), F.array().cast("array<bigint>").alias("unmapped_chapter_ids"))
         return rows.withColumn("answer", F.to_json(made))
 
-    out = {r.source_id: (r.failed, r.n_topics, r.outline) for r in pipelines.topic_outline(parents, chapters, reviews, drafts, executor).collect()}
+    out = {r.source_id: (r.failed, r.n_topics, r.outline) for r in pipelines.topic_outline(parents, chapters, reviews, drafts, executor, key="source_id").collect()}
     assert out == {1: ("", 1, "T:11"), 2: ("start:blocking", 1, "old:21"), 3: ("start:chapters", 0, ""), 4: ("topic_outline:titles", 0, "")}
-    few = pipelines.topic_outline(parents, chapters, reviews, drafts, executor, most=1)
+    few = pipelines.topic_outline(parents, chapters, reviews, drafts, executor, key="source_id", most=1)
     assert {r.source_id: r.failed for r in few.collect()}[4] == "start:size"
 
 
@@ -205,3 +206,17 @@ def test_report_of_nothing(spark):
     done = spark.createDataFrame([], "section_sha string")
     got = {r.metric: (r.n, r.rate) for r in rendering.reconcile_report(pages, pages, work, done).collect()}
     assert got == {"cache_hits": (0, None), "retries": (0, None)}
+
+
+def test_publication_of_a_topic_is_guarded(spark):
+    """Each guard refuses its topic, and only its topic."""
+    topics = spark.createDataFrame([(i, "t", "READY", True, "", "me") for i in range(5)], "topic_id long, title string, status string, confirmed boolean, stale_reason string, owner_id string")
+    labels = spark.createDataFrame([(i, 1, 0, "chapter", LABEL) for i in range(5)], "topic_id long, source_id long, seq int, title string, label string")
+    answers = dict(zip(rounds.TOPIC_ROUNDS, topic_row()[:-1], strict=True))
+    executor = lambda key, rows: rows.withColumn("answer", F.when(F.col("asked").isNotNull(), F.lit(answers[key])))
+    changed = labels.withColumn("label", F.when(F.col("topic_id") == 1, "[《book》·第 2 章]").otherwise(F.col("label"))).where("topic_id <> 4")
+    after = topics.withColumn("stale_reason", F.when(F.col("topic_id") == 2, "meanwhile").otherwise(""))
+    leases = topics.select("topic_id", "owner_id", F.when(F.col("topic_id") == 3, 10).otherwise(11).alias("expires_at"))
+    out = {r.topic_id: r for r in pipelines.topic_fusion(topics, labels, executor, changed, after, leases, 10).collect()}
+    assert {k: r.failed for k, r in out.items()} == {0: "", 1: "publish:fingerprint", 2: "publish:baseline", 3: "publish:lease", 4: "publish:fingerprint"}
+    assert out[0].note.startswith("# t\n") and all(out[k].note is None for k in range(1, 5))
