@@ -63,7 +63,8 @@ def _collisions(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows whose text differs from the text that their hash group keeps; nearly always none."""
     # Merge joins at every size: a broadcast below some size and a shuffle above it would not grow in proportion.
     members = materialize(keyed.join(groups.select("h", "keep_id").hint("merge"), "h"), "dedup-members")
-    # One text for each hash: the rows that stay can be many, where ids are null or repeat.
+    # One text for each hash: the rows that stay can be many, where ids are null or repeat. Written, so that the join is of two plain exchanges.
     kept = members.where(_same(F.col("doc_id"), F.col("keep_id"))).groupBy("h").agg(F.min("norm").alias("chosen"))
+    kept = materialize(kept, "dedup-kept")
     differs = (members["h"] == kept["h"]) & (members["norm"] != kept["chosen"])
     return materialize(members.join(kept.hint("merge"), differs, "left_semi").select("doc_id", "h", "norm"), "dedup-collisions")
