@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.sources.documents import supported
+from docweave.sources.documents import scratch, supported
 
 #: Kinds whose bytes are text already, and the most bytes that one file may have to be read whole.
 TEXTS, MOST_BYTES = (".md", ".markdown", ".txt"), 1 << 30
@@ -73,8 +73,12 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
 
 
 def _described(files: DataFrame) -> DataFrame:
-    content = F.col("content").cast("binary")
+    """files with size, digest and whether they may be written; written to the shared folder, so that they are rendered once."""
+    spark, content = files.sparkSession, F.col("content").cast("binary")
     rows = files.select("path", content.alias("content"), F.octet_length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))
+    place = scratch(spark, "rendered")
+    rows.write.parquet(place)
+    rows = spark.read.schema(rows.schema).parquet(place)
     twice = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
     return rows.join(twice, rows["path"].eqNullSafe(twice["path"])).drop(twice["path"]).withColumn("_fair", fair_path(F.col("path")) & (F.col("_n") == 1) & F.col("content").isNotNull())
 
