@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, a complete piece filter, exact edit verification."""
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification."""
 
 from __future__ import annotations
 
@@ -11,76 +11,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.textnp import chunked, mix, single_spaced, words
+from docweave.llm.textnp import chunked, single_spaced, words
 
-#: Words of an anchor: LSH windows are laid where a document has so many words in a row of some item.
-ANCHOR = 3
+#: Steps of a CGK walk.
+STEPS = 32
+#: Sampled bits of a table, of which the first is taken that needs few tables.
+BITS = (16, 14, 12, 10, 8, 6)
+#: Items of a length class on which the agreement at the bound is measured, and tables tried on each.
+SAMPLE, TRIED = 24, 128
 #: Characters of benchmark items that one pass over the documents takes; a larger benchmark takes several.
 BLOCK_CHARS = 4_000_000
 
 
 class CgkIndex:
-    """Items in bit-sampling tables over their CGK embeddings, to look item-sized windows up in.
-
-    The CGK walk copies a string's byte at position i, step by step, and moves on by a random bit
-    that depends on the step and the byte. Strings within a small edit distance so get embeddings
-    within a small Hamming distance. Each table samples `bits` steps, a random bit of each byte
-    found there; `tables` follows from the target recall for a sampled bit that agrees with
-    probability `agreement`. Every table has a walk of its own. Only items of as many words as the
-    window are candidates, and steps are sampled from those that texts of that size use up.
+    """Items in bit-sampling tables over their CGK embeddings, to meet item-sized windows of a text in.
+
+    The CGK walk copies a string's byte at its place, step by step, and moves on by a random bit that
+    depends on table, step and byte, so that strings a few edits apart get embeddings a few steps
+    apart. Edits drive two walks apart the longer they are, so the walk of each table begins at another
+    place of the string, goes round its end, and is STEPS long; the tables together cover the string.
+    A table samples a random bit of the byte at some of the steps.
+
+    How many bits and tables, is measured for each doubling of the item length: a sample of items is
+    given as many edits as the bound allows, evenly spread, which leaves the shortest whole runs, and
+    the share of tables in which some window holds the edited item's bucket gives the number of tables
+    that reaches the recall. Of the bit counts the largest is taken whose tables are at most 64; the
+    smallest takes what it needs. The random bits are of a fixed number for each table, whatever
+    the items' length.
     """
 
-    def __init__(self, items: list[tuple[int, bytes, int]], recall: float, agreement: float, seed: int = 11):
-        self.items = items
-        by_size: dict[int, list[int]] = defaultdict(list)
-        for k, (_, text, size) in enumerate(items):
-            by_size[size].append(k)
-        most = max(map(len, by_size.values()), default=1)
-        self.bits = max(8, math.ceil(math.log2(most)) + 4)
-        self.tables = math.ceil(math.log(1 - recall) / math.log(1 - agreement**self.bits))
-        self.steps = max((2 * len(text) for _, text, _ in items), default=1)
-        rng = np.random.default_rng(seed)
-        self.move = rng.integers(0, 2, (self.tables, self.steps, 256), dtype=np.uint8)
-        self.bit = rng.integers(0, 2, (self.tables, 256), dtype=np.uint8)
+    def __init__(self, items: list[bytes], max_edit: float, recall: float, seed: int = 11):
+        self.items, self.max_edit = items, max_edit
+        self.plans: dict[int, tuple] = {}
+        by_class: dict[int, list[int]] = defaultdict(list)
+        for k, text in enumerate(items):
+            if int(max_edit * len(text)):
+                by_class[len(text).bit_length()].append(k)
         self.at = {}
-        for size, group in by_size.items():
-            used = max(1, int(np.mean([2 * len(items[k][1]) for k in group])))
-            self.at[size] = rng.integers(0, min(used, self.steps), (self.tables, self.bits))
-        self.found: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for k, keys in enumerate(self.keys([(t, s) for _, t, s in items])):
-            for table, key in enumerate(keys):
-                self.found[items[k][2], table, int(key)].append(k)
-
-    def keys(self, texts: list[tuple[bytes, int]]) -> np.ndarray:
-        """A key per text and table."""
-        out = np.zeros((len(texts), self.tables), np.int64)
-        if not texts:
-            return out
-        longest = max(len(t) for t, _ in texts)
-        padded = np.zeros((len(texts), max(longest, 1) + self.steps), np.uint8)
-        for row, (t, _) in zip(padded, texts, strict=True):
-            row[: len(t)] = np.frombuffer(t, np.uint8)
-        rows = np.arange(len(texts))
-        sizes = np.array([s for _, s in texts])
-        for table in range(self.tables):
-            place = np.zeros(len(texts), np.int64)
-            walk = np.zeros((len(texts), self.steps), np.uint8)
-            for step in range(self.steps):
-                byte = padded[rows, place]
-                walk[:, step] = byte
-                place += self.move[table, step, byte]
-            for size in np.unique(sizes):
-                of = np.flatnonzero(sizes == size)
-                if int(size) in self.at:
-                    sampled = self.bit[table][walk[of][:, self.at[int(size)][table]]]
-                    out[of, table] = sampled @ (1 << np.arange(self.bits))
+        for size, group in sorted(by_class.items()):
+            rng = np.random.default_rng([seed, size])
+            self.plans[size] = self._measured(rng, [items[k] for k in group[:: math.ceil(len(group) / SAMPLE)]], recall)
+            for k in group:
+                data = np.frombuffer(items[k], np.uint8)
+                self.at[k] = self._keys(self.plans[size], data, np.zeros(1, np.int64), len(data))[0]
+
+    @staticmethod
+    def _plan(rng: np.random.Generator, bits: int, tables: int) -> tuple:
+        """Beginnings, moves, bits of bytes and sampled steps of so many tables."""
+        used = np.argsort(rng.random((tables, STEPS)), axis=1) < bits
+        begin = (np.arange(tables) * 0.6180339887 + 0.5) % 1
+        return begin, rng.integers(0, 2, (tables, STEPS, 256), np.uint8), rng.integers(0, 2, (tables, 256), np.uint8), used
+
+    @staticmethod
+    def _keys(plan: tuple, data: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
+        """A bucket per window of so many bytes and table; bytes outside of data are 0."""
+        begin, move, bit, used = plan
+        tables = np.arange(len(begin))
+        place = np.broadcast_to((begin * size).astype(np.int64), (len(windows), len(begin))).copy()
+        out = np.zeros(place.shape, np.int64)
+        for step in range(STEPS):
+            at = windows[:, None] + place
+            byte = np.where((at >= 0) & (at < len(data)), data[np.clip(at, 0, len(data) - 1)], 0)
+            out = np.where(used[:, step], 2 * out + bit[tables, byte], out)
+            place += move[tables, step, byte]
+            place[place >= size] -= size
         return out
 
-    def candidates(self, windows: list[tuple[bytes, int]]) -> list[set[int]]:
-        return [
-            {k for table, key in enumerate(keys) for k in self.found.get((size, table, int(key)), ())}
-            for keys, (_, size) in zip(self.keys(windows), windows, strict=True)
-        ]
+    def _measured(self, rng: np.random.Generator, sample: list[bytes], recall: float) -> tuple:
+        for bits in BITS:
+            plan, shares = self._plan(rng, bits, TRIED), []
+            for text in sample:
+                edits = int(self.max_edit * len(text))
+                changed, gap = bytearray(), len(text) / edits
+                cuts = [int((i + 0.5) * gap) for i in range(edits)]
+                for a, b, kind in zip([0, *cuts], [*cuts, len(text)], [-1, *rng.integers(0, 3, edits)], strict=True):
+                    if kind >= 0:
+                        changed.append(text[int(rng.integers(len(text)))])
+                        a += 1 - (kind == 1)
+                        if kind == 2:
+                            changed.pop()
+                    changed += text[a:b]
+                mine = self._keys(plan, np.frombuffer(text, np.uint8), np.zeros(1, np.int64), len(text))
+                theirs = self._keys(plan, np.frombuffer(bytes(changed) or b"\0", np.uint8), np.arange(-edits, edits + 1), len(text))
+                shares.append(float((mine == theirs).any(axis=0).mean()))
+            # A quarter of the items at most are harder than the share that the number of tables is for.
+            share = max(float(np.quantile(shares, 0.25)), 1 / TRIED)
+            tables = math.ceil(math.log(1 - recall) / math.log(1 - min(share, 0.999)))
+            if tables <= 64:
+                break
+        return self._plan(rng, bits, tables)
+
+    def meets(self, k: int, data: np.ndarray, low: int, high: int) -> bool:
+        """Whether a window of data of item k's size, beginning from low to high, shares a bucket with the item."""
+        size, own = len(self.items[k]), self.at[k]
+        plan = self.plans[size.bit_length()]
+        for a in range(low, high + 1, 1024):
+            windows = np.arange(a, min(a + 1024, high + 1))
+            for some in (slice(0, 4), slice(4, None)):
+                if (self._keys(tuple(x[some] for x in plan), data, windows, size) == own[some]).any():
+                    return True
+        return False
 
 
 class PieceFilter:
@@ -207,39 +237,20 @@ def infix_match(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return best, end - _closest(item[::-1], text[:end][::-1][: len(item) + best], anchored=True)[1]
 
 
-def _normal(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: int, b: int) -> bytes:
-    """Words a to b of a chunk, one space between."""
-    return b" ".join(data[s:e].tobytes() for s, e in zip(start[a:b], end[a:b], strict=True))
-
-
-def _rolled(hashed: np.ndarray) -> np.ndarray:
-    n = max(0, len(hashed) - ANCHOR + 1)
-    return sum((mix(hashed[k : k + n] + np.uint64(k)) for k in range(ANCHOR)), np.zeros(n, np.uint64))
-
-
 class Searcher:
-    """Searches texts for a block of items."""
+    """Searches texts for a block of items. net=False: only what the CGK tables name is verified."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edit: float, recall: float, agreement: float):
-        self.max_edit = max_edit
-        data, start, end, hashed, bounds = words([t for _, t in items])
-        kept, self.places, self.whole, self.numbers = [], defaultdict(set), [], []
+    def __init__(self, items: list[tuple[int, str]], max_edit: float, recall: float, net: bool = True):
+        self.max_edit, self.net = max_edit, net
+        data, start, end, _, bounds = words([t for _, t in items])
+        self.whole = []
         for (item_id, _), a, b in zip(items, bounds[:-1], bounds[1:], strict=True):
-            if a == b:
-                continue
-            self.whole.append((item_id, _normal(data, start, end, a, b), int(b - a)))
-            if b - a < ANCHOR:
-                continue
-            self.numbers.append(len(self.whole) - 1)
-            kept.append(self.whole[-1])
-            for offset, h in enumerate(_rolled(hashed[a:b])):
-                self.places[int(h)].add((offset, int(b - a)))
-        self.index = CgkIndex(kept, recall, agreement)
+            if a < b:
+                text = b" ".join(data[s:e].tobytes() for s, e in zip(start[a:b], end[a:b], strict=True))
+                self.whole.append((item_id, text, int(b - a)))
+        self.index = CgkIndex([text for _, text, _ in self.whole], max_edit, recall)
         self.pieces = PieceFilter(self.whole, max_edit)
         self.unedited = [k for k, (_, text, _) in enumerate(self.whole) if not int(max_edit * len(text))]
-        self.anchors = np.sort(np.array(list(self.places), np.uint64))
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.anchors & np.uint64((1 << 22) - 1)] = True
 
     def search(self, texts: list[str | None], least: bool = True) -> Iterator[list[tuple[int, int, int, int]]]:
         """For each text its matches: (item_id, first word, words, distance), the closest for each item.
@@ -247,65 +258,47 @@ class Searcher:
         least=False: a text that has a match isn't searched for others or closer ones.
         """
         for part in chunked(texts):
-            data, start, end, hashed, bounds = words(part)
-            rolled = _rolled(hashed)
-            hits = np.flatnonzero(self.maybe[rolled & np.uint64((1 << 22) - 1)])
-            if len(hits) and len(self.anchors):
-                near = np.minimum(np.searchsorted(self.anchors, rolled[hits]), len(self.anchors) - 1)
-                hits = hits[self.anchors[near] == rolled[hits]]
-            doc = np.searchsorted(bounds, hits, "right") - 1
-            windows = set()
-            for at, d in zip(hits.tolist(), doc.tolist(), strict=True):
-                if at + ANCHOR <= bounds[d + 1]:
-                    for offset, size in self.places[int(rolled[at])]:
-                        windows.add((d, max(at - offset, int(bounds[d])), size))
+            data, start, end, _, bounds = words(part)
             found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in part]
-            ordered = sorted(windows)
-            for begin in range(0, len(ordered), 1024):
-                block = ordered[begin : begin + 1024]
-                views = [(_normal(data, start, end, a, min(a + m, int(bounds[d + 1]))), m) for d, a, m in block]
-                for (d, a, m), candidates in zip(block, self.index.candidates(views), strict=True):
-                    low, high = max(a - m // 4, int(bounds[d])), min(a + m + m // 4, int(bounds[d + 1]))
-                    around = _normal(data, start, end, low, high) if candidates else b""
-                    for k in candidates:
-                        item_id, text, size = self.index.items[k]
-                        known = found[d].get(item_id)
-                        most = int(self.max_edit * len(text)) if known is None else known[3] - 1
-                        if most < 0 or not self.pieces.may_hold(self.numbers[k], around, -len(text), len(around)):
-                            continue
-                        if (distance := infix_distance(text, around, most)) is not None:
-                            found[d][item_id] = (item_id, a - int(bounds[d]), size, distance)
-            self._complete(data, start, end, bounds, found, least)
+            self._search(*single_spaced(data, start, end), bounds, found, least)
             for x in found:
                 yield [x[k] for k in sorted(x)]
 
-    def _complete(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.ndarray, found: list[dict], least: bool) -> None:
-        """Puts into found what the windows left: matches without an anchor, that LSH missed, or closer elsewhere."""
-        flat, first = single_spaced(data, start, end)
+    def _search(self, flat: np.ndarray, first: np.ndarray, bounds: np.ndarray, found: list[dict], least: bool) -> None:
         low, high = first[bounds[:-1]], first[bounds[1:]] - 1
 
-        def verify(k: int, d: int, a: int, b: int, on: tuple[int, int] = (0, 0)) -> None:
-            item_id, text, size = self.whole[k]
+        def wanted(k: int, d: int) -> int:
+            """The most edits that a new match may have; negative if none is wanted."""
+            item_id, text, _ = self.whole[k]
             known = found[d].get(item_id)
-            most = int(self.max_edit * len(text)) if known is None else known[3] - 1
-            if most < 0 or not least and found[d]:
-                return
-            part = flat[a:b].tobytes()
-            if self.pieces.may_hold(k, part, on[0] - a, on[1] - a) and (match := infix_match(text, part, most)):
+            return -1 if not least and found[d] else int(self.max_edit * len(text)) if known is None else known[3] - 1
+
+        def verify(k: int, d: int, a: int, b: int) -> None:
+            item_id, text, size = self.whole[k]
+            if match := infix_match(text, flat[a:b].tobytes(), wanted(k, d)):
                 word = int(np.searchsorted(first, a + match[1], "right")) - 1 - int(bounds[d])
                 found[d][item_id] = (item_id, word, size, match[0])
 
-        for k, *on, a, b in self.pieces.parts(flat):
+        left = []
+        for k, on, to, a, b in self.pieces.parts(flat):
             for d in range(max(0, int(np.searchsorted(low, a, "right")) - 1), int(np.searchsorted(low, b))):
-                if low[d] < high[d] and max(a, low[d]) < min(b, high[d]):
-                    verify(k, d, max(a, int(low[d])), min(b, int(high[d])), on)
-        if self.unedited:
-            for d in range(len(found)):
-                for k in self.unedited:
-                    verify(k, d, int(low[d]), max(int(low[d]), int(high[d])))
-
-
-def _searchers(benchmark: DataFrame, max_edit: float, recall: float, agreement: float) -> Iterator[Searcher]:
+                p, q = max(a, int(low[d])), min(b, int(high[d]))
+                if p < q and wanted(k, d) >= 0 and self.pieces.may_hold(k, flat[p:q].tobytes(), on - p, to - p):
+                    size, edits = len(self.whole[k][1]), int(self.max_edit * len(self.whole[k][1]))
+                    if self.index.meets(k, flat[p:q], max(on - p, -edits), min(to - p, q - p - size + edits)):
+                        verify(k, d, p, q)
+                    else:
+                        left.append((k, d, p, q))
+        for k, d, p, q in left if self.net else ():
+            if wanted(k, d) >= 0:
+                verify(k, d, p, q)
+        for d in range(len(found)) if self.unedited else ():
+            for k in self.unedited:
+                if low[d] < high[d] and wanted(k, d) >= 0:
+                    verify(k, d, int(low[d]), int(high[d]))
+
+
+def _searchers(benchmark: DataFrame, max_edit: float, recall: float) -> Iterator[Searcher]:
     """The items in blocks of bounded size."""
     if not 0 <= max_edit < 1:
         raise ValueError("max_edit is a share of an item's length under 1")
@@ -315,14 +308,14 @@ def _searchers(benchmark: DataFrame, max_edit: float, recall: float, agreement:
     blocks = math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS)
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        yield Searcher([tuple(r) for r in block.collect()], max_edit, recall, agreement)
+        yield Searcher([tuple(r) for r in block.collect()], max_edit, recall)
 
 
 def drop_leaks(
-    docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.15, recall: float = 0.99, agreement: float = 0.85
+    docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.15, recall: float = 0.99
 ) -> DataFrame:
     """The rows of docs in which find_leaks() finds nothing, with all their columns and without a shuffle."""
-    for searcher in _searchers(benchmark, max_edit, recall, agreement):
+    for searcher in _searchers(benchmark, max_edit, recall):
         sent = docs.sparkSession.sparkContext.broadcast(searcher)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -335,18 +328,19 @@ def drop_leaks(
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.15, recall: float = 0.99, agreement: float = 0.85
+    docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.15, recall: float = 0.99
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, first_word, n_words, distance.
 
     Texts are compared as words with single spaces, A-Z lower-cased. An item is found if some part
     of a document is within max_edit of the item's length in edits (UTF-8 bytes); distance is the
-    least such number in the document. Windows of as many words as an item are laid where the
-    document has ANCHOR words in a row of it, and LSH on the CGK embedding names the items that a
-    window may be (recall at a sampled bit's agreement). That finds close matches early and decides
-    nothing alone: PieceFilter then names every other part that can be within the bound, whether it
-    has an anchor or not, and edit distance decides. first_word is the word in which the match
-    begins, or the first of the window that found it.
+    least such number in the document, and first_word the word in which that part begins.
+
+    A sketch of a document, disjoint pieces of the items on neighbouring diagonals (PieceFilter), says
+    where windows of an item's size are laid, at every byte. CGK tables, so many that recall is
+    reached for the hardest spread of max_edit edits, name the windows that are verified by edit
+    distance. The parts that the sketch left and the tables didn't name are verified after them, as a
+    net for the rest of the recall, so that no match within the bound is lost.
 
     The items are a query set, sent to the tasks in blocks of BLOCK_CHARS characters; documents are
     scanned whole, where they are, once for each block, and nothing is shuffled. Null texts and
@@ -355,7 +349,7 @@ def find_leaks(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, n_words long, distance long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for b, searcher in enumerate(_searchers(benchmark, max_edit, recall, agreement)):
+    for b, searcher in enumerate(_searchers(benchmark, max_edit, recall)):
         sent = docs.sparkSession.sparkContext.broadcast(searcher)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
