@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -99,8 +101,14 @@ def unseen(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
     """Words like identifiers, of 5 to 64 characters with two digits at least, that no base span touches.
 
     Words are runs without white space, as in contexts(), less the punctuation around them; a longer
-    run, as in text without spaces, is taken apart where identifiers aren't joined.
+    run, as in text without spaces, is taken apart where identifiers aren't joined. taken is in order.
     """
+    starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+
+    def free(a: int, b: int) -> bool:
+        before = bisect_left(starts, b)
+        return not before or reach[before - 1] <= a
+
     for m in _RUN.finditer(text):
         token = m[0]
         if not _DIGITS.search(token):
@@ -108,7 +116,7 @@ def unseen(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         a = m.start() + len(token) - len(token.lstrip(string.punctuation))
         b = m.end() - len(token) + len(token.rstrip(string.punctuation))
         for a, b in [(a, b)] if b - a <= 64 else [x.span() for x in _JOINED.finditer(text, a, b)]:
-            if 5 <= b - a <= 64 and sum(c.isdigit() for c in text[a:b]) >= 2 and not any(s < b and a < e for s, _, e in taken):
+            if 5 <= b - a <= 64 and sum(c.isdigit() for c in text[a:b]) >= 2 and free(a, b):
                 yield a, b
 
 
