@@ -66,15 +66,18 @@ class CgkIndex:
     def _keys(plan: tuple, data: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
         """A bucket per window of so many bytes and table; bytes outside of data are 0."""
         begin, move, bit, used = plan
-        tables = np.arange(len(begin))
+        before, after = max(0, -int(windows.min())), max(0, int(windows.max()) + size - len(data))
+        padded = np.concatenate((np.zeros(before, np.uint8), data, np.zeros(after, np.uint8)))
+        first, table = (windows + before)[:, None], np.arange(len(begin)) * 256
         place = np.broadcast_to((begin * size).astype(np.int64), (len(windows), len(begin))).copy()
         out = np.zeros(place.shape, np.int64)
         for step in range(STEPS):
-            at = windows[:, None] + place
-            byte = np.where((at >= 0) & (at < len(data)), data[np.clip(at, 0, len(data) - 1)], 0)
-            out = np.where(used[:, step], 2 * out + bit[tables, byte], out)
-            place += move[tables, step, byte]
-            place[place >= size] -= size
+            byte = padded[first + place] + table
+            sampled = used[:, step]
+            if sampled.any():
+                out = (out << sampled) | np.take(bit * sampled[:, None], byte)
+            place += np.take(move[:, step], byte)
+            place *= place < size
         return out
 
     def _measured(self, rng: np.random.Generator, sample: list[bytes], recall: float) -> tuple:
@@ -107,7 +110,7 @@ class CgkIndex:
         plan = self.plans[size.bit_length()]
         for a in range(low, high + 1, 1024):
             windows = np.arange(a, min(a + 1024, high + 1))
-            for some in (slice(0, 4), slice(4, None)):
+            for some in (slice(0, 4), slice(4, 12), slice(12, None)):
                 if (self._keys(tuple(x[some] for x in plan), data, windows, size) == own[some]).any():
                     return True
         return False
