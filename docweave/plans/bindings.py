@@ -135,6 +135,10 @@ BINDINGS["topic_blocks"] = f"""SELECT topic_id, CASE seq {_KIND} END AS kind, CA
 BINDINGS["topic_card_rows"] = """SELECT card_id, topic_id, 'concept' AS card_type, returned.title, content, coalesce(label, '[《none》·第 1 章]') AS ref FROM (
     SELECT l_orderkey * 1000 + line_id AS card_id, l_partkey AS topic_id, concat('card ', CAST(l_suppkey AS STRING)) AS title, concat('content of ', CAST(l_orderkey AS STRING)) AS content,
       CASE WHEN l_suppkey % 53 = 7 THEN -1 ELSE l_orderkey END AS chapter_ref FROM line_rows WHERE l_returnflag = 'R') returned LEFT JOIN chapter_labels ON chapter_labels.chapter_id = chapter_ref"""
+# Texts of a topic: two in three name a chapter by its number only, some cite a source that isn't there.
+BINDINGS["topic_texts"] = """SELECT l_partkey AS topic_id, l_orderkey * 1000 + line_id AS note_id, concat('see ',
+    CASE WHEN l_linenumber % 3 = 1 THEN coalesce(label, '') ELSE CAST(l_orderkey AS STRING) END, ' and ', CASE WHEN l_suppkey % 5 = 0 THEN '[《none》·第 1 章]' ELSE 'more' END) AS content
+    FROM line_rows LEFT JOIN chapter_labels ON chapter_labels.chapter_id = l_orderkey"""
 
 
 class Tables:

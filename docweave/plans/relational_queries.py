@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docweave.functions.text import LABEL
 from docweave.operators import relational as r
+from docweave.operators.labels import cited_labels, label_coverage
 from docweave.operators.ordering import places
 from docweave.operators.tables import row_shape
 from docweave.plans.bindings import Tables
@@ -397,9 +399,15 @@ def _(t: Tables) -> DataFrame:
     return t.chapter_cards.select(F.explode(F.split("tags", " ")).alias("tag")).distinct().orderBy("tag")
 
 
-@query("agg_distinct_sources", "SELECT chapter_id, version, min(note_id) AS first_note FROM note_blocks GROUP BY chapter_id, version")
+@query(
+    "agg_distinct_sources",
+    f"""WITH t AS (SELECT topic_id, note_id, regexp_extract_all(content, '{LABEL}') AS found FROM topic_texts),
+    e AS (SELECT topic_id, note_id, unnest(found) AS label, generate_subscripts(found, 1) AS pos FROM t),
+    f AS (SELECT topic_id, label, min({{'n': note_id, 'p': pos}}) AS first FROM e GROUP BY topic_id, label)
+    SELECT topic_id, label, row_number() OVER (PARTITION BY topic_id ORDER BY first, label) AS place FROM f""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.note_blocks.groupBy("chapter_id", "version").agg(F.min("note_id").alias("first_note"))
+    return cited_labels(t.topic_texts, "topic_id", "note_id", "content")
 
 
 @query(
@@ -421,12 +429,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "agg_label_coverage",
-    """SELECT c.chapter_id, count(DISTINCT n.kind) AS present, 7 - count(DISTINCT n.kind) AS missing FROM chapters c LEFT JOIN note_blocks n USING (chapter_id) GROUP BY c.chapter_id""",
+    f"""WITH e AS (SELECT DISTINCT topic_id, label FROM topic_chapters JOIN chapter_labels ON chapter_labels.chapter_id = topic_chapters.chapter_id),
+    t AS (SELECT DISTINCT topic_id, unnest(regexp_extract_all(content, '{LABEL}')) AS label FROM topic_texts), c AS (SELECT DISTINCT topic_id, ref FROM topic_card_rows)
+    SELECT e.topic_id, count(*) AS n_labels, count(t.label) AS in_text, count(c.ref) AS in_refs, count(*) FILTER (t.label IS NULL AND c.ref IS NULL) AS missing
+    FROM e LEFT JOIN t ON t.topic_id = e.topic_id AND t.label = e.label LEFT JOIN c ON c.topic_id = e.topic_id AND c.ref = e.label GROUP BY e.topic_id""",
 )
 def _(t: Tables) -> DataFrame:
-    seen = t.note_blocks.groupBy("chapter_id").agg(F.countDistinct("kind").alias("present"))
-    joined = t.chapters.select("chapter_id").join(seen, "chapter_id", "left").fillna(0)
-    return joined.withColumn("missing", F.lit(7) - F.col("present"))
+    expected = t.topic_chapters.join(t.chapter_labels, "chapter_id").select("topic_id", "label")
+    return label_coverage(expected, t.topic_texts, t.topic_card_rows, "topic_id")
 
 
 @query("agg_size_budget", "SELECT chapter_id, sum(length(output))::BIGINT AS size, sum(length(output)) > 40 AS over FROM runs GROUP BY chapter_id")
