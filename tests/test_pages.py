@@ -98,3 +98,12 @@ def test_every_broken_link_is_named_and_only_its_page_decided_again(spark):
     again = evidence.resumed(stored, changed, right, 0.0, executor)
     assert {r.page_id: r.broken for r in again.collect()} == {i: "observations" if i == 5 else "" for i in range(8)}
     assert asked[-1] == [5]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_pairs_are_not_sent_out_by_the_driver(spark):
+    blocks = spark.createDataFrame([(i, 0, "t", "paragraph", 0, 0.1, 0.1, 0.5, 0.1, None) for i in range(8)], BLOCK)
+    assert "Broadcast" not in plan(pages.reconcile(blocks, blocks, 0.0))
