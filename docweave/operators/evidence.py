@@ -50,7 +50,7 @@ def aligned(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
     lines = found.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("found"))
     why = escalation_reason(F.col("status"), F.sha2(F.col("page_id").cast("string"), 256), F.col("page_id"), rate)
     state = p.classes(left, right, found).select("page_id", "status", why.alias("reason"))
-    met = _observed(left, right).join(state, "page_id").join(lines, "page_id", "left").fillna("", ["found"])
+    met = _observed(left, right).join(state.hint("merge"), "page_id").join(lines.hint("merge"), "page_id", "left").fillna("", ["found"])
     return met.withColumn("alignment", _alignment(F.col("observations")))
 
 
@@ -85,9 +85,9 @@ def resumed(stored: DataFrame, left: DataFrame, right: DataFrame, rate: float, e
 
     Pages that are no longer read have no evidence any more.
     """
-    fresh = _kept(aligned(left, right, rate), "aligned")
+    fresh, stored = _kept(aligned(left, right, rate), "aligned"), _kept(stored, "stored")
     links = _kept(checked(stored, fresh), "links")
     broken = links.where("broken not in ('', 'gone')").select("page_id")
-    again = _kept(decided(fresh.join(broken, "page_id", "left_semi"), executor), "decided")
-    kept = stored.join(links.where("broken = ''").select("page_id"), "page_id", "left_semi")
-    return kept.unionByName(again.select(kept.columns)).join(links, "page_id")
+    again = _kept(decided(fresh.join(broken.hint("merge"), "page_id", "left_semi"), executor), "decided")
+    kept = stored.join(links.where("broken = ''").select("page_id").hint("merge"), "page_id", "left_semi")
+    return kept.unionByName(again.select(kept.columns)).join(links.hint("merge"), "page_id")

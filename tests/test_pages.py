@@ -107,3 +107,10 @@ def plan(df):
 def test_stored_pairs_are_not_sent_out_by_the_driver(spark):
     blocks = spark.createDataFrame([(i, 0, "t", "paragraph", 0, 0.1, 0.1, 0.5, 0.1, None) for i in range(8)], BLOCK)
     assert "Broadcast" not in plan(pages.reconcile(blocks, blocks, 0.0))
+
+
+def test_evidence_is_not_sent_out_by_the_driver(spark):
+    blocks = spark.createDataFrame([(i, 0, "t", "paragraph", 0, 0.1, 0.1, 0.5, 0.1, None) for i in range(8)], BLOCK)
+    decide = lambda key, rows: rows.withColumn("answer", F.lit("ok"))
+    stored = evidence.decided(evidence.aligned(blocks, blocks, 0.0), decide)
+    assert "Broadcast" not in plan(stored) + plan(evidence.resumed(stored, blocks, blocks, 0.0, decide))
