@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import tarfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +17,10 @@ from docweave.sources.documents import scratch, supported
 
 #: Kinds whose bytes are text already, and the most bytes that one file may have to be read whole.
 TEXTS, MOST_BYTES = (".md", ".markdown", ".txt"), 1 << 30
-_MANIFEST = "path string, bytes long, sha256 string"
+_MANIFEST = "path string, bytes long, sha256 string, archive string"
+_NAMES = ["path", "bytes", "sha256", "archive"]
+#: An archive ends after so many files or bytes; the next file begins another one.
+MOST_FILES, FULL_BYTES = 50_000, 256 << 20
 
 
 def _place(spark: SparkSession, folder: str):
@@ -60,7 +66,7 @@ def fair_path(path: Column) -> Column:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, sha256) of the files that the last whole write left in the folder."""
+    """(path, bytes, sha256, archive) of the files that the last whole write left in the folder; archive is null for files that lie there one by one."""
     last = _versions(spark, folder)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest/{last[-1]}") if last else spark.createDataFrame([], _MANIFEST)
 
@@ -80,7 +86,7 @@ def _described(files: DataFrame) -> DataFrame:
     rows.write.parquet(place)
     rows = spark.read.schema(rows.schema).parquet(place)
     twice = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(twice, rows["path"].eqNullSafe(twice["path"])).drop(twice["path"]).withColumn("_fair", fair_path(F.col("path")) & (F.col("_n") == 1) & F.col("content").isNotNull())
+    return rows.join(twice.hint("merge"), rows["path"].eqNullSafe(twice["path"])).drop(twice["path"]).withColumn("_fair", fair_path(F.col("path")) & (F.col("_n") == 1) & F.col("content").isNotNull())
 
 
 def sync_states(files: DataFrame, folder: str) -> DataFrame:
@@ -97,16 +103,20 @@ def _states(rows: DataFrame, there: DataFrame) -> DataFrame:
     met = fair.join(there.select("path", F.col("sha256").alias("_have")), "path", "full")
     state = F.when(F.col("_want").isNull(), "gone").when(F.col("_have").isNull(), "new").when(F.col("_want") == F.col("_have"), "same").otherwise("changed")
     refused = rows.where("not _fair").select("path", F.lit("refused").alias("state")).distinct()
-    return met.select("path", state.alias("state")).join(refused.select("path"), "path", "left_anti").union(refused)
+    return met.select("path", state.alias("state")).join(refused.select("path").hint("merge"), "path", "left_anti").union(refused)
 
 
-def write_files(files: DataFrame, folder: str, remove: bool = False) -> DataFrame:
+def write_files(files: DataFrame, folder: str, remove: bool = False, archived: bool = False) -> DataFrame:
     """Write files (path, content) below folder, one each, and return their states before the write: (path, state).
 
     Only new and changed files are written: under a draft name beside their place, then moved, so a reader sees the old
     file or the new one. The new manifest is written last; a write that fails midway leaves the old one, and is done
     again by the next. A task that is repeated writes the same bytes. Nothing is written where all files are the same.
     remove deletes what is gone. Tasks use pyarrow's file systems, so the folder must be one that these open.
+
+    archived puts the files of a task together in archives _archives/<id>.tar.gz, whose members have the paths and bytes
+    that the files would have: a disk gives each file some KB, however small it is, and each folder as much. The
+    manifest names the archive that counts, read_archived() reads them. A folder is written in one of the two ways.
     """
     spark = files.sparkSession
     base = f"{folder}/_states/{uuid.uuid4().hex}"
@@ -130,7 +140,27 @@ def write_files(files: DataFrame, folder: str, remove: bool = False) -> DataFram
                 with system.open_output_stream(draft) as out:
                     out.write(content.as_buffer())
                 system.move(draft, f"{where}/{name}")
-            yield batch.select(["path", "bytes", "sha256"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "bytes", "sha256")), pa.nulls(len(batch), pa.string())], _NAMES)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(f"{root}/_archives", recursive=True)
+        with contextlib.ExitStack() as opened:
+            name, tar, n, size = "", None, 0, 0
+            for batch in batches:
+                within = []
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    if not tar or n >= MOST_FILES or size >= FULL_BYTES:
+                        opened.close()
+                        name, n, size = f"_archives/{uuid.uuid4().hex}.tar.gz", 0, 0
+                        out = opened.enter_context(system.open_output_stream(f"{root}/{name}", compression="gzip"))
+                        tar = opened.enter_context(tarfile.open(fileobj=out, mode="w|"))
+                    member = tarfile.TarInfo(path)
+                    member.size = len(content)
+                    tar.addfile(member, io.BytesIO(content))
+                    n, size = n + 1, size + len(content)
+                    within.append(name)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "bytes", "sha256")), pa.array(within, pa.string())], _NAMES)
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -140,15 +170,34 @@ def write_files(files: DataFrame, folder: str, remove: bool = False) -> DataFram
                     system.delete_file(f"{root}/{path}")
             yield batch
 
-    todo = rows.where("_fair").join(due.select("path"), "path", "left_semi").select("path", "bytes", "sha256", "content")
-    kept = there.join(due.select("path"), "path", "left_anti")
+    todo = rows.where("_fair").join(due.select("path").hint("merge"), "path", "left_semi").select("path", "bytes", "sha256", "content")
+    kept = there.join(due.select("path").hint("merge"), "path", "left_anti")
     if remove:
-        kept = kept.join(gone.select("path").mapInArrow(delete, "path string"), "path", "left_anti")
+        past = gone.select("path") if archived else gone.select("path").mapInArrow(delete, "path string")
+        kept = kept.join(past.hint("merge"), "path", "left_anti")
     version = (_versions(spark, folder) or [-1])[-1] + 1
-    todo.mapInArrow(write, _MANIFEST).union(kept).write.mode("overwrite").parquet(f"{folder}/_manifest/{version}")
+    todo.mapInArrow(pack if archived else write, _MANIFEST).union(kept).write.mode("overwrite").parquet(f"{folder}/_manifest/{version}")
     return states
 
 
+def read_archived(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the files in a folder's archives that its manifest says are there."""
+    listed = manifest(spark, folder).where("archive is not null").select("path", "archive")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column("archive").to_pylist():
+                with system.open_input_stream(f"{root}/{name}", compression="gzip") as src, tarfile.open(fileobj=src, mode="r|") as tar:
+                    for member in tar:
+                        content = tar.extractfile(member).read()
+                        yield pa.RecordBatch.from_arrays([pa.array([member.name]), pa.array([name]), pa.array([content], pa.binary())], ["path", "archive", "content"])
+                        tar.members = []
+
+    found = listed.select("archive").distinct().mapInArrow(unpack, "path string, archive string, content binary")
+    return found.join(listed.hint("merge"), ["path", "archive"], "left_semi").select("path", "content")
+
+
 def attachments(specs: DataFrame, sources: DataFrame, chapters: DataFrame) -> DataFrame:
     """specs (attachment_id, course_id, source_id, chapter_id, text) with violations, namespace, content_hash and anchors.
 

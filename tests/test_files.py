@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from docweave.sources.files import attachments, fair_path, manifest, read_documents, sync_states, write_files
+from docweave.sources.files import attachments, fair_path, manifest, read_archived, read_documents, sync_states, write_files
 
 
 def test_a_folder_with_good_broken_and_foreign_files(spark, tmp_path):
@@ -59,6 +59,20 @@ def test_only_what_changed_is_written(spark, tmp_path):
     assert not [p for p in there(tmp_path / "out") if "draft" in p]
 
 
+def test_archives_hold_the_same_files(spark, tmp_path):
+    folder, held = f"file://{tmp_path}/out", lambda: {r.path: bytes(r.content).decode() for r in read_archived(spark, folder).collect()}
+    first = [(f"d{i}/" + "n" * i + "é.md", "x" * (i * 40)) for i in range(200)]
+    assert set(states(write_files(frame(spark, first), folder, archived=True)).values()) == {"new"}
+    assert held() == dict(first) and there(tmp_path / "out") == {}
+    assert len(list((tmp_path / "out" / "_archives").iterdir())) < 20
+    second = [*first[:100], ("d150/other.md", "漢"), (first[120][0], "changed")]
+    expected = dict.fromkeys([p for p, _ in first], "gone") | dict.fromkeys([p for p, _ in first[:100]], "same") | {"d150/other.md": "new", first[120][0]: "changed"}
+    assert states(write_files(frame(spark, second), folder, archived=True)) == expected
+    assert held() == dict(first) | dict(second)
+    write_files(frame(spark, second), folder, remove=True, archived=True)
+    assert held() == dict(second)
+
+
 def test_paths_that_leave_the_folder_and_rows_that_clash_are_refused(spark, tmp_path):
     folder = f"file://{tmp_path}/out"
     rows = [("../x", "x"), ("/abs", "x"), ("a//b", "x"), (".hid", "x"), ("_manifest/0", "x"), ("n" * 256, "x"), (None, "x"), ("null", None), ("twice", "1"), ("twice", "2"), ("good", "g")]
