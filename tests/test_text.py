@@ -209,3 +209,12 @@ def test_running_sums(spark):
     rows = [([],), ([5],), (list(range(1000)),), ([1] * 256,), ([2] * 257,)]
     got = spark.createDataFrame(rows, "a array<int>").select("a", sections.running(F.col("a")).alias("s")).collect()
     assert all(r.s == [sum(r.a[:i]) for i in range(len(r.a))] for r in got)
+
+
+def test_each_side_of_a_text_conflict_is_normalised_once(spark):
+    from docweave.functions.text import text_conflict
+
+    df = spark.createDataFrame([("a 1", "a 2"), ("a", "a"), (None, ""), (None, None), ("a", None), ("a b", "ab"), ("a+", "a-")], "l string, r string")
+    conflict = text_conflict(F.col("l"), F.col("r"))
+    assert [r[0] for r in df.select(conflict).collect()] == ["numeric_conflict", None, None, None, "text_conflict", None, "formula_operator_conflict"]
+    assert df.select(conflict)._jdf.queryExecution().analyzed().toString().count("translate(") == 4
