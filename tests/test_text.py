@@ -215,6 +215,6 @@ def test_each_side_of_a_text_conflict_is_normalised_once(spark):
     from docweave.functions.text import text_conflict
 
     df = spark.createDataFrame([("a 1", "a 2"), ("a", "a"), (None, ""), (None, None), ("a", None), ("a b", "ab"), ("a+", "a-")], "l string, r string")
-    conflict = text_conflict(F.col("l"), F.col("r"))
+    conflict = text_conflict(F.col("l"), F.col("r")).alias("k")
     assert [r[0] for r in df.select(conflict).collect()] == ["numeric_conflict", None, None, None, "text_conflict", None, "formula_operator_conflict"]
     assert df.select(conflict)._jdf.queryExecution().analyzed().toString().count("translate(") == 4
