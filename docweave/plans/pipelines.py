@@ -87,9 +87,9 @@ def course_dashboard(readiness: DataFrame, chapters: DataFrame, reviews: DataFra
     path, content) as they are now are compared with the folder's manifest: it is synced if all are there and the same,
     outdated if it was written and any differs or is missing, and unsynced if none was written. Topics without files count as unsynced.
     """
-    states = files.select("topic_id", "path").join(sync_states(files.select("path", "content"), folder), "path")
+    states = files.select("topic_id", "path").join(sync_states(files.select("path", "content"), folder).hint("merge"), "path")
     state = states.groupBy("topic_id").agg(F.bool_and(F.col("state") == "same").alias("same"), F.bool_and(F.col("state") == "new").alias("new"))
-    met = readiness.join(state, "topic_id", "left")
+    met = readiness.join(state.hint("merge"), "topic_id", "left")
     new = F.coalesce("new", F.lit(True))
     per_topic = met.groupBy("course_id").agg(
         F.count(F.lit(1)).alias("n_topics"), F.count_if(F.col("readiness") == "READY").alias("ready"), F.sum("n_chapters").alias("links"), F.sum("n_blocking").alias("blocking"),

@@ -94,3 +94,14 @@ def test_attachments(spark):
     n = got[1].namespace
     assert [a.anchor for a in got[1].anchors] == [f"att:{n}:p1:para1", f"att:{n}:p1:para2", f"att:{n}:p2:para1"]
     assert got[2].anchors == [] and got[3].anchors is None
+
+
+def test_the_dashboard_makes_its_tables_once_and_writes_archives(spark, monkeypatch):
+    from docweave.plans import bundle_queries as b
+    from docweave.plans.queries import QUERIES
+
+    made, labels = [], b.topic_labels
+    monkeypatch.setattr(b, "topic_labels", lambda t: made.append("labels") or labels(t))
+    monkeypatch.setattr(b, "write_files", lambda files, folder, **how: made.append(how))
+    QUERIES["pipe_course_dashboard"](spark, "/root/testdata/sf0.001")
+    assert made == ["labels", {"archived": True}]
