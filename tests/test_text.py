@@ -218,3 +218,18 @@ def test_each_side_of_a_text_conflict_is_normalised_once(spark):
     conflict = text_conflict(F.col("l"), F.col("r")).alias("k")
     assert [r[0] for r in df.select(conflict).collect()] == ["numeric_conflict", None, None, None, "text_conflict", None, "formula_operator_conflict"]
     assert df.select(conflict)._jdf.queryExecution().analyzed().toString().count("translate(") == 4
+
+
+def test_units_of_a_text_are_found_once(spark):
+    from docweave.plans.queries import QUERIES
+
+    plan = QUERIES["win_merge_short"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("#{2,3}") == 1
+
+
+def test_headings_after_any_line_end(spark):
+    ends = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", " "]
+    got = values(spark, sections.structural_units, *[(f"a{e}# t{e}#{e}## b # c",) for e in ends])
+    assert got[:-1] == [[f"a{e}", "## b # c"] for e in ends[:-1]] and got[-1] == ["a # t # ## b # c"]
+    assert values(spark, sections.split_tables, ("a\n| x |\n|--|\n| 1 |\nb",), ("a | b",)) == [["a", "\n| x |\n|--|\n| 1 |\n", "b"], ["a | b"]]
+    assert [len(u) for u in values(spark, lambda c: sections.filled_units(F.split(c, ";")), (" \u3000;a;\n;\u00a0b",))] == [2]
