@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators.relational import replay, ring
+from docweave.plans.pipelines import incremental_sections
 from docweave.streaming import events as st
 
 SCHEMA = "batch_id long, event_id long, ts timestamp, event string, payload string, task_id long"
@@ -98,3 +99,12 @@ def test_buffers_expire_and_begin_anew(spark, tmp_path):
     assert seen == [(1, 5, 2), (1, 60, 1), (2, 1, 1), (2, 90, 1), (3, 50, 1), (3, 81, 1), (4, 61, 1), (4, 100, 1), (5, 61, 10)]
     held = st.state_of(spark, state, "events").select("key.batch_id", "list_element.event_id")
     assert [tuple(r) for r in held.collect()] == [(6, 10)]
+
+
+def test_a_table_of_many_files_takes_few_micro_batches(spark, tmp_path):
+    place = f"file://{tmp_path}/docs"
+    spark.range(240).selectExpr("id AS doc_id", "concat('text ', id % 100) AS text").repartition(24).write.parquet(place)
+    seen = []
+    st.run_to_end(st.table_stream(spark, place), "few", "append", lambda df, _: seen.append(df.count()))
+    assert len(seen) <= 6 and sum(seen) == 240
+    assert incremental_sections(st.table_stream(spark, place)).count() == 100
