@@ -233,3 +233,11 @@ def test_headings_after_any_line_end(spark):
     assert got[:-1] == [[f"a{e}", "## b # c"] for e in ends[:-1]] and got[-1] == ["a # t # ## b # c"]
     assert values(spark, sections.split_tables, ("a\n| x |\n|--|\n| 1 |\nb",), ("a | b",)) == [["a", "\n| x |\n|--|\n| 1 |\n", "b"], ["a | b"]]
     assert [len(u) for u in values(spark, lambda c: sections.filled_units(F.split(c, ";")), (" \u3000;a;\n;\u00a0b",))] == [2]
+
+
+@pytest.mark.parametrize("name", ["udf_enrich_sections", "snk_merged_document", "src_parse_merged"])
+def test_sections_to_enrich_are_split_once(spark, name):
+    from docweave.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "#{2,3}" not in plan
