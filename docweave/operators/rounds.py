@@ -11,7 +11,7 @@ from docweave.functions import text as x
 from docweave.operators.diagrams import topic_diagram
 from docweave.operators.ledger import Executor
 from docweave.operators.validation import violations
-from docweave.sources.documents import scratch
+from docweave.sources.documents import stored
 
 Rules = Mapping[str, Mapping[str, Column]]
 
@@ -38,25 +38,32 @@ CARD_WORD = "选题卡"
 _CARD = "card_type string, title string, content string, source_refs array<string>"
 
 
-def run_rounds(work: DataFrame, rounds: Sequence[str], executor: Executor, rules: Rules, start: Mapping[str, Column]) -> DataFrame:
+def run_rounds(
+    work: DataFrame, rounds: Sequence[str], executor: Executor, rules: Rules, start: Mapping[str, Column], shapes: Mapping[str, Column] | None = None
+) -> DataFrame:
     """work (one row for each key, with `prompt`), one column of answers for each round, and `failed`.
 
     A round is asked with the prompt and the answers before it. `failed` is '' or the first round whose answer breaks
     rules, with their names; from there on nothing is asked of that key and its answers are null. An executor that
     returns null breaks the rules. The rows are written, so that each question is asked once however often they are read;
-    behind a ledger a question that failed is asked again, and one that any row has asked before isn't.
+    behind a ledger a question that failed is asked again, and one that any row has asked before isn't. shapes are what
+    answers are read as, once each; rules find them in the column <round>_read.
     """
-    broken = lambda key, named: F.concat(F.lit(f"{key}:"), violations(named))
-    state = work.withColumn("failed", F.when(violations(start) == "", "").otherwise(broken("start", start)))
+    shapes = shapes or {}
+
+    def checked(state: DataFrame, key: str, named: Mapping[str, Column]) -> DataFrame:
+        state = state.withColumn("_broken", F.when(F.col("failed") == "", violations(named)))
+        return state.withColumn("failed", F.when(F.col("_broken") != "", F.concat(F.lit(f"{key}:"), "_broken")).otherwise(F.col("failed"))).drop("_broken")
+
+    state = checked(work.withColumn("failed", F.lit("")), "start", start)
     for i, key in enumerate(rounds):
         parts = [F.lit(key), F.col("prompt"), *[F.col(k) for k in rounds[:i]]]
         asked = state.withColumn("asked", F.when(F.col("failed") == "", F.concat_ws("\n", *parts)))
         state = executor(key, asked).withColumn(key, F.when(F.col("failed") == "", F.col("answer"))).drop("asked", "answer")
-        now = F.when(violations(rules[key]) == "", "").otherwise(broken(key, rules[key]))
-        state = state.withColumn("failed", F.when(F.col("failed") == "", now).otherwise(F.col("failed")))
-    path = scratch(work.sparkSession, "rounds")
-    state.write.parquet(path)
-    return work.sparkSession.read.schema(state.schema).parquet(path)
+        if key in shapes:
+            state = state.withColumn(f"{key}_read", shapes[key])
+        state = checked(state, key, rules[key])
+    return stored(state.drop(*[f"{key}_read" for key in shapes]), "rounds")
 
 
 def _only(answer: Column, names: Sequence[str]) -> Column:
@@ -89,9 +96,14 @@ def topic_answers() -> dict[str, Column]:
     return {key: F.from_json(F.col(key), shape) for key, shape in shapes.items()}
 
 
-def topic_rules(labels: Column) -> dict[str, dict[str, Column]]:
-    """Rules of each round's answer; the last round also has those on all answers together."""
-    got, out = topic_answers(), {}
+def read_answers(shapes: Mapping[str, Column]) -> dict[str, Column]:
+    """The columns in which run_rounds() keeps answers as they are read."""
+    return {key: F.col(f"{key}_read") for key in shapes}
+
+
+def topic_rules(labels: Column, got: Mapping[str, Column] | None = None) -> dict[str, dict[str, Column]]:
+    """Rules of each round's answer; the last round also has those on all answers together. got: the answers as they are read."""
+    got, out = got or topic_answers(), {}
     for key, names in TOPIC_TEXTS.items():
         texts = [got[key][n] for n in names]
         out[key] = {
@@ -122,7 +134,8 @@ def topic_rules(labels: Column) -> dict[str, dict[str, Column]]:
 
 def topic_published(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(topic_id, kind, content) and (topic_id, card_id, card_type, title, content, refs) of topics whose rounds all passed."""
-    good, got = state.where("failed = ''"), topic_answers()
+    good = state.where("failed = ''").select("topic_id", *[c.alias(k) for k, c in topic_answers().items() if k != "review"])
+    got = {k: F.col(k) for k in good.columns}
     kinds = [(n, got[k][n]) for k, names in TOPIC_TEXTS.items() for n in names]
     kinds += [("knowledge_mermaid", got["mermaid"]["knowledge_diagram"]), ("application_mermaid", got["mermaid"]["application_diagram"])]
     blocks = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("content")) for k, c in kinds])
@@ -133,12 +146,12 @@ def topic_published(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def chapter_rules(allowed: Column, unchanged: Column) -> dict[str, dict[str, Column]]:
-    """Rules of each round's answer: text, citations that exist, two diagrams, cards, and the fixed blocks of the review."""
+def chapter_rules(allowed: Column, unchanged: Column, got: Column | None = None) -> dict[str, dict[str, Column]]:
+    """Rules of each round's answer: text, citations that exist, two diagrams, cards, and the fixed blocks of the review, got as it is read."""
     out = {k: {"text": _long(F.col(k), 1 << 30), "citations": _within(x.citations(F.col(k)), allowed)} for k in CHAPTER_ROUNDS}
     out["mermaid"]["diagrams"] = F.size(x.diagrams(F.col("mermaid"))) == 2
     out["cards"]["cards"] = F.col("cards").contains(CARD_WORD)
-    got = chapter_review()
+    got = chapter_review() if got is None else got
     blocks = F.get_json_object("review", "$.revised_blocks")
     drawn = [F.coalesce(got["revised_blocks"][f"{n}_mermaid"].rlike(r"\b(?:graph|flowchart)\b"), F.lit(False)) for n in ("knowledge", "application")]
     out["review"] |= {
@@ -157,9 +170,9 @@ def chapter_review() -> Column:
 
 def chapter_published(state: DataFrame) -> DataFrame:
     """(chapter_id, kind, title, body, seq) of chapters whose rounds all passed."""
-    got = chapter_review()["revised_blocks"]
-    rows = [F.struct(F.lit(k).alias("kind"), F.lit(t).alias("title"), got[k].alias("body"), F.lit(i).alias("seq")) for i, (k, t) in enumerate(CHAPTER_BLOCKS.items())]
-    return state.where("failed = ''").select("chapter_id", F.inline(F.array(*rows)))
+    got = state.where("failed = ''").select("chapter_id", chapter_review()["revised_blocks"].alias("got"))
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(t).alias("title"), F.col("got")[k].alias("body"), F.lit(i).alias("seq")) for i, (k, t) in enumerate(CHAPTER_BLOCKS.items())]
+    return got.select("chapter_id", F.inline(F.array(*rows)))
 
 
 def outline_rules(allowed: Column) -> dict[str, dict[str, Column]]:

@@ -135,8 +135,8 @@ def chapter_reading(chapters: DataFrame, notes: DataFrame, current: DataFrame, e
     cited = notes.groupBy("chapter_id").agg(F.collect_set(F.concat(F.lit("[src:"), "note_id", F.lit("]"))).alias("allowed"), F.min("note_id").alias("first"))
     work = prompts(chapters, notes).join(chapters.select("chapter_id", "title"), "chapter_id").join(cited, "chapter_id", "left")
     work = work.join(current.select("chapter_id", F.col("fingerprint").alias("now")), "chapter_id", "left")
-    rules = q.chapter_rules(F.col("allowed"), F.sha2("prompt", 256) == F.col("now"))
-    state = q.run_rounds(work, q.CHAPTER_ROUNDS, executor, rules, {"notes": F.size("allowed") > 0})
+    rules = q.chapter_rules(F.col("allowed"), F.sha2("prompt", 256) == F.col("now"), F.col("review_read"))
+    state = q.run_rounds(work, q.CHAPTER_ROUNDS, executor, rules, {"notes": F.size("allowed") > 0}, {"review": q.chapter_review()})
     old = notes.select("chapter_id", "kind", F.col("kind").alias("title"), F.col("content").alias("body"), "seq")
     after = m.replace_group(old, q.chapter_published(state), "chapter_id").withColumn("text", F.concat(F.lit("## "), "title", F.lit("\n\n"), "body"))
     after = after.groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n"), r.ordered_list(["seq", "kind", "body"], "text", "\n\n").alias("note"))
@@ -158,7 +158,8 @@ def topic_fusion(topics: DataFrame, labels: DataFrame, executor: q.Executor, lab
     work = topics.select("topic_id", "title", "status", "confirmed", "stale_reason", "owner_id").join(listed(labels), "topic_id", "left")
     work = work.select("*", head.alias("prompt"), print_of)
     start = {"sources": F.size(F.array_distinct("labels")) == F.size("labels"), "confirmed": F.col("confirmed"), "running": F.col("status") != "RUNNING"}
-    state = q.run_rounds(work, q.TOPIC_ROUNDS, executor, q.topic_rules(F.col("labels")), start)
+    shapes = q.topic_answers()
+    state = q.run_rounds(work, q.TOPIC_ROUNDS, executor, q.topic_rules(F.col("labels"), q.read_answers(shapes)), start, shapes)
     asked = state.where("failed = ''").select("topic_id", "owner_id", F.col("fingerprint").alias("expected"), F.col("stale_reason").alias("baseline"))
     held = topics_after.select("topic_id", F.lit("RUNNING").alias("status"), "stale_reason")
     out = m.publish(held, asked, listed(labels_after).select("topic_id", print_of), leases, "topic_id", now)

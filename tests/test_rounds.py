@@ -220,3 +220,20 @@ def test_publication_of_a_topic_is_guarded(spark):
     out = {r.topic_id: r for r in pipelines.topic_fusion(topics, labels, executor, changed, after, leases, 10).collect()}
     assert {k: r.failed for k, r in out.items()} == {0: "", 1: "publish:fingerprint", 2: "publish:baseline", 3: "publish:lease", 4: "publish:fingerprint"}
     assert out[0].note.startswith("# t\n") and all(out[k].note is None for k in range(1, 5))
+
+
+def test_an_answer_is_read_once_however_many_rules_it_has(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("a int, b int")
+    def read(text):
+        calls.add(1)
+        return (len(text), 2)
+
+    executor = lambda key, rows: rows.withColumn("answer", F.col("prompt"))
+    got = F.col("x_read")
+    rules = {"x": {"one": got["a"] > 1, "two": got["b"] == 2, "three": got["a"] + got["b"] > 3}, "y": {"late": got["a"] < 4}}
+    work = spark.createDataFrame([(1, "p"), (2, "pp"), (3, "pppp")], "k int, prompt string")
+    state = rounds.run_rounds(work, ["x", "y"], executor, rules, {}, {"x": read.asNondeterministic()("x")})
+    assert {r.k: r.failed for r in state.collect()} == {1: "x:one,three", 2: "", 3: "y:late"}
+    assert calls.value == 3 and state.columns == ["k", "prompt", "failed", "x", "y"]
