@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions.text import TITLE_RULES, chapter_level, chapter_number, redact, stable_id
-from docweave.operators.relational import page_ends, subtree_ends, tree_parents
+from docweave.operators.relational import ordered_list, page_ends, subtree_ends, tree_parents
+from docweave.sources.documents import stored
 
 #: How the number of a heading is written.
 _NUMBER = r"(?:第\s*[一二三四五六七八九十百千万零〇两\d]+\s*章|chapter\s+[A-Za-z0-9.-]+|\d+(?:\.\d+)*)"
@@ -88,3 +91,23 @@ def pages_of_chapters(tree: DataFrame) -> DataFrame:
     """(source_id, page, id, level): each page with the chapters that hold it, by expanding their bounded ranges."""
     ranged = tree.where("page_start is not null and page_end >= page_start")
     return ranged.select("source_id", F.explode(F.sequence("page_start", "page_end")).alias("page"), "id", "level")
+
+
+#: Chapters of one range that share a copy of its text.
+_SHARED = 256
+
+
+def texts_of_chapters(tree: DataFrame, lines: DataFrame, order: Sequence[str], value: str) -> DataFrame:
+    """tree's rows with `body`: the values of the lines on a chapter's pages, in order, one below the other; others are left out.
+
+    Chapters that begin on one page often have the same range, and a page of contents can hold most lines of a source. So
+    lines are put together once for each range, and its chapters meet that text, _SHARED of them a copy.
+    """
+    span = ["source_id", "page_start", "page_end"]
+    tree = stored(tree.where("page_start is not null and page_end >= page_start"), "tree")
+    ranges = tree.groupBy(span).agg(F.ceil(F.count(F.lit(1)) / _SHARED).cast("int").alias("_copies"))
+    pages = ranges.select(*span, F.explode(F.sequence("page_start", "page_end")).alias("page"))
+    bodies = pages.join(lines, ["source_id", "page"]).groupBy(span).agg(ordered_list(order, value, "\n").alias("body"))
+    copies = ranges.join(bodies.hint("merge"), span).select(*span, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "body")
+    members = tree.join(ranges, span).withColumn("_copy", F.pmod(F.xxhash64("id"), F.col("_copies")).cast("int"))
+    return members.join(copies.hint("merge"), [*span, "_copy"]).drop("_copy", "_copies")

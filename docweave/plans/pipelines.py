@@ -110,12 +110,12 @@ def prompts(chapters: DataFrame, notes: DataFrame) -> DataFrame:
 
 def note_skeleton(tree: DataFrame, lines: DataFrame) -> DataFrame:
     """(source_id, id, note): a chapter's title and the cited lines of its pages."""
-    from docweave.operators.chapters import pages_of_chapters
+    from docweave.operators.chapters import texts_of_chapters
 
     cited = F.concat(F.lit("- [p"), "page", F.lit(":"), "line_no", F.lit("] "), "line")
-    held = pages_of_chapters(tree).join(lines, ["source_id", "page"]).withColumn("text", cited)
-    notes = held.groupBy("source_id", "id").agg(r.ordered_list(["page", "line_no", "line"], "text", "\n").alias("body"))
-    return notes.join(tree.select("source_id", "id", "title"), ["source_id", "id"]).select("source_id", "id", F.concat(F.lit("# "), "title", F.lit("\n"), "body").alias("note"))
+    held = lines.select("source_id", "page", "line_no", "line", cited.alias("text"))
+    notes = texts_of_chapters(tree.select("source_id", "id", "title", "page_start", "page_end"), held, ["page", "line_no", "line"], "text")
+    return notes.select("source_id", "id", F.concat(F.lit("# "), "title", F.lit("\n"), "body").alias("note"))
 
 
 def routed(runs: DataFrame) -> DataFrame:

@@ -241,3 +241,13 @@ def test_sections_to_enrich_are_split_once(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "#{2,3}" not in plan
+
+
+def test_chapters_of_one_range_share_its_text(spark):
+    tree = [(1, f"c{i}", 1, 1) for i in range(600)] + [(1, "all", 1, 3), (1, "three", 3, 3), (2, "other", 1, 2), (1, "none", None, None), (1, "empty", 9, 9)]
+    lines = [(1, 1, 2, "b"), (1, 1, 1, "a"), (1, 3, 1, "z"), (2, 2, 1, "o")]
+    rows = spark.createDataFrame(tree, "source_id int, id string, page_start int, page_end int")
+    got = chapters.texts_of_chapters(rows, spark.createDataFrame(lines, "source_id int, page int, line_no int, line string"), ["page", "line_no"], "line")
+    bodies = {(r.source_id, r.id): r.body for r in got.collect()}
+    assert bodies == {(1, f"c{i}"): "a\nb" for i in range(600)} | {(1, "all"): "a\nb\nz", (1, "three"): "z", (2, "other"): "o"}
+    assert got.count() == 603
