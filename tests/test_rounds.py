@@ -237,3 +237,13 @@ def test_an_answer_is_read_once_however_many_rules_it_has(spark):
     state = rounds.run_rounds(work, ["x", "y"], executor, rules, {}, {"x": read.asNondeterministic()("x")})
     assert {r.k: r.failed for r in state.collect()} == {1: "x:one,three", 2: "", 3: "y:late"}
     assert calls.value == 3 and state.columns == ["k", "prompt", "failed", "x", "y"]
+
+
+def test_runs_with_one_prompt_are_asked_as_one(spark, monkeypatch):
+    from docweave.plans import structure_queries
+    from docweave.plans.queries import QUERIES
+
+    works = []
+    monkeypatch.setattr(structure_queries, "run_rounds", lambda work, *rest: works.append(work) or rounds.run_rounds(work, *rest))
+    got = QUERIES["udf_round_executor"](spark, "/root/testdata/sf0.001")
+    assert works[0].count() == works[0].select("prompt").distinct().count() < got.count()
