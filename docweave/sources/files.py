@@ -13,10 +13,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.sources.documents import scratch, supported
+from docweave.sources.documents import scratch, stored, supported
 
 #: Kinds whose bytes are text already, and the most bytes that one file may have to be read whole.
 TEXTS, MOST_BYTES = (".md", ".markdown", ".txt"), 1 << 30
+_ENDING = r"\.[^./]+$"
+#: Files and bytes that a task reads, about, and bytes that it holds before it passes them on.
+FILES_OF_TASK, BYTES_OF_TASK, BYTES_OF_BATCH = 10_000, 64 << 20, 8 << 20
 _MANIFEST = "path string, bytes long, sha256 string, archive string"
 _NAMES = ["path", "bytes", "sha256", "archive"]
 #: An archive ends after so many files or bytes; the next file begins another one.
@@ -32,30 +35,121 @@ def _any_case(ending: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
 
 
-def read_documents(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> DataFrame:
-    """(name, bytes, sha256, text, reason) of every file below folder; name is its path from there.
+def _hidden(name: str) -> bool:
+    """Whether Spark's own readers pass over a file or folder of that name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
 
-    reason is '' for a text that was read, else why the file stands in quarantine with a null text: `extension`
-    (no kind of document), `parser` (a document whose text another engine has to recognise), `size`, or `encoding`
-    (not UTF-8). Only text files are opened; their bytes are digested as they are, and a byte order mark isn't part of
-    the text. Files are dealt to tasks by their bytes. Files without a byte and names that begin with _ or . aren't listed;
-    an empty folder gives no rows.
+
+def _opens(uri: str) -> bool:
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+def _listed(spark: SparkSession, uri: str) -> DataFrame:
+    """(name, bytes) of the files below a folder, listed by tasks: one level of folders after the other, each folder by one task.
+
+    A level is written to the shared folder before the next one, so that the driver sees no name, only their numbers.
     """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+        root = root.rstrip("/")
+        for batch in batches:
+            for within in batch.column("name").to_pylist():
+                found = [x for x in system.get_file_info(fs.FileSelector(f"{root}/{within}")) if not _hidden(x.base_name)]
+                for i in range(0, len(found), 10_000):
+                    some = found[i : i + 10_000]
+                    names = pa.array([f"{within}/{x.base_name}".lstrip("/") for x in some], pa.string())
+                    sizes = pa.array([None if x.type == fs.FileType.Directory else x.size for x in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([names, sizes], ["name", "bytes"])
+
+    level, out, n = spark.createDataFrame([("",)], "name string"), None, 1
+    while n:
+        dealt = level.repartition(min(n, 8 * spark.sparkContext.defaultParallelism))
+        seen = stored(dealt.mapInArrow(look, "name string, bytes long"), "listed")
+        files = seen.where("bytes > 0")
+        out = files if out is None else out.union(files)
+        level = seen.where("bytes is null").select("name")
+        n = level.count()
+    return out
+
+
+def _read_by_tasks(spark: SparkSession, uri: str, most: int) -> DataFrame:
+    """(name, bytes, content) of the files below a folder, content null for those that aren't opened."""
+    listed = _listed(spark, uri).withColumn("_open", F.lower(F.regexp_extract("name", _ENDING, 0)).isin(*TEXTS) & (F.col("bytes") <= most))
+    files, size = listed.agg(F.count(F.lit(1)), F.sum(F.when(F.col("_open"), F.col("bytes")))).first()
+    tasks = max(files // FILES_OF_TASK, (size or 0) // BYTES_OF_TASK, spark.sparkContext.defaultParallelism)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+
+        def some(rows: list[tuple], contents: pa.Array | None = None) -> pa.RecordBatch:
+            names, sizes, held = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(held, pa.binary()) if contents is None else contents], ["name", "bytes", "content"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for name, size, opened in zip(*(batch.column(c).to_pylist() for c in ("name", "bytes", "_open")), strict=True):
+                if opened and size > BYTES_OF_BATCH:  # not copied once more
+                    with system.open_input_file(f"{root.rstrip('/')}/{name}") as src:
+                        whole = src.read_buffer()
+                    ends = pa.array([0, whole.size], pa.int32()).buffers()[1]
+                    yield some([(name, size, None)], pa.Array.from_buffers(pa.binary(), 1, [None, ends, whole]))
+                    continue
+                content = None
+                if opened:
+                    with system.open_input_stream(f"{root.rstrip('/')}/{name}") as src:
+                        content = src.read()
+                    held += size
+                rows.append((name, size, content))
+                if len(rows) >= 10_000 or held >= BYTES_OF_BATCH:
+                    yield some(rows)
+                    rows, held = [], 0
+        if rows:
+            yield some(rows)
+
+    return listed.repartition(int(tasks), "name").mapInArrow(read, "name string, bytes long, content binary")
+
+
+def _read_by_spark(spark: SparkSession, folder: str, most: int) -> DataFrame:
+    """The same from a store that only Spark opens; the driver lists it."""
     root = _place(spark, folder)[1].toUri().getPath().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     name = F.expr("substring(path, instr(path, root) + length(root))").alias("name")
     listed = files.load(folder).select("path", F.lit(root).alias("root"), "length").select(name, F.col("length").alias("bytes"))
     glob = "*{" + ",".join(_any_case(e) for e in TEXTS) + "}"
     opened = files.option("pathGlobFilter", glob).load(folder).where(F.col("length") <= most).select("path", F.lit(root).alias("root"), "content")
+    return listed.join(opened.select(name, "content"), "name", "left")
+
+
+def read_documents(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> DataFrame:
+    """(name, bytes, sha256, text, reason) of every file below folder; name is its path from there.
+
+    reason is '' for a text that was read, else why the file stands in quarantine with a null text: `extension`
+    (no kind of document), `parser` (a document whose text another engine has to recognise), `size`, or `encoding`
+    (not UTF-8). Only text files are opened; their bytes are digested as they are, and a byte order mark isn't part of
+    the text. Files without a byte and names that Spark hides (that begin with _ or .) aren't listed; an empty folder
+    gives no rows.
+
+    The folder is listed when this is called. Where pyarrow opens it, tasks list the folders and read the files, dealt to
+    them by name in shares that follow numbers and bytes, and the driver sees no file. Another store is listed by Spark, on the
+    driver, with some 0.5 KB a file twice.
+    """
+    system, path = _place(spark, folder)
+    if not system.exists(path):
+        raise FileNotFoundError(folder)
+    uri = system.makeQualified(path).toUri().toString()
+    met = _read_by_tasks(spark, uri, most) if _opens(uri) else _read_by_spark(spark, folder, most)
     bare = F.when(F.hex(F.substring("content", 1, 3)) == "EFBBBF", F.expr("substring(content, 4)")).otherwise(F.col("content")).cast("string")
-    texts = opened.select(name, F.sha2("content", 256).alias("sha256"), F.when(F.is_valid_utf8(bare), bare).alias("text"))
-    met = listed.join(texts, "name", "left")
-    ending = F.lower(F.regexp_extract("name", r"\.[^./]+$", 0))
+    ending, text = F.lower(F.regexp_extract("name", _ENDING, 0)), F.when(F.is_valid_utf8(bare), bare)
     reason = (
         F.when(~supported(F.col("name")), "extension").when(~ending.isin(*TEXTS), "parser").when(F.col("bytes") > most, "size")
-        .when(F.col("text").isNull(), "encoding").otherwise("")
+        .when(text.isNull(), "encoding").otherwise("")
     )
-    return met.select("name", "bytes", "sha256", "text", reason.alias("reason"))
+    return met.select("name", "bytes", F.sha2("content", 256).alias("sha256"), text.alias("text"), reason.alias("reason"))
 
 
 def fair_path(path: Column) -> Column:

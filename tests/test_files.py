@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from docweave.sources import files
 from docweave.sources.files import attachments, fair_path, manifest, read_archived, read_documents, sync_states, write_files
 
 
@@ -27,6 +29,23 @@ def test_a_folder_with_good_broken_and_foreign_files(spark, tmp_path):
     assert read_documents(spark, f"file://{tmp_path}/empty").count() == 0
 
 
+def test_tasks_list_and_read_a_folder_as_spark_does(spark, tmp_path, monkeypatch):
+    root = tmp_path / "in 100%"
+    names = ["a.md", "deep/er/still/b.txt", "deep/er/c d.MD", "deep/x.png", "é/漢.markdown", "_a=b.md", "_metadata.md", "_no.md", ".no.md", "c._COPYING_", "_no/d.md", ".no/d.md", "100%25 #1?.md", "big.md", "late.txt"]
+    for i, name in enumerate(names):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode() * (i + 1) + (b"x" * 4000 if name == "big.md" else b""))
+    (root / "bare" / "folder").mkdir(parents=True)
+    monkeypatch.setattr(files, "BYTES_OF_BATCH", 200)
+    both = files._read_by_tasks(spark, root.as_uri(), 1 << 20), files._read_by_spark(spark, str(root), 1 << 20)
+    shown = [{(r.name, r.bytes, r.content and bytes(r.content)) for r in rows.collect()} for rows in both]
+    assert shown[0] == shown[1] and {n for n, _, _ in shown[0]} == set(names) - {"_metadata.md", "_no.md", ".no.md", "c._COPYING_", "_no/d.md", ".no/d.md"}
+    got = read_documents(spark, str(root))
+    assert got.count() == len(shown[0]) and "binaryFile" not in got._jdf.queryExecution().toString()
+    with pytest.raises(FileNotFoundError):
+        read_documents(spark, f"{tmp_path}/nowhere")
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "path string, content string")
 
