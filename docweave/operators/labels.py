@@ -21,12 +21,18 @@ def cited_labels(texts: DataFrame, key: str, order: str, text: str) -> DataFrame
     return places(first, [key], ["_first._at", "_first._pos", "label"]).select(key, "label", "place")
 
 
-def label_coverage(expected: DataFrame, texts: DataFrame, refs: DataFrame, key: str, text: str = "content", ref: str = "ref") -> DataFrame:
+def label_coverage(
+    expected: DataFrame, texts: DataFrame, refs: DataFrame, key: str, text: str = "content", ref: str = "ref", tasks: int | None = None
+) -> DataFrame:
     """(key, n_labels, in_text, in_refs, missing) of the keys in expected, a table of (key, label).
 
     A label is covered if a text of its key cites it or a card of its key refers to it; `missing` counts the others. Repeated
     labels count once; labels that aren't expected, null labels and null keys count nowhere. The three tables meet by (key,
     label) in one aggregate, reduced before the shuffle, so that a key with most labels is spread over many tasks.
+
+    Nearly all pairs differ, so what reduces them holds most of the rows of its task: `tasks`, a number that follows the
+    input, deals the rows out first by pair and by the task that read them, so that it holds few of them and a pair that
+    most rows have is still in many tasks.
     """
     mark = lambda df, label, name: df.select(
         F.col(key), label.alias("label"), *[F.lit(n == name).alias(n) for n in ("_wanted", "_text", "_ref")]
@@ -34,6 +40,8 @@ def label_coverage(expected: DataFrame, texts: DataFrame, refs: DataFrame, key:
     rows = mark(expected, F.col("label"), "_wanted")
     rows = rows.unionByName(mark(texts, F.explode(x.source_labels(F.col(text))), "_text")).unionByName(mark(refs, F.col(ref), "_ref"))
     rows = rows.where(F.col("label").isNotNull() & F.col(key).isNotNull())
+    if tasks:
+        rows = rows.withColumn("_from", F.spark_partition_id()).repartition(tasks, key, "label", "_from").drop("_from")
     each = rows.groupBy(key, "label").agg(*[F.max(n).alias(n) for n in ("_wanted", "_text", "_ref")]).where("_wanted")
     return each.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_labels"), F.count_if("_text").alias("in_text"), F.count_if("_ref").alias("in_refs"),

@@ -20,3 +20,15 @@ def test_labels_covered_by_texts_or_cards(spark):
     got = {tuple(r) for r in label_coverage(expected, texts, refs, "topic_id").collect()}
     assert got == {("t", 2, 2, 0, 0), ("u", 2, 0, 1, 1), ("v", 2, 1, 1, 1)}
     assert label_coverage(expected, texts, refs.limit(0), "topic_id").count() == 3
+
+
+def test_rows_of_labels_are_dealt_out_before_they_are_reduced(spark):
+    pairs = [("t", A)] * 300 + [("t", C)] * 50 + [("u", B)] * 50 + [("w", None), (None, A)]
+    expected = spark.createDataFrame(pairs, "topic_id string, label string").repartition(3)
+    texts = spark.createDataFrame(TEXTS * 40, "topic_id string, n long, content string").repartition(3)
+    refs = spark.createDataFrame([("u", B), ("u", None)] * 40, "topic_id string, ref string")
+    got = label_coverage(expected, texts, refs, "topic_id", tasks=7)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in label_coverage(expected, texts, refs, "topic_id").collect()} == {("t", 2, 2, 0, 0), ("u", 1, 0, 1, 0)}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("partial_max") :]
+    assert "REPARTITION_BY_NUM" in below and "partial" not in below[below.index("REPARTITION_BY_NUM") :]
