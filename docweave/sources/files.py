@@ -180,7 +180,7 @@ def _described(files: DataFrame) -> DataFrame:
     rows.write.parquet(place)
     rows = spark.read.schema(rows.schema).parquet(place)
     twice = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(twice.hint("merge"), rows["path"].eqNullSafe(twice["path"])).drop(twice["path"]).withColumn("_fair", fair_path(F.col("path")) & (F.col("_n") == 1) & F.col("content").isNotNull())
+    return rows.join(twice.hint("merge"), rows["path"].eqNullSafe(twice["path"])).drop(twice["path"]).withColumn("_fair", fair_path(F.col("path")) & (F.col("_n") == 1) & F.col("bytes").isNotNull())
 
 
 def sync_states(files: DataFrame, folder: str) -> DataFrame:
