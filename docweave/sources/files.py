@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docweave.sources.documents import scratch, stored, supported
+from docweave.sources.documents import stored, stored_at, supported
 
 #: Kinds whose bytes are text already, and the most bytes that one file may have to be read whole.
 TEXTS, MOST_BYTES = (".md", ".markdown", ".txt"), 1 << 30
 _ENDING = r"\.[^./]+$"
-#: Files and bytes that a task reads, about, and bytes that it holds before it passes them on.
+#: Files and bytes that a task reads or writes, about, and bytes that it holds before it passes them on.
 FILES_OF_TASK, BYTES_OF_TASK, BYTES_OF_BATCH = 10_000, 64 << 20, 8 << 20
 _MANIFEST = "path string, bytes long, sha256 string, archive string"
 _NAMES = ["path", "bytes", "sha256", "archive"]
@@ -172,15 +173,19 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(map(int, done))
 
 
-def _described(files: DataFrame) -> DataFrame:
-    """files with size, digest and whether they may be written; written to the shared folder, so that they are rendered once."""
-    spark, content = files.sparkSession, F.col("content").cast("binary")
-    rows = files.select("path", content.alias("content"), F.octet_length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))
-    place = scratch(spark, "rendered")
-    rows.write.parquet(place)
-    rows = spark.read.schema(rows.schema).parquet(place)
-    twice = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(twice.hint("merge"), rows["path"].eqNullSafe(twice["path"])).drop(twice["path"]).withColumn("_fair", fair_path(F.col("path")) & (F.col("_n") == 1) & F.col("bytes").isNotNull())
+def rendered(files: DataFrame) -> DataFrame:
+    """files (path, content) in the shared folder: what several writes and comparisons read, so that they are rendered once.
+
+    Small files hold many rows a byte, so shares stay as they were shuffled: their rows are what tasks that write them work on.
+    """
+    shares = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    return stored(files.select("path", F.col("content").cast("binary").alias("content")), "rendered", "zstd", shares)
+
+
+def _digested(files: DataFrame) -> DataFrame:
+    """files with size and digest."""
+    content = F.col("content").cast("binary")
+    return files.select("path", F.octet_length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
 
 
 def sync_states(files: DataFrame, folder: str) -> DataFrame:
@@ -189,18 +194,24 @@ def sync_states(files: DataFrame, folder: str) -> DataFrame:
     `new`, `changed` and `same` by digest, `gone` for what is in the folder but not among the files, `refused` for
     a path that leaves the folder, is no file name, has no content, or stands in several rows.
     """
-    return _states(_described(files), manifest(files.sparkSession, folder))
-
-
-def _states(rows: DataFrame, there: DataFrame) -> DataFrame:
-    fair = rows.where("_fair").select("path", F.col("sha256").alias("_want"))
-    met = fair.join(there.select("path", F.col("sha256").alias("_have")), "path", "full")
-    state = F.when(F.col("_want").isNull(), "gone").when(F.col("_have").isNull(), "new").when(F.col("_want") == F.col("_have"), "same").otherwise("changed")
-    refused = rows.where("not _fair").select("path", F.lit("refused").alias("state")).distinct()
-    return met.select("path", state.alias("state")).join(refused.select("path").hint("merge"), "path", "left_anti").union(refused)
+    return _states(files, manifest(files.sparkSession, folder))
+
+
+def _states(files: DataFrame, there: DataFrame) -> DataFrame:
+    """Paths and digests of 32 bytes meet; contents aren't shuffled."""
+    want = _digested(files).select("path", F.unhex("sha256").alias("_want"))
+    want = want.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("path")))
+    want = want.withColumn("_i", F.row_number().over(Window.partitionBy("path").orderBy("path"))).where("_i = 1")
+    fair = fair_path(F.col("path")) & (F.col("_n") == 1) & F.col("_want").isNotNull()
+    met = want.join(there.select("path", F.unhex("sha256").alias("_have")).hint("merge"), "path", "full")
+    state = (
+        F.when(F.col("_n").isNull(), "gone").when(~fair, "refused").when(F.col("_have").isNull(), "new")
+        .when(F.col("_want") == F.col("_have"), "same").otherwise("changed")
+    )
+    return met.select("path", state.alias("state"))
 
 
-def write_files(files: DataFrame, folder: str, remove: bool = False, archived: bool = False) -> DataFrame:
+def write_files(files: DataFrame, folder: str, remove: bool = False, archived: bool = False, once: bool = True) -> DataFrame:
     """Write files (path, content) below folder, one each, and return their states before the write: (path, state).
 
     Only new and changed files are written: under a draft name beside their place, then moved, so a reader sees the old
@@ -211,12 +222,13 @@ def write_files(files: DataFrame, folder: str, remove: bool = False, archived: b
     archived puts the files of a task together in archives _archives/<id>.tar.gz, whose members have the paths and bytes
     that the files would have: a disk gives each file some KB, however small it is, and each folder as much. The
     manifest names the archive that counts, read_archived() reads them. A folder is written in one of the two ways.
+
+    Files are rendered first, since they are read for their digests and again to be written; once=False leaves that out for
+    files that are rendered() already. Contents are shuffled only if some of the files aren't written.
     """
     spark = files.sparkSession
-    base = f"{folder}/_states/{uuid.uuid4().hex}"
-    rows, there = _described(files), manifest(spark, folder)
-    _states(rows, there).write.parquet(base)
-    states = spark.read.schema("path string, state string").parquet(base)
+    rows, there = rendered(files) if once else files, manifest(spark, folder)
+    states = stored_at(_states(rows, there), f"{folder}/_states/{uuid.uuid4().hex}", "zstd")
     due, gone = states.where("state in ('new', 'changed')"), states.where("state = 'gone'")
     if due.isEmpty() and (not remove or gone.isEmpty()):
         return states
@@ -247,8 +259,8 @@ def write_files(files: DataFrame, folder: str, remove: bool = False, archived: b
                     if not tar or n >= MOST_FILES or size >= FULL_BYTES:
                         opened.close()
                         name, n, size = f"_archives/{uuid.uuid4().hex}.tar.gz", 0, 0
-                        out = opened.enter_context(system.open_output_stream(f"{root}/{name}", compression="gzip"))
-                        tar = opened.enter_context(tarfile.open(fileobj=out, mode="w|"))
+                        out = opened.enter_context(system.open_output_stream(f"{root}/{name}", compression=None))
+                        tar = opened.enter_context(tarfile.open(fileobj=out, mode="w:gz", compresslevel=6, format=tarfile.GNU_FORMAT))
                     member = tarfile.TarInfo(path)
                     member.size = len(content)
                     tar.addfile(member, io.BytesIO(content))
@@ -264,13 +276,16 @@ def write_files(files: DataFrame, folder: str, remove: bool = False, archived: b
                     system.delete_file(f"{root}/{path}")
             yield batch
 
-    todo = rows.where("_fair").join(due.select("path").hint("merge"), "path", "left_semi").select("path", "bytes", "sha256", "content")
+    todo = _digested(rows)
+    if not states.where("state in ('same', 'refused')").isEmpty():
+        todo = todo.join(due.select("path").hint("merge"), "path", "left_semi")
     kept = there.join(due.select("path").hint("merge"), "path", "left_anti")
     if remove:
         past = gone.select("path") if archived else gone.select("path").mapInArrow(delete, "path string")
         kept = kept.join(past.hint("merge"), "path", "left_anti")
     version = (_versions(spark, folder) or [-1])[-1] + 1
-    todo.mapInArrow(pack if archived else write, _MANIFEST).union(kept).write.mode("overwrite").parquet(f"{folder}/_manifest/{version}")
+    tasks = {"spark.sql.files.minPartitionNum": str(max(due.count() // FILES_OF_TASK, spark.sparkContext.defaultParallelism))}
+    stored_at(todo.mapInArrow(pack if archived else write, _MANIFEST).union(kept), f"{folder}/_manifest/{version}", "zstd", tasks)
     return states
 
 

@@ -92,6 +92,25 @@ def test_archives_hold_the_same_files(spark, tmp_path):
     assert held() == dict(second)
 
 
+def test_files_are_rendered_once_and_their_contents_arent_shuffled(spark, tmp_path):
+    def noted(batches):
+        for batch in batches:
+            (tmp_path / "made" / os.urandom(8).hex()).write_text(str(batch.num_rows))
+            yield batch
+
+    (tmp_path / "made").mkdir()
+    folder, first = f"file://{tmp_path}/out", [(f"d{i}/é.md", os.urandom(5000).hex()) for i in range(100)]
+    made = files.rendered(frame(spark, first).mapInArrow(noted, "path string, content string"))
+    shuffled = lambda: sum(p.stat().st_size for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before = shuffled()
+    for state in ("new", "same"):
+        assert set(states(write_files(made, folder, archived=True, once=False)).values()) == {state}
+    assert sum(int(p.read_text()) for p in (tmp_path / "made").iterdir()) == 100
+    assert shuffled() - before < 100_000
+    assert {r.path: bytes(r.content).decode() for r in read_archived(spark, folder).collect()} == dict(first)
+    assert set(states(sync_states(made, folder)).values()) == {"same"}
+
+
 def test_paths_that_leave_the_folder_and_rows_that_clash_are_refused(spark, tmp_path):
     folder = f"file://{tmp_path}/out"
     rows = [("../x", "x"), ("/abs", "x"), ("a//b", "x"), (".hid", "x"), ("_manifest/0", "x"), ("n" * 256, "x"), (None, "x"), ("null", None), ("twice", "1"), ("twice", "2"), ("good", "g")]
