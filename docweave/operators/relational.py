@@ -154,10 +154,13 @@ def batch_outcome(tasks: DataFrame) -> DataFrame:
 
 
 def page_ends(entries: DataFrame, key: str, start: str, order: Sequence[str], last: Column) -> DataFrame:
-    """page_end by the next start: one before it, the same page (with a clash) if it isn't later, else the last page."""
-    following = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    """page_end by the next start: one before it, the same page (with a clash) if it isn't later, else the last page.
+
+    The next start is the last one before in the order from behind: a frame that ends with its group is read anew for each row.
+    """
+    behind = Window.partitionBy(key).orderBy(*_backwards(order)).rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    s, nxt = F.col(start), F.first(start, ignorenulls=True).over(following)
+    s, nxt = F.col(start), F.last(start, ignorenulls=True).over(behind)
     out = entries.withColumn("_next", nxt).withColumn("clash", F.coalesce(F.col("_next") <= s, F.lit(False)) & s.isNotNull())
     end = F.when(s.isNull(), F.lit(None)).when(F.col("clash"), s).when(F.col("_next").isNotNull(), F.col("_next") - 1).otherwise(last)
     return out.withColumn("page_end", end).withColumn("warned", F.max("clash").over(running)).drop("_next")
@@ -179,18 +182,14 @@ def subtree_ends(entries: DataFrame, key: str, order: Sequence[str], levels: Seq
     """subtree_end: the largest page_end among the descendants of an entry, else its own.
 
     A descendant stands between an entry and the next one of the same or a smaller level; levels are
-    all that occur.
+    all that occur. For each level, entries of it or a smaller one begin a new run, and the rest of a run are descendants
+    of its first entry: no entry meets another one.
     """
-    after = Window.partitionBy(key).orderBy(*_backwards(order)).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    nearest = {f"_s{k}": F.last(F.when(F.col("level") <= k, F.col("_n")), ignorenulls=True).over(after) for k in levels}
-    out = entries.withColumn("_n", n).withColumns(nearest)
-    out = out.withColumn("_stop", F.coalesce(*[F.when(F.col("level") == k, F.col(f"_s{k}")) for k in levels], F.lit(1 << 30)))
-    inner = out.select(F.col(key).alias("_k"), F.col("_n").alias("_m"), F.col("page_end").alias("_e"))
-    hit = (F.col(key) == F.col("_k")) & (F.col("_m") > F.col("_n")) & (F.col("_m") < F.col("_stop"))
-    ends = out.join(inner, hit).groupBy(key, "id").agg(F.max("_e").alias("_below"))
-    drop = ["_n", "_stop", "_below", *nearest]
-    return out.join(ends, [key, "id"], "left").withColumn("subtree_end", F.coalesce("_below", "page_end")).drop(*drop)
+    running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    runs = {f"_r{k}": F.sum(F.when(F.col("level") <= k, 1).otherwise(0)).over(running) for k in levels}
+    below = {f"_b{k}": F.max(F.when(F.col("level") > k, F.col("page_end"))).over(Window.partitionBy(key, f"_r{k}")) for k in levels}
+    end = F.coalesce(*[F.when(F.col("level") == k, F.col(f"_b{k}")) for k in levels], "page_end")
+    return entries.withColumns(runs).withColumns(below).withColumn("subtree_end", end).drop(*runs, *below)
 
 
 def ring(events: DataFrame, keep: int) -> DataFrame:
