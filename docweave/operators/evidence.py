@@ -8,30 +8,17 @@ from pyspark.sql import functions as F
 from docweave.functions.text import escalation_reason
 from docweave.operators import pages as p
 from docweave.operators.ledger import Executor
-from docweave.sources.documents import scratch
+from docweave.sources.documents import stored as stored_rows
 
 #: The links in order; each digest covers the one before and its own payload.
 LINKS = ("observations", "alignment", "decision")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def reading_digests(blocks: DataFrame) -> DataFrame:
-    """(page_id, digest): a reading's blocks in order, each by place, kind and text."""
-    block = F.struct("block_idx", F.concat_ws("\x1f", "block_idx", "type", "text").alias("body"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda z: z["body"]), "\x1e")
-    return blocks.groupBy("page_id").agg(F.sha2(body, 256).alias("digest"))
-
-
-def _observed(left: DataFrame, right: DataFrame) -> DataFrame:
-    a = reading_digests(left).withColumnRenamed("digest", "a")
-    b = reading_digests(right).withColumnRenamed("digest", "b")
-    digest = F.sha2(F.concat_ws("|", "page_id", F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))), 256)
-    return a.join(b, "page_id", "full").select("page_id", digest.alias("observations"))
+def reading_digest(blocks: Column) -> Column:
+    """The digest of a reading's blocks in order, each by place, kind and text; of no block it is empty."""
+    body = lambda b: F.struct(b["block_idx"].alias("block_idx"), F.concat_ws("\x1f", b["block_idx"].cast("string"), b["type"], b["text"]).alias("body"))
+    bodies = F.transform(F.array_sort(F.transform(blocks, body)), lambda z: z["body"])
+    return F.when(F.size(blocks) > 0, F.sha2(F.array_join(bodies, "\x1e"), 256)).otherwise("")
 
 
 def _alignment(observations: Column) -> Column:
@@ -43,15 +30,18 @@ def _decision(alignment: Column) -> Column:
 
 
 def aligned(left: DataFrame, right: DataFrame, rate: float) -> DataFrame:
-    """(page_id, observations, status, reason, found, alignment): both readings, compared, with the digests of these two links."""
-    pairs = _kept(p.block_pairs(left, right), "pairs")
-    found = _kept(p.conflicts(left, right, pairs), "conflicts")
-    line = F.concat("reason", F.lit(":"), F.coalesce(F.col("left_idx").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("right_idx").cast("string"), F.lit("")))
-    lines = found.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("found"))
+    """(page_id, observations, status, reason, found, alignment): both readings, compared, with the digests of these two links.
+
+    Places of blocks give the pairs; then the texts of a page meet once, in one row, which gives its digests and differences.
+    """
+    rows = p.whole_pages(left, right, stored_rows(p.block_pairs(left, right), "pairs"))
+    observed = F.sha2(F.concat_ws("|", "page_id", reading_digest(F.col("l")), reading_digest(F.col("r"))), 256)
+    line = lambda f: F.concat(f["reason"], F.lit(":"), F.coalesce(f["left_idx"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(f["right_idx"].cast("string"), F.lit("")))
+    rows = rows.select("page_id", "l", "r", observed.alias("observations"), F.array_sort(F.transform(p.page_conflicts(), line)).alias("found"))
+    rows = rows.select("page_id", "observations", p.page_status(F.size("found")).alias("status"), F.array_join("found", ",").alias("found"))
     why = escalation_reason(F.col("status"), F.sha2(F.col("page_id").cast("string"), 256), F.col("page_id"), rate)
-    state = p.classes(left, right, found).select("page_id", "status", why.alias("reason"))
-    met = _observed(left, right).join(state.hint("merge"), "page_id").join(lines.hint("merge"), "page_id", "left").fillna("", ["found"])
-    return met.withColumn("alignment", _alignment(F.col("observations")))
+    rows = rows.select("page_id", "observations", "status", why.alias("reason"), "found")
+    return rows.withColumn("alignment", _alignment(F.col("observations")))
 
 
 def decided(rows: DataFrame, executor: Executor) -> DataFrame:
@@ -85,9 +75,9 @@ def resumed(stored: DataFrame, left: DataFrame, right: DataFrame, rate: float, e
 
     Pages that are no longer read have no evidence any more.
     """
-    fresh, stored = _kept(aligned(left, right, rate), "aligned"), _kept(stored, "stored")
-    links = _kept(checked(stored, fresh), "links")
+    fresh, stored = stored_rows(aligned(left, right, rate), "aligned"), stored_rows(stored, "stored")
+    links = stored_rows(checked(stored, fresh), "links")
     broken = links.where("broken not in ('', 'gone')").select("page_id")
-    again = _kept(decided(fresh.join(broken.hint("merge"), "page_id", "left_semi"), executor), "decided")
+    again = stored_rows(decided(fresh.join(broken.hint("merge"), "page_id", "left_semi"), executor), "decided")
     kept = stored.join(links.where("broken = ''").select("page_id").hint("merge"), "page_id", "left_semi")
     return kept.unionByName(again.select(kept.columns)).join(links.hint("merge"), "page_id")

@@ -123,3 +123,28 @@ def test_pairs_and_conflicts_of_a_report_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(pages, "block_pairs", lambda left, right: made.append(1) or plain_pairs(left, right))
     QUERIES["agg_reconcile_report"](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_whole_pages_give_the_same_conflicts_without_joins(spark):
+    r = random.Random(3)
+    kinds = ["paragraph", "footnote", "page_number", "formula", "table", "list", None]
+    texts = ["profit 10%", "profit  10％", "profit 40%", "x <= 3", "x >= 3", "學習", "学习", "", None]
+
+    def block(page, i, near):
+        kind = near[3] if near and r.random() < 0.8 else r.choice(kinds if page % 3 else kinds[:2])
+        given = r.choice([rows([["a", "b"]]), rows([["a", "c"]]), rows([["a"]]), cells((0, 0, "a"), (0, 1, "b")), None])
+        y = near[6] if near else i * 0.1
+        return (page, i, near[2] if near and r.random() < 0.5 else r.choice(texts), kind, r.choice([i, i, 9 - i, None]), 0.1, y, 0.5, 0.08, given if kind == "table" else None)
+
+    a = [block(page, i, None) for page in range(60) for i in range(5)] + [(60, 0, "t", None, 0, 0.1, 0.1, 0.5, 0.1, None), (61, 0, "t", "list", 0, 0.1, 0.1, 0.5, 0.1, None)]
+    b = [block(x[0], r.choice([x[1], 7 + x[1]]), x) for x in a if r.random() < 0.8 and x[0] < 60] + [(62, 0, "t", "paragraph", 0, 0.1, 0.1, 0.5, 0.1, None)]
+    a, b = a + [a[7], a[12]], b + [b[20]]
+    left, right = spark.createDataFrame(a, BLOCK), spark.createDataFrame(b, BLOCK)
+    pairs = pages.stored_pairs(left, right)
+    expected = pages.conflicts(left, right, pairs)
+    whole = pages.whole_pages(left, right, pairs).withColumn("c", pages.page_conflicts())
+    flat = lambda df: sorted(map(str, df.select("page_id", "reason", "left_idx", "right_idx").collect()))
+    assert flat(whole.select("page_id", F.inline("c"))) == flat(expected) and expected.select("reason").distinct().count() > 7
+    status = {r.page_id: r.status for r in pages.classes(left, right, expected).collect()}
+    assert {r[0]: r[1] for r in whole.select("page_id", pages.page_status(F.size("c"))).collect()} == status
+    assert "Join" not in plan(evidence.aligned(left, right, 0.0))
